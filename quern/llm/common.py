@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts are worked on in pieces of about this many bytes, whole texts at least one at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, pieces, quality, secrets, simhash
-from quern.llm.common import table
+from quern.llm import ann, decontaminate, licenses, lm, pieces, quality, secrets, simhash, tokencount, tokenfiles
+from quern.llm.common import shared_path, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,6 +26,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(table(spark, sf_dir, "documents"), PIECE_MODEL())
 
@@ -34,6 +42,20 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "ids")
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return tokenfiles.token_index(spark, path)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.document_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,8 +67,75 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op5_sentencepiece, op6_secrets, op10_simhash)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_nearest, op4_licenses, op5_sentencepiece, op6_secrets, op7_token_files, op8_token_counts, op9_lm_scores, op10_simhash)} | {"pipeline": pipeline}
+
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _op1_sql() -> str:
+    n = decontaminate.WINDOW
+    return f"""
+with b as (select distinct coalesce(cast(item_id as varchar), '') item, {_words("text")} w from benchmark),
+bg as (select distinct item, n, array_to_string(w[i + 1 : i + n], ' ') g from (select item, w, least({n}, len(w)) n, unnest(range(len(w) - least({n}, len(w)) + 1)) i from b where len(w) > 0)),
+d as (select row_number() over () rid, doc_id, {_words("text")} w from documents),
+sizes as (select distinct n from bg),
+dg as (select rid, i, n, array_to_string(w[i + 1 : i + n], ' ') g from (select rid, w, n, unnest(range(len(w) - n + 1)) i from d, sizes where len(w) >= n)),
+hit as (select rid, i, n, item from dg join bg using (n, g)),
+words as (select rid, count(distinct p) n_hit from (select rid, unnest(range(i, i + n)) p from (select distinct rid, i, n from hit)) group by rid),
+items as (select rid, count(*) n_items, string_agg(item, ',' order by item) names from (select distinct rid, item from hit) group by rid)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
+  sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join words using (rid) left join items using (rid)"""
+
+
+def _op4_sql() -> str:
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"('{k}', list_distinct({t.split()!r}))" for k, t in licenses.TEMPLATES.items())
+    block, half = licenses.BLOCK_WORDS, licenses.BLOCK_WORDS // 2
+    return f"""
+with d as (select row_number() over () rid, doc_id, {_words("text")} w from documents),
+phrases(p, label) as (values {phrases}),
+base as (select rid, i, label from (select rid, w, p, label, unnest(range(len(w) - len(p) + 1)) i from d, phrases where len(w) >= len(p)) where w[i + 1 : i + len(p)] = p),
+base_of as (select rid, count(*) n_base, min(i) first_word, max(i) last_word, string_agg(distinct label, ',' order by label) base_labels from base group by rid),
+templates(k, t) as (values {templates}),
+blocks as (select rid, list_distinct(w[b + 1 : b + {block}]) s from (select rid, w, unnest(range(0, greatest(1, len(w)), {half})) b from d)),
+own as (select rid, k, max(len(list_intersect(t, s)) / cast(len(t) as double)) c from blocks, templates group by rid, k having c >= {licenses.THRESHOLD}),
+own_of as (select rid, max(c) c from own group by rid),
+labels as (select rid, string_agg(label, ',' order by label) labels from (select rid, label from base union select rid, k from own) group by rid)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_base, 0) as bigint) n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels,
+  cast(case when n_base > 0 then 1 else coalesce(c, 0) end as double) score
+from d left join base_of using (rid) left join own_of using (rid) left join labels using (rid)"""
+
+
+def _op6_sql() -> str:
+    either = lambda word: "".join(c if c in "_?" else f"[{c.upper()}{c}]" for c in word)
+    keyword = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = rf"""({keyword})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    parts = []
+    for k, (pattern, group, least) in enumerate(((assign, 2, 12), (secrets.ACCESS, 0, 18), (secrets.HEX, 0, 16), ("[A-Za-z0-9+/_=-]+", 0, secrets.WINDOW))):
+        parts.append(
+            f"select rid, {k} k, v, list_sum(list_transform(p[1 : n], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : n - 1], lambda x: length(x))), 0) s, length(v) z from "
+            f"(select rid, p, m, unnest(m) v, unnest(g) own, unnest(range(1, len(m) + 1)) n from (select rid, string_split_regex(t, '{pattern}') p, regexp_extract_all(t, '{pattern}') m, regexp_extract_all(t, '{pattern}', {group}) g from d)) where length(own) >= {least}"
+        )
+    allow = " or ".join(f"regexp_matches(v, '{p}')" for p in secrets.ALLOW)
+    entropy = f"list_max(list_transform(range(length(v) - {secrets.WINDOW - 1}), lambda i: list_aggregate(string_split(substr(v, i + 1, {secrets.WINDOW}), ''), 'entropy')))"
+    kinds = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    return f"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+every as ({" union all ".join(parts)}),
+kept as (select * from every where k < 3 or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') and not ({allow}) and {entropy} >= case when regexp_full_match(v, '[0-9A-Fa-f]+') then {secrets.HEX_BITS} else {secrets.GENERAL_BITS} end)),
+named as (select rid, k, s, [{kinds}][k + 1] || ':' || cast(s as bigint) || ':' || cast(s + z as bigint) x from kept),
+by_doc as (select rid, count(*) filter (k = 0) n0, count(*) filter (k = 1) n1, count(*) filter (k = 2) n2, string_agg(x, ',' order by s, k) filter (k < 3) base, string_agg(x, ',' order by s, k) spans from named group by rid)
+select doc_id, cast(coalesce(n0, 0) as bigint) n_assign, cast(coalesce(n1, 0) as bigint) n_access, cast(coalesce(n2, 0) as bigint) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from d left join by_doc using (rid)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators that SQL can express on whole tables; the others are tested against brute force."""
+    return {"op1_decontamination": _op1_sql(), "op4_licenses": _op4_sql(), "op6_secrets": _op6_sql()}
