@@ -11,11 +11,15 @@ import os
 
 import numpy as np
 
-KEPT_WORDS = 600_000
+#: Words in each of two generations of the table; the older one goes when the newer is full.
+KEPT_WORDS = 400_000
 
 # White space beside single blanks and line feeds, after which words may not be taken apart.
 _IRREGULAR = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", *map(chr, range(0x2000, 0x200B))]
 
+#: Signs that the split keeps apart from letters before them.
+_SIGNS = ".,;:!?$%&*#()|"
+
 
 class Encoder:
     """Ids of texts as bytes of a little-endian integer type."""
@@ -32,44 +36,90 @@ class Encoder:
         split = spec.get("pre_tokenizer") or {}
         self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.special = [] if special_as_text else [t["content"] for t in spec.get("added_tokens") or []]
-        self.lead: dict[str, bytes] = {"": b""}
-        self.rest: dict[str, bytes] = {}
         self.line = self._whole("\n")
+        self.kept: dict[str, bytes] = {"\n": self.line}
+        self.old: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        self.by_word = self.by_word and len(self.line) == np.dtype(kind).itemsize
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, table: dict[str, bytes], words: list[str], before: str) -> dict[str, bytes]:
-        """Encodings of the words that the table lacks; it starts afresh when full."""
-        if len(table) > KEPT_WORDS:
-            table.clear()
-            table[""] = b""
-        got = self.library.encode_batch([before + w for w in words], add_special_tokens=False)
-        new = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(words, got, strict=True)}
-        table.update(new)
+    def _lines(self, words: list[str], before: str) -> list[bytes]:
+        """Encodings of before + word, for words without line feeds: they are the lines of one text."""
+        got = self.library.encode_batch_fast(["\n".join([before + w for w in words])], add_special_tokens=False)[0]
+        ids = np.array(got.ids, self.kind)
+        cut = np.flatnonzero(ids == np.frombuffer(self.line, self.kind)[0])
+        size, raw = ids.itemsize, ids.tobytes()
+        return [raw[size * a : size * b] for a, b in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True)]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Encodings of words that the newer generation lacks. A word that starts with a line feed starts a line, others follow a blank.
+
+        The split parts a run of letters from the signs behind it, so "word," is "word" and ",".
+        """
+        new, parted, rest = {}, [], []
+        for w in words:
+            known = self.old.get(w)
+            if known is not None:
+                new[w] = known
+                continue
+            stem = w.rstrip(_SIGNS)
+            letters = stem[1:] if stem[:1] == "\n" else stem
+            if len(stem) < len(w) and letters.isalpha() and max(letters) < "\u0250":
+                parted.append((w, stem))
+            else:
+                rest.append(w)
+        rest += {stem for _, stem in parted if stem not in self.kept and stem not in self.old}.difference(rest)
+        leads, others = [w for w in rest if w[:1] == "\n"], [w for w in rest if w[:1] != "\n"]
+        if leads:
+            new.update(zip(leads, [self.line + x for x in self._lines([w[1:] for w in leads], "")], strict=True))
+        if others:
+            new.update(zip(others, self._lines(others, " "), strict=True))
+        for w, stem in parted:
+            tail = w[len(stem) :]
+            signs = self.signs.get(tail)
+            if signs is None:
+                if len(self.signs) > KEPT_WORDS:
+                    self.signs.clear()
+                signs = self.signs[tail] = self._whole(tail)
+            own = new.get(stem)
+            new[w] = (self.kept.get(stem) or self.old[stem] if own is None else own) + signs
+        if len(self.kept) > KEPT_WORDS:
+            self.old, self.kept = self.kept, {"\n": self.line}
+        self.kept.update(new)
         return new
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or text.endswith(" ") or any(x in text for x in _IRREGULAR) or any(x in text for x in self.special):
-            return self._whole(text)
-        words: list[str] = []
-        firsts = []
-        for line in text.split("\n"):
-            first, *others = line.split(" ")
-            firsts.append((first, len(words)))
-            words += others
-        got = list(map(self.rest.get, words))
-        if None in got:
-            new = self._learn(self.rest, list({w for w, g in zip(words, got, strict=True) if g is None}), " ")
-            got = [new[w] if g is None else g for w, g in zip(words, got, strict=True)]
-        out = []
-        for i, (first, at) in enumerate(firsts):
-            if i:
-                out.append(self.line)
-            own = self.lead.get(first)
-            out.append(self._learn(self.lead, [first], "")[first] if own is None else own)
-            out += got[at : firsts[i + 1][1] if i + 1 < len(firsts) else None]
-        return b"".join(out)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        out: list = [None] * len(texts)
+        missing: dict[str, None] = {}
+        gaps = []
+        for d, text in enumerate(texts):
+            if not text:
+                out[d] = b""
+                continue
+            if not self.by_word or text[-1] == " " or any(x in text for x in _IRREGULAR) or any(x in text for x in self.special):
+                out[d] = self._whole(text)
+                continue
+            # the first word is put as one that starts a line, less that line's feed
+            words = f"\n{text}".replace("\n", " \n")[1:].split(" ")
+            out[d] = got = list(map(self.kept.get, words))
+            if None in got:
+                at = [i for i, g in enumerate(got) if g is None]
+                own = [words[i] for i in at]
+                missing.update(dict.fromkeys(own))
+                gaps.append((got, at, own))
+        if missing:
+            new = self._learn(list(missing))
+            for got, at, own in gaps:
+                for i, w in zip(at, own, strict=True):
+                    got[i] = new[w]
+        feed = len(self.line)
+        return [x if isinstance(x, bytes) else b"".join(x)[feed:] for x in out]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

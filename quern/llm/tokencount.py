@@ -46,7 +46,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, i
         with system.open_output_stream(f"{name}.part") as out:
             for batch in batches:
                 for lo, hi in chunks(batch.column(1)):
-                    out.write(b"".join([own.encode(t or "") + end for t in batch.column(1).slice(lo, hi - lo).to_pylist()]))
+                    out.write(b"".join([x + end for x in own.encode_many([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])]))
                 ids.append(batch.column(0))
         if not ids:
             system.delete_file(f"{name}.part")

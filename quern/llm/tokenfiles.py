@@ -41,7 +41,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
         end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             for lo, hi in chunks(batch.column(1)):
-                ids = [own.encode(t) + end for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                ids = [x + end for x in own.encode_many(batch.column(1).slice(lo, hi - lo).to_pylist())]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 places = place + np.cumsum(sizes) - sizes
                 place += int(sizes.sum())

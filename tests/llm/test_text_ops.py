@@ -392,3 +392,15 @@ def test_filter_levels():
     assert (got >= lm.level(counts)).all() and (got == lm.level(counts)).mean() > 0.97
     other = np.setdiff1d(rng.integers(1 << 63, size=3000, dtype=np.uint64) * np.uint64(2) + np.uint64(1), keys)
     assert (f.levels(other) == 0).mean() > 0.97
+
+
+def test_encoder_is_the_library():
+    """Random mixtures of words, signs, blanks, line feeds and special strings."""
+    import random
+
+    from quern.llm import bpe
+
+    own, whole, rng = bpe.Encoder(queries.tokenizer_path("byte_bpe_50k.json")), library(), random.Random(1)
+    parts = ["a", "the", "B", "é", "ß", "1", "9", ".", ",", "'", "'s", "$", "!", "\n", " ", " ", " ", "\t", "日", "😀", "|", "-", "_", "<|endoftext|>", "\xa0", "ª", "²"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(5000)]
+    assert own.encode_many(texts) == [np.array(whole(t), "<i4").tobytes() for t in texts]
