@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,27 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.session import checkpoint_root, shared_path  # noqa: F401
+
 #: Texts are worked on in pieces of about this many bytes, whole texts at least one at a time.
 CHUNK_BYTES = 2 << 20
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local default only for a local master (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file:///tmp/checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and drop the lineage, so lost executors cost no recomputation."""
     checkpoint_root(df.sparkSession)
