@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -112,12 +114,31 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         yield lo, len(sizes)
 
 
+#: Bytes of one Arrow batch; without a bound 10,000 long texts could make one.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless it has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that idle workers do not hold what their last task needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(df: DataFrame, text: Column, keep: dict[str, Column], result: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """Rows of `keep` columns with those that a function computes from chunks of texts.
 
     `make` runs once a task and returns the function; `result` is the DDL of what it returns.
     Inputs are renamed on the way, so names of the frame cannot clash with those of the result.
     """
+    bounded_batches(df.sparkSession)
     inner = df.select(*[c.alias(f"_k{i}") for i, c in enumerate(keep.values())], text.cast("string").alias("_t"))
     fields = [T.StructField(name, inner.schema[f"_k{i}"].dataType) for i, name in enumerate(keep)]
     schema = T.StructType(fields + T.StructType.fromDDL(result).fields)
@@ -129,6 +150,7 @@ def map_texts(df: DataFrame, text: Column, keep: dict[str, Column], result: str,
             for lo, hi in chunks(batch.column(batch.num_columns - 1)):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(part.columns[-1])], names=names)
+        give_back()
 
     return inner.mapInArrow(run, schema)
 

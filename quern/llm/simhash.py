@@ -19,13 +19,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, SOLID, Texts, cut, map_texts, word_spans
+from quern.llm.common import LOWER, SOLID, Texts, cut, give_back, map_texts, word_spans
 
 BITS, DISTANCE, WORDS, SEED = 64, 4, 4, 42
 #: A bucket with more members is cut into blocks of this many; pairs of blocks are dealt out.
 BLOCK = 8192
 
 
+def _ones(hashes: np.ndarray, at: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """How often each bit is set among the hashes from each place in `at` to the next; bits are unpacked piece by piece."""
+    out = np.zeros((len(at), BITS), np.int64)
+    for lo in range(0, len(hashes), step):
+        bits = np.unpackbits(hashes[lo : lo + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        a, b = np.searchsorted(at, lo, "right") - 1, np.searchsorted(at, lo + len(bits), "left")
+        out[a:b] += np.add.reduceat(bits, np.maximum(at[a:b] - lo, 0), axis=0, dtype=np.int32)
+    return out
+
+
 def fingerprints_of(column: pa.Array, words: int = WORDS) -> np.ndarray:
     """The 64-bit fingerprint of each text; 0 for texts without words and for null."""
     texts = Texts(column)
@@ -51,8 +61,7 @@ def fingerprints_of(column: pa.Array, words: int = WORDS) -> np.ndarray:
     count = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
     full = np.flatnonzero(count)
     at = np.cumsum(count)[full] - count[full]
-    ones = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), at, axis=0, dtype=np.int64)
-    bits = (2 * ones > count[full][:, None]).astype(np.uint8)
+    bits = (2 * _ones(hashes, at) > count[full][:, None]).astype(np.uint8)
     out[full] = np.packbits(bits, axis=1, bitorder="little").reshape(-1).view(np.uint64)
     return out
 
@@ -144,6 +153,7 @@ def _link_sorted(batches, distance: int):
         held_k, held_f = k[at:], f[at:]
     if len(held_k):
         yield out(held_k, held_f)
+    give_back()
 
 
 def _keys(masks: Column, value: Column, segments: int, segment: int) -> Column:

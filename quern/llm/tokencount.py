@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import encoder
-from quern.llm.common import chunks, cut, shared_path
+from quern.llm.common import bounded_batches, chunks, cut, shared_path
 
 #: Ids in a block.
 BLOCK = 1 << 20
@@ -35,6 +35,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, i
     Special strings in texts are ordinary text, so the end id stands at document ends alone. A task writes under a
     name of its own attempt and renames at the end; only finished tasks' files are in the returned rows.
     """
+    bounded_batches(docs.sparkSession)
     kind = f"<u{width}"
 
     def run(batches):

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import encoder
-from quern.llm.common import chunks, list_array
+from quern.llm.common import bounded_batches, chunks, list_array
 
 SCHEMA = "doc_id long, part int, place long, n_tokens long, ids array<int>"
 #: ORC writer settings.
@@ -31,6 +31,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     dealt to several files if they are many. Columns but id and text are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t"))
