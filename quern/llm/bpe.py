@@ -1,7 +1,8 @@
-"""Byte-level BPE ids by the tokenizers library, with a bounded table of words already encoded.
+"""Byte-level BPE ids by the tokenizers library, with a table of words already encoded.
 
 The usual byte-level split never joins characters across the start of " word" or of a line where all white space
-is single, so such texts are encoded word by word; any other text goes through the library as a whole.
+is single, so such texts are taken apart into words at once, and the library encodes only words that the table lacks.
+Any other text goes through the library as a whole. Words are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -10,116 +11,201 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
 
-#: Words in each of two generations of the table; the older one goes when the newer is full.
-KEPT_WORDS = 400_000
-
-# White space beside single blanks and line feeds, after which words may not be taken apart.
-_IRREGULAR = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", *map(chr, range(0x2000, 0x200B))]
+from quern.llm.common import Texts, byte_table, mix, word_hashes, word_spans
 
+#: Words in the table, which starts afresh beyond; a word takes about 30 bytes.
+KEPT_WORDS = 1_500_000
+_SLOTS = 1 << 22
 #: Signs that the split keeps apart from letters before them.
 _SIGNS = ".,;:!?$%&*#()|"
+_INSIDE = byte_table(lambda b: b not in (0x0A, 0x20))
+#: White space beside blanks and line feeds that is one byte long.
+_ODD = byte_table(lambda b: b in (0x09, 0x0B, 0x0C, 0x0D) or 0x1C <= b <= 0x1F)
+
+
+def _irregular(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has white space that is not one blank or line feed between two words."""
+    n = len(offsets) - 1
+    out = np.zeros(n, bool)
+    if not len(data):
+        return out
+    gap = ~_INSIDE[data]
+    bad = _ODD[data]
+    bad[1:] |= gap[1:] & gap[:-1]
+    for lead, follow in ((0xC2, ((0x85,), (0xA0,))), (0xE1, ((0x9A, 0x80),)), (0xE2, (*((0x80, x) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0x81, 0x9F))), (0xE3, ((0x80, 0x80),))):
+        at = np.flatnonzero(data == lead)
+        after = [data[np.minimum(at + k, len(data) - 1)] for k in (1, 2)]
+        for f in follow:
+            bad[at[np.logical_and.reduce([a == x for a, x in zip(after, f, strict=False)])]] = True
+    at = np.flatnonzero(bad)
+    out[np.searchsorted(offsets, at, "right") - 1] = True
+    full = np.flatnonzero(np.diff(offsets))
+    out[full] |= gap[offsets[full]] | gap[offsets[full + 1] - 1]
+    return out
+
+
+class Table:
+    """Token lists by 64-bit key, in open addressing; all keys of a call are looked up or entered together."""
+
+    def __init__(self, kind: str):
+        self.keys, self.entry = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
+        self.starts, self.ids, self.n, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, kind), 0, 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 where missing."""
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        slot = (keys & np.uint64(_SLOTS - 1)).astype(np.int64)
+        while len(left):
+            held = self.keys[slot]
+            hit = held == keys[left]
+            out[left[hit]] = self.entry[slot[hit]]
+            go = ~hit & (held != 0)
+            left, slot = left[go], (slot[go] + 1) & (_SLOTS - 1)
+        return out
+
+    def add(self, keys: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+        """Enter distinct keys that are missing; returns their entries."""
+        sizes = np.array([len(x) for x in lists], np.int64)
+        entries = np.arange(self.n, self.n + len(keys))
+        need = self.n + len(keys) + 1
+        if need > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(need, len(self.starts)), np.int64)])
+        total = int(sizes.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), self.ids.dtype)])
+        self.ids[self.used : self.used + total] = np.concatenate(lists)
+        self.starts[self.n + 1 : need] = self.used + np.cumsum(sizes)
+        self.n, self.used = need - 1, self.used + total
+        left, slot = np.arange(len(keys)), (keys & np.uint64(_SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[left[free]]
+            won = self.keys[slot] == keys[left]
+            self.entry[slot[won]] = entries[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & (_SLOTS - 1)
+        return entries
 
 
 class Encoder:
-    """Ids of texts as bytes of a little-endian integer type."""
+    """Ids of texts in a little-endian integer type."""
 
     def __init__(self, path: str, kind: str = "<i4", special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.kind = kind
+        self.kind = np.dtype(kind)
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
-        self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
         self.special = [] if special_as_text else [t["content"] for t in spec.get("added_tokens") or []]
         self.line = self._whole("\n")
-        self.kept: dict[str, bytes] = {"\n": self.line}
-        self.old: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
-        self.by_word = self.by_word and len(self.line) == np.dtype(kind).itemsize
+        self.by_word = bool(split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor") and len(self.line) == 1)
+        self.table = Table(kind)
+        self.signs: dict[str, np.ndarray] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _lines(self, words: list[str], before: str) -> list[bytes]:
+    def _lines(self, words: list[str], before: str) -> list[np.ndarray]:
         """Encodings of before + word, for words without line feeds: they are the lines of one text."""
+        if not words:
+            return []
         got = self.library.encode_batch_fast(["\n".join([before + w for w in words])], add_special_tokens=False)[0]
         ids = np.array(got.ids, self.kind)
-        cut = np.flatnonzero(ids == np.frombuffer(self.line, self.kind)[0])
-        size, raw = ids.itemsize, ids.tobytes()
-        return [raw[size * a : size * b] for a, b in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True)]
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encodings of words that the newer generation lacks. A word that starts with a line feed starts a line, others follow a blank.
+        return [x[k > 0 :] for k, x in enumerate(np.split(ids, np.flatnonzero(ids == self.line[0])))]
 
-        The split parts a run of letters from the signs behind it, so "word," is "word" and ",".
-        """
-        new, parted, rest = {}, [], []
+    def _words(self, words: list[str], before: str) -> list[np.ndarray]:
+        """Encodings of distinct words. The split parts a run of letters from the signs behind it, so "word," is "word" and ","."""
+        stems, asked = [], {}
         for w in words:
-            known = self.old.get(w)
-            if known is not None:
-                new[w] = known
-                continue
             stem = w.rstrip(_SIGNS)
-            letters = stem[1:] if stem[:1] == "\n" else stem
-            if len(stem) < len(w) and letters.isalpha() and max(letters) < "\u0250":
-                parted.append((w, stem))
-            else:
-                rest.append(w)
-        rest += {stem for _, stem in parted if stem not in self.kept and stem not in self.old}.difference(rest)
-        leads, others = [w for w in rest if w[:1] == "\n"], [w for w in rest if w[:1] != "\n"]
-        if leads:
-            new.update(zip(leads, [self.line + x for x in self._lines([w[1:] for w in leads], "")], strict=True))
-        if others:
-            new.update(zip(others, self._lines(others, " "), strict=True))
-        for w, stem in parted:
-            tail = w[len(stem) :]
-            signs = self.signs.get(tail)
-            if signs is None:
-                if len(self.signs) > KEPT_WORDS:
-                    self.signs.clear()
-                signs = self.signs[tail] = self._whole(tail)
-            own = new.get(stem)
-            new[w] = (self.kept.get(stem) or self.old[stem] if own is None else own) + signs
-        if len(self.kept) > KEPT_WORDS:
-            self.old, self.kept = self.kept, {"\n": self.line}
-        self.kept.update(new)
-        return new
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        out: list = [None] * len(texts)
-        missing: dict[str, None] = {}
-        gaps = []
-        for d, text in enumerate(texts):
-            if not text:
-                out[d] = b""
-                continue
-            if not self.by_word or text[-1] == " " or any(x in text for x in _IRREGULAR) or any(x in text for x in self.special):
-                out[d] = self._whole(text)
-                continue
-            # the first word is put as one that starts a line, less that line's feed
-            words = f"\n{text}".replace("\n", " \n")[1:].split(" ")
-            out[d] = got = list(map(self.kept.get, words))
-            if None in got:
-                at = [i for i, g in enumerate(got) if g is None]
-                own = [words[i] for i in at]
-                missing.update(dict.fromkeys(own))
-                gaps.append((got, at, own))
-        if missing:
-            new = self._learn(list(missing))
-            for got, at, own in gaps:
-                for i, w in zip(at, own, strict=True):
-                    got[i] = new[w]
-        feed = len(self.line)
-        return [x if isinstance(x, bytes) else b"".join(x)[feed:] for x in out]
+            stem = stem if len(stem) < len(w) and stem.isalpha() and max(stem) < "\u0250" else w
+            stems.append(stem)
+            asked[stem] = None
+        ids = dict(zip(asked, self._lines(list(asked), before), strict=True))
+        out = []
+        for w, stem in zip(words, stems, strict=True):
+            own = ids[stem]
+            if stem is not w:
+                tail = w[len(stem) :]
+                if tail not in self.signs:
+                    if len(self.signs) > 100_000:
+                        self.signs.clear()
+                    self.signs[tail] = self._whole(tail)
+                own = np.concatenate([own, self.signs[tail]])
+            out.append(own)
+        return out
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Entries of words, of which none is in the table yet; `follows` tells those that follow a blank."""
+        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        lists: list = [None] * len(words)
+        for value, before in ((True, " "), (False, "")):
+            own = np.flatnonzero(follows[at] == value).tolist()
+            for i, x in zip(own, self._words([words[i] for i in own], before), strict=True):
+                lists[i] = x
+        return self.table.add(distinct, lists)[back]
+
+    def encode_column(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) one after the other, each followed by `end` if it is given, and how many each text has."""
+        n, closing = len(column), end is not None
+        if self.by_word:
+            texts = Texts(column)
+            whole = _irregular(texts.data, texts.offsets)
+            whole |= [any(s in (t or "") for s in self.special) for t in column.to_pylist()] if self.special and any(s.encode() in texts.data.tobytes() for s in self.special) else False
+        else:
+            whole = np.ones(n, bool)
+        lists: dict[int, np.ndarray] = {i: self._whole(column[i].as_py() or "") for i in np.flatnonzero(whole).tolist()}
+        if not self.by_word or whole.all():
+            entry = np.empty(0, np.int64)
+            doc = lead = entry
+        else:
+            starts, ends, first = word_spans(texts.data, texts.offsets, _INSIDE)
+            doc = np.repeat(np.arange(n), np.diff(first))
+            use = ~whole[doc]
+            starts, ends, doc = starts[use], ends[use], doc[use]
+            opens = starts == texts.offsets[doc]
+            follows = ~opens & (texts.data[np.maximum(starts - 1, 0)] == 0x20)
+            lead = ~opens & ~follows  # a line feed stands before the word
+            # a word at the start of a line is encoded as one at the start of a text
+            keys = mix(word_hashes(texts.data, starts, ends) + follows)
+            keys[keys == 0] = 1
+            if self.table.n > KEPT_WORDS:
+                self.table = Table(self.kind.str)
+            entry = self.table.find(keys)
+            miss = np.flatnonzero(entry < 0)
+            if len(miss):
+                entry[miss] = self._learn(texts.data, starts[miss], ends[miss], keys[miss], follows[miss])
+        begin = self.table.starts[entry]
+        long = self.table.starts[entry + 1] - begin
+        wide = long + lead
+        sizes = np.bincount(doc, weights=wide, minlength=n).astype(np.int64) if len(doc) else np.zeros(n, np.int64)
+        for i, x in lists.items():
+            sizes[i] = len(x)
+        sizes += closing
+        out = np.empty(int(sizes.sum()), self.kind)
+        ends_at = np.cumsum(sizes)
+        if closing:
+            out[ends_at - 1] = end
+        if len(doc):
+            # a word's place: its text's start and what stands before it in the text
+            before = np.cumsum(wide) - wide
+            first_word = np.r_[True, doc[1:] != doc[:-1]]
+            place = (ends_at - sizes)[doc] + before - np.repeat(before[first_word], np.diff(np.r_[np.flatnonzero(first_word), len(doc)]))
+            out[place[lead.astype(bool)]] = self.line[0]
+            place = place + lead
+            step = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+            out[np.repeat(place, long) + step] = self.table.ids[np.repeat(begin, long) + step]
+        for i, x in lists.items():
+            out[ends_at[i] - sizes[i] : ends_at[i] - closing] = x
+        return out, sizes
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

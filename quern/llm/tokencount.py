@@ -39,7 +39,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, i
     kind = f"<u{width}"
 
     def run(batches):
-        own, end = encoder(tokenizer_file, kind, True), np.array([end_id], kind).tobytes()
+        own = encoder(tokenizer_file, kind, True)
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
         name = f"{root}/tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
@@ -47,7 +47,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, i
         with system.open_output_stream(f"{name}.part") as out:
             for batch in batches:
                 for lo, hi in chunks(batch.column(1)):
-                    out.write(b"".join([x + end for x in own.encode_many([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])]))
+                    out.write(own.encode_column(batch.column(1).slice(lo, hi - lo), end_id)[0].tobytes())
                 ids.append(batch.column(0))
         if not ids:
             system.delete_file(f"{name}.part")

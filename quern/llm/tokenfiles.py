@@ -39,14 +39,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
 
     def run(batches):
         own, part, place = encoder(tokenizer_file), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             for lo, hi in chunks(batch.column(1)):
-                ids = [x + end for x in own.encode_many(batch.column(1).slice(lo, hi - lo).to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                ids, sizes = own.encode_column(batch.column(1).slice(lo, hi - lo), end_id)
                 places = place + np.cumsum(sizes) - sizes
                 place += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(places), pa.array(sizes), list_array(np.frombuffer(b"".join(ids), np.int32), sizes, pa.int32())], names=["doc_id", "part", "place", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(places), pa.array(sizes), list_array(ids, sizes, pa.int32())], names=["doc_id", "part", "place", "n_tokens", "ids"])
 
     writer = ordered.select("doc_id", "t").mapInArrow(run, SCHEMA).write
     for key, value in ORC.items():

@@ -7,6 +7,7 @@ from collections import Counter
 from math import log2, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -401,6 +402,12 @@ def test_encoder_is_the_library():
     from quern.llm import bpe
 
     own, whole, rng = bpe.Encoder(queries.tokenizer_path("byte_bpe_50k.json")), library(), random.Random(1)
-    parts = ["a", "the", "B", "é", "ß", "1", "9", ".", ",", "'", "'s", "$", "!", "\n", " ", " ", " ", "\t", "日", "😀", "|", "-", "_", "<|endoftext|>", "\xa0", "ª", "²"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(5000)]
-    assert own.encode_many(texts) == [np.array(whole(t), "<i4").tobytes() for t in texts]
+    parts = ["a", "the", "B", "é", "ß", "1", "9", ".", ",", "'", "'s", "$", "!", "\n", " ", " ", " ", "\t", "日", "😀", "|", "-", "_", "<|endoftext|>", "\xa0", "ª", "²", "\u2019", "\u2003", "\u3000"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(6000)] + [None, ""]
+    texts += [" ".join(rng.choice(parts[:16] + ["x,\ny"]).strip() or "z" for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for end in (None, 7):
+        for i in range(0, len(texts), 500):
+            ids, sizes = own.encode_column(pa.array(texts[i : i + 500], pa.string()), end)
+            want = [whole(t) + ([7] if end else []) for t in texts[i : i + 500]]
+            assert sizes.tolist() == [len(x) for x in want]
+            assert ids.tolist() == [y for x in want for y in x]
