@@ -116,4 +116,4 @@ def document_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 50256, i
     spark = docs.sparkSession
     order = write_flat(docs, shared_path(spark, "flat"), tokenizer_file, end_id, id_col, text_col)
     counts = count_tokens(spark, order, end_id)
-    return order.join(counts, ["file", "nth"], "left").select("doc_id", "n_tokens")
+    return order.join(counts.hint("merge"), ["file", "nth"], "left").select("doc_id", "n_tokens")
