@@ -21,7 +21,7 @@ from quern.llm.common import list_array, map_texts
 
 MARK, UNKNOWN_PENALTY = "▁", 10.0
 #: Words whose encodings a worker keeps; the table starts afresh beyond it.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 700_000
 
 
 class Codec:
@@ -53,39 +53,28 @@ class Codec:
 
     def viterbi(self, text: str) -> tuple[list[int], float]:
         """Ids and score of the best segmentation of a marked text."""
-        n = len(text)
+        n, lost = len(text), self.lost
         best, start, piece = [0.0] + [-1e300] * n, [0] * (n + 1), [-1] * (n + 1)
-        reached = -1
-        lost = self.lost
-
-        def single(i: int) -> None:
-            # position i is final: the character after it may go uncovered
-            if best[i] + lost > best[i + 1]:
-                best[i + 1], start[i + 1], piece[i + 1] = best[i] + lost, i, -1
-
-        def settle(end: int, found: list[tuple[int, int, float]]) -> None:
-            alone = False
-            for length, i, s in sorted(found, reverse=True):
-                at = end - length
-                alone |= length == 1
-                if best[at] + s > best[end]:
-                    best[end], start[end], piece[end] = best[at] + s, at, i
-            if not alone:
-                single(end - 1)
-
-        here: list[tuple[int, int, float]] = []
-        for last, found in () if self.empty else self.automaton.iter(text):
-            if last != reached:
-                if reached >= 0:
-                    settle(reached + 1, here)
-                for e in range(reached + 1, last):
-                    settle(e + 1, [])
-                reached, here = last, []
-            here.append(found)
-        if reached >= 0:
-            settle(reached + 1, here)
-        for e in range(reached + 1, n):
-            settle(e + 1, [])
+        end, alone = 0, True  # all before `end` is final; `alone`: a piece covers the one character that ends there
+
+        def uncovered(upto: int) -> None:
+            """Close `end` and the ends after it that no piece reaches: their last character may go uncovered."""
+            if not alone and best[end - 1] + lost > best[end]:
+                best[end], start[end], piece[end] = best[end - 1] + lost, end - 1, -1
+            for e in range(end + 1, upto):
+                best[e], start[e], piece[e] = best[e - 1] + lost, e - 1, -1
+
+        # the links give the pieces of one end from the longest to the shortest
+        for last, (length, i, s) in () if self.empty else self.automaton.iter(text):
+            if last >= end:
+                uncovered(last + 1)
+                end, alone = last + 1, False
+            score = best[end - length] + s
+            if score > best[end]:
+                best[end], start[end], piece[end] = score, end - length, i
+            if length == 1:
+                alone = True
+        uncovered(n + 1)
         ids: list[int] = []
         at = n
         while at:
