@@ -16,8 +16,8 @@ import pyarrow as pa
 from quern.llm.common import Texts, byte_table, mix, word_hashes, word_spans
 
 #: Words in the table, which starts afresh beyond; a word takes about 30 bytes.
-KEPT_WORDS = 1_500_000
-_SLOTS = 1 << 22
+KEPT_WORDS = 1_000_000
+_SLOTS = 1 << 21
 #: Signs that the split keeps apart from letters before them.
 _SIGNS = ".,;:!?$%&*#()|"
 _INSIDE = byte_table(lambda b: b not in (0x0A, 0x20))

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import ALNUM, LOWER, Texts, cut, list_array, map_texts, mix, word_hashes, word_spans
 
 WINDOW = 13
-#: Bytes of benchmark text that one broadcast may index; more is split into blocks, scanned one after the other.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text that one broadcast may index (about 250 bytes of memory for each word); more is split into
+#: blocks, scanned one after the other.
+BLOCK_BYTES = 4 << 20
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -37,7 +38,7 @@ class Index:
     """Windows of benchmark items: hashes by length, the words of each window, and its items."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        of: dict[bytes, set[str]] = {}
+        self.items: dict[bytes, frozenset[str]] = {}
         self.lengths: dict[int, set[int]] = {}
         for item, text in items:
             data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
@@ -47,9 +48,12 @@ class Index:
             raw, length = data.tobytes(), min(window, len(starts))
             words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             self.lengths.setdefault(length, set()).update(_window_hashes(word_hashes(data, starts, ends), length).tolist())
+            own = frozenset(["" if item is None else item])
             for i in range(len(words) - length + 1):
-                of.setdefault(b" ".join(words[i : i + length]), set()).add("" if item is None else item)
-        self.items = {k: frozenset(v) for k, v in of.items()}
+                key = b" ".join(words[i : i + length])
+                held = self.items.setdefault(key, own)
+                if not own <= held:
+                    self.items[key] = held | own
         self.tables = {}
         for length, hashes in sorted(self.lengths.items()):
             table = np.array(sorted(hashes), np.uint64)

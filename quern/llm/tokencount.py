@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import encoder
-from quern.llm.common import bounded_batches, chunks, cut, shared_path
+from quern.llm.common import bounded_batches, chunks, cut, give_back, shared_path
 
 #: Ids in a block.
 BLOCK = 1 << 20
@@ -57,6 +57,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, i
         for column in ids:
             yield pa.RecordBatch.from_arrays([pa.array([uri] * len(column), pa.string()), pa.array(np.arange(nth, nth + len(column))), column], names=["file", "nth", "doc_id"])
             nth += len(column)
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     return cut(rows.mapInArrow(run, "file string, nth long, doc_id long"))

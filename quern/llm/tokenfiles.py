@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import encoder
-from quern.llm.common import bounded_batches, chunks, list_array
+from quern.llm.common import bounded_batches, chunks, give_back, list_array
 
 SCHEMA = "doc_id long, part int, place long, n_tokens long, ids array<int>"
 #: ORC writer settings.
@@ -45,6 +45,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
                 places = place + np.cumsum(sizes) - sizes
                 place += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(places), pa.array(sizes), list_array(ids, sizes, pa.int32())], names=["doc_id", "part", "place", "n_tokens", "ids"])
+        give_back()
 
     writer = ordered.select("doc_id", "t").mapInArrow(run, SCHEMA).write
     for key, value in ORC.items():
