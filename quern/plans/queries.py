@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.vector import cosine
-from quern.operators import budget, compaction, corpus, embeddings, fitness, promptcache, proposals, registry, resume, retrieval, strategies, tokens
+from quern.operators import budget, compaction, corpus, embeddings, fitness, generations, promptcache, proposals, registry, resume, retrieval, strategies, tokens
 from quern.plans import mappings as M
 from quern.session import shared_path
 from quern.sources import jsonl
+from quern.streaming import context_window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -572,3 +573,112 @@ def events_windowed(spark, sf):
     e = M.table(spark, sf, "events")
     got = e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return got.select("event_type", F.col("w.start").alias("window_start"), "n", "total")
+
+
+# --- more of the same operators, whole results
+
+
+@query("select conv_id, 28000 total_tokens, u used_tokens, round(u / 28000.0, 9) utilization, n message_count from (select conv_id, 25 + cast(ceil(sum(length(text)) / 4.0) as bigint) u, count(*) n from conversations group by conv_id)")
+def window_stats(spark, sf):
+    got = compaction.window_stats(M.messages(spark, sf), system_chars=100)
+    return got.withColumn("utilization", F.round("utilization", 9))
+
+
+@query("""with c as (select *, case when count(*) over (partition by conv_id) > 2 then sum(length(text)) over (partition by conv_id) else 0 end total, row_number() over (partition by conv_id order by turn desc) rd from conversations)
+select conv_id, turn, role, text from c where 1.0 * cast(ceil(total / 4.0) as bigint) / 400 < 0.75 or rd <= 2
+union all select conv_id, 0, 'user', '""" + _HEAD_SQL + """S' from (select distinct conv_id, total from c) where 1.0 * cast(ceil(total / 4.0) as bigint) / 400 >= 0.75
+union all select conv_id, 1, 'assistant', '""" + compaction.SUMMARY_ANSWER + """' from (select distinct conv_id, total from c) where 1.0 * cast(ceil(total / 4.0) as bigint) / 400 >= 0.75""")
+def compact_windows(spark, sf):
+    """Texts hold no short answers, so windows over the threshold go straight to the summary; turns of what stays are those they had."""
+    m = M.messages(spark, sf)
+    got = compaction.compact_window(m, lambda system, prompt: "S", compaction.WindowConfig(max_tokens=400, recent_message_count=2))
+    old = m.select("conv_id", "role", "text", F.col("turn").alias("_t"))
+    back = got.select("conv_id", "turn", "role", "text").join(old, ["conv_id", "role", "text"], "left")
+    return back.select("conv_id", F.coalesce("_t", "turn").alias("turn"), "role", "text").distinct()
+
+
+@query(f"with {_SCORE_SQL}, cand as (select s.*, max_tokens, tokens full_ from scored s join q using (query_id) join sections using (path, ord)), {_PACK_SQL} select query_id, 25 priority, cast(sum(tokens) as bigint) tokens from filled group by query_id")
+def inject_tokens(spark, sf):
+    return retrieval.inject(M.sections(spark, sf), M.queries_of(spark, _ASKED)).select(F.col("query_id").cast("int").alias("query_id"), "priority", "tokens")
+
+
+@query("select 'docs' corpus_id, count(*) filter (doc_id % 3 = 0 or doc_id % 7 = 0) updated, count(*) filter (doc_id % 3 <> 0 and doc_id % 7 <> 0) skipped, 0 failed from documents")
+def embedding_counters(spark, sf):
+    return embeddings.refresh(M.sections(spark, sf), _old_cache(spark, sf), lambda x: [1.0], "now")[1]
+
+
+@query("select conv_id stream_id, coalesce(string_agg(text, '' order by turn) filter (turn % 3 > 0), '') as text from conversations group by conv_id")
+def stream_deltas(spark, sf):
+    c = M.table(spark, sf, "conversations")
+    return context_window.deltas(c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 3 > 0, "text_delta").otherwise("usage").alias("type"), "text"))
+
+
+@query("""with f as (select *, max(turn) filter (role = 'user') over (partition by conv_id) l from conversations)
+select conv_id, turn, case when turn = l then null else text end as text, case when turn = l then text end block_text, case when turn = l then 'ephemeral' end mark, case when turn = l then null else role = 'user' end as cache from f""")
+def cache_breakpoints(spark, sf):
+    kind = "array<struct<type:string,text:string,cache_control:string>>"
+    m = M.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.lit(None).cast(kind).alias("blocks"), (F.col("role") == "user").alias("cache"))
+    got = promptcache.breakpoints(m)
+    return got.select("conv_id", "turn", "text", F.expr("blocks[0].text").alias("block_text"), F.expr("blocks[0].cache_control").alias("mark"), "cache")
+
+
+@query("select * from (values " + ", ".join(f"({i}, 'stdio', 'srv-{p}', 'bun', 'run /root/x/servers/{p}-server.ts')" for i, p in enumerate(registry.PLUGINS)) + ") t(ord, type, name, command, args)")
+def server_config(spark, sf):
+    return registry.server_config(spark, "/root/x", "srv").withColumn("args", F.array_join("args", " "))
+
+
+@query("""with n as (select n_nationkey, n_name, n_regionkey from nation) select cast(n_regionkey as varchar) corpus_id, 'm' || n_regionkey milestone, string_agg(n_name, ',' order by n_nationkey) names from n group by n_regionkey""")
+def document_roundtrip(spark, sf):
+    """Manifests as JSON documents, written, read again, and their sections in their order."""
+    n = M.table(spark, sf, "nation")
+    out = None
+    path = shared_path(spark, "manifests")
+    for r in range(5):  # a region is one document
+        rows = n.where(F.col("n_regionkey") == r)
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.struct(x["n_name"].alias("path")))
+        doc = rows.agg(F.lit(1).alias("version"), F.lit(f"{r}").alias("project"), parts.alias("sections"), F.struct(F.lit(1).alias("number"), F.lit(f"m{r}").alias("milestone")).alias("generation"))
+        jsonl.write_document(doc, f"{path}/{r}.json", "now")
+        m = jsonl.read_document(spark, f"{path}/{r}.json")
+        names = jsonl.manifest_sections(m, f"{r}").groupBy("corpus_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda x: x["path"]), ",").alias("names"))
+        got = m.select(F.col("project").alias("corpus_id"), "generation.milestone").join(names, "corpus_id")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("select conv_id, count(*) message_count, cast(ceil(sum(length(text)) / 4.0) as bigint) used_tokens, 0 compactions from conversations group by conv_id")
+def stream_context_windows(spark, sf):
+    """Conversations as a stream into keyed state, with room for all of them; the last state of each."""
+    source, sink = shared_path(spark, "messages"), shared_path(spark, "windows")
+    schema = "conv_id long, turn long, role string, text string, tool boolean"
+    M.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.lit(False).alias("tool")).write.parquet(source)
+    stream = context_window.context_windows(spark.readStream.schema(schema).parquet(source), compaction.WindowConfig(max_tokens=10**9))
+    kept = stream.drop("messages")
+    q = kept.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "state")).trigger(availableNow=True).foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(sink)).start()
+    q.awaitTermination()
+    got = spark.read.parquet(sink)
+    return got.groupBy("conv_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("message_count", "used_tokens", "compactions")])
+
+
+@query("""with s as (select c_custkey k, c_custkey % 3 d from customer) select cast(k as varchar) corpus_id, cast(case d when 0 then 0.3 when 1 then 0.5 else 1 end as double) milestone, cast(round(coalesce(least(1, n / 10.0), 0), 6) as double) cost, cast(0.5 as double) tests
+from s left join (select o_custkey k, count(*) n from orders group by 1) using (k)""")
+def fitness_measure(spark, sf):
+    c = M.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("corpus_id"))
+    text = F.when(F.col("k") % 3 == 0, "no boxes").when(F.col("k") % 3 == 1, "[x] [ ]").otherwise("[X]")
+    sections = c.select("corpus_id", F.lit("milestones/current.md").alias("path"), text.alias("content"))
+    done = M.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("corpus_id"), F.lit(1).cast("long").alias("generation"))
+    corpora = c.select("corpus_id", F.lit(1).cast("long").alias("generation"), F.lit(None).cast("string").alias("test_output"), F.lit(0).alias("exit_code"))
+    got = fitness.measure(corpora, sections, spark.createDataFrame([], "corpus_id string, text string"), done)
+    value = lambda k, n: F.round(F.col("scores")[k], 6).alias(n)
+    return got.select("corpus_id", value("milestoneProgress", "milestone"), value("costEfficiency", "cost"), value("testPassRate", "tests"))
+
+
+@query("select doc_id, '[' || case when doc_id % 15 = 0 then 'update' else 'append' end || '] ' || left(text, 500) diff from documents")
+def diff_text(spark, sf):
+    op = F.when(F.col("doc_id") % 15 == 0, "update").otherwise("append")
+    return M.table(spark, sf, "documents").select("doc_id", proposals.diff_text(op, F.col("text")).alias("diff"))
+
+
+@query("select query_id, string_agg(c, chr(10) || chr(10) order by p, n) prompt from (select o_custkey query_id, 'p' || o_orderkey n, o_orderkey % 4 * 10 p, o_orderpriority c from orders) group by query_id")
+def assemble_prompts(spark, sf):
+    k = F.col("o_orderkey")
+    return generations.assemble(M.table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("p"), k).alias("name"), F.col("o_orderpriority").alias("content"), (k % 4 * 10).alias("priority")))

@@ -509,3 +509,20 @@ def test_strings(spark):
     assert one(spark, T.last(F.array(F.lit(1), F.lit(2)), 5)) == [1, 2]
     assert one(spark, T.count_words(F.col("s"), "TODO"), s="éTODO todo TODOs") == 2
     assert T.minified('{"a":1,"a":2}') == '{"a":2}' and T.minified("{'a':1}") is None and T.minified("NaN") is None and T.minified('{"a":1} x') is None
+
+
+def test_evaluate_generation(spark):
+    from quern.operators import generations
+
+    corpora = spark.createDataFrame([("c", 1, "1 pass", 0)], "corpus_id string, generation long, test_output string, exit_code int")
+    s = docs(spark, ("strategies/active.md", "A", "", [], "- one\n"), ("milestones/current.md", "M", "", [], "[ ]"))
+    queue = spark.createDataFrame([("c", 1, "p", "a", "milestones/current.md", "append", "[x]", "did it", "t", 1)], schemas.PROPOSALS)
+    none = spark.createDataFrame([], schemas.FITNESS_HISTORY)
+    answer = lambda system, prompt: '{"promoted": ["two"], "retired": ["gone"]}'
+    got = generations.evaluate(corpora, s, queue, spark.createDataFrame([], "corpus_id string, text string"), spark.createDataFrame([], "corpus_id string, generation long"), none, "now", answer)
+    assert got.scores.first().scores["milestoneProgress"] == 0.5 and got.scores.first().scores["costEfficiency"] == 0.1
+    assert got.sections.where("path = 'strategies/active.md'").first().content == "- one\n- two\n"
+    assert got.history.first().ord == 0 and got.mutations.count() == 1 and got.evolution.first().retired == ["gone"]
+    assert generations.stamp(queue, "prop", "now").first().id.startswith("prop-")
+    parts = spark.createDataFrame([(1, "g", "second", 25), (1, "core", "first", 0)], "query_id long, name string, content string, priority int")
+    assert generations.assemble(parts).first().prompt == "first\n\nsecond"
