@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     forest = connected(links(fps.select("fp"), fps.count(), distance))
     named = cut(fps.join(forest.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that a join skewed by a large component can be split
     of = named.join(least, "root").select("fp", "component_id")
     return rows.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
