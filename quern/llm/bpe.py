@@ -15,9 +15,9 @@ import pyarrow as pa
 
 from quern.llm.common import Texts, byte_table, mix, word_hashes, word_spans
 
-#: Words in the table, which starts afresh beyond; a word takes about 30 bytes.
-KEPT_WORDS = 1_000_000
-_SLOTS = 1 << 21
+#: Words in the table; beyond, those that were met but once go. A word takes about 40 bytes.
+KEPT_WORDS = 1_500_000
+_SLOTS = 1 << 22
 #: Signs that the split keeps apart from letters before them.
 _SIGNS = ".,;:!?$%&*#()|"
 _INSIDE = byte_table(lambda b: b not in (0x0A, 0x20))
@@ -52,6 +52,7 @@ class Table:
     def __init__(self, kind: str):
         self.keys, self.entry = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
         self.starts, self.ids, self.n, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, kind), 0, 0
+        self.again = np.zeros(KEPT_WORDS + (1 << 20), bool)  # entries that were found after they were entered
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entry of each key, -1 where missing."""
@@ -64,8 +65,21 @@ class Table:
             out[left[hit]] = self.entry[slot[hit]]
             go = ~hit & (held != 0)
             left, slot = left[go], (slot[go] + 1) & (_SLOTS - 1)
+        met = out[out >= 0]
+        self.again[met[met < len(self.again)]] = True
         return out
 
+    def slim(self) -> Table:
+        """A table of the entries that were met again, at most half of KEPT_WORDS."""
+        slots = np.flatnonzero(self.keys)
+        entry = self.entry[slots].astype(np.int64)
+        kept = (entry < len(self.again)) & self.again[np.minimum(entry, len(self.again) - 1)]
+        slots, entry = slots[kept][: KEPT_WORDS // 2], entry[kept][: KEPT_WORDS // 2]
+        new = Table(self.ids.dtype.str)
+        if len(slots):
+            new.add(self.keys[slots], [self.ids[a:b] for a, b in zip(self.starts[entry].tolist(), self.starts[entry + 1].tolist(), strict=True)])
+        return new
+
     def add(self, keys: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
         """Enter distinct keys that are missing; returns their entries."""
         sizes = np.array([len(x) for x in lists], np.int64)
@@ -178,7 +192,7 @@ class Encoder:
             keys = mix(word_hashes(texts.data, starts, ends) + follows)
             keys[keys == 0] = 1
             if self.table.n > KEPT_WORDS:
-                self.table = Table(self.kind.str)
+                self.table = self.table.slim()
             entry = self.table.find(keys)
             miss = np.flatnonzero(entry < 0)
             if len(miss):

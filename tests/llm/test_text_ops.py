@@ -395,12 +395,14 @@ def test_filter_levels():
     assert (f.levels(other) == 0).mean() > 0.97
 
 
-def test_encoder_is_the_library():
-    """Random mixtures of words, signs, blanks, line feeds and special strings."""
+@pytest.mark.parametrize("kept", [1_500_000, 40])
+def test_encoder_is_the_library(monkeypatch, kept):
+    """Random mixtures of words, signs, blanks, line feeds and special strings, also with a table that is often slimmed."""
     import random
 
     from quern.llm import bpe
 
+    monkeypatch.setattr(bpe, "KEPT_WORDS", kept)
     own, whole, rng = bpe.Encoder(queries.tokenizer_path("byte_bpe_50k.json")), library(), random.Random(1)
     parts = ["a", "the", "B", "é", "ß", "1", "9", ".", ",", "'", "'s", "$", "!", "\n", " ", " ", " ", "\t", "日", "😀", "|", "-", "_", "<|endoftext|>", "\xa0", "ª", "²", "\u2019", "\u2003", "\u3000"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(6000)] + [None, ""]
