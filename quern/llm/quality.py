@@ -28,7 +28,7 @@ for _k, _c in enumerate(_CLASSES):
     _CLASS[[ord(x) for x in _c]] = _k
 _CLASS[128:] = len(_CLASSES) + 1
 _N = len(_CLASSES) + 2
-N_FEATURES = 256 + _N * _N + 12
+N_FEATURES = 256 + _N * _N + 13
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -66,7 +66,7 @@ def features(column: pa.Array) -> np.ndarray:
     share = lambda which: np.bincount(of[which], minlength=n) / some
     stats = np.column_stack([
         np.log1p(words) / 8, np.bincount(of, weights=long, minlength=n) / some / 10, distinct, top / some, again / some,
-        share(long > 15), share(lead == 1), share(tail >= 10) if len(tail) else np.zeros(n), share((tail >= 9) & (tail <= 11)), share(tail == 7), share(long <= 2), np.ones(n),
+        share(long > 15), share(lead == 1), share(tail >= 10) if len(tail) else np.zeros(n), share((tail >= 9) & (tail <= 11)), share(tail == 7), share(long <= 2), np.log1p(again) / 4, np.ones(n),
     ])
     return np.column_stack([np.sqrt(single), np.sqrt(double), stats]).astype(np.float32)
 
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     flat = got.column("x").combine_chunks()
     values = flat.flatten() if len(flat) else pa.array([], pa.float32())
     matrix = np.asarray(values, np.float32).reshape(-1, N_FEATURES)
-    order = np.lexsort((matrix[:, 0], matrix[:, -12], y)) if len(y) else np.empty(0, int)  # whatever order tasks ended in
+    order = np.lexsort((matrix[:, 0], matrix[:, -13], y)) if len(y) else np.empty(0, int)  # whatever order tasks ended in
     matrix, y = matrix[order], y[order]
     return fit(matrix[y == 1], matrix[y == 0], prior)
 
