@@ -9,6 +9,8 @@ unless the allow-list suppresses it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,36 +39,56 @@ def _q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _bind(value: str, name: str, body: str) -> str:
+    """`body` with `name` standing for the value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+#: Matches are folded in blocks of this many, so that appending to arrays stays cheap in texts with very many.
+FOLD = 1024
+
+
 def _spans(text: str, pattern: str, kind: int, value: str, least: int) -> str:
     """Matches of a pattern as array<struct<s, k, e, v>>: pieces between matches and the matches themselves add up to places.
 
     `value` is the match's group that must have `least` characters. Texts without any match cost one search.
     """
     p, empty = _q(pattern), "cast(array() as array<struct<s:int,k:int,e:int,v:string>>)"
-    fold = (
-        f"aggregate(arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {value})), "
-        f"struct(0 as at, {empty} as out), "
+    step = (
         "(a, x) -> struct(a.at + length(x.`0`) + coalesce(length(x.`1`), 0) as at, "
-        f"if(length(x.`2`) >= {least}, concat(a.out, array(struct(a.at + length(x.`0`) as s, {kind} as k, a.at + length(x.`0`) + length(x.`1`) as e, x.`1` as v))), a.out) as out), "
-        "a -> a.out)"
+        f"if(length(x.`2`) >= {least}, concat(a.out, array(struct(a.at + length(x.`0`) as s, {kind} as k, a.at + length(x.`0`) + length(x.`1`) as e, x.`1` as v))), a.out) as out)"
     )
-    return f"if(rlike({text}, {p}), {fold}, {empty})"
+    inner = f"aggregate(slice(z, {FOLD} * b + 1, {FOLD}), struct(o.at as at, {empty} as out), {step}, a -> struct(a.at as at, concat(o.out, a.out) as out))"
+    fold = f"aggregate(sequence(0, (size(z) - 1) div {FOLD}), struct(0 as at, {empty} as out), (o, b) -> {inner}, o -> o.out)"
+    pieces = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {value}))"
+    return f"if(rlike({text}, {p}), {_bind(pieces, 'z', fold)}, {empty})"
+
+
+#: c * log2(c) for the counts of a window, as integers, so that sums stay exact however far the window slides.
+UNIT = 1 << 32
+TERMS = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(WINDOW + 1)]
+#: Added to the place of a character that completes a window; larger than any place in ALPHABET.
+FULL = 100
 
 
 def _entropy(v: str) -> str:
     """The largest entropy of a window of WINDOW characters, by incremental counts; v has at least WINDOW.
 
-    The state holds the window's counts, the sum s of c * log2(c), and the least s of the full windows before.
+    Each character is one event that enters the window, after one that leaves it once the window is full. An event is a
+    place in ALPHABET: negative where it leaves, raised by FULL where it completes a window. The state holds the
+    window's counts (a string with one character for each place, @ for none, A for one, ...), the sum s of their terms, and the
+    least s of all full windows.
     """
-    into, out = (f"instr('{ALPHABET}', substring({v}, {i}, 1)) - 1" for i in ("i", f"i - {WINDOW}"))
-    term = lambda c: f"if({c} > 0, ({c}) * log2({c}), 0D)"
-    counts = f"transform(a.c, (n, j) -> n + if(j = {into}, 1, 0) - if(i > {WINDOW} and j = {out}, 1, 0))"
-    enters = f"{term(f'a.c[{into}] + 1')} - {term(f'a.c[{into}]')}"
-    leaves = f"if(i > {WINDOW}, {term(f'a.c[{out}] - 1')} - {term(f'a.c[{out}]')}, 0D)"
-    total = f"if(i > {WINDOW} and {into} = {out}, a.s, a.s + {enters} + {leaves})"
-    least = f"if(i > {WINDOW}, least(a.least, a.s), a.least)"
-    start = f"named_struct('c', array_repeat(0, {len(ALPHABET)}), 's', 0D, 'least', 1e9D)"
-    return f"aggregate(sequence(1, length({v})), {start}, (a, i) -> named_struct('c', {counts}, 's', {total}, 'least', {least}), a -> log2({WINDOW}D) - least(a.least, a.s) / {WINDOW}D)"
+    enters = f"if(i < {WINDOW - 1}, array(e), if(i = {WINDOW - 1}, array(e + {FULL}), array(-places[i - {WINDOW}], e + {FULL})))"
+    events = _bind(f"transform(split({v}, ''), x -> instr('{ALPHABET}', x))", "places", f"flatten(transform(places, (e, i) -> {enters}))")
+    held = f"ascii(substring(a.c, abs(d) % {FULL}, 1)) - 64"
+    terms = f"array({', '.join(f'{t}L' for t in TERMS)})"
+    counts = f"overlay(a.c placing char({held} + sign(d) + 64) from abs(d) % {FULL})"
+    moved = f"struct({counts} as c, a.s + t[cast({held} + sign(d) as int)] - t[{held}] as s, a.least as least, d > {FULL} as whole)"
+    step = _bind(moved, "m", "struct(m.c as c, m.s as s, if(m.whole, least(m.least, m.s), m.least) as least)")
+    start = f"struct('{'@' * len(ALPHABET)}' as c, 0L as s, {1 << 62}L as least)"
+    fold = f"aggregate({events}, {start}, (a, d) -> {step}, a -> log2({WINDOW}D) - a.least / {float(WINDOW * UNIT)}D)"
+    return _bind(terms, "t", fold)
 
 
 def _entropy_spans(text: str) -> str:
