@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import list_array, map_texts
 
 MARK, UNKNOWN_PENALTY = "▁", 10.0
-#: Words whose encodings a worker keeps; the table starts afresh beyond it.
-KEPT_WORDS = 700_000
+#: Words whose encodings a worker keeps, and their greatest length; the table starts afresh beyond the first, longer words are not kept.
+KEPT_WORDS, KEPT_LENGTH = 700_000, 64
 
 
 class Codec:
@@ -89,9 +89,11 @@ class Codec:
 
     def _word(self, word: str) -> tuple[bytes, float]:
         ids, score = self.viterbi(word)
-        if len(self.kept) >= KEPT_WORDS:
-            self.kept.clear()
-        got = self.kept[word] = (np.array(ids, "<i4").tobytes(), score)
+        got = (np.array(ids, "<i4").tobytes(), score)
+        if len(word) <= KEPT_LENGTH:
+            if len(self.kept) >= KEPT_WORDS:
+                self.kept.clear()
+            self.kept[word] = got
         return got
 
     def encode(self, text: str) -> tuple[np.ndarray, float]:

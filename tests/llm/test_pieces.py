@@ -91,6 +91,13 @@ def test_words_are_independent(codec):
     assert codec.encode(text)[0].tolist() == codec.viterbi("▁" + text.replace(" ", "▁"))[0]
 
 
+def test_long_words_are_not_kept():
+    own = pieces.Codec(TOY, [False] + [True] * (len(TOY) - 1), None)
+    text = "ab " + "ab" * pieces.KEPT_LENGTH + " ab"
+    assert own.encode(text)[0].tolist() == own.viterbi("▁" + text.replace(" ", "▁"))[0]
+    assert max(map(len, own.kept)) <= pieces.KEPT_LENGTH
+
+
 def test_operator(spark):
     odd = [(1, None), (2, ""), (None, "x"), (3, "same"), (3, "same"), (4, "word " * 50000), (5, "a▁b")]
     d = spark.createDataFrame([(i, t, "z") for i, t in odd], "doc_id long, text string, ids string")
