@@ -15,8 +15,8 @@ import pyarrow as pa
 
 from quern.llm.common import Texts, byte_table, mix, word_hashes, word_spans
 
-#: Words in the table; beyond, those that were met but once go. A word takes about 40 bytes.
-KEPT_WORDS = 1_500_000
+#: Words in the table, and ids in all; beyond either, those that were met but once or have many ids go. A word takes about 40 bytes.
+KEPT_WORDS, KEPT_IDS, KEPT_LENGTH = 1_500_000, 16 << 20, 16
 _SLOTS = 1 << 22
 #: Signs that the split keeps apart from letters before them.
 _SIGNS = ".,;:!?$%&*#()|"
@@ -70,10 +70,11 @@ class Table:
         return out
 
     def slim(self) -> Table:
-        """A table of the entries that were met again, at most half of KEPT_WORDS."""
+        """A table of the entries that were met again and have at most KEPT_LENGTH ids, at most half of KEPT_WORDS."""
         slots = np.flatnonzero(self.keys)
         entry = self.entry[slots].astype(np.int64)
         kept = (entry < len(self.again)) & self.again[np.minimum(entry, len(self.again) - 1)]
+        kept &= self.starts[entry + 1] - self.starts[entry] <= KEPT_LENGTH
         slots, entry = slots[kept][: KEPT_WORDS // 2], entry[kept][: KEPT_WORDS // 2]
         new = Table(self.ids.dtype.str)
         if len(slots):
@@ -191,7 +192,7 @@ class Encoder:
             # a word at the start of a line is encoded as one at the start of a text
             keys = mix(word_hashes(texts.data, starts, ends) + follows)
             keys[keys == 0] = 1
-            if self.table.n > KEPT_WORDS:
+            if self.table.n > KEPT_WORDS or self.table.used > KEPT_IDS:
                 self.table = self.table.slim()
             entry = self.table.find(keys)
             miss = np.flatnonzero(entry < 0)

@@ -213,6 +213,18 @@ def test_secrets(docs, pairs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_secrets_in_very_long_texts(spark):
+    """One candidate of 60,000 characters, one whose first window alone is dense, and more matches than a fold's block holds."""
+    import random
+
+    rng = random.Random(3)
+    blob = "".join(rng.choice(secrets.ALPHABET) for _ in range(60_000))
+    texts = [f"data {blob} end", "zX9kQ2mV7tR4wY8pL1nB" + "a1" * 3000, "a1" * 3000 + "zX9kQ2mV7tR4wY8pL1nB", "a1" * 3000, "é".join(f"{rng.getrandbits(128):032x}" for _ in range(2 * secrets.FOLD + 3)), "secret=abcdefghijkl; " * (secrets.FOLD + 1)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(secrets.find_secrets(d), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    assert got == Counter(secret_row(*p) for p in enumerate(texts))
+
+
 def test_redact(docs, pairs):
     def clean(text):
         if text is None:
@@ -395,14 +407,15 @@ def test_filter_levels():
     assert (f.levels(other) == 0).mean() > 0.97
 
 
-@pytest.mark.parametrize("kept", [1_500_000, 40])
-def test_encoder_is_the_library(monkeypatch, kept):
+@pytest.mark.parametrize("kept, kept_ids", [(1_500_000, 16 << 20), (40, 16 << 20), (1_500_000, 100)])
+def test_encoder_is_the_library(monkeypatch, kept, kept_ids):
     """Random mixtures of words, signs, blanks, line feeds and special strings, also with a table that is often slimmed."""
     import random
 
     from quern.llm import bpe
 
     monkeypatch.setattr(bpe, "KEPT_WORDS", kept)
+    monkeypatch.setattr(bpe, "KEPT_IDS", kept_ids)
     own, whole, rng = bpe.Encoder(queries.tokenizer_path("byte_bpe_50k.json")), library(), random.Random(1)
     parts = ["a", "the", "B", "é", "ß", "1", "9", ".", ",", "'", "'s", "$", "!", "\n", " ", " ", " ", "\t", "日", "😀", "|", "-", "_", "<|endoftext|>", "\xa0", "ª", "²", "\u2019", "\u2003", "\u3000"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(6000)] + [None, ""]
