@@ -127,10 +127,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """All rows and columns of `docs`; every span of the text gives way to the mark, overlapping spans to one."""
     df = with_spans(docs.select(F.struct("*").alias("_row")), F.col(f"_row.`{text_col}`"), "_f").withColumn("_t", F.col(f"_row.`{text_col}`"))
-    fold = (
-        "aggregate(_f, struct('' as out, 0 as at), (a, x) -> struct("
-        f"if(x.e <= a.at, a.out, concat(a.out, substring(_t, a.at + 1, greatest(0, x.s - a.at)), if(x.s < a.at, '', '{mark}'))) as out, greatest(a.at, x.e) as at), "
-        "a -> concat(a.out, substring(_t, a.at + 1, length(_t))))"
-    )
+    # spans are worked on in blocks, each on the piece of the text that it covers
+    own, none = f"slice(_f, {FOLD} * b + 1, {FOLD})", "cast(array() as array<string>)"
+    piece = f"substring(_t, o.at + 1, array_max(transform({own}, x -> x.e)) - o.at)"
+    step = f"(a, x) -> struct(if(x.e <= a.at, a.out, concat(a.out, array(substring(p, a.at - o.at + 1, greatest(0, x.s - a.at)), if(x.s < a.at, '', {_q(mark)})))) as out, greatest(a.at, x.e) as at)"
+    inner = _bind(piece, "p", f"aggregate({own}, struct({none} as out, o.at as at), {step}, a -> struct(concat(o.out, array(array_join(a.out, ''))) as out, a.at as at))")
+    rest = "array_join(concat(o.out, array(substring(_t, o.at + 1, length(_t)))), '')"
+    fold = f"aggregate(sequence(0, (size(_f) - 1) div {FOLD}), struct({none} as out, 0 as at), (o, b) -> {inner}, o -> {rest})"
     clean = F.expr(f"if(size(_f) = 0, _t, {fold})")
     return df.withColumn("_c", clean).select(*[F.col("_c").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

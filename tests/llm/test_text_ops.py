@@ -225,19 +225,24 @@ def test_secrets_in_very_long_texts(spark):
     assert got == Counter(secret_row(*p) for p in enumerate(texts))
 
 
-def test_redact(docs, pairs):
-    def clean(text):
-        if text is None:
-            return None
-        out, at = "", 0
-        for s, _, e in spans(text):
-            if e > at:
-                out += text[at:s] + ("[secret]" if s >= at else "") if s >= at else ""
-                at = max(at, e)
-        return out + text[at:]
-
-    assert rows(secrets.redact(docs), "doc_id", "text") == Counter((i, clean(t)) for i, t in pairs)
+def redacted(text):
+    if text is None:
+        return None
+    out, at = "", 0
+    for s, _, e in spans(text):
+        if e > at:
+            out += text[at:s] + ("[secret]" if s >= at else "") if s >= at else ""
+            at = max(at, e)
+    return out + text[at:]
+
+
+@pytest.mark.parametrize("block", [secrets.FOLD, 2])
+def test_redact(spark, docs, pairs, monkeypatch, block):
+    monkeypatch.setattr(secrets, "FOLD", block)
+    assert rows(secrets.redact(docs), "doc_id", "text") == Counter((i, redacted(t)) for i, t in pairs)
     assert secrets.redact(docs).columns == docs.columns
+    many = "é".join(f"token={i:032x} tail" for i in range(3 * block + 1))
+    assert secrets.redact(spark.createDataFrame([(many,)], "text string")).first().text == redacted(many)
 
 
 # --- licenses
