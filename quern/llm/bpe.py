@@ -78,20 +78,22 @@ class Table:
         slots, entry = slots[kept][: KEPT_WORDS // 2], entry[kept][: KEPT_WORDS // 2]
         new = Table(self.ids.dtype.str)
         if len(slots):
-            new.add(self.keys[slots], [self.ids[a:b] for a, b in zip(self.starts[entry].tolist(), self.starts[entry + 1].tolist(), strict=True)])
+            sizes = self.starts[entry + 1] - self.starts[entry]
+            at = np.repeat(self.starts[entry] - np.cumsum(sizes) + sizes, sizes)
+            at += np.arange(len(at))
+            new.add(self.keys[slots], self.ids[at], sizes)
         return new
 
-    def add(self, keys: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
-        """Enter distinct keys that are missing; returns their entries."""
-        sizes = np.array([len(x) for x in lists], np.int64)
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Enter distinct keys that are missing, with their ids one after the other and how many each has; returns their entries."""
         entries = np.arange(self.n, self.n + len(keys))
         need = self.n + len(keys) + 1
         if need > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(max(need, len(self.starts)), np.int64)])
-        total = int(sizes.sum())
+        total = len(ids)
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), self.ids.dtype)])
-        self.ids[self.used : self.used + total] = np.concatenate(lists)
+        self.ids[self.used : self.used + total] = ids
         self.starts[self.n + 1 : need] = self.used + np.cumsum(sizes)
         self.n, self.used = need - 1, self.used + total
         left, slot = np.arange(len(keys)), (keys & np.uint64(_SLOTS - 1)).astype(np.int64)
@@ -166,7 +168,7 @@ class Encoder:
             own = np.flatnonzero(follows[at] == value).tolist()
             for i, x in zip(own, self._words([words[i] for i in own], before), strict=True):
                 lists[i] = x
-        return self.table.add(distinct, lists)[back]
+        return self.table.add(distinct, np.concatenate(lists), np.array([len(x) for x in lists], np.int64))[back]
 
     def encode_column(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty) one after the other, each followed by `end` if it is given, and how many each text has."""
