@@ -4,7 +4,7 @@ Unigram and bigram counts of the training texts are quantised to levels of a log
 q is entered q times, as (n-gram, 1) ... (n-gram, q). A worker that holds the filter finds a count by probing
 levels upwards until one is missing. A bigram's probability is smoothed with that of its last token:
     P(w | h) = (c(h w) + K * P1(w)) / (c(h) + K),  P1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)).
-Bigrams are over the most frequent words; others count as one unknown word. The filter has a fixed greatest size;
+Bigrams are over all words, so the probabilities after a context sum to 1 but for the levels' rounding. The filter has a fixed greatest size;
 where the counts of a corpus would not fit, bigrams below a count found from their histogram stay out, and what
 they would add comes from the unigram part.
 """
@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 from quern.llm.common import LOWER, SOLID, Texts, bounded_batches, chunks, crc_remainder, cut, give_back, list_array, map_texts, mix, word_hashes, word_spans
 
 FOLDS, HELD_OUT = 5, 1
-#: Words with exact counts on every worker, and words that bigrams tell apart: bounds of what is broadcast.
-EXACT_WORDS, BIGRAM_WORDS = 1 << 18, 1 << 15
+#: Words with exact counts on every worker: a bound of what is broadcast.
+EXACT_WORDS = 1 << 18
 #: Filter: bits in a segment and most segments (32 MB in all), bits for each entry, probes, base of the levels.
 SEGMENT_BITS, SEGMENTS, ENTRY_BITS, PROBES, BASE = 20, 256, 10, 4, 1.5
 SMOOTHING = 30.0
-END, START, OTHER = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F))
+END, START = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-#: Keys under which the contexts START and OTHER are counted.
-START_KEY, OTHER_KEY = mix(np.array([START, OTHER]) + np.uint64(1))
+#: Key under which the context START is counted.
+START_KEY = mix(np.array([START]) + np.uint64(1))[0]
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +53,12 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def _bigrams(tokens: np.ndarray, first: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of (token before, token), with the token before; rare words are OTHER, a text's first token follows START."""
-    own = np.where(_find(vocabulary, tokens) >= 0, tokens, OTHER)
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
+def _bigrams(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (token before, token), with the token before; a text's first token follows START."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
     before[first[:-1]] = START
-    return mix(before * _A + own * _B), before, own
+    return mix(before * _A + tokens * _B), before
 
 
 class _Counter:
@@ -195,7 +194,6 @@ class Model:
     distinct: int
     words: np.ndarray
     counts: np.ndarray
-    vocabulary: np.ndarray
     filter: Filter
 
 
@@ -215,13 +213,10 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
         return k[order], c[order]
 
     words, counts = most_frequent(EXACT_WORDS)
-    vocabulary, _ = most_frequent(BIGRAM_WORDS)
-    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def pairs(column):
         tokens, first = tokens_of(column)
-        keys, before, own = _bigrams(tokens, first, sent.value)
-        return np.concatenate([keys, np.full(len(first) - 1, START_KEY), np.full(int((own == OTHER).sum()), OTHER_KEY)])
+        return np.concatenate([_bigrams(tokens, first)[0], np.full(len(first) - 1, START_KEY)])
 
     bigrams = cut(_counts(texts, pairs))
     bins = (_entries(bigrams).groupBy("q").agg(F.count("*").alias("n"), F.min("c").alias("c"))).collect()
@@ -237,18 +232,18 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
             break
         entries, least = entries + row.n * row.q, row.c
     kept = unigrams.where(F.col("c") >= single_least).unionByName(bigrams.where(F.col("c") >= least))
-    return Model(total, distinct, words, counts, vocabulary, build_filter(kept, entries)), unigrams
+    return Model(total, distinct, words, counts, build_filter(kept, entries)), unigrams
 
 
 def _log_probabilities(model: Model, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 of the smoothed probability of each token."""
-    keys, before, _ = _bigrams(tokens, first, model.vocabulary)
+    keys, before = _bigrams(tokens, first)
     count = lambda x: count_of(model.filter.levels(x))
     single, back = np.unique(tokens, return_inverse=True)
     pair, pair_back = np.unique(keys, return_inverse=True)
     context, context_back = np.unique(before, return_inverse=True)
     c_single, c_pair = count(single), count(pair)
-    c_context = count(np.where(context == START, START_KEY, np.where(context == OTHER, OTHER_KEY, context)))
+    c_context = count(np.where(context == START, START_KEY, context))
     floor = (c_single + 0.5) / (model.total + 0.5 * (model.distinct + 1))
     p_single, n_pair, n_context = floor[back], c_pair[pair_back], c_context[context_back]
     n_pair = np.minimum(n_pair, n_context)

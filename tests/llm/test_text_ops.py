@@ -399,6 +399,44 @@ def test_lm_beats_words_alone_on_held_out_text(docs):
     assert r.s > r.b
 
 
+def bigram_model(pairs):
+    """P(w | h) by exact counts of the training texts; h None is a text's start, w None its end."""
+    split = lambda t: [*SOLID.findall(lower(t)), None]
+    words, befores, twos = Counter(), Counter(), Counter()
+    for i, t in pairs:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 != 1:
+            w = split(t)
+            words.update(w)
+            befores.update([None, *w[:-1]])
+            twos.update(zip([None, *w[:-1]], w, strict=True))
+    n, v = sum(words.values()), len(words)
+    p = lambda h, w: (twos[h, w] + lm.SMOOTHING * (words[w] + 0.5) / (n + 0.5 * (v + 1))) / (befores[h] + lm.SMOOTHING)
+    return words, p, lambda t: [log10(p(h, w)) for h, w in zip([None, *split(t)[:-1]], split(t), strict=True)]
+
+
+@pytest.fixture(scope="module")
+def many_words(spark):
+    """Texts of over 40,000 distinct words; the last ones hold words that no other text has."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in np.r_[rng.zipf(1.3, 60) % 500, rng.integers(500, 90_000, 60)]) for _ in range(1200)]
+    pairs = [*enumerate(texts), *((2000 + i, " ".join(f"junk{i}x{k}" for k in range(120))) for i in range(100) if zlib.crc32(str(2000 + i).encode()) % 5 == 1)]
+    return pairs, spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+
+
+def test_lm_is_a_distribution_over_all_words(many_words):
+    pairs, docs = many_words
+    words, p, logs = bigram_model(pairs)
+    assert len(words) > 40_000
+    for h in (None, "w1", "w7", next(w for w, c in words.items() if c == 1), "never seen"):
+        assert abs(sum(p(h, w) for w in words) + p(h, "never seen") - 1) < 1e-9
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    for i, t in pairs:  # a level is at most a factor of the root of BASE away from its count
+        want = logs(t)
+        assert abs(got[i] - sum(want)) / len(want) < log10(lm.BASE) / 2
+    real = [got[i] / 121 for i, _ in pairs if i < 2000 and zlib.crc32(str(i).encode()) % 5 == 1]
+    assert max(s / 121 for i, s in got.items() if i >= 2000) < min(real)
+
+
 def test_filter_levels():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(1 << 63, size=3000, dtype=np.uint64) * np.uint64(2))
