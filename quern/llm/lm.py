@@ -1,16 +1,18 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Unigram and bigram counts of the training texts are quantised to levels of a logarithmic scale; an n-gram of level
-q is entered q times, as (n-gram, 1) ... (n-gram, q). A worker that holds the filter finds a count by probing
-levels upwards until one is missing. A bigram's probability is smoothed with that of its last token:
+Bigram counts of the training texts are quantised to levels of a logarithmic scale; an n-gram of level q is entered
+q times, as (n-gram, 1) ... (n-gram, q). A worker that holds the filter finds a count by probing levels upwards until
+one is missing. A bigram's probability is smoothed with that of its last token:
     P(w | h) = (c(h w) + K * P1(w)) / (c(h) + K),  P1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)).
-Bigrams are over all words, so the probabilities after a context sum to 1 but for the levels' rounding. The filter has a fixed greatest size;
-where the counts of a corpus would not fit, bigrams below a count found from their histogram stay out, and what
-they would add comes from the unigram part.
+The filter and the table of word counts on each worker have a fixed greatest size and hold the most frequent n-grams.
+All others stay in the cluster with their exact counts, and tokens that need them are joined with them: no n-gram is
+dropped at any size. For that the logarithm is taken apart: log P(w | h) = log K P1(w) - log(c(h) + K) + the gain
+log(1 + c(h w) / (K * P1(w))), which is 0 for unseen bigrams.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, SOLID, Texts, bounded_batches, chunks, crc_remainder, cut, give_back, list_array, map_texts, mix, word_hashes, word_spans
+from quern.llm.common import LOWER, SOLID, Texts, bounded_batches, chunks, crc_remainder, cut, give_back, list_array, map_texts, mix, shared_path, word_hashes, word_spans
 
 FOLDS, HELD_OUT = 5, 1
 #: Words with exact counts on every worker: a bound of what is broadcast.
@@ -29,8 +31,6 @@ SEGMENT_BITS, SEGMENTS, ENTRY_BITS, PROBES, BASE = 20, 256, 10, 4, 1.5
 SMOOTHING = 30.0
 END, START = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
-#: Key under which the context START is counted.
-START_KEY = mix(np.array([START]) + np.uint64(1))[0]
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +53,16 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def _bigrams(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of (token before, token), with the token before; a text's first token follows START."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[first[:-1]] = START
-    return mix(before * _A + tokens * _B), before
+def _bigrams(tokens: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (token before, token), and the place of the token before; -1 for START, which a text's first token follows.
+
+    A key's lowest bit tells whether both words are `known`, those with counts on each worker; START is.
+    """
+    at = np.arange(-1, len(tokens) - 1)
+    at[first[:-1]] = -1
+    before = np.where(at >= 0, tokens[at], START)
+    both = known & ((at < 0) | known[at])
+    return (mix(before * _A + tokens * _B) & ~np.uint64(1)) | both.astype(np.uint64), at
 
 
 class _Counter:
@@ -105,6 +109,17 @@ def _counts(texts: DataFrame, keys_of) -> DataFrame:
     return texts.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """As `cut`, in compressed columns; shuffles that nothing refers to any more give back their disk."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(path)
+
+
 def _least_count(counts: DataFrame, most: int, steps: int = 4) -> int:
     """The least count such that at most `most` keys have it, from a histogram of at most 64 * steps rows."""
     bins = counts.groupBy(F.floor(F.log2("c") * steps).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
@@ -190,64 +205,45 @@ def build_filter(counts: DataFrame, entries: int) -> Filter:
 
 @dataclass
 class Model:
+    """Counts of the most frequent words, and the filter of bigrams among them that have `least_level` or more."""
+
     total: int
     distinct: int
+    starts: int
     words: np.ndarray
     counts: np.ndarray
+    least_level: int
     filter: Filter
 
 
-def _entries(counts: DataFrame) -> DataFrame:
-    return counts.select((F.floor(F.log("c") / math.log(BASE) + 1e-9) + 1).alias("q"), "c")
-
-
-def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of all texts of the one column `t`, and the exact counts (k, c) of all words, written to the shared folder."""
+def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of all texts of the one column `t`, and the exact counts (k, c) of all words and of the bigrams not in its filter."""
     unigrams = cut(_counts(texts, lambda column: tokens_of(column)[0]))
-    total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-
-    def most_frequent(most):
-        got = unigrams.where(F.col("c") >= _least_count(unigrams, most)).toArrow()
-        k, c = got.column("k").to_numpy().view(np.uint64), got.column("c").to_numpy()
-        order = np.argsort(k)
-        return k[order], c[order]
-
-    words, counts = most_frequent(EXACT_WORDS)
+    ends = F.sum(F.when(F.col("k") == int(END.view(np.int64)), F.col("c")))
+    total, distinct, starts = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
+    got = unigrams.where(F.col("c") >= _least_count(unigrams, EXACT_WORDS)).toArrow()
+    k, c = got.column("k").to_numpy().view(np.uint64), got.column("c").to_numpy()
+    order = np.argsort(k)
+    words, counts = k[order], c[order]
+    sent = texts.sparkSession.sparkContext.broadcast(words)
 
     def pairs(column):
         tokens, first = tokens_of(column)
-        return np.concatenate([_bigrams(tokens, first)[0], np.full(len(first) - 1, START_KEY)])
-
-    bigrams = cut(_counts(texts, pairs))
-    bins = (_entries(bigrams).groupBy("q").agg(F.count("*").alias("n"), F.min("c").alias("c"))).collect()
-    single = _entries(unigrams).agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
-    room = (SEGMENTS << SEGMENT_BITS) // ENTRY_BITS
-    single_least = 1
-    if single > room // 2:  # words too must fit: the rarest count as unseen
-        single_least = _least_count(unigrams, room // 8)
-        single = _entries(unigrams.where(F.col("c") >= single_least)).agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
-    entries, least = single, 1 << 62
+        return _bigrams(tokens, first, _find(sent.value, tokens) >= 0)[0]
+
+    bigrams = _written(_counts(texts, pairs), "bigrams")
+    among = F.col("k").bitwiseAND(F.lit(1).cast("long")) == 1
+    q = (F.floor(F.log("c") / math.log(BASE) + 1e-9) + 1).alias("q")
+    bins = bigrams.where(among).select(q, "c").groupBy("q").agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    entries, least, least_level = 0, 1 << 62, 1 << 62
     for row in sorted(bins, key=lambda r: -r.q):
-        if entries + row.n * row.q > room:
+        if entries + row.n * row.q > (SEGMENTS << SEGMENT_BITS) // ENTRY_BITS:
             break
-        entries, least = entries + row.n * row.q, row.c
-    kept = unigrams.where(F.col("c") >= single_least).unionByName(bigrams.where(F.col("c") >= least))
-    return Model(total, distinct, words, counts, build_filter(kept, entries)), unigrams
-
-
-def _log_probabilities(model: Model, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 of the smoothed probability of each token."""
-    keys, before = _bigrams(tokens, first)
-    count = lambda x: count_of(model.filter.levels(x))
-    single, back = np.unique(tokens, return_inverse=True)
-    pair, pair_back = np.unique(keys, return_inverse=True)
-    context, context_back = np.unique(before, return_inverse=True)
-    c_single, c_pair = count(single), count(pair)
-    c_context = count(np.where(context == START, START_KEY, context))
-    floor = (c_single + 0.5) / (model.total + 0.5 * (model.distinct + 1))
-    p_single, n_pair, n_context = floor[back], c_pair[pair_back], c_context[context_back]
-    n_pair = np.minimum(n_pair, n_context)
-    return np.log10(np.minimum(1.0, (n_pair + SMOOTHING * p_single) / (n_context + SMOOTHING)))
+        entries, least, least_level = entries + row.n * row.q, row.c, row.q
+    if entries == sum(row.n * row.q for row in bins):
+        least_level = 1  # nothing among the known words is left out
+    held = among & (F.col("c") >= least)
+    return Model(total, distinct, starts, words, counts, least_level, build_filter(bigrams.where(held), entries)), unigrams, bigrams.where(~held)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,13 +251,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Trained on rows whose crc32(doc_id as text) mod 5 is not 1; rows without an id are scored but not learnt from.
     base_score uses exact counts of all words: the most frequent ones are on every worker, the rest are joined by
-    hash. Null and empty texts hold the end token alone. Repeated rows are each learnt from and returned; columns
-    but id and text are not read. Without training rows every base probability is 1.
+    hash; so are bigrams that the filter does not hold. Null and empty texts hold the end token alone. Repeated rows
+    are each learnt from and returned; columns but id and text are not read. Without training rows every probability
+    is 1.
     """
     spark = docs.sparkSession
     held_out = crc_remainder(F.col(id_col), FOLDS) == HELD_OUT
-    model, unigrams = train(docs.where(~held_out).select(F.col(text_col).cast("string").alias("t")))
+    model, unigrams, bigrams = train(docs.where(~held_out).select(F.col(text_col).cast("string").alias("t")))
     sent = spark.sparkContext.broadcast(model)
+    mass = model.total + 0.5 * (model.distinct + 1)
 
     def make():
         m = sent.value
@@ -271,20 +269,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             n, doc = np.diff(first), np.repeat(np.arange(len(first) - 1), np.diff(first))
             at = _find(m.words, tokens)
             known = at >= 0
-            logs = np.log10(m.counts[at[known]] + 0.5) if known.any() else np.empty(0)
+            count = np.zeros(len(tokens), np.int64)
+            count[known] = m.counts[at[known]]
             total = lambda which, w=None: np.bincount(doc[which], weights=w, minlength=len(n))
+            pairs, before = _bigrams(tokens, first, known)
+            # an unknown word counts as unseen here; what it adds is joined later
+            context = np.where(before >= 0, count[before], m.starts)
+            local = np.flatnonzero(pairs & np.uint64(1))
+            distinct, back = np.unique(pairs[local], return_inverse=True)
+            q = m.filter.levels(distinct)
+            q = np.where(q < m.least_level, 0, q)[back]
+            times = np.minimum(count_of(q), np.minimum(count[local], context[local]))
+            gains = np.log10(1 + times * mass / (SMOOTHING * (count[local] + 0.5)))
+            parts = total(slice(None), math.log10(SMOOTHING) - np.log10(context + SMOOTHING)) + total(local, gains)
+            # unheld: the word is known, its count goes along; rest: it is joined with its count first
+            unheld = known.copy()
+            unheld[local[q > 0] if m.least_level > 1 else local] = False
             rest = ~known
+            longs = lambda x, which: list_array(x[which].view(np.int64), total(which).astype(np.int64), pa.int64())
             return [
-                pa.array(n), pa.array(total(known).astype(np.int64)), pa.array(total(known, logs)), pa.array(total(slice(None), _log_probabilities(m, tokens, first))),
-                list_array(tokens[rest].view(np.int64), total(rest).astype(np.int64), pa.int64()),
+                pa.array(n), pa.array(total(known).astype(np.int64)), pa.array(total(known, np.log10(count[known] + 0.5))), pa.array(parts),
+                longs(tokens, rest), longs(pairs, rest), longs(pairs, unheld), longs(count, unheld),
             ]
 
         return work
 
     keep = {"row": F.monotonically_increasing_id(), "doc_id": F.col(id_col), "held_out": held_out}
-    rows = cut(map_texts(docs, F.col(text_col), keep, "n_tokens long, known long, logs double, score double, rest array<long>", make))
+    result = "n_tokens long, known long, logs double, parts double, rest array<long>, rest_pair array<long>, pair array<long>, pair_c array<long>"
+    rows = _written(map_texts(docs, F.col(text_col), keep, result, make), "rows")
     half = math.log10(0.5)
-    rest = rows.select("row", F.explode("rest").alias("k")).join(unigrams, "k")
-    rest = rest.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 0.5) - half).alias("extra"))
-    base = F.col("logs") + F.size("rest") * half + F.coalesce("extra", F.lit(0.0)) - F.col("n_tokens") * math.log10(model.total + 0.5 * (model.distinct + 1))
-    return rows.join(rest, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    one = lambda a, b: F.explode(F.arrays_zip(a, b)).alias("x")
+    rest = rows.select("row", one("rest", "rest_pair")).select("row", F.col("x.rest").alias("k"), F.col("x.rest_pair").alias("p")).join(unigrams, "k")
+    follows = F.when(F.col("k") != int(END.view(np.int64)), F.log10(F.col("c") + SMOOTHING) - math.log10(SMOOTHING)).otherwise(0.0)
+    sums = rest.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 0.5) - half).alias("extra"), F.sum(follows).alias("follows"))
+    pair = rows.select("row", one("pair", "pair_c")).select("row", F.col("x.pair").alias("p"), F.col("x.pair_c").alias("c"))
+    seen = rest.select("row", "p", "c").unionByName(pair).join(bigrams.select(F.col("k").alias("p"), F.col("c").alias("n")), "p")
+    gains = seen.groupBy("row").agg(F.sum(F.log10(1 + F.col("n") * mass / (SMOOTHING * (F.col("c") + 0.5)))).alias("gain"))
+    base = F.col("logs") + F.size("rest") * half + F.coalesce("extra", F.lit(0.0)) - F.col("n_tokens") * math.log10(mass)
+    whole = F.least(F.lit(0.0), base + F.col("parts") + F.coalesce("gain", F.lit(0.0)) - F.coalesce("follows", F.lit(0.0)))
+    return rows.join(sums, "row", "left").join(gains, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))

@@ -437,6 +437,21 @@ def test_lm_is_a_distribution_over_all_words(many_words):
     assert max(s / 121 for i, s in got.items() if i >= 2000) < min(real)
 
 
+@pytest.mark.parametrize("words", [300, 1 << 18])
+@pytest.mark.parametrize("segments", [0, 1])
+def test_lm_drops_no_ngrams_that_the_filter_has_no_room_for(many_words, monkeypatch, words, segments):
+    """A filter of next to nothing or of one small segment, and words that are not on the workers: same scores."""
+    monkeypatch.setattr(lm, "EXACT_WORDS", words)
+    monkeypatch.setattr(lm, "SEGMENTS", segments)
+    monkeypatch.setattr(lm, "ENTRY_BITS", 200)
+    pairs, docs = many_words
+    logs = bigram_model(pairs)[2]
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    for i, t in pairs:
+        want = logs(t)
+        assert abs(got[i] - sum(want)) <= (1e-9 * abs(sum(want)) if segments == 0 else len(want) * log10(lm.BASE) / 2)
+
+
 def test_filter_levels():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(1 << 63, size=3000, dtype=np.uint64) * np.uint64(2))
