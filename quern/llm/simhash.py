@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.common import LOWER, SOLID, Texts, cut, give_back, map_texts, word_spans
@@ -206,6 +205,15 @@ def connected(edges: DataFrame) -> DataFrame:
     return rename if rename is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _rooted(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint among the rows (doc_id, fp); root is the same within a component only."""
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    forest = connected(links(fps.select("fp"), fps.count(), distance))
+    named = cut(fps.join(forest.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that a join skewed by a large component can be split
+    return named.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row for each row of `docs`: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -215,23 +223,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     `docs` are not read.
     """
     rows = cut(fingerprint(docs, id_col, text_col))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    forest = connected(links(fps.select("fp"), fps.count(), distance))
-    named = cut(fps.join(forest.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that a join skewed by a large component can be split
-    of = named.join(least, "root").select("fp", "component_id")
+    of = _rooted(rows, distance)
     return rows.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of `docs` whose id is its component's id, one for each component, with all their columns.
+    """One row of `docs` for each component, with all its columns: the one with the least id.
 
-    Of repeated rows with that id one stays, the one whose text hashes least. A component whose ids are all
-    null keeps one row.
+    Rows without an id come last. Of several rows with that id in the component, the one whose text hashes least
+    stays. Components are told apart by their links, not by ids: an id used for unrelated texts stays for each.
     """
-    marks = near_duplicates(docs, id_col, text_col, distance)
-    kept = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"))
-    rows = rows.join(kept, rows["_id"].eqNullSafe(kept["_id"]), "left_semi")
-    first = F.row_number().over(W.partitionBy("_id").orderBy("_h"))
-    return rows.withColumn("_n", first).where("_n = 1").select("_row.*")
+    text = F.col(text_col).cast("string")
+    rows = cut(map_texts(docs, text, {"doc_id": F.col(id_col), "h": F.xxhash64(text)}, "fp long", lambda: lambda c: [pa.array(fingerprints_of(c).view(np.int64))]))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best")
+    kept = rows.join(_rooted(rows, distance), "fp").groupBy("root").agg(best).select(F.col("best.doc_id").alias("_kid"), F.col("best.h").alias("_kh"))
+    # a row's component follows from its text, so id and text name the component as well; whole repeats are added up to one
+    own = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"))
+    own = own.join(kept, own["_id"].eqNullSafe(kept["_kid"]) & (own["_h"] == kept["_kh"]), "left_semi")
+    return own.groupBy("_id", "_h").agg(F.first("_row").alias("_row")).select("_row.*")

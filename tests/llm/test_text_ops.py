@@ -136,6 +136,14 @@ def test_deduplicate(docs, pairs):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_deduplicate_keeps_one_text_of_each_component(spark):
+    """Texts without an id, one id on unrelated texts, and a null text beside an empty one with an id."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    data = [(None, a), (None, a), (None, b), (None, None), (1, ""), (7, c), (7, d), (7, d), (8, c), (None, d), (9, e), (None, e)]
+    got = simhash.deduplicate(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    assert Counter(tuple(r) for r in got.collect()) == Counter([(None, a), (None, b), (1, ""), (7, c), (7, d), (9, e)])
+
+
 @pytest.mark.parametrize("block", [16, 1 << 20])
 def test_links_join_what_brute_force_joins(spark, block):
     """Dense balls around centres, chains, and hot buckets that are dealt out in blocks."""
