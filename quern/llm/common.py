@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows that nothing reads any more."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,23 +77,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(1 << 62, dtype=np.uint64, size=256) * np.uint64(4) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_STEP, _BACK)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.multiply.accumulate(x)
-    return _POWERS
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -93,12 +84,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Longest word, in bytes, that two lanes hold whole.
+LANES = 16
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+_LOW63 = np.uint64((1 << 63) - 1)
+
+
+def word_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last eight bytes and length of each word; of words below eight bytes all bytes, and zero.
+
+    Words of at most LANES bytes are equal if and only if all three are.
+    """
+    room = np.zeros(len(data) + 8, np.uint8)
+    room[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", room, strides=(1,))
+    size = ends - starts
+    first, last = eight[starts], np.zeros(len(starts), np.uint64)
+    short = size < 8
+    first[short] &= _MASKS[size[short]]
+    long = np.flatnonzero(~short)
+    last[long] = eight[ends[long] - 8]
+    return first, last, size
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: differences of a running polynomial sum, brought to a common place."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each word.
+
+    Words below eight bytes have even hashes, no two the same; the others have odd ones, up to LANES bytes of both
+    lanes and the length, beyond of all bytes by XXH64.
+    """
+    first, last, size = word_lanes(data, starts, ends)
+    out = mix(mix(first + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (last * np.uint64(0xC2B2AE3D27D4EB4F))) | np.uint64(1)
+    short = np.flatnonzero(size < 8)
+    x = ((first[short] | size[short].astype(np.uint64) << np.uint64(56)) * np.uint64(0xD6E8FEB86659FD93)) & _LOW63
+    x = ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) & _LOW63  # one to one on 63 bits
+    out[short] = (x ^ (x >> np.uint64(29))) << np.uint64(1)
+    long = np.flatnonzero(size > LANES)
+    if len(long):
+        raw, h = data.data, xxhash.xxh64_intdigest
+        out[long] = np.array([h(raw[a:b], 20240229) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], np.uint64) | np.uint64(1)
+    return out
 
 
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
