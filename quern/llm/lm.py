@@ -5,29 +5,30 @@ q times, as (n-gram, 1) ... (n-gram, q). A worker that holds the filter finds a
 one is missing. A bigram's probability is smoothed with that of its last token:
     P(w | h) = (c(h w) + K * P1(w)) / (c(h) + K),  P1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)).
 The filter and the table of word counts on each worker have a fixed greatest size and hold the most frequent n-grams.
-All others stay in the cluster with their exact counts, and tokens that need them are joined with them: no n-gram is
-dropped at any size. For that the logarithm is taken apart: log P(w | h) = log K P1(w) - log(c(h) + K) + the gain
-log(1 + c(h w) / (K * P1(w))), which is 0 for unseen bigrams.
+All others stay in the cluster with their exact counts, dealt out by hash to shards; tokens that need them are sent
+to their shard, packed, and their sums come back: no n-gram is dropped at any size. For that the logarithm is taken
+apart: log P(w | h) = log K P1(w) - log(c(h) + K) + the gain log(1 + c(h w) / (K * P1(w))), which is 0 for unseen
+bigrams. Bigrams that end in a word that is not on the workers share the shard of that word.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.common import LOWER, SOLID, Texts, bounded_batches, chunks, crc_remainder, cut, give_back, list_array, map_texts, mix, shared_path, word_hashes, word_spans
+from quern.llm.common import LOWER, SOLID, Texts, bounded_batches, chunks, crc_remainder, freed_shuffles, give_back, list_array, mix, remove_path, shared_path, word_hashes, word_spans
 
 FOLDS, HELD_OUT = 5, 1
 #: Words with exact counts on every worker: a bound of what is broadcast.
 EXACT_WORDS = 1 << 18
-#: Filter: bits in a segment and most segments (32 MB in all), bits for each entry, probes, base of the levels.
-SEGMENT_BITS, SEGMENTS, ENTRY_BITS, PROBES, BASE = 20, 256, 10, 4, 1.5
+#: Filter: bits in a segment and most segments (4 MB in all, so that the share of n-grams outside is alike at every size), bits for each entry, probes (three in each of two words), base of the levels.
+SEGMENT_BITS, SEGMENTS, ENTRY_BITS, PROBES, BASE = 20, 32, 10, 6, 1.5
 SMOOTHING = 30.0
 END, START = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -53,16 +54,23 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+#: A key's high bits name its shard.
+_SHARD_SHIFT = 40
+
+
 def _bigrams(tokens: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of (token before, token), and the place of the token before; -1 for START, which a text's first token follows.
 
-    A key's lowest bit tells whether both words are `known`, those with counts on each worker; START is.
+    A key's lowest bit tells whether the last word is `known`, one of those with counts on each worker; if it is not, the
+    key has the word's high bits.
     """
     at = np.arange(-1, len(tokens) - 1)
     at[first[:-1]] = -1
     before = np.where(at >= 0, tokens[at], START)
-    both = known & ((at < 0) | known[at])
-    return (mix(before * _A + tokens * _B) & ~np.uint64(1)) | both.astype(np.uint64), at
+    keys = mix(before * _A + tokens * _B)
+    shift = np.uint64(_SHARD_SHIFT)
+    keys = np.where(known, keys, (tokens >> shift << shift) | (keys & np.uint64((1 << _SHARD_SHIFT) - 1)))
+    return (keys & ~np.uint64(1)) | known.astype(np.uint64), at
 
 
 class _Counter:
@@ -109,15 +117,12 @@ def _counts(texts: DataFrame, keys_of) -> DataFrame:
     return texts.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """As `cut`, in compressed columns; shuffles that nothing refers to any more give back their disk."""
+def _written(df: DataFrame, name: str, paths: list[str]) -> DataFrame:
+    """As `cut`, in compressed columns below a path that is added to `paths`."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(path)
+    paths.append(shared_path(spark, name))
+    df.write.option("compression", "zstd").parquet(paths[-1])
+    return spark.read.parquet(paths[-1])
 
 
 def _least_count(counts: DataFrame, most: int, steps: int = 4) -> int:
@@ -142,17 +147,22 @@ def count_of(q: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Bits in segments; a key's probes all lie in the segment that its high bits name."""
+    """Bits in segments; a key's segment is named by its high bits, and the probes of one level lie in two words of 64 bits."""
 
     def __init__(self, bits: np.ndarray, segments: int):
         self.bits, self.segments = bits, segments
 
     @staticmethod
-    def places(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-        """Bit places within the segment, one row for each probe."""
-        x = mix(keys + levels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        step = (x >> np.uint64(32)) | np.uint64(1)
-        return np.stack([(x + np.uint64(t) * step) & np.uint64((1 << SEGMENT_BITS) - 1) for t in range(PROBES)])
+    def places(keys: np.ndarray, levels: np.ndarray | int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Two words within the segment, each with the bits of half of the probes."""
+        x = mix(keys + np.asarray(levels, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        one, six, out = np.uint64(1), np.uint64(63), []
+        for half in range(2):
+            bits = one << (x >> np.uint64(18 * half) & six)
+            for t in range(1, PROBES // 2):
+                bits |= one << (x >> np.uint64(18 * half + 6 * t) & six)
+            out.append((x >> np.uint64(36 + 14 * half) & np.uint64((1 << SEGMENT_BITS - 6) - 1), bits))
+        return out
 
     def segment(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(48)) % np.uint64(self.segments)
@@ -160,15 +170,14 @@ class Filter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: membership is probed from 1 upwards until it fails."""
         out = np.zeros(len(keys), np.int64)
-        alive, base = np.arange(len(keys)), self.segment(keys) << np.uint64(SEGMENT_BITS)
+        words = self.bits.view(np.uint64)
+        alive, base = np.arange(len(keys)), self.segment(keys) << np.uint64(SEGMENT_BITS - 6)
         q = 0
-        while len(alive):
+        while len(alive) and q <= 200:
             q += 1
-            at = self.places(keys[alive], np.full(len(alive), q)) + base[alive]
-            alive = alive[np.all(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1, axis=0)]
+            held = np.logical_and(*(words[base + at] & bits == bits for at, bits in self.places(keys, q)))
+            alive, keys, base = alive[held], keys[held], base[held]
             out[alive] = q
-            if q > 200:
-                break
         return out
 
 
@@ -181,11 +190,11 @@ def _segments_of(batches, segments: int):
         for s in np.unique(where).tolist():
             own = where == s
             k, n = keys[own], q[own]
-            bits = held.setdefault(s, np.zeros(1 << SEGMENT_BITS - 3, np.uint8))
-            at = Filter.places(np.repeat(k, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1).reshape(-1)
-            np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-    for s, bits in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["s", "bits"])
+            words = held.setdefault(s, np.zeros(1 << SEGMENT_BITS - 6, np.uint64))
+            for at, bits in Filter.places(np.repeat(k, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1):
+                np.bitwise_or.at(words, at, bits)
+    for s, words in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["s", "bits"])
 
 
 def build_filter(counts: DataFrame, entries: int) -> Filter:
@@ -205,7 +214,7 @@ def build_filter(counts: DataFrame, entries: int) -> Filter:
 
 @dataclass
 class Model:
-    """Counts of the most frequent words, and the filter of bigrams among them that have `least_level` or more."""
+    """Counts of the most frequent words, and the filter of bigrams that end in one of them and have `least_level` or more."""
 
     total: int
     distinct: int
@@ -216,12 +225,14 @@ class Model:
     filter: Filter
 
 
-def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of all texts of the one column `t`, and the exact counts (k, c) of all words and of the bigrams not in its filter."""
-    unigrams = cut(_counts(texts, lambda column: tokens_of(column)[0]))
+def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame, list[str]]:
+    """The model of all texts of the one column `t`, the exact counts (k, c) of the words and of the bigrams that it does not hold, and folders to remove."""
+    paths: list[str] = []
+    unigrams = _written(_counts(texts, lambda column: tokens_of(column)[0]), "words", paths)
     ends = F.sum(F.when(F.col("k") == int(END.view(np.int64)), F.col("c")))
     total, distinct, starts = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
-    got = unigrams.where(F.col("c") >= _least_count(unigrams, EXACT_WORDS)).toArrow()
+    known = F.col("c") >= _least_count(unigrams, EXACT_WORDS)
+    got = unigrams.where(known).toArrow()
     k, c = got.column("k").to_numpy().view(np.uint64), got.column("c").to_numpy()
     order = np.argsort(k)
     words, counts = k[order], c[order]
@@ -231,7 +242,7 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
         tokens, first = tokens_of(column)
         return _bigrams(tokens, first, _find(sent.value, tokens) >= 0)[0]
 
-    bigrams = _written(_counts(texts, pairs), "bigrams")
+    bigrams = _written(_counts(texts, pairs), "bigrams", paths)
     among = F.col("k").bitwiseAND(F.lit(1).cast("long")) == 1
     q = (F.floor(F.log("c") / math.log(BASE) + 1e-9) + 1).alias("q")
     bins = bigrams.where(among).select(q, "c").groupBy("q").agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
@@ -241,70 +252,326 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
             break
         entries, least, least_level = entries + row.n * row.q, row.c, row.q
     if entries == sum(row.n * row.q for row in bins):
-        least_level = 1  # nothing among the known words is left out
+        least_level = 1  # no bigram of a known word is left out
     held = among & (F.col("c") >= least)
-    return Model(total, distinct, starts, words, counts, least_level, build_filter(bigrams.where(held), entries)), unigrams, bigrams.where(~held)
+    model = Model(total, distinct, starts, words, counts, least_level, build_filter(bigrams.where(held), entries))
+    return model, unigrams.where(~known), bigrams.where(~held), paths
+
+
+# What a row of the shards' exchange is; the rows of a shard come in this order.
+_WORDS, _BIGRAMS, _ROWS, _ASKED, _ASKED_WORDS = range(5)
+_FIELDS = [("kind", pa.int32()), ("shard", pa.int32()), ("home", pa.int64()), ("k", pa.list_(pa.int64())), ("p", pa.binary()), ("c", pa.list_(pa.int64())), ("w", pa.list_(pa.float32())), ("off", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
+#: Rows are numbered; those with equal high bits are one home, to which sums return.
+_HOME_BITS = 12
+#: Homes whose sums a task holds before it sends them on.
+_HOMES = 400
+_EXCHANGE = "kind int, shard int, home long, k array<long>, p binary, c array<long>, w array<float>, off array<int>, times array<int>"
+
+
+#: Bytes of a bigram's key that are sent; its shard stands for others.
+_KEY_BYTES = 6
+
+
+def _short(keys: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The low bytes of keys, as one value for each run of `sizes`."""
+    data = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES].tobytes()
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes * _KEY_BYTES, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _keys_of(column: pa.Array) -> np.ndarray:
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _KEY_BYTES)
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, :_KEY_BYTES] = data
+    return out.view(np.uint64).reshape(-1)
+
+
+def _packed(kind: int, shard: np.ndarray, home: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row for each run of one shard and home, with lists of its entries."""
+    at = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (home[1:] != home[:-1])]) if len(shard) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[at, len(shard)])
+    n = len(at)
+    own = {"kind": pa.array(np.full(n, kind, np.int32)), "shard": pa.array(shard[at].astype(np.int32)), "home": pa.array(home[at].astype(np.int64))}
+    if "off" in columns:  # as steps within a run
+        off = columns["off"]
+        step = np.diff(off, prepend=0)
+        step[at] = off[at]
+        columns["off"] = step.astype(np.int32)
+    if "p" in columns:
+        own["p"] = _short(columns.pop("p"), sizes)
+    own |= {name: list_array(x.view(np.int64) if x.dtype == np.uint64 else x, sizes, t.value_type) for name, t in _FIELDS[3:] if (x := columns.get(name)) is not None}
+    return pa.RecordBatch.from_arrays([own.get(name, pa.nulls(n, t)) for name, t in _FIELDS], names=[name for name, _ in _FIELDS])
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(_SHARD_SHIFT)) % np.uint64(shards)).astype(np.int32)
+
+
+#: Entries that are packed at once.
+_PACK = 600_000
+
+
+def _pack_counts(counts: DataFrame, kind: int, shards: int) -> DataFrame:
+    """Rows (k, c) as rows of the exchange."""
+
+    def flush(keys, c):
+        shard = _shard(keys, shards)
+        order = np.argsort(shard, kind="stable")
+        columns = {"k": keys[order], "c": c[order]} if kind == _WORDS else {"p": keys[order], "w": c[order].astype(np.float32)}
+        return _packed(kind, shard[order], np.zeros(len(order), np.int64), **columns)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= _PACK:
+                yield flush(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            yield flush(*map(np.concatenate, zip(*held, strict=True)))
+
+    return counts.select("k", "c").mapInArrow(run, _EXCHANGE)
+
+
+class _Asked:
+    """Entries that wait to be packed: their rows, keys, and the last words or, of known ones, their counts (to 24 bits)."""
+
+    def __init__(self, kind: int, shards: int):
+        self.kind, self.shards, self.held, self.n = kind, shards, [], 0
+
+    def add(self, row: np.ndarray, key: np.ndarray, beside: np.ndarray):
+        self.held.append((row, key, beside))
+        self.n += len(row)
+        if self.n >= _PACK:
+            yield self.take()
+
+    def take(self) -> pa.RecordBatch:
+        row, key, beside = map(np.concatenate, zip(*self.held, strict=True)) if self.held else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
+        self.held, self.n = [], 0
+        shard = _shard(key, self.shards)
+        order = np.lexsort((key, row, shard))
+        shard, row, key, beside = shard[order], row[order], key[order], beside[order]
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (beside[1:] != beside[:-1])]) if len(key) else np.empty(0, np.int64)
+        times = np.diff(np.r_[new, len(key)]).astype(np.int32)
+        shard, row, key, beside = shard[new], row[new], key[new], beside[new]
+        columns = {"p": key, "w": beside} if self.kind == _ASKED else {"k": beside, "p": key}
+        return _packed(self.kind, shard, row >> _HOME_BITS, off=row & (1 << _HOME_BITS) - 1, times=times, **columns)
+
+
+class _Shards:
+    """Answers to the entries of the shards whose rows pass by: sums of each home, of known, logs and parts."""
+
+    def __init__(self, mass: float):
+        self.mass, self.now = mass, None
+        self.homes: dict[int, np.ndarray] = {}
+
+    def turn(self, shard: int) -> None:
+        if shard != self.now:
+            self.now, self.rows, self.tables = shard, {_WORDS: [], _BIGRAMS: []}, {}
+
+    def learn(self, kind: int, part: pa.RecordBatch) -> None:
+        flat = lambda name: part.column(name).flatten().to_numpy()
+        self.rows[kind].append((flat("k").view(np.uint64), flat("c")) if kind == _WORDS else (_keys_of(part.column("p")), flat("w").astype(np.float64)))
+
+    def find(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """Count of each key, 0 where missing."""
+        if kind not in self.tables:
+            held = self.rows.pop(kind)
+            k, c = map(np.concatenate, zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0))
+            order = np.argsort(k)
+            self.tables[kind] = (k[order], c[order])
+        k, c = self.tables[kind]
+        at = _find(k, keys)
+        return np.where(at >= 0, c[at], 0.0) if len(k) else np.zeros(len(keys))
+
+    def answer(self, kind: int, part: pa.RecordBatch) -> None:
+        flat = lambda name: part.column(name).flatten().to_numpy()
+        sizes = np.diff(part.column("off").offsets.to_numpy())
+        times, pair = flat("times").astype(np.float64), _keys_of(part.column("p"))
+        if kind == _ASKED:
+            count = flat("w").astype(np.float64)
+            n, known, logs, follows = self.find(_BIGRAMS, pair), None, None, 0.0
+        else:
+            key = flat("k").view(np.uint64)
+            count, n = self.find(_WORDS, key), self.find(_BIGRAMS, pair)
+            known = np.where(count > 0, times, 0.0)
+            logs = times * (np.log10(count + 0.5) - math.log10(0.5))
+            follows = np.where(key == END, 0.0, times * (np.log10(count + SMOOTHING) - math.log10(SMOOTHING)))
+        parts = times * np.log10(1 + n * self.mass / (SMOOTHING * (count + 0.5))) - follows
+        homes, of = np.unique(part.column("home").to_numpy(), return_inverse=True)
+        cell = (np.repeat(of, sizes) << _HOME_BITS) + _offsets(flat("off"), sizes)
+        width = 1 << _HOME_BITS
+        for i, x in enumerate((known, logs, parts)):
+            if x is not None:
+                for home, own in zip(homes.tolist(), np.bincount(cell, weights=x, minlength=len(homes) * width).reshape(-1, width), strict=True):
+                    self.homes.setdefault(home, np.zeros((3, width)))[i] += own
+
+    def take(self, most: int):
+        """The sums so far as rows for their homes, if they are of more than `most` homes."""
+        if len(self.homes) <= most:
+            return
+        homes, off, sums = [], [], []
+        for home, own in self.homes.items():
+            at = np.flatnonzero(own.any(axis=0))
+            homes.append(np.full(len(at), home))
+            off.append(at)
+            sums.append(own[:, at])
+        self.homes = {}
+        home = np.concatenate(homes)
+        at = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.empty(0, np.int64)
+        yield home[at], np.diff(np.r_[at, len(home)]), np.concatenate(off), np.concatenate(sums, axis=1)
+
+
+def _offsets(step: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Offsets from steps within runs of the given sizes."""
+    upto, start = np.cumsum(step.astype(np.int64)), np.cumsum(sizes) - sizes
+    some = sizes > 0
+    return upto - np.repeat(upto[start[some]] - step[start[some]], sizes[some])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on rows whose crc32(doc_id as text) mod 5 is not 1; rows without an id are scored but not learnt from.
-    base_score uses exact counts of all words: the most frequent ones are on every worker, the rest are joined by
-    hash; so are bigrams that the filter does not hold. Null and empty texts hold the end token alone. Repeated rows
+    base_score uses exact counts of all words: the most frequent ones are on every worker, the rest in shards, told apart by
+    64-bit hashes; so are bigrams that the filter does not hold. Null and empty texts hold the end token alone. Repeated rows
     are each learnt from and returned; columns but id and text are not read. Without training rows every probability
-    is 1.
+    is 1. The result is written to the shared folder, and what led to it is removed.
     """
     spark = docs.sparkSession
     held_out = crc_remainder(F.col(id_col), FOLDS) == HELD_OUT
-    model, unigrams, bigrams = train(docs.where(~held_out).select(F.col(text_col).cast("string").alias("t")))
-    sent = spark.sparkContext.broadcast(model)
-    mass = model.total + 0.5 * (model.distinct + 1)
+    with freed_shuffles(spark):
+        model, words, bigrams, paths = train(docs.where(~held_out).select(F.col(text_col).cast("string").alias("t")))
+        rows = _asked(docs, held_out, model, words, bigrams, id_col, text_col)
+        base = F.col("logs") - F.col("n_tokens") * math.log10(_mass(model))
+        whole = F.least(F.lit(0.0), base + F.col("parts"))
+        done = rows.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
+        done = _written(done, "scores", [])
+    for path in paths:
+        remove_path(spark, path)
+    return done
+
+
+def _mass(model: Model) -> float:
+    return model.total + 0.5 * (model.distinct + 1)
 
-    def make():
+
+def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, bigrams: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, known, logs (of known words' counts; half for the unknown) and parts (all else) of each row."""
+    spark = docs.sparkSession
+    sent, mass = spark.sparkContext.broadcast(model), _mass(model)
+    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounded_batches(spark)
+    inner = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("t"))
+    about = [T.StructField(c, inner.schema[c].dataType) for c in ("row", "doc_id", "held_out")]
+    sums = T.StructType.fromDDL("n_tokens long, known long, logs double, parts double").fields
+    schema = T.StructType([*T.StructType.fromDDL(_EXCHANGE).fields, *about, *sums])
+    names = schema.names
+
+    def work(column, row):
+        """Sums of the texts, and entries (row, key, count) of bigrams and (row, key, word) of words to be asked for."""
         m = sent.value
+        tokens, first = tokens_of(column)
+        n, doc = np.diff(first), np.repeat(np.arange(len(first) - 1), np.diff(first))
+        at = _find(m.words, tokens)
+        known = at >= 0
+        count = np.zeros(len(tokens), np.int64)
+        count[known] = m.counts[at[known]]
+        total = lambda which, w=None: np.bincount(doc[which], weights=w, minlength=len(n))
+        pairs, before = _bigrams(tokens, first, known)
+        # an unknown word counts as unseen here; what it adds as a context is asked for with it
+        context = np.where(before >= 0, count[before], m.starts)
+        local = np.flatnonzero(known)
+        distinct, back = np.unique(pairs[local], return_inverse=True)
+        q = m.filter.levels(distinct)
+        q = np.where(q < m.least_level, 0, q)[back]
+        most = np.where((before < 0) | known[before], context, count)[local]
+        times = np.minimum(count_of(q), np.minimum(count[local], most))
+        gains = np.log10(1 + times * mass / (SMOOTHING * (count[local] + 0.5)))
+        parts = total(slice(None), math.log10(SMOOTHING) - np.log10(context + SMOOTHING)) + total(local, gains)
+        logs = total(slice(None), np.log10(count + 0.5))
+        unheld = local[q == 0] if m.least_level > 1 else local[:0]
+        rest = np.flatnonzero(~known)
+        return (n, total(known).astype(np.int64), logs, parts), (row[doc[unheld]], pairs[unheld], count[unheld].astype(np.float32)), (row[doc[rest]], pairs[rest], tokens[rest])
+
+    def out(batch, own, sums):
+        """A batch of the exchange: packed entries, or the texts' own rows."""
+        n = batch.num_rows if own is None else len(sums[0])
+        left = batch.columns if own is None else [pa.array(np.full(n, _ROWS, np.int32)), pa.array(((np.asarray(own[0]) >> _HOME_BITS) % shards).astype(np.int32)), pa.array(np.asarray(own[0]) >> _HOME_BITS), *(pa.nulls(n, t) for _, t in _FIELDS[3:])]
+        right = [pa.nulls(n, t) for t in kinds] if own is None else [*own, *(pa.array(x, t) for x, t in zip(sums, kinds[3:], strict=True))]
+        return pa.RecordBatch.from_arrays([*left, *right], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in [*about, *sums]]
+
+    def ask(batches):
+        asked, asked_words = _Asked(_ASKED, shards), _Asked(_ASKED_WORDS, shards)
+        for batch in batches:
+            for lo, hi in chunks(batch.column(3)):
+                part = batch.slice(lo, hi - lo)
+                sums, pairs, rest = work(part.column(3), part.column(0).to_numpy())
+                yield out(None, part.columns[:3], sums)
+                for packed in (*asked.add(*pairs), *asked_words.add(*rest)):
+                    yield out(packed, None, None)
+        for x in (asked, asked_words):
+            yield out(x.take(), None, None)
+        give_back()
+
+    told = names[len(_FIELDS) :]
+    returned = T.StructType([*schema.fields[len(_FIELDS) :], *T.StructType.fromDDL("home long, own int, off array<int>, more array<int>, logs2 array<double>, parts2 array<double>").fields])
+
+    def answer(batches):
+        tables = _Shards(mass)
+        lists = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
-        def work(column):
-            tokens, first = tokens_of(column)
-            n, doc = np.diff(first), np.repeat(np.arange(len(first) - 1), np.diff(first))
-            at = _find(m.words, tokens)
-            known = at >= 0
-            count = np.zeros(len(tokens), np.int64)
-            count[known] = m.counts[at[known]]
-            total = lambda which, w=None: np.bincount(doc[which], weights=w, minlength=len(n))
-            pairs, before = _bigrams(tokens, first, known)
-            # an unknown word counts as unseen here; what it adds is joined later
-            context = np.where(before >= 0, count[before], m.starts)
-            local = np.flatnonzero(pairs & np.uint64(1))
-            distinct, back = np.unique(pairs[local], return_inverse=True)
-            q = m.filter.levels(distinct)
-            q = np.where(q < m.least_level, 0, q)[back]
-            times = np.minimum(count_of(q), np.minimum(count[local], context[local]))
-            gains = np.log10(1 + times * mass / (SMOOTHING * (count[local] + 0.5)))
-            parts = total(slice(None), math.log10(SMOOTHING) - np.log10(context + SMOOTHING)) + total(local, gains)
-            # unheld: the word is known, its count goes along; rest: it is joined with its count first
-            unheld = known.copy()
-            unheld[local[q > 0] if m.least_level > 1 else local] = False
-            rest = ~known
-            longs = lambda x, which: list_array(x[which].view(np.int64), total(which).astype(np.int64), pa.int64())
-            return [
-                pa.array(n), pa.array(total(known).astype(np.int64)), pa.array(total(known, np.log10(count[known] + 0.5))), pa.array(parts),
-                longs(tokens, rest), longs(pairs, rest), longs(pairs, unheld), longs(count, unheld),
-            ]
-
-        return work
-
-    keep = {"row": F.monotonically_increasing_id(), "doc_id": F.col(id_col), "held_out": held_out}
-    result = "n_tokens long, known long, logs double, parts double, rest array<long>, rest_pair array<long>, pair array<long>, pair_c array<long>"
-    rows = _written(map_texts(docs, F.col(text_col), keep, result, make), "rows")
-    half = math.log10(0.5)
-    one = lambda a, b: F.explode(F.arrays_zip(a, b)).alias("x")
-    rest = rows.select("row", one("rest", "rest_pair")).select("row", F.col("x.rest").alias("k"), F.col("x.rest_pair").alias("p")).join(unigrams, "k")
-    follows = F.when(F.col("k") != int(END.view(np.int64)), F.log10(F.col("c") + SMOOTHING) - math.log10(SMOOTHING)).otherwise(0.0)
-    sums = rest.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 0.5) - half).alias("extra"), F.sum(follows).alias("follows"))
-    pair = rows.select("row", one("pair", "pair_c")).select("row", F.col("x.pair").alias("p"), F.col("x.pair_c").alias("c"))
-    seen = rest.select("row", "p", "c").unionByName(pair).join(bigrams.select(F.col("k").alias("p"), F.col("c").alias("n")), "p")
-    gains = seen.groupBy("row").agg(F.sum(F.log10(1 + F.col("n") * mass / (SMOOTHING * (F.col("c") + 0.5)))).alias("gain"))
-    base = F.col("logs") + F.size("rest") * half + F.coalesce("extra", F.lit(0.0)) - F.col("n_tokens") * math.log10(mass)
-    whole = F.least(F.lit(0.0), base + F.col("parts") + F.coalesce("gain", F.lit(0.0)) - F.coalesce("follows", F.lit(0.0)))
-    return rows.join(sums, "row", "left").join(gains, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
+        def sent_on(most):
+            for home, sizes, off, sums in tables.take(most):
+                n = len(home)
+                columns = [list_array(x, sizes, t.value_type) for x, t in zip((off, *sums), lists, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in kinds), pa.array(home), pa.array(np.zeros(n, np.int32)), *columns], names=returned.names)
+
+        for batch in batches:
+            kind, shard = batch.column("kind").to_numpy(), batch.column("shard").to_numpy()
+            edges = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (shard[1:] != shard[:-1]), True]) if len(kind) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                own, part = int(kind[lo]), batch.slice(lo, hi - lo)
+                tables.turn(int(shard[lo]))
+                if own in (_WORDS, _BIGRAMS):
+                    tables.learn(own, part)
+                elif own == _ROWS:
+                    n = part.num_rows
+                    yield pa.RecordBatch.from_arrays([*(part.column(x) for x in told), part.column("home"), pa.array(np.ones(n, np.int32)), *(pa.nulls(n, t) for t in lists)], names=returned.names)
+                else:
+                    tables.answer(own, part)
+                    yield from sent_on(_HOMES)
+        yield from sent_on(0)
+        give_back()
+
+    def add(batches):
+        """The rows of each home with their sums, which come before them."""
+        now, sums = None, None
+        for batch in batches:
+            home, own = batch.column("home").to_numpy(), batch.column("own").to_numpy()
+            edges = np.flatnonzero(np.r_[True, (home[1:] != home[:-1]) | (own[1:] != own[:-1]), True]) if len(home) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if home[lo] != now:
+                    now, sums = home[lo], np.zeros((3, 1 << _HOME_BITS))
+                if own[lo]:
+                    at = part.column("row").to_numpy() & (1 << _HOME_BITS) - 1
+                    known, logs, parts = (part.column(x).to_numpy() + y[at] for x, y in zip(told[-3:], sums, strict=True))
+                    yield pa.RecordBatch.from_arrays([*(part.column(x) for x in told[1:4]), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(parts)], names=told[1:])
+                else:
+                    at = part.column("off").flatten().to_numpy()
+                    for i, x in enumerate(("more", "logs2", "parts2")):
+                        sums[i] += np.bincount(at, weights=part.column(x).flatten().to_numpy(), minlength=sums.shape[1])
+
+    wide = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[len(_FIELDS) :]]
+    every = inner.mapInArrow(ask, schema)
+    for counts, kind in ((words, _WORDS), (bigrams, _BIGRAMS)):
+        every = every.unionByName(_pack_counts(counts, kind, shards).select("*", *wide))
+    got = every.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, returned)
+    return got.repartition("home").sortWithinPartitions("home", "own").mapInArrow(add, T.StructType(schema.fields[len(_FIELDS) + 1 :]))
