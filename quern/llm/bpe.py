@@ -2,7 +2,7 @@
 
 The usual byte-level split never joins characters across the start of " word" or of a line where all white space
 is single, so such texts are taken apart into words at once, and the library encodes only words that the table lacks.
-Any other text goes through the library as a whole. Words are told apart by a 64-bit hash.
+Any other text goes through the library as a whole. Words in the table are told apart by all their bytes.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from quern.llm.common import Texts, byte_table, mix, word_hashes, word_spans
+from quern.llm.common import LANES, Texts, byte_table, lane_hashes, mix, word_lanes, word_spans
 
-#: Words in the table, and ids in all; beyond either, those that were met but once or have many ids go. A word takes about 40 bytes.
+#: Words in the table, and ids in all; beyond either, those that were met but once or have many ids go. A word takes about 45 bytes.
 KEPT_WORDS, KEPT_IDS, KEPT_LENGTH = 1_500_000, 16 << 20, 16
 _SLOTS = 1 << 22
 #: Signs that the split keeps apart from letters before them.
@@ -47,64 +47,77 @@ def _irregular(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """Token lists by 64-bit key, in open addressing; all keys of a call are looked up or entered together."""
+    """Token lists of words: by their lanes and tag (length and what stands before) in open addressing, all words of a call
+    together; words that the lanes do not hold whole by their bytes."""
 
     def __init__(self, kind: str):
-        self.keys, self.entry = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
-        self.starts, self.ids, self.n, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, kind), 0, 0
+        self.slots = np.full(_SLOTS, -1, np.int32)
+        self.first, self.last, self.tag = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
+        self.starts, self.ids, self.n, self.used = np.zeros((1 << 16) + 1, np.int64), np.zeros(1 << 16, kind), 0, 0
         self.again = np.zeros(KEPT_WORDS + (1 << 20), bool)  # entries that were found after they were entered
+        self.long: dict[tuple[bytes, bool], int] = {}
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Entry of each key, -1 where missing."""
+    def find(self, keys: np.ndarray, first: np.ndarray, last: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """Entry of each word, -1 where missing; keys are hashes of the words."""
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
         slot = (keys & np.uint64(_SLOTS - 1)).astype(np.int64)
         while len(left):
-            held = self.keys[slot]
-            hit = held == keys[left]
-            out[left[hit]] = self.entry[slot[hit]]
-            go = ~hit & (held != 0)
-            left, slot = left[go], (slot[go] + 1) & (_SLOTS - 1)
+            held = self.slots[slot]
+            some = held >= 0
+            left, slot, held = left[some], slot[some], held[some]
+            hit = (self.first[held] == first[left]) & (self.last[held] == last[left]) & (self.tag[held] == tag[left])
+            out[left[hit]] = held[hit]
+            left, slot = left[~hit], (slot[~hit] + 1) & (_SLOTS - 1)
         met = out[out >= 0]
         self.again[met[met < len(self.again)]] = True
         return out
 
     def slim(self) -> Table:
-        """A table of the entries that were met again and have at most KEPT_LENGTH ids, at most half of KEPT_WORDS."""
-        slots = np.flatnonzero(self.keys)
-        entry = self.entry[slots].astype(np.int64)
-        kept = (entry < len(self.again)) & self.again[np.minimum(entry, len(self.again) - 1)]
-        kept &= self.starts[entry + 1] - self.starts[entry] <= KEPT_LENGTH
-        slots, entry = slots[kept][: KEPT_WORDS // 2], entry[kept][: KEPT_WORDS // 2]
+        """A table of the entries that were met again and have at most KEPT_LENGTH ids, at most half of KEPT_WORDS; long words go."""
+        entry = np.flatnonzero(self.again[: self.n] & (self.tag[: min(self.n, len(self.again))] > 0))
+        sizes = self.starts[entry + 1] - self.starts[entry]
+        entry, sizes = entry[sizes <= KEPT_LENGTH][: KEPT_WORDS // 2], sizes[sizes <= KEPT_LENGTH][: KEPT_WORDS // 2]
         new = Table(self.ids.dtype.str)
-        if len(slots):
-            sizes = self.starts[entry + 1] - self.starts[entry]
+        if len(entry):
             at = np.repeat(self.starts[entry] - np.cumsum(sizes) + sizes, sizes)
             at += np.arange(len(at))
-            new.add(self.keys[slots], self.ids[at], sizes)
+            entries = new.add(self.ids[at], sizes)
+            new.enter(entries, word_keys(self.first[entry], self.last[entry], self.tag[entry]), self.first[entry], self.last[entry], self.tag[entry])
         return new
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Enter distinct keys that are missing, with their ids one after the other and how many each has; returns their entries."""
-        entries = np.arange(self.n, self.n + len(keys))
-        need = self.n + len(keys) + 1
-        if need > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(max(need, len(self.starts)), np.int64)])
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New entries, with their ids one after the other and how many each has."""
+        need = self.n + len(sizes)
+        while need > len(self.tag):
+            for name in ("first", "last", "tag"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.tag) + 1 - len(self.starts), np.int64)])
         total = len(ids)
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), self.ids.dtype)])
         self.ids[self.used : self.used + total] = ids
-        self.starts[self.n + 1 : need] = self.used + np.cumsum(sizes)
-        self.n, self.used = need - 1, self.used + total
-        left, slot = np.arange(len(keys)), (keys & np.uint64(_SLOTS - 1)).astype(np.int64)
-        while len(left):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = keys[left[free]]
-            won = self.keys[slot] == keys[left]
-            self.entry[slot[won]] = entries[left[won]]
-            left, slot = left[~won], (slot[~won] + 1) & (_SLOTS - 1)
+        self.starts[self.n + 1 : need + 1] = self.used + np.cumsum(sizes)
+        entries = np.arange(self.n, need)
+        self.n, self.used = need, self.used + total
         return entries
 
+    def enter(self, entries: np.ndarray, keys: np.ndarray, first: np.ndarray, last: np.ndarray, tag: np.ndarray) -> None:
+        """Make entries found under distinct words that are missing."""
+        self.first[entries], self.last[entries], self.tag[entries] = first, last, tag
+        slot = (keys & np.uint64(_SLOTS - 1)).astype(np.int64)
+        while len(entries):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entries[free]
+            won = self.slots[slot] == entries
+            entries, slot = entries[~won], (slot[~won] + 1) & (_SLOTS - 1)
+
+
+def word_keys(first: np.ndarray, last: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Hashes of words by lanes and tag."""
+    return mix(lane_hashes(first, last, tag >> 1) + (tag & 1))
+
 
 class Encoder:
     """Ids of texts in a little-endian integer type."""
@@ -158,17 +171,42 @@ class Encoder:
             out.append(own)
         return out
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, follows: np.ndarray) -> np.ndarray:
-        """Entries of words, of which none is in the table yet; `follows` tells those that follow a blank."""
-        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    def _lists(self, words: list[str], follows: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after the other, and how many each has; `follows` tells those that follow a blank."""
         lists: list = [None] * len(words)
         for value, before in ((True, " "), (False, "")):
-            own = np.flatnonzero(follows[at] == value).tolist()
+            own = [i for i, f in enumerate(follows) if bool(f) == value]
             for i, x in zip(own, self._words([words[i] for i in own], before), strict=True):
                 lists[i] = x
-        return self.table.add(distinct, np.concatenate(lists), np.array([len(x) for x in lists], np.int64))[back]
+        return np.concatenate(lists), np.array([len(x) for x in lists], np.int64)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, keys: np.ndarray, first: np.ndarray, last: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """Entries of words, of which none is in the table yet."""
+        _, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        rep = at[back]
+        same = (first == first[rep]) & (last == last[rep]) & (tag == tag[rep])
+        raw, sizes = data.tobytes(), (tag >> 1).astype(np.int64)
+        words = [raw[a : a + n].decode("utf-8", "replace") for a, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)]
+        entries = self.table.add(*self._lists(words, (tag[at] & 1).tolist()))
+        self.table.enter(entries, keys[at], first[at], last[at], tag[at])
+        out = entries[back]
+        if not same.all():  # other words of the same hash
+            rest = np.flatnonzero(~same)
+            out[rest] = self.table.find(keys[rest], first[rest], last[rest], tag[rest])
+            rest = rest[out[rest] < 0]
+            if len(rest):
+                out[rest] = self._learn(data, starts[rest], keys[rest], first[rest], last[rest], tag[rest])
+        return out
+
+    def _long(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Entries of words that are longer than the lanes."""
+        raw, held = data.data, self.table.long
+        keys = [(bytes(raw[a:b]), f) for a, b, f in zip(starts.tolist(), ends.tolist(), follows.tolist(), strict=True)]
+        new = [k for k in dict.fromkeys(keys) if k not in held]
+        if new:
+            entries = self.table.add(*self._lists([w.decode("utf-8", "replace") for w, _ in new], [f for _, f in new]))
+            held.update(zip(new, entries.tolist(), strict=True))
+        return np.array([held[k] for k in keys], np.int64)
 
     def encode_column(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty) one after the other, each followed by `end` if it is given, and how many each text has."""
@@ -184,22 +222,29 @@ class Encoder:
             entry = np.empty(0, np.int64)
             doc = lead = entry
         else:
-            starts, ends, first = word_spans(texts.data, texts.offsets, _INSIDE)
-            doc = np.repeat(np.arange(n), np.diff(first))
+            starts, ends, of = word_spans(texts.data, texts.offsets, _INSIDE)
+            doc = np.repeat(np.arange(n), np.diff(of))
             use = ~whole[doc]
             starts, ends, doc = starts[use], ends[use], doc[use]
             opens = starts == texts.offsets[doc]
             follows = ~opens & (texts.data[np.maximum(starts - 1, 0)] == 0x20)
             lead = ~opens & ~follows  # a line feed stands before the word
             # a word at the start of a line is encoded as one at the start of a text
-            keys = mix(word_hashes(texts.data, starts, ends) + follows)
-            keys[keys == 0] = 1
             if self.table.n > KEPT_WORDS or self.table.used > KEPT_IDS:
                 self.table = self.table.slim()
-            entry = self.table.find(keys)
-            miss = np.flatnonzero(entry < 0)
+            entry = np.full(len(starts), -1, np.int64)
+            size = ends - starts
+            short, long = np.flatnonzero(size <= LANES), np.flatnonzero(size > LANES)
+            first, last, _ = word_lanes(texts.data, starts[short], ends[short])
+            tag = (2 * size[short] + follows[short]).astype(np.uint8)
+            keys = word_keys(first, last, tag)
+            found = self.table.find(keys, first, last, tag)
+            miss = np.flatnonzero(found < 0)
             if len(miss):
-                entry[miss] = self._learn(texts.data, starts[miss], ends[miss], keys[miss], follows[miss])
+                found[miss] = self._learn(texts.data, starts[short[miss]], keys[miss], first[miss], last[miss], tag[miss])
+            entry[short] = found
+            if len(long):
+                entry[long] = self._long(texts.data, starts[long], ends[long], follows[long])
         begin = self.table.starts[entry]
         long = self.table.starts[entry + 1] - begin
         wide = long + lead

@@ -119,18 +119,20 @@ def word_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return first, last, size
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word.
-
-    Words below eight bytes have even hashes, no two the same; the others have odd ones, up to LANES bytes of both
-    lanes and the length, beyond of all bytes by XXH64.
-    """
-    first, last, size = word_lanes(data, starts, ends)
+def lane_hashes(first: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hash of words by their lanes: even for words below eight bytes, no two the same, and odd for the others."""
     out = mix(mix(first + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (last * np.uint64(0xC2B2AE3D27D4EB4F))) | np.uint64(1)
     short = np.flatnonzero(size < 8)
     x = ((first[short] | size[short].astype(np.uint64) << np.uint64(56)) * np.uint64(0xD6E8FEB86659FD93)) & _LOW63
     x = ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) & _LOW63  # one to one on 63 bits
     out[short] = (x ^ (x >> np.uint64(29))) << np.uint64(1)
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word: up to LANES bytes by its lanes, beyond odd and by XXH64 of all bytes."""
+    first, last, size = word_lanes(data, starts, ends)
+    out = lane_hashes(first, last, size)
     long = np.flatnonzero(size > LANES)
     if len(long):
         raw, h = data.data, xxhash.xxh64_intdigest

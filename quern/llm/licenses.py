@@ -73,6 +73,7 @@ class Join:
     def __init__(self, templates: dict[str, list[str]], frequency: dict[str, int], threshold: float):
         self.rank = {w: i for i, w in enumerate(sorted({w for t in templates.values() for w in t}, key=lambda w: (frequency.get(w, 0), w)))}
         words = list(self.rank)
+        self.raw = [w.encode() for w in words]
         hashes = _hash(words) if words else np.empty(0, np.uint64)
         order = np.argsort(hashes)
         self.table, self.place = hashes[order], order
@@ -103,7 +104,7 @@ class Join:
             hi = min(lo + block_words, int(words.first[d + 1]))
             distinct = len(np.unique(words.hashes[lo:hi]))
             held = sorted(set(rank[lo:hi].tolist()) - {-1})
-            inside, seen = set(held), set()
+            inside, seen = None, set()
             for place, w in enumerate(held):
                 for k, start in self.prefix.get(w, ()):
                     if k in seen:
@@ -113,6 +114,8 @@ class Join:
                     # w is the first word that both share, so what lies behind it bounds the overlap
                     if distinct < need or 1 + min(len(t) - start - 1, len(held) - place - 1) < need:
                         continue
+                    if inside is None:  # on the words themselves
+                        inside = {r for i, r in enumerate(rank[lo:hi].tolist(), lo) if r >= 0 and words.word(i) == self.raw[r]}
                     shared = sum(x in inside for x in t)
                     if shared >= need:
                         own = out.setdefault(d, {})

@@ -2,8 +2,9 @@
 
 Fingerprints are cut into segments. By the pigeonhole principle two fingerprints at distance r or less
 agree in some segment up to a small number of bits; the first r mod m + 1 segments are searched with
-balls of radius r // m, the others with one less (none at all if that is negative). All members of a
-bucket are then compared by their whole distance. Buckets return a spanning forest of their links, never
+balls of radius r // m, the others with one less (none at all if that is negative). The table has each
+fingerprint once for each segment, at its own value; the balls are on the side of the queries only. What
+a ball meets is compared by its whole distance. Buckets return a spanning forest of their links, never
 all pairs, and hot buckets are dealt to many tasks as pairs of blocks.
 """
 
@@ -70,37 +71,54 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_texts(docs, F.col(text_col), {"doc_id": F.col(id_col)}, "fp long", lambda: lambda c: [pa.array(fingerprints_of(c).view(np.int64))])
 
 
+#: A row of the table or of a ball costs about as much as so many comparisons.
+ROW_COST = 1000
+
+
 def segment_plan(count: int, bits: int = BITS, distance: int = DISTANCE) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of each segment. Their number follows from the table's size (about bits / log2 n); any number finds all."""
-    m = max(2, min(4, round(bits / max(1.0, math.log2(max(2, count))))))
-    plan, shift = [], 0
-    for k in range(m):
-        width = bits // m + (k < bits % m)
-        radius = distance // m - (k > distance % m)
-        if radius >= 0:
-            plan.append((shift, width, radius))
-        shift += width
-    return plan
+    """(shift, width, radius) of each segment. Their number, 2 to 4, is that with the least rows and expected comparisons; any number finds all."""
+
+    def plan(m):
+        out, shift = [], 0
+        for k in range(m):
+            width = bits // m + (k < bits % m)
+            radius = distance // m - (k > distance % m)
+            if radius >= 0:
+                out.append((shift, width, radius))
+            shift += width
+        return out
+
+    def cost(segments):
+        balls = [(sum(math.comb(w, r) for r in range(radius + 1)), w) for _, w, radius in segments]
+        return sum(n * (ROW_COST + count / 2**w) for n, w in balls)
+
+    return min(map(plan, (4, 3, 2)), key=cost)
 
 
 def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def _link(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among the members of a bucket, by breadth-first search over those not yet reached."""
-    left, a, b = fps, [], []
-    while len(left) > 1:
-        stack, left = [left[0]], left[1:]
-        while stack and len(left):
-            u = stack.pop()
-            near = np.bitwise_count(left ^ u) <= distance
+def _link(fps: np.ndarray, own: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of a bucket's links with the members at their `own` value, by breadth-first search over those not yet reached."""
+    table, others, a, b = fps[own], fps[~own], [], []
+    while len(table):
+        stack, table = [(table[0], True)], table[1:]
+        while stack and (len(table) or len(others)):
+            u, in_table = stack.pop()
+            near = np.bitwise_count(table ^ u) <= distance
             if near.any():
-                found = left[near]
-                left = left[~near]
-                a += [u] * len(found)
-                b += list(found)
-                stack += list(found)
+                stack += [(v, True) for v in table[near]]
+                a += [u] * int(near.sum())
+                b += list(table[near])
+                table = table[~near]
+            if in_table:
+                near = np.bitwise_count(others ^ u) <= distance
+                if near.any():
+                    stack += [(v, False) for v in others[near]]
+                    a += [u] * int(near.sum())
+                    b += list(others[near])
+                    others = others[~near]
     return a, b
 
 
@@ -108,75 +126,76 @@ def _link(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
 SMALL = 12
 
 
-def _links_of(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole buckets; rows of a bucket are adjacent."""
+def _links_of(keys: np.ndarray, fps: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole buckets; rows of a bucket are adjacent. `own`: at their own value, not of a ball."""
     edge = np.flatnonzero(np.r_[True, np.any(keys[1:] != keys[:-1], axis=1), True])
     size = np.diff(edge)
     a, b = [], []
     of = np.repeat(size, size)
     few = of <= SMALL
     if few.any():
-        k, f = np.repeat(np.arange(len(size)), size)[few], fps[few]
+        k, f, o = np.repeat(np.arange(len(size)), size)[few], fps[few], own[few]
         for lag in range(1, SMALL):
             if lag >= len(f):
                 break
             hit = (k[lag:] == k[:-lag]) & (np.bitwise_count(f[lag:] ^ f[:-lag]) <= distance)
-            hit &= f[lag:] != f[:-lag]
+            hit &= (f[lag:] != f[:-lag]) & (o[lag:] | o[:-lag])
             a.append(f[:-lag][hit])
             b.append(f[lag:][hit])
     for g in np.flatnonzero(size > SMALL).tolist():
-        x, y = _link(np.unique(fps[edge[g] : edge[g + 1]]), distance)
+        f, at = np.unique(fps[edge[g] : edge[g + 1]], return_index=True)
+        x, y = _link(f, own[edge[g] : edge[g + 1]][at], distance)
         a.append(np.array(x, np.uint64))
         b.append(np.array(y, np.uint64))
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.uint64),) * 2
 
 
 def _link_sorted(batches, distance: int):
-    """Links of buckets from rows (k, i, j, fp) that arrive bucket by bucket; the last bucket of a batch waits for the next."""
-    held_k, held_f = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
+    """Links of buckets from rows (k, i, j, fp, own) that arrive bucket by bucket; the last bucket of a batch waits for the next."""
+    held = [np.empty((0, 3), np.int64), np.empty(0, np.uint64), np.empty(0, bool)]
 
-    def out(k, f):
-        a, b = _links_of(k, f, distance)
+    def out(*bucket):
+        a, b = _links_of(*bucket, distance)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     for batch in batches:
-        k = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
-        f = batch.column(3).to_numpy().view(np.uint64)
-        k, f = np.concatenate([held_k, k]), np.concatenate([held_f, f])
+        new = [np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)]), batch.column(3).to_numpy().view(np.uint64), batch.column(4).to_numpy(zero_copy_only=False)]
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        k = held[0]
         if not len(k):
             continue
         done = np.flatnonzero(np.any(k[1:] != k[:-1], axis=1))
         at = done[-1] + 1 if len(done) else 0
         if at:
-            yield out(k[:at], f[:at])
-        held_k, held_f = k[at:], f[at:]
-    if len(held_k):
-        yield out(held_k, held_f)
+            yield out(*(x[:at] for x in held))
+        held = [x[at:] for x in held]
+    if len(held[0]):
+        yield out(*held)
     give_back()
 
 
-def _keys(masks: Column, value: Column, segments: int, segment: int) -> Column:
-    return F.transform(masks, lambda mask: value.bitwiseXOR(mask) * F.lit(segments) + F.lit(segment))
+def _ball(masks: Column, value: Column, segments: int, segment: int) -> Column:
+    """Keys of a ball; `own` marks the fingerprint's entry in the table, which the balls of others meet."""
+    return F.transform(masks, lambda mask: F.struct((value.bitwiseXOR(mask) * F.lit(segments) + F.lit(segment)).alias("k"), (mask == 0).alias("own")))
 
 
 def links(fps: DataFrame, count: int, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Links (a, b) among distinct fingerprints `fp`: at least a spanning forest of every group that is linked."""
     plan = segment_plan(count, BITS, distance)
-    probes = []
+    balls = []
     for s, (shift, width, radius) in enumerate(plan):
         value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
         masks = F.array(*[F.lit(x).cast("long") for x in _masks(width, radius)])
-        # two members of one bucket differ from its key in at most `radius` bits each, so all of a bucket is compared with all of it
-        probes.append(_keys(masks, value, len(plan), s))
-    keys = fps.select("fp", F.explode(F.concat(*probes)).alias("k"))
+        balls.append(_ball(masks, value, len(plan), s))
+    keys = fps.select("fp", F.explode(F.concat(*balls)).alias("x")).select("fp", "x.k", "x.own")
     sizes = cut(keys.groupBy("k").count().where(F.col("count") > block))
     if sizes.isEmpty():
-        dealt = keys.select("k", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+        dealt = keys.select("k", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "own")
     else:
-        own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        hot = keys.join(sizes.select("k", F.ceil(F.col("count") / block).cast("int").alias("n")), "k", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", own)
+        at = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+        hot = keys.join(sizes.select("k", F.ceil(F.col("count") / block).cast("int").alias("n")), "k", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("at", at)
         other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-        dealt = hot.select("k", "own", "fp", other.alias("x")).select("k", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "fp")
+        dealt = hot.select("k", "at", "fp", "own", other.alias("x")).select("k", F.least("at", "x").alias("i"), F.greatest("at", "x").alias("j"), "fp", "own")
     dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
     return dealt.mapInArrow(lambda batches: _link_sorted(batches, distance), "a long, b long")
 
