@@ -2,7 +2,9 @@
 
 Trusted positives and unlabelled text train a logistic scorer under the non-negative risk
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)]).
-The class prior is estimated from the labels' training rows. Features are byte and byte-class frequencies and
+The class prior is estimated from the positives and the unlabelled texts alone: a plain classifier tells the two apart, and
+above its best threshold, where hardly any negatives are left, the share of unlabelled texts over that of positives is
+the prior. Labels of 0 are not read. Features are byte and byte-class frequencies and
 word statistics of whole texts; id, language, source and label are never features.
 """
 
@@ -84,9 +86,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.02, decay: float = 3e-4, seed: int = 7) -> Model:
-    """Adam on the non-negative risk; where the negative part falls below zero its gradient is followed back up."""
-    prior = float(min(max(prior, 0.01), 0.99))
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
+    """The share of positives among the unlabelled rows; one half without rows of either kind.
+
+    One half of the rows trains a plain classifier of positive against unlabelled, the other half is scored. The ratio of
+    the shares above a threshold is at least the prior, whatever the threshold, and least where no negatives are left;
+    thresholds that at least `least` of the positives pass are tried.
+    """
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    model = fit(positive[::2], unlabelled[::2], 0.5, plain=True)
+    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    at = p[: max(1, int(len(p) * (1 - least)) + 1)]
+    of_p = 1 - np.searchsorted(p, at, "left") / len(p)
+    of_u = 1 - np.searchsorted(u, at, "left") / len(u)
+    return float(min(1.0, np.min(of_u / of_p)))
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """The non-negative risk of logits of positives and unlabelled rows."""
+    loss = lambda z: float(np.logaddexp(0, z).mean())
+    return prior * loss(-zp) + max(0.0, loss(zu) - prior * loss(zp))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.02, decay: float = 3e-4, seed: int = 7, plain: bool = False) -> Model:
+    """Adam on the non-negative risk; where the negative part falls below zero its gradient is followed back up.
+
+    plain: positives against unlabelled rows as if those were all negative.
+    """
+    prior = float(min(max(prior, 0.01), 0.99))  # log odds of 0 or 1 are no starting point
     every = np.concatenate([positive, unlabelled]) if len(unlabelled) else positive
     if not len(every):
         return Model(np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32), np.zeros(N_FEATURES, np.float32), 0.0, prior)
@@ -104,7 +132,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         zp, zu = bp @ w + b, bu @ w + b
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gu, gp = sigmoid(zu) / len(zu), -prior * sigmoid(zp) / len(zp)
-        if negative < 0:
+        if plain:
+            gp = (sigmoid(zp) - 1) / len(zp)
+        elif negative < 0:
             gu, gp = -gu, -gp
         else:
             gp = gp + prior * (sigmoid(zp) - 1) / len(zp)
@@ -119,28 +149,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on rows whose crc32(id as text) mod 3 is not 1.
 
     Positives: rows labelled 1, at most most_positive; unlabelled: rows with any or no label, at most
-    most_unlabelled; both by smallest hash of the id. The prior is the labelled rows' share of ones (one half
-    without labels). Null ids and null labels are left out; repeated labels of a document count once.
+    most_unlabelled; both by smallest hash of the id. The prior is estimated from these two. Null ids and labels
+    other than 1 are left out; labels and rows that share an id count once, the row by its features.
     """
     train_fold = crc_remainder(F.col("doc_id"), FOLDS) != HELD_OUT
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(train_fold & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    found = marks.agg(F.avg("y")).first()[0]
-    prior = 0.5 if found is None else float(found)
-    ids = docs.select(F.col(id_col).alias("doc_id"))
+    trusted = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(train_fold & (F.col("y") == 1)).select("doc_id").distinct()
+    ids = docs.select(F.col(id_col).alias("doc_id")).where(train_fold)
     by = F.xxhash64("doc_id", F.lit(17))
-    positive = marks.where("y = 1").join(ids, "doc_id", "left_semi").orderBy(by, "doc_id").limit(most_positive).select("doc_id", F.lit(1).alias("y"))
-    unlabelled = ids.where(train_fold).orderBy(by, "doc_id").limit(most_unlabelled).select("doc_id", F.lit(0).alias("y")).distinct()
+    positive = trusted.join(ids, "doc_id", "left_semi").orderBy(by, "doc_id").limit(most_positive).select("doc_id", F.lit(1).alias("y"))
+    unlabelled = ids.distinct().orderBy(by, "doc_id").limit(most_unlabelled).select("doc_id", F.lit(0).alias("y"))
     picked = positive.unionByName(unlabelled)  # at most most_positive + most_unlabelled rows of two numbers
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "doc_id")
-    x = map_texts(rows, F.col("t"), {"y": F.col("y")}, "x array<float>", lambda: lambda c: [_lists(features(c))])
-    got = x.toArrow()
+    x = map_texts(rows, F.col("t"), {"doc_id": F.col("doc_id"), "y": F.col("y")}, "x array<float>", lambda: lambda c: [_lists(features(c))])
+    got = x.groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("y", "x").toArrow()  # a row for each of picked at most
     y = got.column("y").to_numpy()
     flat = got.column("x").combine_chunks()
     values = flat.flatten() if len(flat) else pa.array([], pa.float32())
     matrix = np.asarray(values, np.float32).reshape(-1, N_FEATURES)
     order = np.lexsort((matrix[:, 0], matrix[:, -13], y)) if len(y) else np.empty(0, int)  # whatever order tasks ended in
     matrix, y = matrix[order], y[order]
-    return fit(matrix[y == 1], matrix[y == 0], prior)
+    shuffled = np.random.default_rng(3).permutation(len(y))
+    matrix, y = matrix[shuffled], y[shuffled]
+    return fit(matrix[y == 1], matrix[y == 0], estimate_prior(matrix[y == 1], matrix[y == 0]))
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -156,7 +186,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row for each row of `docs`: doc_id, held_out, score, predicted (1 where score >= 0.5).
 
     held_out is crc32(doc_id as text) mod 3 = 1, null for a null id. Null and empty texts are scored as empty ones.
-    Without labels or documents every score is the prior. Repeated rows are each returned; columns but id and
+    Without positives or documents every score is one half, the prior then. Repeated rows are each returned; columns but id and
     text are not read.
     """
     model = train(docs, labels, id_col, text_col, **options)
@@ -165,6 +195,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that the classifier accepts, with all their columns."""
+    """The rows of `docs` that the classifier accepts (score >= 0.5), with all their columns.
+
+    Null and empty texts are judged as empty ones, rows without an id and repeated rows like any other. Without
+    positives all rows stay; an empty table gives an empty result.
+    """
     model = train(docs, labels, text_col=text_col, **options)
     return score(docs, model, {"row": F.struct("*")}, F.col(text_col)).where("score >= 0.5").select("row.*")

@@ -93,6 +93,93 @@ def test_remove_spans(spark):
     assert [tuple(r) for r in decontaminate.remove_spans(d, bench).orderBy("doc_id").collect()] == [(1, "The ; jumps", 5), (2, None, 6), (3, "fine", 7)]
 
 
+def test_remove_spans_of_odd_rows(spark, sf_dir, docs, pairs):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string").unionByName(table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    items = [WORD.findall(lower(r.text)) for r in bench.collect()]
+
+    def cut(text):
+        if text is None:
+            return None
+        words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(lower(text))]
+        only, hit = [w for *_, w in words], np.zeros(len(words), bool)
+        runs = []
+        for own in items:
+            n = min(13, len(own))
+            wanted = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
+            runs += [(i, i + n) for i in range(len(only) - n + 1) if tuple(only[i : i + n]) in wanted] if n else []
+        out, at, upto = "", 0, 0
+        merged = []
+        for a, b in sorted(runs):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            out += text[at : words[a][0]]
+            at = words[b - 1][1]
+        return out + text[at:]
+
+    got = decontaminate.remove_spans(docs, bench)
+    assert got.columns == docs.columns
+    want = Counter((i, cut(t)) for i, t in pairs)
+    assert rows(got, "doc_id", "text") == want and any(t != c for (_, t), c in zip(pairs, (cut(t) for _, t in pairs), strict=True))
+
+
+# --- words
+
+
+def thue_morse(n):
+    """Words of n letters that a polynomial modulo a power of two does not tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_confuse(spark):
+    from quern.llm import bpe
+
+    words = [w for n in (1024, 2048) for w in thue_morse(n)]
+    texts = [f"word {w}" for w in words] + words
+    own, whole = bpe.Encoder(queries.tokenizer_path("byte_bpe_50k.json")), library()
+    for _ in range(2):
+        ids, sizes = own.encode_column(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in whole(t)]
+    train, held = (next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1) == h) for h in (False, True))
+    for a, b in (words[:2], words[2:]):
+        d = spark.createDataFrame([(train, f"the {a}"), (held, f"the {b}")], "doc_id long, text string")
+        assert {r.doc_id: r.n_known for r in lm.score(d).collect()} == {train: 3, held: 2}
+        got = tokencount.document_tokens(d, queries.tokenizer_path("byte_bpe_50k.json"))
+        assert rows(got, "doc_id", "n_tokens") == Counter([(train, len(whole(f"the {a}"))), (held, len(whole(f"the {b}")))])
+        got = licenses.scan(d, templates={"notice:x": f"the {a}"}, phrases={})
+        assert rows(got, "doc_id", "labels") == Counter([(train, "notice:x"), (held, "")])
+
+
+def test_words_of_one_hash(monkeypatch):
+    """The encoder's table keeps words apart whose hashes are equal."""
+    from quern.llm import bpe
+
+    true = bpe.word_keys
+    monkeypatch.setattr(bpe, "word_keys", lambda *x: true(*x) & np.uint64(3))
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 60)
+    own, whole = bpe.Encoder(queries.tokenizer_path("byte_bpe_50k.json")), library()
+    texts = [" ".join(f"w{i * j % 17}ord{'x' * (j % 30)}" for j in range(1, 40)) for i in range(1, 30)]
+    for i in range(0, len(texts), 7):
+        ids, _ = own.encode_column(pa.array(texts[i : i + 7]))
+        assert ids.tolist() == [x for t in texts[i : i + 7] for x in whole(t)]
+
+
+def test_word_hashes_are_all_different():
+    from quern.llm.common import SOLID as INSIDE
+    from quern.llm.common import word_hashes, word_spans
+
+    rng = np.random.default_rng(1)
+    words = {bytes(rng.integers(97, 101, size=n, dtype=np.uint8)) for n in (1, 2, 5, 7, 8, 9, 15, 16, 17, 40) for _ in range(4000)}
+    data = np.frombuffer(b" ".join(sorted(words)), np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]), INSIDE)
+    h = word_hashes(data, starts, ends)
+    assert len(np.unique(h)) == len(words)
+    assert ((h & np.uint64(1) == 0) == (ends - starts < 8)).all()
+
+
 # --- SimHash
 
 
@@ -313,6 +400,44 @@ def test_held_out_labels_do_not_matter(spark, sf_dir):
     assert rows(quality.classify(d, labels), "doc_id", "score") == rows(quality.classify(d, turned), "doc_id", "score")
 
 
+def test_prior_is_found_without_negatives():
+    rng = np.random.default_rng(4)
+    for prior in (0.2, 0.5, 0.85):
+        positive = rng.normal(1.5, 1, (3000, 5))
+        real = rng.random(6000) < prior
+        unlabelled = np.where(real[:, None], rng.normal(1.5, 1, (6000, 5)), rng.normal(-1.5, 1, (6000, 5)))
+        assert abs(quality.estimate_prior(positive, unlabelled) - prior) < 0.05
+    assert quality.estimate_prior(positive[:2], unlabelled) == 0.5
+
+
+def test_fit_minimises_the_non_negative_risk():
+    """By the formula on the rows, no other weights near the fitted ones, nor those of random search, have a clearly lower risk."""
+    rng = np.random.default_rng(6)
+    prior, positive = 0.6, rng.normal(1, 1, (400, 2)).astype(np.float32)
+    unlabelled = np.concatenate([rng.normal(1, 1, (480, 2)), rng.normal(-1, 1, (320, 2))]).astype(np.float32)
+    model = quality.fit(positive, unlabelled, prior, steps=3000, decay=0.0)
+
+    def brute(w, b):
+        logit = lambda x: float(((x - model.mean) * model.scale) @ w + b)
+        p, u = [logit(x) for x in positive], [logit(x) for x in unlabelled]
+        mean = lambda v: sum(v) / len(v)
+        loss = lambda z: float(np.log1p(np.exp(-abs(z))) + max(-z, 0))
+        return prior * mean([loss(z) for z in p]) + max(0.0, mean([loss(-z) for z in u]) - prior * mean([loss(-z) for z in p]))
+
+    z = lambda x: ((x - model.mean) * model.scale) @ model.weights + model.bias
+    own = brute(model.weights, model.bias)
+    assert abs(own - quality.risk(z(positive), z(unlabelled), prior)) < 1e-5
+    others = [brute(model.weights + d[:2], model.bias + d[2]) for d in rng.normal(0, 0.3, (20, 3))] + [brute(d[:2], d[2]) for d in rng.normal(0, 3, (40, 3))]
+    assert own < min(others) + 0.01
+
+
+def test_one_row_of_a_repeated_id_is_learnt_from(spark, sf_dir):
+    d, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    again = d.unionByName(d.where("doc_id < 30")).unionByName(d.where("doc_id < 30"))
+    once, often = (dict(rows(quality.classify(x, labels), "doc_id", "score").keys()) for x in (d, again))
+    assert once.keys() == often.keys() and all(abs(once[k] - often[k]) < 1e-6 for k in once)  # float32 sums follow the batch
+
+
 # --- token files and counts
 
 
@@ -347,6 +472,25 @@ def test_token_files(spark, docs, pairs):
     assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().executedPlan().toString()
 
 
+def test_footers_hold_indexes_blooms_and_run_lengths(spark, docs):
+    path = shared_path(spark, "t")
+    tokenfiles.write_tokens(docs, path, queries.tokenizer_path("byte_bpe_50k.json"), partitions=2)
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    files = [f.getPath() for f in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.getPath().getName().endswith(".orc")]
+    assert files
+    for file in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(file, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        read = reader.rows()
+        for stripe in reader.getStripes():
+            footer = read.readStripeFooter(stripe)
+            streams = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            assert (1, "ROW_INDEX") in streams and (1, "BLOOM_FILTER_UTF8") in streams
+            assert footer.getColumns(1).getKind().toString() == "DIRECT_V2" and footer.getColumns(footer.getColumnsCount() - 1).getKind().toString() == "DIRECT_V2"
+        read.close()
+
+
 def test_token_files_of_nothing(spark, docs):
     path = shared_path(spark, "t")
     tokenfiles.write_tokens(docs.limit(0), path, queries.tokenizer_path("byte_bpe_50k.json"))
