@@ -14,7 +14,10 @@ SECTIONS_SQL = "sections as (select doc_id ord, 'doc/' || doc_id path, left(text
 LOG_SQL = """log as (select event_id seq, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' ts, 'agent' || (user_id % 5) agent, event_type event, '/p' || (user_id % 3) cwd, cast(user_id as varchar) session,
   case when event_id % 4 = 0 then 'tool' || (event_id % 3) end tool, case when event_id % 5 > 0 then '/home/u/f' || (event_id % 11) || '.ts' end path, case when event_id % 6 = 0 then 'did ' || event_type end summary from events)"""
 STRATEGIES_SQL = "strategies as (select event_id seq, 's' || (user_id % 7) as name, cast(user_id as varchar) agent_id, event_id % 3 generation, event_type category, value > 20 success, event_id % 5 b, event_id % 7 a, value duration from events)"
-PROPOSALS_SQL = "proposals as (select doc_id seq, 'knowledge/' || source || '-notes.md' section, case when doc_id % 15 = 0 then 'update' else 'append' end operation, case when doc_id % 11 = 0 then '' else left(text, 50) end content, left(text, 80) rationale, doc_id % 4 generation, lang agent_id from documents)"
+#: Documents of a source, so many ids to a file: no file is a third of all texts because a source is.
+FILE_IDS = 20
+FILE_SQL = f"source || '-' || (doc_id // {FILE_IDS})"
+PROPOSALS_SQL = f"proposals as (select doc_id seq, 'knowledge/' || {FILE_SQL} || '-notes.md' section, case when doc_id % 15 = 0 then 'update' else 'append' end operation, case when doc_id % 11 = 0 then '' else text end content, text rationale, doc_id % 4 generation, lang agent_id from documents)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +52,15 @@ def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit(CORPUS).alias("corpus_id"), i.alias("seq"), F.concat(F.lit("s"), (u % 7).cast("string")).alias("name"), u.cast("string").alias("agent_id"), (i % 3).alias("generation"), F.col("event_type").alias("category"), outcome.alias("outcome"))
 
 
+def file_of() -> Column:
+    return F.concat("source", F.lit("-"), F.expr(f"doc_id div {FILE_IDS}"))
+
+
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     return d.select(
-        F.lit(CORPUS).alias("corpus_id"), i.alias("seq"), F.col("lang").alias("agent_id"), F.concat(F.lit("knowledge/"), "source", F.lit("-notes.md")).alias("section"), F.when(i % 15 == 0, "update").otherwise("append").alias("operation"),
-        F.when(i % 11 == 0, "").otherwise(F.left("text", F.lit(50))).alias("content"), F.left("text", F.lit(80)).alias("rationale"), (i % 4).alias("generation"),
+        F.lit(CORPUS).alias("corpus_id"), i.alias("seq"), F.col("lang").alias("agent_id"), F.concat(F.lit("knowledge/"), file_of(), F.lit("-notes.md")).alias("section"), F.when(i % 15 == 0, "update").otherwise("append").alias("operation"),
+        F.when(i % 11 == 0, "").otherwise(F.col("text")).alias("content"), F.col("text").alias("rationale"), (i % 4).alias("generation"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -162,9 +162,9 @@ kept as (select *, case when cum > max_tokens then max_tokens - used else full_
 filled as (select query_id, path, ord, round(score, 6) score, cast(tk as bigint) tokens, case when cum > max_tokens then left(content, cast(tk * 4 as bigint)) || chr(10) || chr(10) || '[... section truncated ...]' else content end content from kept join sections using (path, ord))"""
 
 
-@query(f"with {M.SECTIONS_SQL} select ord doc_id, term, count(*) n from (select ord, unnest({_terms('title')}) term from sections) group by all")
+@query(f"select doc_id, term, count(*) n from (select doc_id, unnest({_terms('text')}) term from documents) group by all")
 def tokenize_terms(spark, sf):
-    s = M.sections(spark, sf).select(F.col("ord").alias("doc_id"), F.explode(T.terms(F.col("title"))).alias("term"))
+    s = M.table(spark, sf, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
     return s.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
@@ -291,36 +291,40 @@ def total_tokens(spark, sf):
     return corpus.total_tokens(s, "corpus_id")
 
 
-@query("""with s as (select doc_id ord, 'doc/' || doc_id path, left(text, 60) title, text content, cast(ceil(length(text) / 4.0) as bigint) tokens from documents where doc_id % 2 = 0),
-w as (select 'doc/' || doc_id path, 'new' title, left(text, 100) content, doc_id from documents where doc_id % 3 = 0)
+@query("""with s as (select doc_id ord, 'doc/' || doc_id path, left(text, 60) title, text content, cast(ceil(length(text) / 4.0) as bigint) tokens from documents where lang <> 'de'),
+w as (select 'doc/' || doc_id path, 'new' title, text || '!' content, lang from documents where lang <> 'en')
 select s.ord, path, coalesce(w.title, s.title) title, md5(coalesce(w.content, s.content)) content_md5, case when w.path is null then tokens else cast(ceil(length(w.content) / 4.0) as bigint) end tokens from s left join w using (path)
-union all select (select max(ord) from s) + row_number() over (order by path), path, title, md5(content), cast(ceil(length(content) / 4.0) as bigint) from w where doc_id % 2 = 1""")
+union all select (select max(ord) from s) + row_number() over (order by path), path, title, md5(content), cast(ceil(length(content) / 4.0) as bigint) from w where lang = 'de'""")
 def upsert_sections(spark, sf):
-    s = M.sections(spark, sf)
-    written = s.where("ord % 3 = 0").select("corpus_id", "path", F.lit("new").alias("title"), "summary", "tags", F.left("content", F.lit(100)).alias("content"))
-    return corpus.upsert(s.where("ord % 2 = 0"), written, "now").select("ord", "path", "title", F.md5("content").alias("content_md5"), "tokens")
+    """Texts in German are new, those in English stay, all others are written over."""
+    s = M.sections(spark, sf).withColumn("lang", F.col("tags")[0])
+    written = s.where("lang <> 'en'").select("corpus_id", "path", F.lit("new").alias("title"), "summary", "tags", F.concat("content", F.lit("!")).alias("content"))
+    return corpus.upsert(s.where("lang <> 'de'").drop("lang"), written, "now").select("ord", "path", "title", F.md5("content").alias("content_md5"), "tokens")
+
+
+def _markdown(spark, sf, head: Column, end: str) -> DataFrame:
+    """(corpus_id, b): the documents of a file as sections of one text, in order."""
+    part = F.concat(head, F.lit(end), F.translate("text", "\n", " "))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "p"))), lambda x: x["p"]), end)
+    return M.table(spark, sf, "documents").withColumn("p", part).groupBy(M.file_of().alias("corpus_id")).agg(body.alias("b"))
 
 
-@query(r"""with f as (select source corpus_id, '# T' || chr(10) || chr(10) || 'about ' || source || chr(10) || string_agg('## ' || case doc_id % 4 when 0 then 'Architecture' when 1 then 'Commands' when 2 then 'Key Directories' else 'Other ' || doc_id end || chr(10) || left(replace(text, chr(10), ' '), 40), chr(10) order by doc_id) text from documents group by source),
-r as (select source corpus_id, doc_id, doc_id % 4 k, trim(left(replace(text, chr(10), ' '), 40)) body from documents)
-select corpus_id, 'about ' || corpus_id description, (select body from r where r.corpus_id = f.corpus_id and doc_id = (select max(doc_id) from r x where x.corpus_id = f.corpus_id and k in (0, 2) and k = (select k from r y where y.corpus_id = f.corpus_id and k in (0, 2) group by k order by min(doc_id) desc limit 1))) architecture,
- (select body from r where r.corpus_id = f.corpus_id and k = 1 order by doc_id desc limit 1) commands from f""")
+_KINDS = ["Architecture", "Commands", "Key Directories"]
+
+
+@query(rf"""with r as (select {M.FILE_SQL} corpus_id, doc_id, doc_id % 4 k, regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g') body from documents),
+f as (select corpus_id, min(doc_id) filter (k = 0) a0, min(doc_id) filter (k = 2) a2, max(doc_id) filter (k = 0) b0, max(doc_id) filter (k = 2) b2, max(doc_id) filter (k = 1) b1 from r group by corpus_id)
+select corpus_id, 'about ' || corpus_id description, (select body from r where r.corpus_id = f.corpus_id and doc_id = case when a0 is null or a2 > a0 then b2 else b0 end) architecture, (select body from r where r.corpus_id = f.corpus_id and doc_id = b1) commands from f""")
 def markdown_migrate(spark, sf):
     """Of two matching headers the one counts that came up later; of its repeats, the last text."""
-    d = M.table(spark, sf, "documents")
-    kind = F.element_at(F.array(F.lit("Architecture"), F.lit("Commands"), F.lit("Key Directories"), F.concat(F.lit("Other "), "doc_id")), (F.col("doc_id") % 4 + 1).cast("int"))
-    part = F.concat(F.lit("## "), kind, F.lit("\n"), F.left(F.translate("text", "\n", " "), F.lit(40)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "p"))), lambda x: x["p"]), "\n")
-    files = d.withColumn("p", part).groupBy(F.col("source").alias("corpus_id")).agg(body.alias("b")).select("corpus_id", F.concat(F.lit("# T\n\nabout "), "corpus_id", F.lit("\n"), "b").alias("text"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS), F.concat(F.lit("Other "), "doc_id")), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = _markdown(spark, sf, F.concat(F.lit("## "), kind), "\n").select("corpus_id", F.concat(F.lit("# T\n\nabout "), "corpus_id", F.lit("\n"), "b").alias("text"))
     return corpus.migrate(files)
 
 
-@query("select source corpus_id, 'other ' || doc_id header, trim(left(replace(text, chr(10), ' '), 40)) body from documents")
+@query(rf"select {M.FILE_SQL} corpus_id, 'other ' || doc_id header, regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g') body from documents")
 def markdown_sections(spark, sf):
-    d = M.table(spark, sf, "documents")
-    part = F.concat(F.lit("##  Other "), "doc_id", F.lit("\r\n"), F.left(F.translate("text", "\n", " "), F.lit(40)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "p"))), lambda x: x["p"]), "\r\n")
-    files = d.withColumn("p", part).groupBy(F.col("source").alias("corpus_id")).agg(F.concat(F.lit("lost\n"), body).alias("text"))
+    files = _markdown(spark, sf, F.concat(F.lit("##  Other "), "doc_id"), "\r\n").select("corpus_id", F.concat(F.lit("lost\n"), "b").alias("text"))
     return corpus.markdown_sections(files).select("corpus_id", "header", "body")
 
 
@@ -443,7 +447,7 @@ def consolidate_fold(spark, sf):
     return proposals.fold(p, _sections_for(p)).select("section", F.md5("content").alias("content_md5"), "applied")
 
 
-@query(f"with {M.PROPOSALS_SQL} select section, operation, '[' || operation || '] ' || content diff from proposals where generation = 2")
+@query(f"with {M.PROPOSALS_SQL} select section, operation, '[' || operation || '] ' || left(content, 500) diff from proposals where generation = 2")
 def mutations_by_generation(spark, sf):
     return proposals.of_generation(proposals.mutations(M.proposals(spark, sf), "now"), 2).select("section", "operation", "diff")
 
@@ -584,17 +588,31 @@ def window_stats(spark, sf):
     return got.withColumn("utilization", F.round("utilization", 9))
 
 
-@query("""with c as (select *, case when count(*) over (partition by conv_id) > 2 then sum(length(text)) over (partition by conv_id) else 0 end total, row_number() over (partition by conv_id order by turn desc) rd from conversations)
-select conv_id, turn, role, text from c where 1.0 * cast(ceil(total / 4.0) as bigint) / 400 < 0.75 or rd <= 2
-union all select conv_id, 0, 'user', '""" + _HEAD_SQL + """S' from (select distinct conv_id, total from c) where 1.0 * cast(ceil(total / 4.0) as bigint) / 400 >= 0.75
-union all select conv_id, 1, 'assistant', '""" + compaction.SUMMARY_ANSWER + """' from (select distinct conv_id, total from c) where 1.0 * cast(ceil(total / 4.0) as bigint) / 400 >= 0.75""")
+@query("""with m as (select conv_id, turn, case when tool then 'user' else role end as role, case when tool then null when short then 'ok' else text end as text, case when tool then result end content, not tool and short short from
+  (select *, turn % 6 = 2 tool, role = 'assistant' and turn % 5 = 3 short, repeat(text || ' ', 30) result from conversations)),
+s as (select * replace (case when length(content) > 2000 then left(content, 800) || chr(10) || chr(10) || '[... truncated ...]' || chr(10) || chr(10) || right(content, 800) else content end as content) from m),
+z as (select *, length(coalesce(text, content)) n from s),
+first as (select *, ceil(sum(n) over (partition by conv_id) / 4.0) / 600 >= 0.75 over_, row_number() over (partition by conv_id order by turn desc) rd, left(content, 200) h from z),
+o as (select *, sum(case when short then 0 else 1 end) over (partition by conv_id order by turn rows unbounded preceding) g from first where over_ and rd > 5),
+r as (select *, sum(short::int) over (partition by conv_id, g) run from o),
+d as (select *, lag(short, 1, false) over (partition by conv_id order by turn) ps, lag(run, 1, 0) over (partition by conv_id order by turn) pn from r),
+k as (select * from d where not short and not (ps and pn % 2 = 1)),
+t as (select *, lag(h, 1, '') over (partition by conv_id, h is null order by turn) ph from k),
+col as (select conv_id, turn, role, text, content, n from t where h is null or h <> ph union all select conv_id, turn, role, text, content, n from first where over_ and rd <= 5),
+second as (select *, ceil(sum(n) over (partition by conv_id) / 4.0) / 600 >= 0.75 still, row_number() over (partition by conv_id order by turn desc) rd, count(*) over (partition by conv_id) left_ from col),
+every as (select conv_id, turn, role, text, content from first where not over_ union all select conv_id, turn, role, text, content from second where not still or left_ <= 2
+union all select conv_id, 1 + row_number() over (partition by conv_id order by turn), role, text, content from second where still and left_ > 2 and rd <= 2
+union all select distinct conv_id, 0, 'user', '""" + _HEAD_SQL + """S', null from second where still and left_ > 2
+union all select distinct conv_id, 1, 'assistant', '""" + compaction.SUMMARY_ANSWER + """', null from second where still and left_ > 2)
+select conv_id, turn, role, text, md5(content) content_md5 from every""")
 def compact_windows(spark, sf):
-    """Texts hold no short answers, so windows over the threshold go straight to the summary; turns of what stays are those they had."""
-    m = M.messages(spark, sf)
-    got = compaction.compact_window(m, lambda system, prompt: "S", compaction.WindowConfig(max_tokens=400, recent_message_count=2))
-    old = m.select("conv_id", "role", "text", F.col("turn").alias("_t"))
-    back = got.select("conv_id", "turn", "role", "text").join(old, ["conv_id", "role", "text"], "left")
-    return back.select("conv_id", F.coalesce("_t", "turn").alias("turn"), "role", "text").distinct()
+    """Some answers are short and some messages long tool results, so that windows are snipped, collapsed and then summarised."""
+    c, turn = M.table(spark, sf, "conversations"), F.col("turn")
+    tool, short = turn % 6 == 2, (F.col("role") == "assistant") & (turn % 5 == 3)
+    result = F.array(M.block(type=F.lit("tool_result"), content=F.repeat(F.concat("text", F.lit(" ")), F.lit(30))))
+    m = c.select("conv_id", "turn", F.when(tool, "user").otherwise(F.col("role")).alias("role"), F.when(tool, None).when(short, "ok").otherwise(F.col("text")).alias("text"), F.when(tool, result).alias("blocks"))
+    got = compaction.compact_window(m, lambda system, prompt: "S", compaction.WindowConfig(max_tokens=600, recent_message_count=2))
+    return got.select("conv_id", "turn", "role", "text", F.md5(F.expr("blocks[0].content")).alias("content_md5"))
 
 
 @query(f"with {_SCORE_SQL}, cand as (select s.*, max_tokens, tokens full_ from scored s join q using (query_id) join sections using (path, ord)), {_PACK_SQL} select query_id, 25 priority, cast(sum(tokens) as bigint) tokens from filled group by query_id")
@@ -602,9 +620,14 @@ def inject_tokens(spark, sf):
     return retrieval.inject(M.sections(spark, sf), M.queries_of(spark, _ASKED)).select(F.col("query_id").cast("int").alias("query_id"), "priority", "tokens")
 
 
-@query("select 'docs' corpus_id, count(*) filter (doc_id % 3 = 0 or doc_id % 7 = 0) updated, count(*) filter (doc_id % 3 <> 0 and doc_id % 7 <> 0) skipped, 0 failed from documents")
+@query("select 'docs' corpus_id, count(*) filter (stale and doc_id % 5 > 0) updated, count(*) filter (not stale) skipped, count(*) filter (stale and doc_id % 5 = 0) failed from (select *, doc_id % 3 = 0 or doc_id % 7 = 0 stale from documents)")
 def embedding_counters(spark, sf):
-    return embeddings.refresh(M.sections(spark, sf), _old_cache(spark, sf), lambda x: [1.0], "now")[1]
+    """Texts whose id is divisible by five have no vector."""
+    s = M.sections(spark, sf)
+    none = F.when(F.col("ord") % 5 == 0, F.concat("content", F.lit("\u0000"))).otherwise(F.col("content"))
+    old = _old_cache(spark, sf).join(s.select("path", F.when(F.md5("content") != F.md5(none), F.md5(none)).alias("new"), F.md5("content").alias("own")), "path", "left")
+    old = old.withColumn("content_hash", F.when(F.col("new").isNotNull() & (F.col("content_hash") == F.col("own")), F.col("new")).otherwise(F.col("content_hash"))).drop("new", "own")
+    return embeddings.refresh(s.withColumn("content", none), old, lambda x: None if x.endswith("\u0000") else [1.0], "now")[1]
 
 
 @query("select conv_id stream_id, coalesce(string_agg(text, '' order by turn) filter (turn % 3 > 0), '') as text from conversations group by conv_id")
@@ -645,18 +668,18 @@ def document_roundtrip(spark, sf):
     return out
 
 
-@query("select conv_id, count(*) message_count, cast(ceil(sum(length(text)) / 4.0) as bigint) used_tokens, 0 compactions from conversations group by conv_id")
+@query()
 def stream_context_windows(spark, sf):
-    """Conversations as a stream into keyed state, with room for all of them; the last state of each."""
+    """Conversations as a stream into keyed state, with windows that most of them fill; the last state of each. SQL cannot
+    follow a window through its summaries; a test does in plain Python."""
     source, sink = shared_path(spark, "messages"), shared_path(spark, "windows")
     schema = "conv_id long, turn long, role string, text string, tool boolean"
-    M.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.lit(False).alias("tool")).write.parquet(source)
-    stream = context_window.context_windows(spark.readStream.schema(schema).parquet(source), compaction.WindowConfig(max_tokens=10**9))
-    kept = stream.drop("messages")
-    q = kept.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "state")).trigger(availableNow=True).foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(sink)).start()
+    M.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", (F.col("turn") % 6 == 2).alias("tool")).write.parquet(source)
+    stream = context_window.context_windows(spark.readStream.schema(schema).parquet(source), compaction.WindowConfig(max_tokens=400, recent_message_count=2), lambda system, prompt: f"S{len(prompt)}")
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "state")).trigger(availableNow=True).foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(sink)).start()
     q.awaitTermination()
-    got = spark.read.parquet(sink)
-    return got.groupBy("conv_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("message_count", "used_tokens", "compactions")])
+    got = spark.read.parquet(sink).groupBy("conv_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("message_count", "used_tokens", "compactions", "messages")])
+    return got.withColumn("messages", F.md5("messages"))
 
 
 @query("""with s as (select c_custkey k, c_custkey % 3 d from customer) select cast(k as varchar) corpus_id, cast(case d when 0 then 0.3 when 1 then 0.5 else 1 end as double) milestone, cast(round(coalesce(least(1, n / 10.0), 0), 6) as double) cost, cast(0.5 as double) tests
