@@ -128,6 +128,26 @@ def canonical_json(c: Column | str) -> Column:
     return F.udf(minified, "string")(c)
 
 
+_STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "allowUnquotedFieldNames": "false"}
+#: A field behind the value holds the line's hash, which tells that the value ended where the line does.
+_END = "end of line"
+
+
+def strict_json(line: Column, schema: T.StructType) -> Column:
+    """A line's JSON as `v` of the schema, null for other values than objects; see `is_json`. The last of repeated keys wins.
+
+    The line stands twice, once in an array: what is no single value cannot be well-formed in both places.
+    """
+    whole = T.StructType([T.StructField("v", schema), T.StructField("w", T.ArrayType(T.StringType())), T.StructField(_END, T.LongType())])
+    some = F.trim(F.regexp_replace(line, "\r$", "")) != ""
+    return F.from_json(F.when(some, F.concat(F.lit('{"v":'), line, F.lit(',"w":['), line, F.lit(f'],"{_END}":'), F.xxhash64(line).cast("string"), F.lit("}"))), whole, _STRICT)
+
+
+def is_json(parsed: Column, line: Column) -> Column:
+    """Whether the line that `strict_json` parsed was JSON and nothing else."""
+    return F.coalesce((parsed[_END] == F.xxhash64(line)) & (F.size(parsed["w"]) == 1), F.lit(False))
+
+
 def semver(c: Column) -> Column:
     """(major, minor, patch) of a name that starts with such; zeros otherwise."""
     part = lambda i: F.coalesce(F.regexp_extract(c, r"^(\d+)\.(\d+)\.(\d+)", i).try_cast("int"), F.lit(0))

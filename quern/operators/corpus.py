@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern import schemas
 from quern.functions.text import estimate, trim
+from quern.session import checkpoint_root
 
 MAX_HOPS = 20
 
@@ -47,6 +48,32 @@ def find_root(starts: DataFrame, corpora: DataFrame, hops: int = MAX_HOPS) -> Da
     return starts.select("start").join(found, "start", "left")
 
 
+#: A corpus's folder within its project, and files in it.
+FOLDER = ".quern/corpus"
+FILES = {"manifest": "manifest.json", "pending": "evolution/pending.jsonl", "mutations": "evolution/mutations.jsonl", "embeddings": "evolution/embeddings.json"}
+
+
+def file_path(project: Column, name: str) -> Column:
+    """Path of one of the corpus's own FILES."""
+    return F.concat(project, F.lit(f"/{FOLDER}/{FILES[name]}"))
+
+
+def section_path(project: Column, path: Column) -> Column:
+    """Path of a section's text; an error if it would leave the corpus."""
+    bad = F.raise_error(F.concat(F.lit("path escapes corpus directory: "), path)).cast("string")
+    return F.when(stays_inside(path), F.concat(project, F.lit(f"/{FOLDER}/"), normalized(path))).otherwise(bad)
+
+
+def _numbered(keys: DataFrame) -> DataFrame:
+    """Rows (corpus_id, path) with their place `_r` within the corpus in path order, counted in ranges, so that no task has a whole corpus."""
+    checkpoint_root(keys.sparkSession)
+    ranged = keys.repartitionByRange("corpus_id", "path").withColumn("_b", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("corpus_id", "_b").count()  # a row for each range and corpus in it
+    before = F.coalesce(F.sum("count").over(W.partitionBy("corpus_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("corpus_id", "_b").orderBy("path"))
+    return ranged.withColumn("_p", place).join(sizes.select("corpus_id", "_b", before.alias("_before")), ["corpus_id", "_b"]).select("corpus_id", "path", (F.col("_before") + F.col("_p")).alias("_r"))
+
+
 def upsert(sections: DataFrame, written: DataFrame, now: str) -> DataFrame:
     """Sections after writing rows (corpus_id, path, title, summary, tags, content): known paths are replaced in place, new ones follow in path order.
 
@@ -60,9 +87,9 @@ def upsert(sections: DataFrame, written: DataFrame, now: str) -> DataFrame:
     both = sections.join(new, ["corpus_id", "path"], "full")
     fresh = F.coalesce("_new", F.lit(False))
     end = sections.groupBy("corpus_id").agg(F.max("ord").alias("_end"))
-    both = both.join(end, "corpus_id", "left")
-    place = F.row_number().over(W.partitionBy("corpus_id", F.col("ord").isNull()).orderBy("path"))
-    both = both.withColumn("ord", F.coalesce("ord", F.coalesce("_end", F.lit(-1)) + place).cast("long"))
+    added = _numbered(new.select("corpus_id", "path").join(sections.select("corpus_id", "path"), ["corpus_id", "path"], "left_anti").distinct())
+    both = both.join(end, "corpus_id", "left").join(added, ["corpus_id", "path"], "left")
+    both = both.withColumn("ord", F.coalesce("ord", F.coalesce("_end", F.lit(-1)) + F.col("_r")).cast("long"))
     for c in fields:
         both = both.withColumn(c, F.when(fresh, F.col(f"_{c}")).otherwise(F.col(c)))
     both = both.withColumn("tokens", F.when(fresh, estimate(F.col("content"))).otherwise(F.col("tokens"))).withColumn("updated_at", F.when(fresh, F.lit(now)).otherwise(F.col("updated_at")))
@@ -93,20 +120,20 @@ def bootstrap(spark: SparkSession, corpus_id: str, options: InitOptions, now: st
     o = options
     # Path, title, summary, tags, text of the first sections, in their order.
     rows = [
-        ("vision/north-star.md", "North Star Vision", "Ultimate end-state vision for the project", "vision north-star goal purpose", f"# North Star\n\n{o.vision}\n"),
-        ("vision/architecture.md", "Architecture", "System architecture decisions and design", "vision architecture design system", "# Architecture\n\nArchitectural decisions and system design will be documented here as agents discover and refine the optimal approach.\n"),
-        ("vision/principles.md", "Design Principles", "Core design principles and constraints", "vision principles constraints rules", list_section("Design Principles", "Core principles will be documented here as the project evolves.", o.principles)),
-        ("vision/anti-patterns.md", "Anti-Patterns", "Approaches to avoid, learned from failures", "vision anti-patterns avoid failures lessons", list_section("Anti-Patterns", "Approaches to avoid will be documented here as agents learn from failures.", o.anti_patterns)),
-        ("milestones/current.md", "Current Milestone", o.milestone, "milestone current active", f"# {o.milestone}\n\nStatus: In Progress\nGeneration: 1\n\n## Success Criteria\n\n- [ ] Define success criteria for this milestone\n"),
-        ("milestones/backlog.md", "Milestone Backlog", "Future milestones ordered by priority", "milestone backlog future planning", "# Milestone Backlog\n\nFuture milestones will be added here as the project evolves.\n"),
-        ("strategies/active.md", "Active Strategies", "Currently winning development approaches", "strategies active current methodology", "# Active Strategies\n\nDevelopment approaches that have proven effective.\n\n- Explore existing codebase patterns before writing new code\n- Write tests alongside implementation\n- Keep changes small and reviewable\n"),
-        ("strategies/graveyard.md", "Strategy Graveyard", "Failed approaches with post-mortems", "strategies graveyard failed lessons", "# Strategy Graveyard\n\nFailed approaches and why they didn't work.\n"),
-        ("strategies/experiments.md", "Experimental Strategies", "Approaches being tested this generation", "strategies experiments testing", "# Experimental Strategies\n\nApproaches being tested this generation.\n"),
-        ("knowledge/decisions.md", "Decisions", "Architectural decision records with rationale", "knowledge decisions adr rationale", "# Architectural Decision Records\n\nKey decisions and their rationale.\n"),
-        ("knowledge/discoveries.md", "Discoveries", "Agent-discovered codebase and domain knowledge", "knowledge discoveries learned codebase", "# Discoveries\n\nThings agents have learned about the codebase and domain.\n"),
-        ("knowledge/dependencies.md", "Dependencies", "External deps, API contracts, integration notes", "knowledge dependencies external api", "# Dependencies\n\nExternal dependencies, API contracts, and gotchas.\n"),
+        ("vision/north-star.md", "North Star Vision", "Ultimate end-state vision for the project", ["vision", "north-star", "goal", "purpose"], f"# North Star\n\n{o.vision}\n"),
+        ("vision/architecture.md", "Architecture", "System architecture decisions and design", ["vision", "architecture", "design", "system"], "# Architecture\n\nArchitectural decisions and system design will be documented here as agents discover and refine the optimal approach.\n"),
+        ("vision/principles.md", "Design Principles", "Core design principles and constraints", ["vision", "principles", "constraints", "rules"], list_section("Design Principles", "Core principles will be documented here as the project evolves.", o.principles)),
+        ("vision/anti-patterns.md", "Anti-Patterns", "Approaches to avoid, learned from failures", ["vision", "anti-patterns", "avoid", "failures", "lessons"], list_section("Anti-Patterns", "Approaches to avoid will be documented here as agents learn from failures.", o.anti_patterns)),
+        ("milestones/current.md", "Current Milestone", o.milestone, ["milestone", "current", "active"], f"# {o.milestone}\n\nStatus: In Progress\nGeneration: 1\n\n## Success Criteria\n\n- [ ] Define success criteria for this milestone\n"),
+        ("milestones/backlog.md", "Milestone Backlog", "Future milestones ordered by priority", ["milestone", "backlog", "future", "planning"], "# Milestone Backlog\n\nFuture milestones will be added here as the project evolves.\n"),
+        ("strategies/active.md", "Active Strategies", "Currently winning development approaches", ["strategies", "active", "current", "methodology"], "# Active Strategies\n\nDevelopment approaches that have proven effective.\n\n- Explore existing codebase patterns before writing new code\n- Write tests alongside implementation\n- Keep changes small and reviewable\n"),
+        ("strategies/graveyard.md", "Strategy Graveyard", "Failed approaches with post-mortems", ["strategies", "graveyard", "failed", "lessons"], "# Strategy Graveyard\n\nFailed approaches and why they didn't work.\n"),
+        ("strategies/experiments.md", "Experimental Strategies", "Approaches being tested this generation", ["strategies", "experiments", "testing"], "# Experimental Strategies\n\nApproaches being tested this generation.\n"),
+        ("knowledge/decisions.md", "Decisions", "Architectural decision records with rationale", ["knowledge", "decisions", "adr", "rationale"], "# Architectural Decision Records\n\nKey decisions and their rationale.\n"),
+        ("knowledge/discoveries.md", "Discoveries", "Agent-discovered codebase and domain knowledge", ["knowledge", "discoveries", "learned", "codebase"], "# Discoveries\n\nThings agents have learned about the codebase and domain.\n"),
+        ("knowledge/dependencies.md", "Dependencies", "External deps, API contracts, integration notes", ["knowledge", "dependencies", "external", "api"], "# Dependencies\n\nExternal dependencies, API contracts, and gotchas.\n"),
     ]
-    return spark.createDataFrame([(corpus_id, i, p, t, s, g.split(), -(-len(c) // 4), now, c) for i, (p, t, s, g, c) in enumerate(rows)], schemas.SECTIONS)
+    return spark.createDataFrame([(corpus_id, i, p, t, s, g, -(-len(c) // 4), now, c) for i, (p, t, s, g, c) in enumerate(rows)], schemas.SECTIONS)
 
 
 def markdown_sections(files: DataFrame, key: str = "corpus_id", text: str = "text") -> DataFrame:

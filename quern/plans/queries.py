@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.functions import text as T
 from quern.functions.vector import cosine
@@ -421,7 +422,9 @@ def scan_jsonl_roundtrip(spark, sf):
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) k from events")
 def json_strict_parse(spark, sf):
     e = M.table(spark, sf, "events")
-    return e.select("event_id", F.from_json(T.canonical_json("props"), "k long").alias("p")).select("event_id", "p.k")
+    k = StructType([StructField("k", LongType())])
+    props = F.col("props")
+    return e.select("event_id", props, T.strict_json(props, k).alias("p")).select("event_id", F.when(T.is_json(F.col("p"), props), F.col("p.v.k")).alias("k"))
 
 
 # --- proposals

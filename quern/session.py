@@ -1,11 +1,18 @@
-"""Shared folders of the cluster."""
+"""Shared folders of the cluster, and the package on its workers."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: The folder below the shared one that holds intermediate files.
+FOLDER = "quern"
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local default only for a local master (tests)."""
@@ -21,4 +28,25 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark).rstrip('/')}/{FOLDER}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_shared(spark: SparkSession) -> None:
+    """Delete all intermediate files, of all sessions that share the folder; results that were not written elsewhere go with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark).rstrip('/')}/{FOLDER}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a session, unless PYTHONPATH has it for them."""
+    root = Path(__file__).resolve().parent.parent
+    named = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    context = spark.sparkContext
+    if root in named or "site-packages" in root.parts or getattr(context, "_quern_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp()) / "quern.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted((root / "quern").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(archive))
+    context._quern_shipped = True

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern import schemas
-from quern.functions.text import canonical_json
+from quern.functions.text import canonical_json, is_json, strict_json
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "allowUnquotedFieldNames": "false"}
 
@@ -23,18 +25,16 @@ def _schema(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) lines that are neither blank nor other than strict JSON, minified; none if the path is missing."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], "value string")
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("value"))
-    return lines.where(F.trim("value") != "").select(canonical_json("value").alias("value")).where("value is not null")
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Records of JSON lines; lines that do not parse are left out, unknown fields too, missing ones are null. Other JSON values than objects give nulls."""
+    """Records of JSON lines; blank lines and those that do not parse are left out, unknown fields too, missing ones are null.
+
+    Other JSON values than objects give nulls. A missing path has no lines.
+    """
     s = _schema(schema)
-    return read_lines(spark, path).select(F.from_json("value", s, _STRICT).alias("r")).select("r.*")
+    if not exists(spark, path):
+        return spark.createDataFrame([], s)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select("value", strict_json(F.col("value"), s).alias("r")).where(is_json(F.col("r"), F.col("value"))).select("r.v.*")
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -72,6 +72,15 @@ def write_document(df: DataFrame, path: str, now: str | None = None) -> None:
             system.delete(temporary, False)
 
 
+def update_document(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], now: str, schema: str | T.StructType = schemas.MANIFEST) -> DataFrame:
+    """Reads a document, writes what `change` makes of its row, and returns that; an error if it is missing or corrupt."""
+    old = read_document(spark, path, schema)
+    if old.isEmpty():
+        raise ValueError(f"no document at {path}")
+    write_document(change(old), path, now)
+    return read_document(spark, path, schema)
+
+
 def manifest_sections(manifest: DataFrame, corpus_id: str) -> DataFrame:
     """Section rows of a manifest with their place in it."""
     rows = manifest.select(F.posexplode("sections").alias("ord", "s"))
@@ -107,6 +116,30 @@ def read_embedding_cache(spark: SparkSession, path: str, corpus_id: str) -> Data
     return rows.select(F.lit(corpus_id).alias("corpus_id"), F.col("ord").cast("long"), F.col("e.sectionPath").alias("path"), "e.embedding", F.col("e.contentHash").alias("content_hash"), F.col("e.updatedAt").alias("updated_at"))
 
 
+def write_embedding_cache(cache: DataFrame, path: str) -> None:
+    """The entries as one JSON array in order of `ord`, entry by entry through the driver, under a new name that is renamed at the end."""
+    spark = cache.sparkSession
+    entry = F.struct(F.col("path").alias("sectionPath"), "embedding", F.col("content_hash").alias("contentHash"), F.col("updated_at").alias("updatedAt"))
+    rows = cache.orderBy("ord", "path").select(F.to_json(entry).alias("v"))
+    jvm = spark.sparkContext._jvm
+    target, temporary = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(temporary, True)
+    try:
+        lead = b"["
+        for r in rows.toLocalIterator():
+            out.write(bytearray(lead + r.v.encode()))
+            lead = b",\n"
+        out.write(bytearray(b"]" if lead == b",\n" else b"[]"))
+        out.close()
+        system.delete(target, False)
+        if not system.rename(temporary, target):
+            raise OSError(f"could not rename to {path}")
+    finally:
+        if system.exists(temporary):
+            system.delete(temporary, False)
+
+
 def truncate(spark: SparkSession, path: str) -> None:
     """Empties a folder of JSON lines if it is there."""
     if exists(spark, path):

@@ -15,10 +15,15 @@ from quern import schemas
 from quern.sources.sessionlog import log_path, parse_line
 
 
+#: Bytes of one micro-batch, which the driver reads; the rest waits in the file for the next.
+MAX_BYTES_PER_TRIGGER = 16 << 20
+
+
 class SessionLogReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
         self.path = options.get("path") or log_path()
         self.from_start = options.get("fromstart", "false") == "true"
+        self.most = int(options.get("maxbytespertrigger", MAX_BYTES_PER_TRIGGER))
 
     def _size(self) -> int:
         try:
@@ -33,7 +38,9 @@ class SessionLogReader(SimpleDataSourceStreamReader):
         try:
             with open(self.path, "rb") as f:
                 f.seek(start)
-                data = f.read() if end is None else f.read(end - start)
+                data = f.read(self.most if end is None else end - start)
+                while end is None and b"\n" not in data and (more := f.read(self.most)):
+                    data += more  # one line that is longer than the bound
         except OSError:
             return [], start
         whole = data[: data.rfind(b"\n") + 1]
@@ -64,10 +71,10 @@ class SessionLogSource(DataSource):
         return SessionLogReader(self.options)
 
 
-def tail(spark: SparkSession, path: str | None = None, agent: str | None = None, from_start: bool = False) -> DataFrame:
-    """A streaming frame of new entries; `stop()` on the query that reads it ends it."""
+def tail(spark: SparkSession, path: str | None = None, agent: str | None = None, from_start: bool = False, max_bytes: int = MAX_BYTES_PER_TRIGGER) -> DataFrame:
+    """A streaming frame of new entries, at most about max_bytes in a micro-batch; `stop()` on the query that reads it ends it."""
     spark.dataSource.register(SessionLogSource)
-    reader = spark.readStream.format("session_log").option("fromStart", str(from_start).lower())
+    reader = spark.readStream.format("session_log").option("fromStart", str(from_start).lower()).option("maxBytesPerTrigger", str(max_bytes))
     df = reader.option("path", path or log_path()).load()
     return df.where(df.agent == agent) if agent else df
 

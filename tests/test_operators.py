@@ -579,3 +579,33 @@ def test_stream_windows_follow_a_window_through_its_summaries(spark):
     got = {r.conv_id: (r.message_count, r.used_tokens, r.compactions, r.messages) for r in plans.QUERIES["stream_context_windows"](spark, sf).collect()}
     assert got == want
     assert sum(n > 0 for _, _, n, _ in want.values()) > len(want) / 4
+
+
+def test_stream_window_prompts(spark, tmp_path):
+    """Rows that set the prompt are no messages; retrieved text stands before the system prompt and counts."""
+    from quern.operators.compaction import WindowConfig
+    from quern.streaming import context_window as w
+
+    rows = [(1, 0, w.SYSTEM, "be kind", False), (1, 1, "user", "x" * 40, False), (1, 2, w.CORPUS, "facts", False), (1, 3, "user", "y" * 40, False), (2, 0, "system", "a message", False)]
+    path, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tool boolean").coalesce(1).write.parquet(path)
+    stream = w.context_windows(spark.readStream.schema("conv_id long, turn long, role string, text string, tool boolean").parquet(path), WindowConfig(max_tokens=1000))
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(out)).start()
+    q.awaitTermination()
+    got = {r.conv_id: (r.message_count, r.used_tokens, r.system) for r in spark.read.parquet(out).collect()}
+    system = "facts\n\n---\n\nbe kind"
+    assert got == {1: (2, 20 + -(-len(system) // 4), system), 2: (1, 3, "")}
+
+
+def test_upsert_numbers_new_paths_in_order(spark):
+    from quern.operators import corpus
+
+    s = spark.createDataFrame([("a", 4, "old"), ("b", 0, "x")], "corpus_id string, ord long, path string")
+    s = s.selectExpr("corpus_id", "ord", "path", "'t' title", "'s' summary", "array('g') tags", "1L tokens", "'t0' updated_at", "'c' content")
+    paths = [f"p{i:03d}" for i in range(40)]
+    w = spark.createDataFrame([(c, p) for c in "abc" for p in [*paths, "old"]], "corpus_id string, path string").repartition(5)
+    got = corpus.upsert(s, w.selectExpr("corpus_id", "path", "'n' title", "'s' summary", "array('g') tags", "'new' content"), "now").collect()
+    by = {(r.corpus_id, r.path): r.ord for r in got}
+    order = sorted([*paths, "old"])
+    want = {("a", "old"): 4, ("b", "x"): 0} | {("a", p): 5 + i for i, p in enumerate(paths)} | {("b", p): 1 + order.index(p) for p in order} | {("c", p): order.index(p) for p in order}
+    assert by == want

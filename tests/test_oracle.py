@@ -1,7 +1,7 @@
 import pytest
 import oracle
 
-from quern.plans import queries
+from quern.plans import composites, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 

@@ -146,3 +146,105 @@ def test_windowed_counts_of_a_stream(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(count) from counts").first()[0] == e.count()
+
+
+def test_http_embedder():
+    """A service on this machine: vectors, refusals, answers that are no JSON, and no service at all."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from quern.sources.embedder import HttpEmbedder
+
+    class Service(BaseHTTPRequestHandler):
+        def _say(self, status, body):
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):  # noqa: N802
+            self._say(200 if self.path == "/api/tags" else 404, b"{}")
+
+        def do_POST(self):  # noqa: N802
+            import json
+
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            prompt = asked["prompt"]
+            answers = {"refuse": (500, b"{}"), "broken": (200, b"{"), "none": (200, b"{}"), "list": (200, b"[]")}
+            self._say(*answers.get(prompt, (200, json.dumps({"embedding": [len(prompt), len(asked["model"])]}).encode())))
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    own = HttpEmbedder(f"http://127.0.0.1:{server.server_port}", "m1")
+    assert own.available() and own("four") == [4.0, 2.0]
+    assert [own(x) for x in ("refuse", "broken", "none", "list")] == [None] * 4
+    server.shutdown()
+    server.server_close()
+    assert not own.available() and own("four") is None
+
+
+def test_embedder_reaches_workers(spark):
+    from quern.operators.embeddings import embed
+    from quern.sources.embedder import HttpEmbedder
+
+    got = embed(spark.createDataFrame([("a",), (None,)], "t string"), HttpEmbedder("http://127.0.0.1:9", "m"), "t")
+    assert [r.vector for r in got.collect()] == [None, None]
+
+
+def test_project_tests_are_run(tmp_path):
+    import sys
+
+    from quern.sources.testrun import has_tests, run_tests
+
+    say = (sys.executable, "-c", "import os, sys; print('3 pass'); print('1 fail', file=sys.stderr); sys.exit(os.environ['CI'] == 'true' and 4)")
+    assert run_tests(tmp_path, say) == (None, 0)
+    for text, there in (("{", False), ("[]", False), ('{"scripts": {}}', False), ('{"scripts": {"test": "x"}}', True)):
+        (tmp_path / "package.json").write_text(text)
+        assert has_tests(tmp_path) is there
+    assert run_tests(tmp_path, say) == ("3 pass\n1 fail\n", 4)
+    assert run_tests(tmp_path, ("no-such-program-here",)) == (None, 0)
+    assert run_tests(tmp_path, (sys.executable, "-c", "import time; time.sleep(9)"), timeout=0.3) == (None, 0)
+
+
+def test_embedding_cache_of_nothing_and_update_of_nothing(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from quern import schemas
+    from quern.sources import jsonl
+
+    path = f"file://{tmp_path}/c/embeddings.json"
+    jsonl.write_embedding_cache(spark.createDataFrame([], schemas.EMBEDDING_CACHE), path)
+    assert json.load(open(tmp_path / "c/embeddings.json")) == [] and jsonl.read_embedding_cache(spark, path, "c").count() == 0
+    with pytest.raises(ValueError):
+        jsonl.update_document(spark, f"file://{tmp_path}/none.json", lambda df: df, "now")
+
+
+def test_lines_that_are_more_or_less_than_json(spark, tmp_path):
+    """No Python in the plan; what follows a value, torn lines and other values than objects."""
+    lines = ['{"a":1}', ' {"a":2} ', '{"a":3}\r', '{"a":4} x', '{"a":5}]', '{"a":6}{"a":7}', '{"a":8},{"a":9}', '{"a":10', "", "  ", "null", "5", '"a"', "[1]", "{'a':1}", "{a:1}", '{"a":NaN}', '{"a":1,"a":11}', '{"b":1}', '{"a":"x"}', "}", '{"a":12},"end of line":1']
+    (tmp_path / "l.jsonl").write_text("\n".join(lines) + "\n")
+    df = jsonl.read_jsonl(spark, f"file://{tmp_path}/l.jsonl", "a long")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert [r.a for r in df.collect()] == [1, 2, 3, None, None, None, None, 11, None, None]
+
+
+def test_tail_reads_in_bounded_batches(tmp_path):
+    from quern.streaming.tail import SessionLogReader
+
+    path = tmp_path / "log.jsonl"
+    path.write_text("".join('{"event":"e%d"}\n' % i for i in range(50)) + '{"event":"' + "x" * 300 + '"}\n{"event":"torn')
+    reader = SessionLogReader({"path": str(path), "fromstart": "true", "maxbytespertrigger": "100"})
+    at, seen, batches = reader.initialOffset(), [], 0
+    while True:
+        rows, end = reader.read(at)
+        if end == at:
+            break
+        got = list(rows)
+        assert list(reader.readBetweenOffsets(at, end)) == got
+        seen, at, batches = seen + got, end, batches + 1
+    assert [r[0] for r in seen] == list(range(51)) and len(seen[-1][3]) == 300 and batches > 5
