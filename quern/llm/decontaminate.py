@@ -171,7 +171,10 @@ def _judge(df: DataFrame) -> DataFrame:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that are not contaminated, with all their columns as they were."""
+    """The rows of `docs` that are not contaminated (see `contamination`), with all their columns as they were.
+
+    Null and empty texts stay, repeated rows are each judged, ids are not read. With no benchmark all rows stay.
+    """
     df = _judge(scan(docs, benchmark, {"row": F.struct("*")}, F.col(text_col), **options))
     return df.where(~F.col("contaminated")).select("row.*")
 
@@ -195,7 +198,11 @@ def _cut_spans(column: pa.Array, hits: pa.Array) -> list[str | None]:
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` with the words of every occurring window cut out of the text (first word to last, inclusive)."""
+    """The rows of `docs` with the words of every occurring window cut out of the text (first word to last, inclusive).
+
+    Windows that touch or overlap are cut as one. Null and empty texts stay as they are, repeated rows are each cut, other columns
+    are kept whatever their names, and with no benchmark all rows stay as they are.
+    """
     df = scan(docs, benchmark, {"row": F.struct("*")}, F.col(text_col), **options)
     fields = [f for f in docs.columns if f != text_col]
 

@@ -25,8 +25,14 @@ from quern.llm.common import bounded_batches, chunks, cut, give_back, shared_pat
 BLOCK = 1 << 20
 
 
+#: Spark's names of schemes that pyarrow has under another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """File system and path of a folder or file of the shared folder, which must be local, hdfs, s3, gs or abfs."""
+    scheme, rest = uri.split(":", 1) if ":" in uri else ("file", f"//{uri}")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def write_flat(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
@@ -72,7 +78,8 @@ def _ids(system: pafs.FileSystem, path: str, start: int, n: int, width: int) ->
 def count_tokens(spark: SparkSession, files: DataFrame, end_id: int, width: int = 2, block: int = BLOCK) -> DataFrame:
     """(file, nth, n_tokens, closed): ids of each document without its end id. Ids after a file's last end id are a document that is not closed.
 
-    `files` has the one column file (URIs); repeated and empty files count once and not at all.
+    `files` has the column file (URIs); repeated and empty files count once and not at all, null is an error. Bytes after the last
+    whole id are left out. Other columns are not read; an empty table gives an empty result.
     """
 
     def cut_up(batches):

@@ -60,7 +60,10 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each document, from the files alone."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each document, from the files alone.
+
+    Documents without an id come first, those that share one in the files' order; each is a row. No documents, no rows.
+    """
 
     def run(batches):
         for batch in batches:
