@@ -118,14 +118,18 @@ class Codec:
 
 
 _CODECS: dict[str, Codec] = {}
+#: What any usual normaliser changes: a ligature, a wide letter, two blanks, one at the end.
+_PROBE = "\ufb01 \uff21  b "
 
 
 def load(model_file: str) -> Codec:
-    """The codec of a sentencepiece model file without a normaliser; kept once in each process."""
+    """The codec of a sentencepiece model file; kept once in each process. An error if the model has a normaliser of its own."""
     if model_file not in _CODECS:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        if sp.normalize(_PROBE) != MARK + _PROBE.replace(" ", MARK):
+            raise ValueError(f"{model_file} normalises texts")
         n = sp.get_piece_size()
         pieces = [(sp.id_to_piece(i), sp.get_score(i)) for i in range(n)]
         plain = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) for i in range(n)]

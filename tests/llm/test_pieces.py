@@ -110,3 +110,12 @@ def test_operator(spark):
     back = pieces.decode(got, queries.PIECE_MODEL()).where("doc_id = 4").first()
     assert back.text == "word " * 50000
     assert pieces.tokenize(d.limit(0), queries.PIECE_MODEL()).count() == 0
+
+
+def test_models_with_a_normaliser_are_refused(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "normalize", lambda self, x: x.strip())
+    monkeypatch.setattr(pieces, "_CODECS", {})
+    with pytest.raises(ValueError):
+        pieces.load(queries.PIECE_MODEL())
