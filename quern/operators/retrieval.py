@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import estimate, terms
-from quern.functions.vector import cosine
 
 # Field weights, core sections in their order with their scores, packing and search limits.
 TAG, TITLE, SUMMARY = 3.0, 2.0, 1.0
@@ -94,24 +97,76 @@ def retrieve(sections: DataFrame, queries: DataFrame, most: int | None = None) -
     return found.unionByName(retrieve_core(sections, queries.where(~usable), most))
 
 
-#: Query vectors that are broadcast at once; more are compared block by block.
-QUERY_ROWS = 2000
+#: Bytes of query vectors that are broadcast at once; more are compared block by block.
+QUERY_BYTES = 16 << 20
+#: Products that a task holds at once.
+PRODUCTS = 4 << 20
+
+
+def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column one after the other, and the length of each list; 0 for null, NaN for a null value."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), sizes
+
+
+def _normed(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: places of the vectors that have a norm, and the vectors over it; others have similarity 0 to all."""
+    values, sizes = _rows_of(column)
+    start, out = np.cumsum(sizes) - sizes, {}
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        v = values[start[at][:, None] + np.arange(n)]
+        norm = np.sqrt((v * v).sum(axis=1))
+        usable = norm > 0
+        out[n] = (at[usable], v[usable] / norm[usable][:, None])
+    return out
 
 
 def similar(cache: DataFrame, vectors: DataFrame, above: float = SIMILARITY_ABOVE) -> DataFrame:
     """(query_id, corpus_id, path, ord, score) of cached vectors more similar than `above` to a query's (query_id, corpus_id, vector).
 
-    Queries are a stated set against all vectors; each block of QUERY_ROWS is broadcast.
+    Queries are a stated set against all vectors of their corpus; each block of QUERY_BYTES is broadcast and multiplied with the cached
+    vectors of a batch. Vectors that are empty, zero, null, of another length or hold a null have similarity 0; `above` is at least that.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // QUERY_ROWS))
+    if above < 0:
+        raise ValueError("above must not be negative")
+    spark = cache.sparkSession
+    asked = vectors.select("query_id", "corpus_id", F.col("vector").cast("array<double>").alias("vector"))
+    size = asked.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
+    rows = cache.select("corpus_id", "path", "ord", F.col("embedding").cast("array<double>").alias("embedding"))
+    fields = [asked.schema["query_id"], *(rows.schema[c] for c in ("corpus_id", "path", "ord"))]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("score", T.DoubleType())])
     out = None
     for b in range(blocks):
-        part = vectors if blocks == 1 else vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        own = part.select("query_id", "corpus_id", "vector")
-        rows = cache.select("corpus_id", "path", "ord", "embedding").join(F.broadcast(own), "corpus_id")
-        rows = rows.withColumn("score", F.round(cosine(F.col("vector"), F.col("embedding")), 9)).where(F.col("score") > above).select("query_id", "corpus_id", "path", "ord", "score")
-        out = rows if out is None else out.unionByName(rows)
+        part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()  # about QUERY_BYTES
+        own = {}
+        for corpus in pc.unique(part.column("corpus_id")).to_pylist():
+            mine = part.filter(pc.equal(part.column("corpus_id"), corpus)).combine_chunks()
+            ids = mine.column("query_id").combine_chunks()
+            own[corpus] = {n: (ids.take(pa.array(at)), v) for n, (at, v) in _normed(mine.column("vector").combine_chunks()).items()}
+        sent = spark.sparkContext.broadcast(own)
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                corpora = batch.column("corpus_id")
+                for corpus in pc.unique(corpora).to_pylist():
+                    if corpus not in sent.value:
+                        continue
+                    mine = batch.filter(pc.equal(corpora, corpus))
+                    for n, (at, v) in _normed(mine.column("embedding")).items():
+                        if n not in sent.value[corpus]:
+                            continue
+                        ids, q = sent.value[corpus][n]
+                        step = max(1, PRODUCTS // max(1, len(ids)))
+                        for lo in range(0, len(at), step):
+                            found = v[lo : lo + step] @ q.T
+                            i, j = np.nonzero(found > above)
+                            place = pa.array(at[lo + i])
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), *(mine.column(c).take(place) for c in ("corpus_id", "path", "ord")), pa.array(found[i, j])], names=["query_id", "corpus_id", "path", "ord", "score"])
+
+        got = rows.mapInArrow(run, schema).withColumn("score", F.round("score", 9)).where(F.col("score") > above)
+        out = got if out is None else out.unionByName(got)
     return out
 
 

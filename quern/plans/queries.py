@@ -129,14 +129,15 @@ def window_utilization(spark, sf):
     return compaction.utilization(M.messages(spark, sf), 500, 10).select("conv_id", "turn", "used_tokens", F.round("utilization", 6).alias("utilization"))
 
 
-_HEAD_SQL = compaction.SUMMARY_HEAD.replace("\n", "' || chr(10) || '")
+_HEAD_SQL = "[Context Summary — earlier conversation was compacted to save tokens]' || chr(10) || chr(10) || '"
+_ANSWER_SQL = "Understood. I have the context from our earlier conversation. Let me continue from where we left off."
 
 
 @query(f"""with c as (select *, row_number() over (partition by conv_id order by turn desc) rd, count(*) over (partition by conv_id) n from conversations),
 old as (select conv_id, left(string_agg(role || ': ' || text, chr(10) || chr(10) order by turn), 50000) t from c where n > 3 and rd > 3 group by conv_id)
 select conv_id, turn, role, text from c where n <= 3
 union all select conv_id, 0, 'user', '{_HEAD_SQL}' || (length(t) + 30) from old
-union all select conv_id, 1, 'assistant', '{compaction.SUMMARY_ANSWER}' from old
+union all select conv_id, 1, 'assistant', '{_ANSWER_SQL}' from old
 union all select conv_id, 1 + row_number() over (partition by conv_id order by turn), role, text from c where n > 3 and rd <= 3""")
 def autocompact_split(spark, sf):
     """A summarizer that answers with its prompt's length shows what it was given."""
@@ -606,7 +607,7 @@ second as (select *, ceil(sum(n) over (partition by conv_id) / 4.0) / 600 >= 0.7
 every as (select conv_id, turn, role, text, content from first where not over_ union all select conv_id, turn, role, text, content from second where not still or left_ <= 2
 union all select conv_id, 1 + row_number() over (partition by conv_id order by turn), role, text, content from second where still and left_ > 2 and rd <= 2
 union all select distinct conv_id, 0, 'user', '""" + _HEAD_SQL + """S', null from second where still and left_ > 2
-union all select distinct conv_id, 1, 'assistant', '""" + compaction.SUMMARY_ANSWER + """', null from second where still and left_ > 2)
+union all select distinct conv_id, 1, 'assistant', '""" + _ANSWER_SQL + """', null from second where still and left_ > 2)
 select conv_id, turn, role, text, md5(content) content_md5 from every""")
 def compact_windows(spark, sf):
     """Some answers are short and some messages long tool results, so that windows are snipped, collapsed and then summarised."""
@@ -648,7 +649,7 @@ def cache_breakpoints(spark, sf):
     return got.select("conv_id", "turn", "text", F.expr("blocks[0].text").alias("block_text"), F.expr("blocks[0].cache_control").alias("mark"), "cache")
 
 
-@query("select * from (values " + ", ".join(f"({i}, 'stdio', 'srv-{p}', 'bun', 'run /root/x/servers/{p}-server.ts')" for i, p in enumerate(registry.PLUGINS)) + ") t(ord, type, name, command, args)")
+@query("select * from (values " + ", ".join(f"({i}, 'stdio', 'srv-{p}', 'bun', 'run /root/x/servers/{p}-server.ts')" for i, p in enumerate("efficiency genome bash diff github http logs orient sql tree".split())) + ") t(ord, type, name, command, args)")
 def server_config(spark, sf):
     return registry.server_config(spark, "/root/x", "srv").withColumn("args", F.array_join("args", " "))
 

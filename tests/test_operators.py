@@ -609,3 +609,31 @@ def test_upsert_numbers_new_paths_in_order(spark):
     order = sorted([*paths, "old"])
     want = {("a", "old"): 4, ("b", "x"): 0} | {("a", p): 5 + i for i, p in enumerate(paths)} | {("b", p): 1 + order.index(p) for p in order} | {("c", p): order.index(p) for p in order}
     assert by == want
+
+
+def test_similar_is_the_cosine_of_each_pair(spark, monkeypatch):
+    """Several corpora, lengths and blocks; odd vectors have similarity 0."""
+    import random
+
+    from quern.operators import retrieval
+
+    rng = random.Random(4)
+    vec = lambda n: [rng.uniform(-1, 1) for _ in range(n)]
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [float("nan"), 1.0, 1.0]]
+    cache = [(c, f"p{i}", i, v) for c in "ab" for i, v in enumerate([vec(3 if i % 3 else 4) for i in range(30)] + odd)]
+    asked = [(100 * k + i, c, v) for k, c in enumerate("abz") for i, v in enumerate([vec(3 + i % 2) for i in range(8)] + odd)]
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 100)
+    monkeypatch.setattr(retrieval, "PRODUCTS", 7)
+
+    def cos(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b:
+            return 0.0
+        norm = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norm if norm > 0 else 0.0
+
+    got = retrieval.similar(spark.createDataFrame(cache, "corpus_id string, path string, ord long, embedding array<double>"), spark.createDataFrame(asked, "query_id long, corpus_id string, vector array<double>"))
+    want = {(q, c, p, o): cos(v, e) for q, c, v in asked for c2, p, o, e in cache if c == c2 and cos(v, e) > 0.3}
+    rows = {(r.query_id, r.corpus_id, r.path, r.ord): r.score for r in got.collect()}
+    assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-8 for k in want) and want
+    with pytest.raises(ValueError):
+        retrieval.similar(got, got, -0.1)
