@@ -79,7 +79,7 @@ def _words(text: str) -> str:
 
 
 def _op1_sql() -> str:
-    n = decontaminate.WINDOW
+    n = 13
     return f"""
 with b as (select distinct coalesce(cast(item_id as varchar), '') item, {_words("text")} w from benchmark),
 bg as (select distinct item, n, array_to_string(w[i + 1 : i + n], ' ') g from (select item, w, least({n}, len(w)) n, unnest(range(len(w) - least({n}, len(w)) + 1)) i from b where len(w) > 0)),
@@ -118,14 +118,14 @@ def _op6_sql() -> str:
     keyword = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
     assign = rf"""({keyword})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
     parts = []
-    for k, (pattern, group, least) in enumerate(((assign, 2, 12), (secrets.ACCESS, 0, 18), (secrets.HEX, 0, 16), ("[A-Za-z0-9+/_=-]+", 0, secrets.WINDOW))):
+    for k, (pattern, group, least) in enumerate(((assign, 2, 12), ("AKIA[A-Z0-9]+", 0, 18), ("[0-9a-f]+", 0, 16), ("[A-Za-z0-9+/_=-]+", 0, 20))):
         parts.append(
             f"select rid, {k} k, v, list_sum(list_transform(p[1 : n], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : n - 1], lambda x: length(x))), 0) s, length(v) z from "
             f"(select rid, p, m, unnest(m) v, unnest(g) own, unnest(range(1, len(m) + 1)) n from (select rid, string_split_regex(t, '{pattern}') p, regexp_extract_all(t, '{pattern}') m, regexp_extract_all(t, '{pattern}', {group}) g from d)) where length(own) >= {least}"
         )
     allow = " or ".join(f"regexp_matches(v, '{p}')" for p in secrets.ALLOW)
-    entropy = f"list_max(list_transform(range(length(v) - {secrets.WINDOW - 1}), lambda i: list_aggregate(string_split(substr(v, i + 1, {secrets.WINDOW}), ''), 'entropy')))"
-    kinds = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    entropy = f"list_max(list_transform(range(length(v) - 19), lambda i: list_aggregate(string_split(substr(v, i + 1, 20), ''), 'entropy')))"
+    kinds = "'assign', 'access', 'hex', 'entropy'"
     return f"""
 with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
 every as ({" union all ".join(parts)}),
