@@ -29,6 +29,8 @@ FOLDS, HELD_OUT = 5, 1
 EXACT_WORDS = 1 << 18
 #: Filter: bits in a segment and most segments (4 MB in all, so that the share of n-grams outside is alike at every size), bits for each entry, probes (three in each of two words), base of the levels.
 SEGMENT_BITS, SEGMENTS, ENTRY_BITS, PROBES, BASE = 20, 32, 10, 6, 1.5
+#: Bigrams of a shard, about; a task holds those of one shard.
+SHARD_ENTRIES = 1_000_000
 SMOOTHING = 30.0
 END, START = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -214,7 +216,7 @@ def build_filter(counts: DataFrame, entries: int) -> Filter:
 
 @dataclass
 class Model:
-    """Counts of the most frequent words, and the filter of bigrams that end in one of them and have `least_level` or more."""
+    """Counts of the most frequent words, the filter of bigrams that end in one of them and have `least_level` or more, and how many bigrams there are."""
 
     total: int
     distinct: int
@@ -223,6 +225,7 @@ class Model:
     counts: np.ndarray
     least_level: int
     filter: Filter
+    bigrams: int
 
 
 def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame, list[str]]:
@@ -254,7 +257,7 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame, list[str]]:
     if entries == sum(row.n * row.q for row in bins):
         least_level = 1  # no bigram of a known word is left out
     held = among & (F.col("c") >= least)
-    model = Model(total, distinct, starts, words, counts, least_level, build_filter(bigrams.where(held), entries))
+    model = Model(total, distinct, starts, words, counts, least_level, build_filter(bigrams.where(held), entries), bigrams.count())
     return model, unigrams.where(~known), bigrams.where(~held), paths
 
 
@@ -462,7 +465,7 @@ def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, bi
     """doc_id, held_out, n_tokens, known, logs (of known words' counts; half for the unknown) and parts (all else) of each row."""
     spark = docs.sparkSession
     sent, mass = spark.sparkContext.broadcast(model), _mass(model)
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.bigrams // SHARD_ENTRIES))
     bounded_batches(spark)
     inner = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("t"))
     about = [T.StructField(c, inner.schema[c].dataType) for c in ("row", "doc_id", "held_out")]

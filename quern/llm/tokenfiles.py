@@ -19,11 +19,20 @@ from pyspark.sql import functions as F
 from quern.llm.bpe import encoder
 from quern.llm.common import bounded_batches, chunks, give_back, list_array
 
+#: Bytes of the tables that documents are read from, for each file; there are as many files as shuffle partitions at least.
+FILE_BYTES = 128 << 20
 SCHEMA = "doc_id long, part int, place long, n_tokens long, ids array<int>"
 #: ORC writer settings.
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 
 
+def _source_bytes(docs: DataFrame) -> int:
+    """Bytes of the tables under a frame; those that do not know theirs count as none."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Encode whole texts (null: empty), append end_id to each, and write ORC files under path.
 
@@ -32,7 +41,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_source_bytes(docs) // FILE_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t"))
     ordered = rows.repartitionByRange(n, F.asc_nulls_first("doc_id"), "h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h", "t")

@@ -491,6 +491,18 @@ def test_footers_hold_indexes_blooms_and_run_lengths(spark, docs):
         read.close()
 
 
+def test_files_follow_the_size_of_the_table(spark, sf_dir, monkeypatch):
+    d = table(spark, sf_dir, "documents")
+    size = tokenfiles._source_bytes(d)
+    assert 0.5 < size / tokenfiles._source_bytes(d.select("doc_id", "text")) < 20 and size > 100_000
+    assert tokenfiles._source_bytes(spark.createDataFrame([(1, "a")], "doc_id long, text string")) < 1 << 60
+    monkeypatch.setattr(tokenfiles, "FILE_BYTES", size // 11)
+    path = shared_path(spark, "t")
+    tokenfiles.write_tokens(d, path, queries.tokenizer_path("byte_bpe_50k.json"))
+    assert tokenfiles.read_tokens(spark, path).select("part").distinct().count() >= 9
+    assert tokenfiles.token_index(spark, path).count() == d.count()
+
+
 def test_token_files_of_nothing(spark, docs):
     path = shared_path(spark, "t")
     tokenfiles.write_tokens(docs.limit(0), path, queries.tokenizer_path("byte_bpe_50k.json"))
