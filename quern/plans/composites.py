@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quern import schemas
 from quern.functions import text as T
-from quern.operators import compaction, corpus, fitness, generations, promptcache, proposals, resume, retrieval, strategies, tokens
+from quern.operators import compaction, corpus, fitness, generations, promptcache, proposals, registry, resume, retrieval, strategies, tokens
 from quern.plans import mappings as M
 from quern.plans.queries import _ASKED, _PACK_SQL, _SCORE_SQL, query
 from quern.session import shared_path
-from quern.sources import jsonl
+from quern.sources import jsonl, sessionlog
+from quern.streaming import context_window, tail
 
 # --- reports
 
@@ -370,3 +371,140 @@ def evolution_answers(spark, sf):
     answers = F.array(F.lit('```json\n{"promoted": ["a", "b"]}\n```'), F.lit("sorry"), F.lit('{"promotedStrategies": ["c"], "newExperiments": ["d"]}'))
     got = M.table(spark, sf, "orders").select("o_orderkey", fitness.parse_evolution(F.element_at(answers, (F.col("o_orderkey") % 3 + 1).cast("int"))).alias("l"))
     return got.select("o_orderkey", F.array_join("l.promoted", ",").alias("promoted"), F.array_join("l.experiments", ",").alias("experiments"))
+
+
+# --- the session log as a file
+
+
+def _log_file(spark, name: str) -> str:
+    """A path on the driver's disk, where such logs are kept."""
+    import os
+    import tempfile
+
+    return os.path.join(tempfile.mkdtemp(prefix="quern-"), name)
+
+
+def _entries(spark, sf, most: int) -> list[dict]:
+    rows = M.session_log(spark, sf).where(F.col("seq") < most).orderBy("seq").select("ts", "agent", "event", "cwd", "tool").collect()  # so many entries
+    return [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]
+
+
+@query(f"with {M.LOG_SQL} select cast(row_number() over (order by seq) as integer) nth, ts, agent, event, tool from log where seq < 60")
+def log_file(spark, sf):
+    """Sixty entries appended one by one, corrupt lines among them, and read back in order."""
+    from pyspark.sql import Window as W
+
+    path = _log_file(spark, "log.jsonl")
+    for i, e in enumerate(_entries(spark, sf, 60)):
+        sessionlog.append(e, path)
+        if i % 9 == 0:
+            with open(path, "a") as f:
+                f.write('{"torn": \n\n[1, 2]\nnull\n')
+    return sessionlog.read_log(spark, path).select(F.row_number().over(W.orderBy("seq")).alias("nth"), "ts", "agent", "event", "tool")  # sixty rows
+
+
+@query("select * from (select 'log.jsonl.1' file, 'e' || lpad(cast(i as varchar), 3, '0') event from range(21, 42) t(i) union all select 'log.jsonl', 'e' || lpad(cast(i as varchar), 3, '0') from range(42, 60) t(i))")
+def log_rotation(spark, sf):
+    """Lines of fifty bytes into a log that is rotated beyond a thousand; the last rotated file is kept."""
+    path = _log_file(spark, "log.jsonl")
+    for i in range(60):
+        sessionlog.append({"ts": "2024-01-01T00:00:00.000Z", "event": f"e{i:03d}"}, path, max_bytes=1000)
+    read = lambda p: sessionlog.read_log(spark, p).select(F.lit(p.rsplit("/", 1)[1]).alias("file"), "event")
+    return read(f"{path}.1").unionByName(read(path))
+
+
+@query(f"with {M.LOG_SQL} select ts, agent, event from log where seq < 80 and agent = 'agent2'")
+def log_tail(spark, sf):
+    """An agent's entries as a stream from the log's start, in small batches."""
+    path, sink = _log_file(spark, "log.jsonl"), shared_path(spark, "tail")
+    for e in _entries(spark, sf, 80):
+        sessionlog.append(e, path)
+    stream = tail.tail(spark, path, agent="agent2", from_start=True)
+    q = stream.writeStream.option("checkpointLocation", shared_path(spark, "tail-state")).trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(sink)).start()
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("ts", "agent", "event")
+
+
+@query("select 200 entries, 200 distinct_entries")
+def log_concurrent_appends(spark, sf):
+    """Two hundred appends from many threads; none is lost or mixed with another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = _log_file(spark, "log.jsonl")
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda i: sessionlog.append({"event": f"e{i}", "summary": "x" * 500}, path), range(200)))
+    return sessionlog.read_log(spark, path).where(F.length("summary") == 500).agg(F.count("*").cast("int").alias("entries"), F.count_distinct("event").cast("int").alias("distinct_entries"))
+
+
+@query("select 'cd' slice, 'héllo' whole")
+def log_slice(spark, sf):
+    path = _log_file(spark, "log.txt")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("abcdef héllo")
+    return spark.createDataFrame([(sessionlog.read_slice(path, 2, 4), sessionlog.read_slice(path, 7, 100))], "slice string, whole string")
+
+
+@query("select n_nationkey k from nation where n_nationkey >= 10")
+def queue_truncate(spark, sf):
+    """What was queued before the queue was emptied is gone; what came after stays."""
+    n, path = M.table(spark, sf, "nation"), shared_path(spark, "queue")
+    jsonl.append_jsonl(n.where("n_nationkey < 10").select(F.col("n_nationkey").alias("k")), path)
+    jsonl.truncate(spark, path)
+    jsonl.append_jsonl(n.where("n_nationkey >= 10").select(F.col("n_nationkey").alias("k")), path)
+    return jsonl.read_jsonl(spark, path, "k long")
+
+
+# --- limits
+
+
+@query("select n_nationkey, case when n_nationkey < 19 then '/w' end root from nation")
+def ancestor_hops(spark, sf):
+    """A corpus is looked for in twenty folders, the start itself among them."""
+    deep = F.concat(F.lit("/w"), F.repeat(F.lit("/d"), F.col("n_nationkey").cast("int") + 1))
+    starts = M.table(spark, sf, "nation").select("n_nationkey", deep.alias("start"))
+    found = corpus.find_root(starts.select("start"), spark.createDataFrame([("/w",)], "root string"))
+    return starts.join(found, "start").select("n_nationkey", "root")
+
+
+@query("select * from (values ('explicit', 'own'), ('environment', 'env'), ('cache', '1.10.0'), ('fallback', 'back'), ('none', 'not found: 3')) t(asked, root)")
+def plugin_roots(spark, sf):
+    """Where plugins are looked for: a folder that is named, the environment's, the cache's latest valid version, a last resort."""
+    import os
+
+    top = os.path.dirname(_log_file(spark, "x"))
+    for folder in ("own", "env", "back", "cache/1.9.0", "cache/1.10.0", "cache/note"):
+        os.makedirs(f"{top}/{folder}/servers")
+        open(f"{top}/{folder}/{registry.server_file('efficiency')}", "w").close()
+    os.makedirs(f"{top}/cache/2.0.0")  # without a server
+    at = lambda *names: [f"{top}/{n}" if n else None for n in names]
+    rows = []
+    for asked, where in (("explicit", at("own", "env", "cache", "back")), ("environment", at("gone", "env", "cache", "back")), ("cache", at(None, "gone", "cache", "back")), ("fallback", at(None, None, "gone", "back")), ("none", at("gone", None, "gone", "lost"))):
+        try:
+            rows.append((asked, os.path.basename(registry.resolve_root(*where)[0])))
+        except registry.PluginNotFound as e:
+            rows.append((asked, f"not found: {len(e.checked)}"))
+    return spark.createDataFrame(rows, "asked string, root string")
+
+
+@query("select n_nationkey, '{\"b\":\"' || n_name || '\",\"a\":' || n_regionkey || '}' json from nation")
+def json_key_order(spark, sf):
+    """Keys keep the order that they were given in; nulls are left out."""
+    row = F.struct(F.col("n_name").alias("b"), F.col("n_regionkey").alias("a"), F.lit(None).cast("string").alias("c"))
+    return M.table(spark, sf, "nation").select("n_nationkey", F.to_json(row).alias("json"))
+
+
+@query("""select conv_id, count(*) message_count, cast(ceil(sum(length(text)) / 4.0) as bigint) + cast(ceil((length('Facts of ' || conv_id) + 7 + length('You are ' || conv_id)) / 4.0) as bigint) used_tokens,
+ 'Facts of ' || conv_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'You are ' || conv_id system from conversations group by conv_id""")
+def stream_prompts(spark, sf):
+    """Prompts and retrieved texts that come with the stream: the prompt is set twice, the second counts."""
+    c = M.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.lit(False).alias("tool"))
+    ids = c.select("conv_id").distinct()
+    rows = c
+    for turn, role, text in ((-2, context_window.SYSTEM, "Old prompt of "), (-1, context_window.CORPUS, "Facts of "), (10**6, context_window.SYSTEM, "You are ")):
+        rows = rows.unionByName(ids.select("conv_id", F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.concat(F.lit(text), "conv_id").alias("text"), F.lit(False).alias("tool")))
+    source, sink = shared_path(spark, "prompted"), shared_path(spark, "prompts")
+    rows.repartition(1, "conv_id").write.parquet(source)
+    stream = context_window.context_windows(spark.readStream.schema(rows.schema).parquet(source), compaction.WindowConfig(max_tokens=10**9))
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "prompt-state")).trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(sink)).start()
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("conv_id", "message_count", "used_tokens", "system")
