@@ -50,17 +50,24 @@ def score(sections: DataFrame, queries: DataFrame) -> DataFrame:
     return total.where("score > 0")
 
 
+#: Parts of a query's matches that are ranked for themselves first.
+SALTS = 64
+
+
 def pack(scored: DataFrame, max_tokens: Column, most: int | None = None, by: str = "query_id", rank: list[Column] | None = None) -> DataFrame:
     """Rows of (by, ..., score, ord, full) that fit a budget, in rank order (score, then ord), with `tokens` and `truncated`.
 
     `full` is a section's own token count. Packing stops at the first section that does not fit; what is left of the budget goes to its
-    beginning if that is more than MIN_TRUNCATED tokens. `most`, at least as large as any budget, bounds the rows that are
-    ranked: each non-empty section takes a token or more.
+    beginning if that is more than MIN_TRUNCATED tokens. Each non-empty section takes a token or more, so at most as many as the
+    budget has tokens are ranked: the first `most`, at least as large as any budget, or else those of each of SALTS parts, so that a
+    query that all sections match is not sorted in one task.
     """
     order = rank or [F.desc("score"), F.asc("ord")]
     if most is not None:
-        place = F.row_number().over(W.partitionBy(by).orderBy(*order))
-        scored = scored.where("full > 0").withColumn("_p", place).where(F.col("_p") <= most).drop("_p").unionByName(scored.where("full = 0"))
+        place, bound = F.row_number().over(W.partitionBy(by).orderBy(*order)), F.lit(most)
+    else:
+        place, bound = F.row_number().over(W.partitionBy(by, F.pmod(F.xxhash64("path"), F.lit(SALTS))).orderBy(*order)), max_tokens.cast("long")
+    scored = scored.where("full > 0").withColumn("_p", place).where(F.col("_p") <= bound).drop("_p").unionByName(scored.where("full = 0"))
     cum = F.sum("full").over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     rows = scored.withColumn("_max", max_tokens.cast("long")).withColumn("_cum", cum).withColumn("_used", F.col("_cum") - F.col("full"))
     rows = rows.where((F.col("_used") < F.col("_max")) & ((F.col("_cum") <= F.col("_max")) | (F.col("_max") - F.col("_used") > MIN_TRUNCATED)))
