@@ -263,47 +263,42 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame, list[str]]:
 
 # What a row of the shards' exchange is; the rows of a shard come in this order.
 _WORDS, _BIGRAMS, _ROWS, _ASKED, _ASKED_WORDS = range(5)
-_FIELDS = [("kind", pa.int32()), ("shard", pa.int32()), ("home", pa.int64()), ("k", pa.list_(pa.int64())), ("p", pa.binary()), ("c", pa.list_(pa.int64())), ("w", pa.list_(pa.float32())), ("off", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
+_FIELDS = [("kind", pa.int32()), ("shard", pa.int32()), ("home", pa.int64()), *((name, pa.binary()) for name in ("k", "p", "c", "off", "times"))]
+#: Bytes that an entry has in a binary column: words and bigrams by their hashes (of a bigram's key the low bytes, its shard stands for
+#: others), counts, places in the home, and how often an entry is asked for.
+_WIDTHS = {"k": 8, "p": 6, "c": 8, "off": 2, "times": 4}
 #: Rows are numbered; those with equal high bits are one home, to which sums return.
 _HOME_BITS = 12
 #: Homes whose sums a task holds before it sends them on.
 _HOMES = 400
-_EXCHANGE = "kind int, shard int, home long, k array<long>, p binary, c array<long>, w array<float>, off array<int>, times array<int>"
+_EXCHANGE = "kind int, shard int, home long, k binary, p binary, c binary, off binary, times binary"
 
 
-#: Bytes of a bigram's key that are sent; its shard stands for others.
-_KEY_BYTES = 6
+def _bytes(values: np.ndarray, name: str, edges: np.ndarray) -> pa.Array:
+    """Values as one binary for each run between the edges: the first byte of all, then the second, and so on, as the higher ones are mostly zero."""
+    data = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), 8)[:, : _WIDTHS[name]]
+    return pa.array([data[a:b].T.tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
 
 
-def _short(keys: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """The low bytes of keys, as one value for each run of `sizes`."""
-    data = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES].tobytes()
-    offsets = np.zeros(len(sizes) + 1, np.int32)
-    np.cumsum(sizes * _KEY_BYTES, out=offsets[1:])
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-
-
-def _keys_of(column: pa.Array) -> np.ndarray:
-    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _KEY_BYTES)
-    out = np.zeros((len(data), 8), np.uint8)
-    out[:, :_KEY_BYTES] = data
-    return out.view(np.uint64).reshape(-1)
+def _values(column: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned values of all runs one after the other, and the length of each run."""
+    runs = [np.frombuffer(x, np.uint8).reshape(_WIDTHS[name], -1) for x in column.to_pylist()]
+    out = np.zeros((sum(x.shape[1] for x in runs), 8), np.uint8)
+    if len(out):
+        out[:, : _WIDTHS[name]] = np.concatenate(runs, axis=1).T
+    return out.view(np.uint64).reshape(-1), np.array([x.shape[1] for x in runs], np.int64)
 
 
 def _packed(kind: int, shard: np.ndarray, home: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     """One row for each run of one shard and home, with lists of its entries."""
     at = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (home[1:] != home[:-1])]) if len(shard) else np.empty(0, np.int64)
-    sizes = np.diff(np.r_[at, len(shard)])
-    n = len(at)
+    n, edges = len(at), np.r_[at, len(shard)]
     own = {"kind": pa.array(np.full(n, kind, np.int32)), "shard": pa.array(shard[at].astype(np.int32)), "home": pa.array(home[at].astype(np.int64))}
     if "off" in columns:  # as steps within a run
-        off = columns["off"]
-        step = np.diff(off, prepend=0)
-        step[at] = off[at]
-        columns["off"] = step.astype(np.int32)
-    if "p" in columns:
-        own["p"] = _short(columns.pop("p"), sizes)
-    own |= {name: list_array(x.view(np.int64) if x.dtype == np.uint64 else x, sizes, t.value_type) for name, t in _FIELDS[3:] if (x := columns.get(name)) is not None}
+        step = np.diff(columns["off"], prepend=0)
+        step[at] = columns["off"][at]
+        columns["off"] = step
+    own |= {name: _bytes(x.astype(np.int64, copy=False) if x.dtype != np.uint64 else x, name, edges) for name, x in columns.items()}
     return pa.RecordBatch.from_arrays([own.get(name, pa.nulls(n, t)) for name, t in _FIELDS], names=[name for name, _ in _FIELDS])
 
 
@@ -321,7 +316,7 @@ def _pack_counts(counts: DataFrame, kind: int, shards: int) -> DataFrame:
     def flush(keys, c):
         shard = _shard(keys, shards)
         order = np.argsort(shard, kind="stable")
-        columns = {"k": keys[order], "c": c[order]} if kind == _WORDS else {"p": keys[order], "w": c[order].astype(np.float32)}
+        columns = {"k" if kind == _WORDS else "p": keys[order], "c": c[order]}
         return _packed(kind, shard[order], np.zeros(len(order), np.int64), **columns)
 
     def run(batches):
@@ -339,7 +334,7 @@ def _pack_counts(counts: DataFrame, kind: int, shards: int) -> DataFrame:
 
 
 class _Asked:
-    """Entries that wait to be packed: their rows, keys, and the last words or, of known ones, their counts (to 24 bits)."""
+    """Entries that wait to be packed: their rows, keys, and the last words or, of known ones, their counts."""
 
     def __init__(self, kind: int, shards: int):
         self.kind, self.shards, self.held, self.n = kind, shards, [], 0
@@ -359,7 +354,7 @@ class _Asked:
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (beside[1:] != beside[:-1])]) if len(key) else np.empty(0, np.int64)
         times = np.diff(np.r_[new, len(key)]).astype(np.int32)
         shard, row, key, beside = shard[new], row[new], key[new], beside[new]
-        columns = {"p": key, "w": beside} if self.kind == _ASKED else {"k": beside, "p": key}
+        columns = {"p": key, "c": beside} if self.kind == _ASKED else {"k": beside, "p": key}
         return _packed(self.kind, shard, row >> _HOME_BITS, off=row & (1 << _HOME_BITS) - 1, times=times, **columns)
 
 
@@ -375,8 +370,8 @@ class _Shards:
             self.now, self.rows, self.tables = shard, {_WORDS: [], _BIGRAMS: []}, {}
 
     def learn(self, kind: int, part: pa.RecordBatch) -> None:
-        flat = lambda name: part.column(name).flatten().to_numpy()
-        self.rows[kind].append((flat("k").view(np.uint64), flat("c")) if kind == _WORDS else (_keys_of(part.column("p")), flat("w").astype(np.float64)))
+        name = "k" if kind == _WORDS else "p"
+        self.rows[kind].append((_values(part.column(name), name)[0], _values(part.column("c"), "c")[0].astype(np.float64)))
 
     def find(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """Count of each key, 0 where missing."""
@@ -390,21 +385,21 @@ class _Shards:
         return np.where(at >= 0, c[at], 0.0) if len(k) else np.zeros(len(keys))
 
     def answer(self, kind: int, part: pa.RecordBatch) -> None:
-        flat = lambda name: part.column(name).flatten().to_numpy()
-        sizes = np.diff(part.column("off").offsets.to_numpy())
-        times, pair = flat("times").astype(np.float64), _keys_of(part.column("p"))
+        flat = lambda name: _values(part.column(name), name)[0]
+        step, sizes = _values(part.column("off"), "off")
+        times, pair = flat("times").astype(np.float64), flat("p")
         if kind == _ASKED:
-            count = flat("w").astype(np.float64)
+            count = flat("c").astype(np.float64)
             n, known, logs, follows = self.find(_BIGRAMS, pair), None, None, 0.0
         else:
-            key = flat("k").view(np.uint64)
+            key = flat("k")
             count, n = self.find(_WORDS, key), self.find(_BIGRAMS, pair)
             known = np.where(count > 0, times, 0.0)
             logs = times * (np.log10(count + 0.5) - math.log10(0.5))
             follows = np.where(key == END, 0.0, times * (np.log10(count + SMOOTHING) - math.log10(SMOOTHING)))
         parts = times * np.log10(1 + n * self.mass / (SMOOTHING * (count + 0.5))) - follows
         homes, of = np.unique(part.column("home").to_numpy(), return_inverse=True)
-        cell = (np.repeat(of, sizes) << _HOME_BITS) + _offsets(flat("off"), sizes)
+        cell = (np.repeat(of, sizes) << _HOME_BITS) + _offsets(step, sizes)
         width = 1 << _HOME_BITS
         for i, x in enumerate((known, logs, parts)):
             if x is not None:
@@ -429,7 +424,8 @@ class _Shards:
 
 def _offsets(step: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Offsets from steps within runs of the given sizes."""
-    upto, start = np.cumsum(step.astype(np.int64)), np.cumsum(sizes) - sizes
+    step = step.astype(np.int64)
+    upto, start = np.cumsum(step), np.cumsum(sizes) - sizes
     some = sizes > 0
     return upto - np.repeat(upto[start[some]] - step[start[some]], sizes[some])
 
@@ -497,7 +493,7 @@ def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, bi
         logs = total(slice(None), np.log10(count + 0.5))
         unheld = local[q == 0] if m.least_level > 1 else local[:0]
         rest = np.flatnonzero(~known)
-        return (n, total(known).astype(np.int64), logs, parts), (row[doc[unheld]], pairs[unheld], count[unheld].astype(np.float32)), (row[doc[rest]], pairs[rest], tokens[rest])
+        return (n, total(known).astype(np.int64), logs, parts), (row[doc[unheld]], pairs[unheld], count[unheld]), (row[doc[rest]], pairs[rest], tokens[rest])
 
     def out(batch, own, sums):
         """A batch of the exchange: packed entries, or the texts' own rows."""
