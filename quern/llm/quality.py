@@ -86,17 +86,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5, folds: int = 4) -> float:
     """The share of positives among the unlabelled rows; one half without rows of either kind.
 
-    One half of the rows trains a plain classifier of positive against unlabelled, the other half is scored. The ratio of
+    Each fold is scored by a plain classifier of positive against unlabelled that the other folds train. The ratio of
     the shares above a threshold is at least the prior, whatever the threshold, and least where no negatives are left;
     thresholds that at least `least` of the positives pass are tried.
     """
-    if len(positive) < 4 or len(unlabelled) < 4:
+    if min(len(positive), len(unlabelled)) < folds:
         return 0.5
-    model = fit(positive[::2], unlabelled[::2], 0.5, plain=True)
-    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    scores: tuple[list, list] = ([], [])
+    for f in range(folds):
+        out = [np.arange(len(x)) % folds == f for x in (positive, unlabelled)]
+        model = fit(positive[~out[0]], unlabelled[~out[1]], 0.5, steps=150, plain=True)
+        for own, x, held in zip(scores, (positive, unlabelled), out, strict=True):
+            own.append(model.score(x[held]))
+    p, u = (np.sort(np.concatenate(x)) for x in scores)
     at = p[: max(1, int(len(p) * (1 - least)) + 1)]
     of_p = 1 - np.searchsorted(p, at, "left") / len(p)
     of_u = 1 - np.searchsorted(u, at, "left") / len(u)
