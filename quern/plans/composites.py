@@ -228,13 +228,12 @@ def stitch_prompts(spark, sf):
 # --- sources
 
 
-@query("select 'doc/' || doc_id || '.md' as path, md5(text) content_md5 from documents where doc_id < 40")
+@query("select 'n' || n_regionkey || '/' || n_nationkey || '.md' as path, md5(n_name || chr(10) || '# é') content_md5 from nation")
 def section_files(spark, sf):
-    """Forty texts as markdown files in folders, read back with their paths; a file of another kind is left out."""
+    """The nations as markdown files in folders, read back with their paths; a file of another kind is left out."""
     root = shared_path(spark, "sections")
-    rows = M.table(spark, sf, "documents").where("doc_id < 40").select("doc_id", "text").collect()  # the fixture: forty files
-    system = _files(spark, root, {f"doc/{r.doc_id}.md": r.text for r in rows} | {"doc/x.txt": "no"})
-    assert system
+    rows = M.table(spark, sf, "nation").collect()  # twenty-five rows at every scale
+    _files(spark, root, {f"n{r.n_regionkey}/{r.n_nationkey}.md": f"{r.n_name}\n# é" for r in rows} | {"n0/x.txt": "no"})
     return jsonl.read_sections(spark, root).select("path", F.md5("content").alias("content_md5"))
 
 
@@ -258,23 +257,23 @@ def source_scan(spark, sf):
     return files.select(F.regexp_replace("path", f"^.*{root.rsplit('/', 1)[1]}/", "").alias("path"), T.count_words(F.col("text"), "TODO|FIXME|HACK|XXX").cast("int").alias("markers"))
 
 
-@query("select vec_id ord, 'doc/' || vec_id path, cast(embedding[1] as double) first, len(embedding) dims, 'h' || vec_id content_hash, 't' updated_at from embeddings where vec_id < 300")
+@query("select vec_id ord, 'doc/' || vec_id path, cast(embedding[1] as double) first, len(embedding) dims, 'h' || vec_id content_hash, 't' updated_at from embeddings")
 def embedding_cache_file(spark, sf):
     """The cache of a corpus as one JSON array, written and read again."""
     path = f"{shared_path(spark, 'cache')}/embeddings.json"
-    v = M.table(spark, sf, "embeddings").where("vec_id < 300")
+    v = M.table(spark, sf, "embeddings")
     cache = v.select(F.lit(M.CORPUS).alias("corpus_id"), F.col("vec_id").alias("ord"), F.concat(F.lit("doc/"), "vec_id").alias("path"), F.col("embedding").cast("array<double>").alias("embedding"), F.concat(F.lit("h"), "vec_id").alias("content_hash"), F.lit("t").alias("updated_at"))
     jsonl.write_embedding_cache(cache, path)
     got = jsonl.read_embedding_cache(spark, path, M.CORPUS)
     return got.select("ord", "path", F.expr("embedding[0]").alias("first"), F.size("embedding").cast("long").alias("dims"), "content_hash", "updated_at")
 
 
-@query("select 'p' || n_nationkey project, 'v2' milestone, 2 as number from nation where n_nationkey < 3")
+@query("select 'p' || r_regionkey project, 'v2' milestone, 2 as number from region")
 def manifest_update(spark, sf):
     """Manifests changed by a callback and written back."""
     path, out = shared_path(spark, "updates"), None
     change = lambda df: df.withColumn("generation", F.struct((F.col("generation.number") + 1).alias("number"), F.lit("v2").alias("milestone"), F.col("generation.startedAt"), F.col("generation.endedAt")))
-    for n in range(3):
+    for n in [r.r_regionkey for r in M.table(spark, sf, "region").collect()]:  # five rows at every scale
         file = f"{path}/{n}.json"
         jsonl.write_document(corpus.empty_manifest(spark, f"p{n}", "t0"), file)
         got = jsonl.update_document(spark, file, change, "t1").select("project", "generation.milestone", F.col("generation.number").cast("int").alias("number"))
@@ -282,10 +281,19 @@ def manifest_update(spark, sf):
     return out
 
 
-@query("select 'c' corpus_id, * from (values (0, 'vision/north-star.md', 'North Star Vision', 'vision,north-star,goal,purpose', 6), (2, 'vision/principles.md', 'Design Principles', 'vision,principles,constraints,rules', 9), (4, 'milestones/current.md', 'Current Milestone', 'milestone,current,active', 29)) t(ord, path, title, tags, tokens)")
+_FIRST = [
+    ("vision/north-star.md", "North Star Vision", "vision,north-star,goal,purpose"), ("vision/architecture.md", "Architecture", "vision,architecture,design,system"), ("vision/principles.md", "Design Principles", "vision,principles,constraints,rules"),
+    ("vision/anti-patterns.md", "Anti-Patterns", "vision,anti-patterns,avoid,failures,lessons"), ("milestones/current.md", "Current Milestone", "milestone,current,active"), ("milestones/backlog.md", "Milestone Backlog", "milestone,backlog,future,planning"),
+    ("strategies/active.md", "Active Strategies", "strategies,active,current,methodology"), ("strategies/graveyard.md", "Strategy Graveyard", "strategies,graveyard,failed,lessons"), ("strategies/experiments.md", "Experimental Strategies", "strategies,experiments,testing"),
+    ("knowledge/decisions.md", "Decisions", "knowledge,decisions,adr,rationale"), ("knowledge/discoveries.md", "Discoveries", "knowledge,discoveries,learned,codebase"), ("knowledge/dependencies.md", "Dependencies", "knowledge,dependencies,external,api"),
+]
+
+
+@query("select 'c' corpus_id, *, case ord when 0 then 6 when 2 then 9 when 4 then 29 end given_tokens from (values " + ", ".join(f"({i}, '{p}', '{t}', '{g}')" for i, (p, t, g) in enumerate(_FIRST)) + ") t(ord, path, title, tags)")
 def corpus_bootstrap(spark, sf):
+    """All first sections, with the tokens of those whose text the options give."""
     rows = corpus.bootstrap(spark, "c", corpus.InitOptions("p", "be fast", "First", ["small", "sure"]), "now")
-    return rows.where("ord in (0, 2, 4)").select("corpus_id", F.col("ord").cast("int"), "path", "title", F.array_join("tags", ",").alias("tags"), F.col("tokens").cast("int"))
+    return rows.select("corpus_id", F.col("ord").cast("int"), "path", "title", F.array_join("tags", ",").alias("tags"), F.when(F.col("ord").isin(0, 2, 4), F.col("tokens").cast("int")).alias("given_tokens"))
 
 
 @query("select c_custkey, '/w/c' || c_custkey || '/.quern/corpus/evolution/pending.jsonl' pending, '/w/c' || c_custkey || '/.quern/corpus/manifest.json' manifest, '/w/c' || c_custkey || '/.quern/corpus/vision/a.md' section from customer")
@@ -384,23 +392,28 @@ def _log_file(spark, name: str) -> str:
     return os.path.join(tempfile.mkdtemp(prefix="quern-"), name)
 
 
-def _entries(spark, sf, most: int) -> list[dict]:
-    rows = M.session_log(spark, sf).where(F.col("seq") < most).orderBy("seq").select("ts", "agent", "event", "cwd", "tool").collect()  # so many entries
-    return [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]
+_NATION_LOG_SQL = "log as (select n_nationkey seq, '2024-01-01T00:00:' || lpad(cast(n_nationkey as varchar), 2, '0') || '.000Z' ts, 'agent' || n_regionkey agent, n_name event, case when n_nationkey % 3 = 0 then 'tool' || n_regionkey end tool from nation)"
+
+
+def _entries(spark, sf) -> list[dict]:
+    """The nations as log entries; twenty-five rows at every scale."""
+    rows = sorted(M.table(spark, sf, "nation").collect(), key=lambda r: r.n_nationkey)
+    entries = [{"ts": f"2024-01-01T00:00:{r.n_nationkey:02d}.000Z", "agent": f"agent{r.n_regionkey}", "event": r.n_name} for r in rows]
+    return [e | ({"tool": f"tool{r.n_regionkey}"} if r.n_nationkey % 3 == 0 else {}) for e, r in zip(entries, rows, strict=True)]
 
 
-@query(f"with {M.LOG_SQL} select cast(row_number() over (order by seq) as integer) nth, ts, agent, event, tool from log where seq < 60")
+@query(f"with {_NATION_LOG_SQL} select cast(row_number() over (order by seq) as integer) nth, ts, agent, event, tool from log")
 def log_file(spark, sf):
-    """Sixty entries appended one by one, corrupt lines among them, and read back in order."""
+    """Entries appended one by one, corrupt lines among them, and read back in order."""
     from pyspark.sql import Window as W
 
     path = _log_file(spark, "log.jsonl")
-    for i, e in enumerate(_entries(spark, sf, 60)):
+    for i, e in enumerate(_entries(spark, sf)):
         sessionlog.append(e, path)
         if i % 9 == 0:
             with open(path, "a") as f:
                 f.write('{"torn": \n\n[1, 2]\nnull\n')
-    return sessionlog.read_log(spark, path).select(F.row_number().over(W.orderBy("seq")).alias("nth"), "ts", "agent", "event", "tool")  # sixty rows
+    return sessionlog.read_log(spark, path).select(F.row_number().over(W.orderBy("seq")).alias("nth"), "ts", "agent", "event", "tool")  # twenty-five rows
 
 
 @query("select * from (select 'log.jsonl.1' file, 'e' || lpad(cast(i as varchar), 3, '0') event from range(21, 42) t(i) union all select 'log.jsonl', 'e' || lpad(cast(i as varchar), 3, '0') from range(42, 60) t(i))")
@@ -413,11 +426,11 @@ def log_rotation(spark, sf):
     return read(f"{path}.1").unionByName(read(path))
 
 
-@query(f"with {M.LOG_SQL} select ts, agent, event from log where seq < 80 and agent = 'agent2'")
+@query(f"with {_NATION_LOG_SQL} select ts, agent, event from log where agent = 'agent2'")
 def log_tail(spark, sf):
     """An agent's entries as a stream from the log's start, in small batches."""
     path, sink = _log_file(spark, "log.jsonl"), shared_path(spark, "tail")
-    for e in _entries(spark, sf, 80):
+    for e in _entries(spark, sf):
         sessionlog.append(e, path)
     stream = tail.tail(spark, path, agent="agent2", from_start=True)
     q = stream.writeStream.option("checkpointLocation", shared_path(spark, "tail-state")).trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(sink)).start()
