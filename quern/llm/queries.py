@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import ann, decontaminate, licenses, lm, pieces, quality, secrets, simhash, tokencount, tokenfiles
+from quern.llm import ann, balltree, centroids, decontaminate, lexical, licenses, lm, pieces, quality, secrets, simhash, tokencount, tokenfiles
 from quern.llm.common import shared_path, table
 
 
@@ -60,6 +60,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,8 +79,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_nearest, op4_licenses, op5_sentencepiece, op6_secrets, op7_token_files, op8_token_counts, op9_lm_scores, op10_simhash)} | {"pipeline": pipeline}
-
+    every = (op1_decontamination, op2_quality, op3_nearest, op4_licenses, op5_sentencepiece, op6_secrets, op7_token_files, op8_token_counts, op9_lm_scores, op10_simhash, op11_top_k, op12_ranked_search, op13_centroids)
+    return {f.__name__: f for f in every} | {"pipeline": pipeline}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -136,6 +148,47 @@ select doc_id, cast(coalesce(n0, 0) as bigint) n_assign, cast(coalesce(n1, 0) as
 from d left join by_doc using (rid)"""
 
 
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _op11_sql() -> str:
+    return f"""
+with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v from embeddings where vec_id is not null and {_FINITE}),
+p as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) score from e q join e c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) k from p)
+select query_id, cast(k as integer) as "rank", vec_id, score from r where k <= 5"""
+
+
+def _op12_sql() -> str:
+    return f"""
+with d as (select row_number() over () rid, doc_id, {_words("text")} w from documents),
+t as (select rid, doc_id, cast(len(w) as bigint) n, w from d where len(w) > 0),
+corpus as (select count(*) nn, cast(sum(n) as bigint) ll from t),
+held as (select rid, term, count(*) tf from (select rid, unnest(w) term from t) group by rid, term),
+weight as (select term, cast(floor(1000 * ln((2 * nn + 2) / cast(2 * df + 1 as double))) as bigint) w from (select term, count(*) df from held group by term), corpus),
+items as (select row_number() over () iid, item_id, {_words("text")} w from (select distinct item_id, text from benchmark)),
+asked as (select iid, item_id, term, count(*) times from (select iid, item_id, unnest(w) term from items) group by iid, item_id, term),
+long as (select rid, doc_id, 100 - 75 + ((75 * n * nn) // ll) m from t, corpus),
+scores as (select iid, item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) score from asked join held using (term) join weight using (term) join long using (rid) group by iid, item_id, rid, doc_id),
+r as (select *, row_number() over (partition by iid order by score desc, doc_id) k from scores where score > 0)
+select item_id, cast(k as integer) as "rank", doc_id, score from r where k <= 10"""
+
+
+def _op13_sql() -> str:
+    near = "select vec_id, rid, arg_min(c, struct_pack(a := d, b := c)) c, min(d) d from (select vec_id, rid, c, cast(list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) as bigint) d from e, c{k}) group by vec_id, rid"
+    parts = [
+        f"with e as materialized (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v from embeddings where len(embedding) = 64 and {_FINITE})",
+        "c0 as materialized (select cast(row_number() over (order by h, v) - 1 as integer) c, v m from (select v, sha256('3:' || cast(vec_id as varchar)) h from e order by h nulls last, v limit 8))",
+    ]
+    for k in range(10):
+        parts.append(f"a{k} as materialized ({near.format(k=k)})")
+        parts.append(f"s{k} as materialized (select c, list(cast(floor(s / n) as bigint) order by i) m from (select c, i, sum(x) s, count(*) n from (select c, unnest(v) x, unnest(range(64)) i from a{k} join e using (rid)) group by c, i) group by c)")
+        parts.append(f"c{k + 1} as materialized (select c, coalesce(s{k}.m, c{k}.m) m from c{k} left join s{k} using (c))")
+    parts.append(f"final as materialized ({near.format(k=10)})")
+    return ",\n".join(parts) + """
+select vec_id, c as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia, sha256(array_to_string(m, ',')) centroid_sha256 from final join c10 using (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the operators that SQL can express on whole tables; the others are tested against brute force."""
-    return {"op1_decontamination": _op1_sql(), "op4_licenses": _op4_sql(), "op6_secrets": _op6_sql()}
+    return {"op1_decontamination": _op1_sql(), "op4_licenses": _op4_sql(), "op6_secrets": _op6_sql(), "op11_top_k": _op11_sql(), "op12_ranked_search": _op12_sql(), "op13_centroids": _op13_sql()}
