@@ -106,6 +106,8 @@ def retrieve(sections: DataFrame, queries: DataFrame, most: int | None = None) -
 
 #: Bytes of query vectors that are broadcast at once; more are compared block by block.
 QUERY_BYTES = 16 << 20
+#: Rows that the heaps of one block's queries may hold in a task.
+HEAP_ROWS = 4 << 20
 #: Products that a task holds at once.
 PRODUCTS = 4 << 20
 
@@ -135,26 +137,92 @@ def similar(cache: DataFrame, vectors: DataFrame, above: float = SIMILARITY_ABOV
     Queries are a stated set against all vectors of their corpus; each block of QUERY_BYTES is broadcast and multiplied with the cached
     vectors of a batch. Vectors that are empty, zero, null, of another length or hold a null have similarity 0; `above` is at least that.
     """
+    rows = _compared(cache.withColumn("full", F.lit(1).cast("long")), vectors.withColumn("most", F.lit(None).cast("long")), above, False)
+    return rows.drop("full")
+
+
+def nearest(cache: DataFrame, vectors: DataFrame, above: float = SIMILARITY_ABOVE) -> DataFrame:
+    """As `similar`, but of each query (query_id, corpus_id, vector, most) each task gives only the best by score, then ord: all up to the
+    `most`-th that is not empty. `full` is a section's own token count, a column of `cache`, and stays; without it none is empty.
+
+    The rows are still to be ranked over all tasks: no more than `most` non-empty ones for each query leave a task.
+    """
+    return _compared(cache if "full" in cache.columns else cache.withColumn("full", F.lit(1).cast("long")), vectors, above, True)
+
+
+class _Heaps:
+    """The best rows of each of a block's queries among those of a task: places, scores and whether a row is empty."""
+
+    def __init__(self, most: np.ndarray):
+        self.most, self.floor = most, np.full(len(most), -np.inf)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.rows: list[pa.RecordBatch] = []
+        self.n = self.kept = 0
+
+    def add(self, batch: pa.RecordBatch, place: np.ndarray, q: np.ndarray, score: np.ndarray) -> None:
+        at = sum(x.num_rows for x in self.rows)
+        used, back = np.unique(place, return_inverse=True)
+        self.rows.append(batch.take(pa.array(used)))
+        self.held.append((q, score, at + back))
+        self.n += len(q)
+        if self.n > 2 * self.kept + PRODUCTS // 4:
+            self.prune()
+
+    def prune(self) -> None:
+        if not self.held:
+            return
+        q, score, place = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        table = pa.Table.from_batches(self.rows).combine_chunks()
+        order_of = table.column("ord").to_numpy()
+        order = np.lexsort((order_of[place], -score, q))
+        q, score, place = q[order], score[order], place[order]
+        filled = (table.column("full").to_numpy() > 0)[place]
+        upto = np.cumsum(filled)
+        first = np.searchsorted(q, q)
+        upto = upto - (upto[first] - filled[first])
+        last = filled & (upto == self.most[q])
+        self.floor[q[last]] = score[last]
+        held = upto - filled < self.most[q]
+        q, score, place = q[held], score[held], place[held]
+        used, back = np.unique(place, return_inverse=True)
+        self.rows, self.held = table.take(pa.array(used)).combine_chunks().to_batches(), [(q, score, back)]
+        self.n = self.kept = len(q)
+
+    def take(self, ids: pa.Array, step: int = 50_000):
+        self.prune()
+        if not self.n:
+            return
+        (q, score, place), table = self.held[0], pa.Table.from_batches(self.rows)
+        for lo in range(0, len(q), step):
+            own = table.take(pa.array(place[lo : lo + step])).combine_chunks()
+            columns = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (own.column(c) for c in ("corpus_id", "path", "ord", "full"))]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[lo : lo + step])), *columns[:3], pa.array(score[lo : lo + step]), columns[3]], names=_PAIR)
+
+
+_PAIR = ["query_id", "corpus_id", "path", "ord", "score", "full"]
+
+
+def _compared(cache: DataFrame, vectors: DataFrame, above: float, heaps: bool) -> DataFrame:
     if above < 0:
         raise ValueError("above must not be negative")
     spark = cache.sparkSession
-    asked = vectors.select("query_id", "corpus_id", F.col("vector").cast("array<double>").alias("vector"))
-    size = asked.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
-    blocks = max(1, -(-size // QUERY_BYTES))
-    rows = cache.select("corpus_id", "path", "ord", F.col("embedding").cast("array<double>").alias("embedding"))
-    fields = [asked.schema["query_id"], *(rows.schema[c] for c in ("corpus_id", "path", "ord"))]
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("score", T.DoubleType())])
+    asked = vectors.select("query_id", "corpus_id", F.col("vector").cast("array<double>").alias("vector"), F.col("most").cast("long").alias("most"))
+    size, kept = asked.agg(F.sum(F.size("vector") * 8), F.sum("most")).first()
+    blocks = max(1, -(-(size or 0) // QUERY_BYTES), -(-(kept or 0) // HEAP_ROWS) if heaps else 1)
+    rows = cache.select("corpus_id", "path", "ord", F.col("embedding").cast("array<double>").alias("embedding"), F.col("full").cast("long").alias("full"))
+    schema = T.StructType([asked.schema["query_id"], *(T.StructField(f.name, f.dataType) for f in (rows.schema[c] for c in ("corpus_id", "path", "ord"))), T.StructField("score", T.DoubleType()), T.StructField("full", T.LongType())])
     out = None
     for b in range(blocks):
         part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()  # about QUERY_BYTES
         own = {}
         for corpus in pc.unique(part.column("corpus_id")).to_pylist():
             mine = part.filter(pc.equal(part.column("corpus_id"), corpus)).combine_chunks()
-            ids = mine.column("query_id").combine_chunks()
-            own[corpus] = {n: (ids.take(pa.array(at)), v) for n, (at, v) in _normed(mine.column("vector").combine_chunks()).items()}
+            ids, most = mine.column("query_id").combine_chunks(), pc.fill_null(mine.column("most"), 1 << 62).to_numpy()
+            own[corpus] = {n: (ids.take(pa.array(at)), most[at], v) for n, (at, v) in _normed(mine.column("vector").combine_chunks()).items()}
         sent = spark.sparkContext.broadcast(own)
 
         def run(batches, sent=sent):
+            held: dict = {}
             for batch in batches:
                 corpora = batch.column("corpus_id")
                 for corpus in pc.unique(corpora).to_pylist():
@@ -164,23 +232,34 @@ def similar(cache: DataFrame, vectors: DataFrame, above: float = SIMILARITY_ABOV
                     for n, (at, v) in _normed(mine.column("embedding")).items():
                         if n not in sent.value[corpus]:
                             continue
-                        ids, q = sent.value[corpus][n]
+                        ids, most, q = sent.value[corpus][n]
+                        best = held.setdefault((corpus, n), _Heaps(most)) if heaps else None
                         step = max(1, PRODUCTS // max(1, len(ids)))
                         for lo in range(0, len(at), step):
-                            found = v[lo : lo + step] @ q.T
-                            i, j = np.nonzero(found > above)
+                            # rounded before they are ranked, so that the order of addition decides no tie
+                            found = np.round(v[lo : lo + step] @ q.T, 9)
+                            i, j = np.nonzero((found > above) & (found >= best.floor) if heaps else found > above)
+                            if heaps:
+                                best.add(mine, at[lo + i], j, found[i, j])
+                                continue
                             place = pa.array(at[lo + i])
-                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), *(mine.column(c).take(place) for c in ("corpus_id", "path", "ord")), pa.array(found[i, j])], names=["query_id", "corpus_id", "path", "ord", "score"])
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(j)), *(mine.column(c).take(place) for c in ("corpus_id", "path", "ord")), pa.array(found[i, j]), mine.column("full").take(place)], names=_PAIR)
+            for (corpus, n), best in held.items():
+                yield from best.take(sent.value[corpus][n][0])
 
-        got = rows.mapInArrow(run, schema).withColumn("score", F.round("score", 9)).where(F.col("score") > above)
+        got = rows.mapInArrow(run, schema)
         out = got if out is None else out.unionByName(got)
     return out
 
 
 def semantic_search(sections: DataFrame, cache: DataFrame, vectors: DataFrame, most: int | None = None) -> DataFrame:
-    """Sections by similarity of their cached vectors to each query's (query_id, corpus_id, vector, max_tokens); ties keep the cache's order."""
-    rows = similar(cache, vectors.where("vector is not null")).join(vectors.select("query_id", "max_tokens"), "query_id").join(_sized(sections), ["corpus_id", "path"])
-    return _fill(pack(rows, F.col("max_tokens"), most), sections)
+    """Sections by similarity of their cached vectors to each query's (query_id, corpus_id, vector, max_tokens); ties keep the cache's order.
+
+    A budget of max_tokens takes at most as many non-empty sections, so no task gives more of them for a query; `pack` ranks what all tasks give.
+    """
+    sized = cache.join(_sized(sections), ["corpus_id", "path"])
+    rows = nearest(sized, vectors.where("vector is not null").withColumn("most", F.greatest(F.col("max_tokens").cast("long"), F.lit(0))))
+    return _fill(pack(rows.join(vectors.select("query_id", "max_tokens"), "query_id"), F.col("max_tokens"), most), sections)
 
 
 def retrieve_v2(sections: DataFrame, queries: DataFrame, cache: DataFrame | None = None, vectors: DataFrame | None = None, most: int | None = None) -> DataFrame:

@@ -236,7 +236,7 @@ _FIFTIETH = "q.vec_id % 50 = 0"
 @query(f"with {_COSINE_SQL.format(asked=_FIFTIETH)} select query_id, ord vec_id, round(score, 6) score from (select *, row_number() over (partition by query_id order by score desc, ord) r from sim where score > 0.3) where r <= 10")
 def cosine_topk(spark, sf):
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
-    return retrieval.similar(_cache(spark, sf), _vectors(spark, sf)).withColumn("r", rank).where("r <= 10").select("query_id", F.col("ord").alias("vec_id"), F.round("score", 6).alias("score"))
+    return retrieval.nearest(_cache(spark, sf), _vectors(spark, sf).withColumn("most", F.lit(10))).withColumn("r", rank).where("r <= 10").select("query_id", F.col("ord").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"with {M.SECTIONS_SQL}, {_COSINE_SQL.format(asked=_FIFTIETH)}, cand as (select query_id, path, ord, score, 2500 max_tokens, tokens full_ from sim join sections using (ord) where score > 0.3), {_PACK_SQL} select cast(query_id as integer) query_id, path, score, tokens, md5(content) content_md5 from filled")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -637,3 +638,33 @@ def test_similar_is_the_cosine_of_each_pair(spark, monkeypatch):
     assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-8 for k in want) and want
     with pytest.raises(ValueError):
         retrieval.similar(got, got, -0.1)
+
+
+def test_nearest_leaves_few_rows_for_each_query_and_task(spark, monkeypatch):
+    """At most `most` non-empty rows of a query leave a task, empty ones before the last of them too, and the ranking is that of all pairs."""
+    rng = np.random.default_rng(4)
+    rows = [("c" if i % 3 else "d", f"p{i}", i, rng.standard_normal(4).tolist() if i % 10 else [1.0, 1.0, 1.0, 1.0], int(i % 4 != 0)) for i in range(900)]
+    cache = spark.createDataFrame(rows, "corpus_id string, path string, ord long, embedding array<double>, full long").repartition(3)
+    asked = spark.createDataFrame([(k, "c" if k < 5 else "d", rng.standard_normal(4).tolist(), k) for k in range(8)], "query_id long, corpus_id string, vector array<double>, most long")
+    want = retrieval.similar(cache, asked, 0.2).join(cache.select("path", F.col("full")), "path").collect()
+    for rows_of_heaps, products in ((4 << 20, 4 << 20), (9, 64)):
+        monkeypatch.setattr(retrieval, "HEAP_ROWS", rows_of_heaps)
+        monkeypatch.setattr(retrieval, "PRODUCTS", products)
+        got = retrieval.nearest(cache, asked, 0.2).withColumn("task", F.spark_partition_id()).collect()
+        for k in range(8):
+            by_task = {}
+            for r in got:
+                if r.query_id == k and r.full:
+                    by_task[r.task] = by_task.get(r.task, 0) + 1
+            assert all(n <= k for n in by_task.values())
+
+            def upto(found, k=k):
+                out, n = [], 0
+                for r in sorted((r for r in found if r.query_id == k), key=lambda r: (-r.score, r.ord)):
+                    if n == k:
+                        break
+                    n += r.full > 0
+                    out.append((r.ord, round(r.score, 8)))
+                return out
+
+            assert upto(got) == upto(want)
