@@ -228,35 +228,15 @@ def stitch_prompts(spark, sf):
 # --- sources
 
 
-@query("select 'n' || n_regionkey || '/' || n_nationkey || '.md' as path, md5(n_name || chr(10) || '# é') content_md5 from nation")
+@query("select 'd' || (doc_id % 16) || '/' || doc_id || '.md' as path, md5(text) content_md5 from documents where text is not null")
 def section_files(spark, sf):
-    """The nations as markdown files in folders, read back with their paths; a file of another kind is left out."""
+    """The documents as markdown files in folders, each written by the task that holds it, and read back with their paths."""
     root = shared_path(spark, "sections")
-    rows = M.table(spark, sf, "nation").collect()  # twenty-five rows at every scale
-    _files(spark, root, {f"n{r.n_regionkey}/{r.n_nationkey}.md": f"{r.n_name}\n# é" for r in rows} | {"n0/x.txt": "no"})
+    path = F.concat(F.lit("d"), (F.col("doc_id") % 16).cast("string"), F.lit("/./"), F.col("doc_id").cast("string"), F.lit(".md"))
+    jsonl.write_sections(M.table(spark, sf, "documents").select(path.alias("path"), F.col("text").alias("content")).unionByName(spark.createDataFrame([("d0/x.txt", "no")], "path string, content string")), root)
     return jsonl.read_sections(spark, root).select("path", F.md5("content").alias("content_md5"))
 
 
-def _files(spark: SparkSession, root: str, files: dict[str, str]) -> bool:
-    """Writes small files, and gives whether the folder is there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name, text in files.items():
-        out = system.create(path(f"{root}/{name}"), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-    return jsonl.exists(spark, root)
-
-
-@query("select * from (values ('src/a.ts', 2), ('src/deep/b.tsx', 1), ('c.js', 0), ('lib/d.jsx', 1)) t(path, markers)")
-def source_scan(spark, sf):
-    """Sources in a tree, without hidden folders, modules and other files, with their markers counted."""
-    root = shared_path(spark, "sources")
-    _files(spark, root, {"src/a.ts": "// TODO x\n// FIXME y", "src/deep/b.tsx": "// HACK", "c.js": "todos", "lib/d.jsx": "/* XXX */", "node_modules/m/e.js": "// TODO", ".git/f.ts": "// TODO", "src/g.py": "# TODO"})
-    files = jsonl.read_sources(spark, root)
-    return files.select(F.regexp_replace("path", f"^.*{root.rsplit('/', 1)[1]}/", "").alias("path"), T.count_words(F.col("text"), "TODO|FIXME|HACK|XXX").cast("int").alias("markers"))
-
-
 @query("select vec_id ord, 'doc/' || vec_id path, cast(embedding[1] as double) first, len(embedding) dims, 'h' || vec_id content_hash, 't' updated_at from embeddings")
 def embedding_cache_file(spark, sf):
     """The cache of a corpus as one JSON array, written and read again."""
@@ -281,21 +261,6 @@ def manifest_update(spark, sf):
     return out
 
 
-_FIRST = [
-    ("vision/north-star.md", "North Star Vision", "vision,north-star,goal,purpose"), ("vision/architecture.md", "Architecture", "vision,architecture,design,system"), ("vision/principles.md", "Design Principles", "vision,principles,constraints,rules"),
-    ("vision/anti-patterns.md", "Anti-Patterns", "vision,anti-patterns,avoid,failures,lessons"), ("milestones/current.md", "Current Milestone", "milestone,current,active"), ("milestones/backlog.md", "Milestone Backlog", "milestone,backlog,future,planning"),
-    ("strategies/active.md", "Active Strategies", "strategies,active,current,methodology"), ("strategies/graveyard.md", "Strategy Graveyard", "strategies,graveyard,failed,lessons"), ("strategies/experiments.md", "Experimental Strategies", "strategies,experiments,testing"),
-    ("knowledge/decisions.md", "Decisions", "knowledge,decisions,adr,rationale"), ("knowledge/discoveries.md", "Discoveries", "knowledge,discoveries,learned,codebase"), ("knowledge/dependencies.md", "Dependencies", "knowledge,dependencies,external,api"),
-]
-
-
-@query("select 'c' corpus_id, *, case ord when 0 then 6 when 2 then 9 when 4 then 29 end given_tokens from (values " + ", ".join(f"({i}, '{p}', '{t}', '{g}')" for i, (p, t, g) in enumerate(_FIRST)) + ") t(ord, path, title, tags)")
-def corpus_bootstrap(spark, sf):
-    """All first sections, with the tokens of those whose text the options give."""
-    rows = corpus.bootstrap(spark, "c", corpus.InitOptions("p", "be fast", "First", ["small", "sure"]), "now")
-    return rows.select("corpus_id", F.col("ord").cast("int"), "path", "title", F.array_join("tags", ",").alias("tags"), F.when(F.col("ord").isin(0, 2, 4), F.col("tokens").cast("int")).alias("given_tokens"))
-
-
 @query("select c_custkey, '/w/c' || c_custkey || '/.quern/corpus/evolution/pending.jsonl' pending, '/w/c' || c_custkey || '/.quern/corpus/manifest.json' manifest, '/w/c' || c_custkey || '/.quern/corpus/vision/a.md' section from customer")
 def corpus_paths(spark, sf):
     c = M.table(spark, sf, "customer")
@@ -384,77 +349,73 @@ def evolution_answers(spark, sf):
 # --- the session log as a file
 
 
-def _log_file(spark, name: str) -> str:
-    """A path on the driver's disk, where such logs are kept."""
-    import os
-    import tempfile
+#: What a log's writers may leave between its entries.
+_TORN = ['{"torn": ', "", "[1, 2]", "null", '{"a":1}}']
 
-    return os.path.join(tempfile.mkdtemp(prefix="quern-"), name)
 
-
-_NATION_LOG_SQL = "log as (select n_nationkey seq, '2024-01-01T00:00:' || lpad(cast(n_nationkey as varchar), 2, '0') || '.000Z' ts, 'agent' || n_regionkey agent, n_name event, case when n_nationkey % 3 = 0 then 'tool' || n_regionkey end tool from nation)"
+def _agent_logs(spark, sf, name: str, rows: Column | None = None, torn: bool = False) -> dict[str, str]:
+    """The log's entries as files of JSON lines in the shared folder, one for each agent, each written by one task; paths by agent."""
+    root = shared_path(spark, name)
+    log = M.session_log(spark, sf).drop("meta")
+    line = F.to_json(F.struct(*[c for c in log.columns if c != "seq"]))
+    lines = F.when(F.col("seq") % 9 == 0, F.array(line, *map(F.lit, _TORN))).otherwise(F.array(line)) if torn else F.array(line)
+    log = (log.where(rows) if rows is not None else log).repartition(8, "agent").sortWithinPartitions("agent", "seq")
+    log.select("agent", F.explode(lines).alias("value")).write.partitionBy("agent").text(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system, out = path(root).getFileSystem(spark._jsc.hadoopConfiguration()), {}
+    for folder in system.listStatus(path(root)):
+        if folder.isDirectory():
+            (part,) = [f.getPath() for f in system.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            agent = folder.getPath().getName().removeprefix("agent=")
+            out[agent] = f"{root}/{agent}.jsonl"
+            system.rename(part, path(out[agent]))
+    return out
 
 
-def _entries(spark, sf) -> list[dict]:
-    """The nations as log entries; twenty-five rows at every scale."""
-    rows = sorted(M.table(spark, sf, "nation").collect(), key=lambda r: r.n_nationkey)
-    entries = [{"ts": f"2024-01-01T00:00:{r.n_nationkey:02d}.000Z", "agent": f"agent{r.n_regionkey}", "event": r.n_name} for r in rows]
-    return [e | ({"tool": f"tool{r.n_regionkey}"} if r.n_nationkey % 3 == 0 else {}) for e, r in zip(entries, rows, strict=True)]
+def _renamed(spark, pairs: list[tuple[str, str]]) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for a, b in pairs:
+        system = path(a).getFileSystem(spark._jsc.hadoopConfiguration())
+        system.delete(path(b), False)
+        system.rename(path(a), path(b))
 
 
-@query(f"with {_NATION_LOG_SQL} select cast(row_number() over (order by seq) as integer) nth, ts, agent, event, tool from log")
+@query(f"with {M.LOG_SQL} select ts, agent, event, cwd, session, tool, path, summary from log")
 def log_file(spark, sf):
-    """Entries appended one by one, corrupt lines among them, and read back in order."""
-    from pyspark.sql import Window as W
+    """Logs of all agents read back, corrupt lines among their entries."""
+    logs = _agent_logs(spark, sf, "log", torn=True)
+    return sessionlog.read_log(spark, sorted(logs.values())).drop("seq", "meta")
 
-    path = _log_file(spark, "log.jsonl")
-    for i, e in enumerate(_entries(spark, sf)):
-        sessionlog.append(e, path)
-        if i % 9 == 0:
-            with open(path, "a") as f:
-                f.write('{"torn": \n\n[1, 2]\nnull\n')
-    return sessionlog.read_log(spark, path).select(F.row_number().over(W.orderBy("seq")).alias("nth"), "ts", "agent", "event", "tool")  # twenty-five rows
 
+@query(f"with {M.LOG_SQL} select agent, ts, event, summary, cast(k as integer) nth from (select *, row_number() over (partition by agent order by seq desc) k from log where ts >= '2024-01-03') where k <= 9")
+def log_recent_file(spark, sf):
+    """The last nine entries of each agent's log since a day, read from the end of its file."""
+    from pyspark.sql import Window as W
 
-@query("select * from (select 'log.jsonl.1' file, 'e' || lpad(cast(i as varchar), 3, '0') event from range(21, 42) t(i) union all select 'log.jsonl', 'e' || lpad(cast(i as varchar), 3, '0') from range(42, 60) t(i))")
-def log_rotation(spark, sf):
-    """Lines of fifty bytes into a log that is rotated beyond a thousand; the last rotated file is kept."""
-    path = _log_file(spark, "log.jsonl")
-    for i in range(60):
-        sessionlog.append({"ts": "2024-01-01T00:00:00.000Z", "event": f"e{i:03d}"}, path, max_bytes=1000)
-    read = lambda p: sessionlog.read_log(spark, p).select(F.lit(p.rsplit("/", 1)[1]).alias("file"), "event")
-    return read(f"{path}.1").unionByName(read(path))
+    out = None
+    for agent, path in sorted(_agent_logs(spark, sf, "recent", torn=True).items()):
+        own = sessionlog.read_recent(spark, path, limit=9, agent=agent, since="2024-01-03")
+        out = own if out is None else out.unionByName(own)
+    return out.select("agent", "ts", "event", "summary", F.row_number().over(W.partitionBy("agent").orderBy(F.desc("seq"))).alias("nth"))
 
 
-@query(f"with {_NATION_LOG_SQL} select ts, agent, event from log where agent = 'agent2'")
+@query(f"with {M.LOG_SQL} select ts, agent, event, tool from log")
 def log_tail(spark, sf):
-    """An agent's entries as a stream from the log's start, in small batches."""
-    path, sink = _log_file(spark, "log.jsonl"), shared_path(spark, "tail")
-    for e in _entries(spark, sf):
-        sessionlog.append(e, path)
-    stream = tail.tail(spark, path, agent="agent2", from_start=True)
-    q = stream.writeStream.option("checkpointLocation", shared_path(spark, "tail-state")).trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(sink)).start()
-    q.awaitTermination()
-    return spark.read.parquet(sink).select("ts", "agent", "event")
-
+    """All agents' logs as one stream that is stopped and started: they grow, and are rotated before the stream has read them to the end."""
+    n, seq = M.session_log(spark, sf).agg(F.min("seq"), F.max("seq")).first(), F.col("seq")
+    half, quarter = (n[0] + n[1]) // 2, n[0] + (n[1] - n[0]) // 4
+    logs = _agent_logs(spark, sf, "tail", seq <= quarter)
+    sink, state = shared_path(spark, "tailed"), shared_path(spark, "tail-state")
 
-@query("select 200 entries, 200 distinct_entries")
-def log_concurrent_appends(spark, sf):
-    """Two hundred appends from many threads; none is lost or mixed with another."""
-    from concurrent.futures import ThreadPoolExecutor
+    def run():
+        stream = tail.tail(spark, sorted(logs.values()), from_start=True, part_bytes=1 << 18)
+        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
-    path = _log_file(spark, "log.jsonl")
-    with ThreadPoolExecutor(16) as pool:
-        list(pool.map(lambda i: sessionlog.append({"event": f"e{i}", "summary": "x" * 500}, path), range(200)))
-    return sessionlog.read_log(spark, path).where(F.length("summary") == 500).agg(F.count("*").cast("int").alias("entries"), F.count_distinct("event").cast("int").alias("distinct_entries"))
-
-
-@query("select 'cd' slice, 'héllo' whole")
-def log_slice(spark, sf):
-    path = _log_file(spark, "log.txt")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("abcdef héllo")
-    return spark.createDataFrame([(sessionlog.read_slice(path, 2, 4), sessionlog.read_slice(path, 7, 100))], "slice string, whole string")
+    run()
+    grown, after = _agent_logs(spark, sf, "grown", seq <= half), _agent_logs(spark, sf, "after", seq > half)
+    _renamed(spark, [(path, f"{logs[a]}.1") for a, path in grown.items()] + [(path, logs[a]) for a, path in after.items()])
+    run()
+    return spark.read.parquet(sink).select("ts", "agent", "event", "tool")
 
 
 @query("select n_nationkey k from nation where n_nationkey >= 10")
@@ -479,31 +440,11 @@ def ancestor_hops(spark, sf):
     return starts.join(found, "start").select("n_nationkey", "root")
 
 
-@query("select * from (values ('explicit', 'own'), ('environment', 'env'), ('cache', '1.10.0'), ('fallback', 'back'), ('none', 'not found: 3')) t(asked, root)")
-def plugin_roots(spark, sf):
-    """Where plugins are looked for: a folder that is named, the environment's, the cache's latest valid version, a last resort."""
-    import os
-
-    top = os.path.dirname(_log_file(spark, "x"))
-    for folder in ("own", "env", "back", "cache/1.9.0", "cache/1.10.0", "cache/note"):
-        os.makedirs(f"{top}/{folder}/servers")
-        open(f"{top}/{folder}/{registry.server_file('efficiency')}", "w").close()
-    os.makedirs(f"{top}/cache/2.0.0")  # without a server
-    at = lambda *names: [f"{top}/{n}" if n else None for n in names]
-    rows = []
-    for asked, where in (("explicit", at("own", "env", "cache", "back")), ("environment", at("gone", "env", "cache", "back")), ("cache", at(None, "gone", "cache", "back")), ("fallback", at(None, None, "gone", "back")), ("none", at("gone", None, "gone", "lost"))):
-        try:
-            rows.append((asked, os.path.basename(registry.resolve_root(*where)[0])))
-        except registry.PluginNotFound as e:
-            rows.append((asked, f"not found: {len(e.checked)}"))
-    return spark.createDataFrame(rows, "asked string, root string")
-
-
-@query("select n_nationkey, '{\"b\":\"' || n_name || '\",\"a\":' || n_regionkey || '}' json from nation")
+@query("select c_custkey, '{\"b\":\"' || c_name || '\",\"a\":[' || c_nationkey || ',null],\"d\":{\"z\":1,\"c\":\"é\"}}' json from customer")
 def json_key_order(spark, sf):
-    """Keys keep the order that they were given in; nulls are left out."""
-    row = F.struct(F.col("n_name").alias("b"), F.col("n_regionkey").alias("a"), F.lit(None).cast("string").alias("c"))
-    return M.table(spark, sf, "nation").select("n_nationkey", F.to_json(row).alias("json"))
+    """Minified JSON keeps the order that keys were given in."""
+    text = F.concat(F.lit('{ "b": "'), "c_name", F.lit('",\n "a" : ['), "c_nationkey", F.lit(', null], "d": {"z": 1, "c": "\\u00e9"} }'))
+    return M.table(spark, sf, "customer").select("c_custkey", T.canonical_json(text).alias("json"))
 
 
 @query("""select conv_id, count(*) message_count, cast(ceil(sum(length(text)) / 4.0) as bigint) + cast(ceil((length('Facts of ' || conv_id) + 7 + length('You are ' || conv_id)) / 4.0) as bigint) used_tokens,

@@ -649,11 +649,6 @@ def cache_breakpoints(spark, sf):
     return got.select("conv_id", "turn", "text", F.expr("blocks[0].text").alias("block_text"), F.expr("blocks[0].cache_control").alias("mark"), "cache")
 
 
-@query("select * from (values " + ", ".join(f"({i}, 'stdio', 'srv-{p}', 'bun', 'run /root/x/servers/{p}-server.ts')" for i, p in enumerate("efficiency genome bash diff github http logs orient sql tree".split())) + ") t(ord, type, name, command, args)")
-def server_config(spark, sf):
-    return registry.server_config(spark, "/root/x", "srv").withColumn("args", F.array_join("args", " "))
-
-
 @query("""with n as (select n_nationkey, n_name, n_regionkey from nation) select cast(n_regionkey as varchar) corpus_id, 'm' || n_regionkey milestone, string_agg(n_name, ',' order by n_nationkey) names from n group by n_regionkey""")
 def document_roundtrip(spark, sf):
     """Manifests as JSON documents, written, read again, and their sections in their order."""

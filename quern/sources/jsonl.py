@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern import schemas
 from quern.functions.text import canonical_json, is_json, strict_json
+from quern.sources import ranges
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "allowUnquotedFieldNames": "false"}
 
@@ -97,6 +100,30 @@ def read_sections(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("content"))
 
 
+def write_sections(sections: DataFrame, folder: str) -> None:
+    """Writes (path, content) as files below a folder, each by the task that holds the row, under a new name that is renamed; null contents are no files.
+
+    A path must stay inside the folder.
+    """
+
+    def run(batches):
+        store, root = ranges.opened(folder.rstrip("/"))
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = [p for p in path.replace("\\", "/").split("/") if p not in ("", ".")]
+                if ".." in parts or not parts:
+                    raise ValueError(f"{path} is not inside the folder")
+                target = "/".join([root, *parts])
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                temporary = f"{target}.{uuid.uuid4().hex}"
+                with store.open_output_stream(temporary) as f:
+                    f.write(content.encode())
+                store.move(temporary, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    sections.where("content is not null").select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_sources(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of source files below a folder, less those in hidden folders and node_modules."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{ts,tsx,js,jsx}").text(folder, wholetext=True)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition
 
 from quern import schemas
-from quern.functions.text import parse_strict
+from quern.functions.text import is_json, parse_strict, strict_json
+from quern.sources import ranges
+from quern.sources.jsonl import exists
 
 MAX_BYTES = 10 * 1024 * 1024
 SWITCH, PATH = "QUERN_SESSION_LOG", "QUERN_SESSION_LOG_PATH"
@@ -53,35 +58,123 @@ def append(entry: dict, path: str | None = None, max_bytes: int = MAX_BYTES) ->
 
 def read_slice(path: str, start: int, end: int) -> str:
     """Bytes start to end of a file as text."""
-    with open(path, "rb") as f:
-        f.seek(start)
-        return f.read(max(0, end - start)).decode("utf-8", "replace")
+    return ranges.read(path, start, end).decode("utf-8", "replace")
 
 
 def parse_line(line: str) -> tuple | None:
-    """A line's fields in the order of the schema after seq; null for blank lines and what is no JSON object."""
+    """A line's fields in the order of the schema after seq; null for blank lines and what is no JSON object. For sources that filter as they read."""
     try:
         e = parse_strict(line) if line.strip() else None
     except ValueError:
         return None
     if not isinstance(e, dict):
         return None
-    text = lambda k: e[k] if isinstance(e.get(k), str) else None
-    meta = json.dumps(e["meta"], ensure_ascii=False, separators=(",", ":")) if e.get("meta") is not None else None
-    return (*(text(k) for k in ("ts", "agent", "event", "cwd", "session", "tool", "path", "summary")), meta)
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    return tuple(text(e.get(k)) for k in FIELDS)
 
 
-def read_log(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Entries with `seq`, their place in the log; corrupt lines are left out; none if the file is missing.
+FIELDS = [x.split()[0] for x in schemas.SESSION_LOG.split(", ")[1:]]
 
-    A text file's lines are numbered by file part and line, which keeps the order that they were written in.
+
+def entries(rows: DataFrame) -> DataFrame:
+    """Entries of lines (seq, value), parsed without Python: what is no JSON object is left out, and what is no string comes as its JSON text."""
+    parsed = rows.select("seq", "value", strict_json(F.col("value"), T.StructType([T.StructField(c, T.StringType()) for c in FIELDS])).alias("r"))
+    return parsed.where(is_json(F.col("r"), F.col("value")) & F.col("r.v").isNotNull() & F.ltrim("value").startswith("{")).select("seq", "r.v.*")
+
+
+def read_log(spark: SparkSession, path: str | list[str] | None = None) -> DataFrame:
+    """Entries with `seq`, which keeps the order that a file's lines were written in; corrupt lines are left out; none if the file is missing.
+
+    A path may be a folder of logs, or there may be several.
     """
-    path = path or log_path()
-    if not os.path.exists(path):
+    paths = [path or log_path()] if not isinstance(path, list) else path
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
         return spark.createDataFrame([], schemas.SESSION_LOG)
-    entry = F.udf(parse_line, schemas.SESSION_LOG.removeprefix("seq long, ").replace(" ", ":").replace(",:", ",").join(["struct<", ">"]))
-    rows = spark.read.option("lineSep", "\n").text(path).withColumn("seq", F.monotonically_increasing_id())
-    return rows.select("seq", entry("value").alias("e")).where("e is not null").select("seq", "e.*")
+    return entries(spark.read.option("lineSep", "\n").text(there).select(F.monotonically_increasing_id().alias("seq"), "value"))
+
+
+class Recent(DataSourceReader):
+    """Reads a log from its end, block by block, until as many entries as asked for have passed the filters.
+
+    Filters are those of the options, as the log's own reading has them (entries without a time pass `since`), and those that a plan pushes down
+    where the session has spark.sql.python.filterPushdown.enabled. Without a limit the log is read in parts, each by a task.
+    """
+
+    def __init__(self, options: dict):
+        self.path, self.agent, self.since = options.get("path") or log_path(), options.get("agent"), options.get("since")
+        self.limit = int(options["limit"]) if options.get("limit") else None
+        self.pushed: list[tuple[int, str, str]] = []
+
+    def partitions(self):
+        end = ranges.size(self.path)
+        return [Part(self.path, 0, end, end)] if self.limit else [Part(self.path, a, b, end) for a, b in ranges.cuts(0, end, PART_BYTES)]
+
+    def _passes(self, e: tuple) -> bool:
+        if self.agent and e[FIELDS.index("agent")] != self.agent or self.since and e[FIELDS.index("ts")] is not None and e[FIELDS.index("ts")] < self.since:
+            return False
+        return all(e[i] is not None and (e[i] == v if how == "=" else e[i] >= v) for i, how, v in self.pushed)
+
+    def read(self, part):
+        n = 0
+        rows = ranges.lines_back(part.path, part.end) if self.limit else (x for offsets, lines in ranges.lines(part.path, part.start, part.stop, part.end) for x in zip(offsets, lines, strict=True))
+        for at, line in rows:
+            e = parse_line(line.decode("utf-8", "replace"))
+            if e is not None and self._passes(e):
+                yield at, *e
+                n += 1
+                if n == self.limit:
+                    return
+
+
+class PushedRecent(Recent):
+    """Takes filters of a plan as well; Spark refuses such readers where pushdown is off."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            name = f.attribute[0] if isinstance(f, (EqualTo, GreaterThanOrEqual)) and len(f.attribute) == 1 else None
+            if self.limit is None and name in FIELDS and isinstance(f.value, str):
+                self.pushed.append((FIELDS.index(name), "=" if isinstance(f, EqualTo) else ">=", f.value))
+            else:
+                yield f
+
+
+#: Bytes of a part that one task reads.
+PART_BYTES = 16 << 20
+
+
+@dataclass
+class Part(InputPartition):
+    """Lines of a file that begin from start to stop - 1; `base` goes before the place of each."""
+
+    path: str
+    start: int
+    stop: int
+    end: int
+    base: int = 0
+
+
+class RecentSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "session_log_recent"
+
+    def schema(self) -> str:
+        return schemas.SESSION_LOG
+
+    def reader(self, schema) -> Recent:
+        return (PushedRecent if self.options.get("pushed") == "true" else Recent)(self.options)
+
+
+def read_recent(spark: SparkSession, path: str | None = None, limit: int | None = None, agent: str | None = None, since: str | None = None) -> DataFrame:
+    """The last `limit` entries of one log that pass the filters, last written first; only the blocks at its end are read that hold them. `seq` is the place in the file.
+
+    Without a limit all that pass, in parts read side by side.
+    """
+    spark.dataSource.register(RecentSource)
+    given = {"path": path or log_path(), "agent": agent, "since": since, "limit": limit, "pushed": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")}
+    rows = spark.read.format("session_log_recent").options(**{k: str(v) for k, v in given.items() if v}).load()
+    return rows.orderBy(F.desc("seq"))
 
 
 def from_table(df: DataFrame) -> DataFrame:

@@ -1,62 +1,80 @@
-"""Tailing a session log as a stream.
+"""Tailing session logs as a stream, in byte ranges that executors read from shared storage.
 
-Starts at the end of the file, delivers entries of complete lines exactly once (an unfinished last line waits),
-and starts at the beginning of a file that became shorter, as after rotation.
+Starts at the end of each log, delivers entries of complete lines exactly once (an unfinished last line waits), reads what is left of
+a log that was rotated, and starts at the beginning of one that became shorter.
 """
 
 from __future__ import annotations
 
-import os
+import json
+from datetime import datetime
+from hashlib import md5
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader
 
 from quern import schemas
-from quern.sources.sessionlog import log_path, parse_line
+from quern.sources import ranges
+from quern.sources.sessionlog import PART_BYTES, Part, entries, log_path
 
+LINES = "seq long, value string"
 
-#: Bytes of one micro-batch, which the driver reads; the rest waits in the file for the next.
-MAX_BYTES_PER_TRIGGER = 16 << 20
 
+def head(path: str) -> str:
+    """Names a log's generation: a digest of its first line; empty before there is one."""
+    line = ranges.first_line(path)
+    return md5(line).hexdigest() if line else ""
 
-class SessionLogReader(SimpleDataSourceStreamReader):
-    def __init__(self, options: dict):
-        self.path = options.get("path") or log_path()
-        self.from_start = options.get("fromstart", "false") == "true"
-        self.most = int(options.get("maxbytespertrigger", MAX_BYTES_PER_TRIGGER))
 
-    def _size(self) -> int:
-        try:
-            return os.path.getsize(self.path)
-        except OSError:
-            return 0
-
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"at": 0 if self.from_start else self._size(), "seq": 0}
+def base(path: str) -> int:
+    """What places in a log are counted from: the second of its first entry's time in the high half, so that the places of later generations are higher."""
+    try:
+        return int(datetime.fromisoformat(json.loads(ranges.first_line(path))["ts"]).timestamp()) << 32
+    except (ValueError, TypeError, KeyError, OSError):
+        return 0
 
-    def _lines(self, start: int, end: int | None) -> tuple[list[str], int]:
-        try:
-            with open(self.path, "rb") as f:
-                f.seek(start)
-                data = f.read(self.most if end is None else end - start)
-                while end is None and b"\n" not in data and (more := f.read(self.most)):
-                    data += more  # one line that is longer than the bound
-        except OSError:
-            return [], start
-        whole = data[: data.rfind(b"\n") + 1]
-        return [x.decode("utf-8", "replace").rstrip("\r") for x in whole.split(b"\n")[:-1]], start + len(whole)
 
-    def _rows(self, lines: list[str], seq: int):
-        return [(seq + i, *e) for i, x in enumerate(lines) if (e := parse_line(x)) is not None]
+class SessionLogReader(DataSourceStreamReader):
+    """Offsets have, for each log, the generation and the end of a line in it. A rotated log is the one of the same path and ".1"."""
 
-    def read(self, start: dict):
-        at = start["at"] if start["at"] <= self._size() else 0
-        lines, end = self._lines(at, None)
-        return iter(self._rows(lines, start["seq"])), {"at": end, "seq": start["seq"] + len(lines)}
+    def __init__(self, options: dict):
+        self.paths = json.loads(options["paths"]) if "paths" in options else [options.get("path") or log_path()]
+        self.from_start = options.get("fromstart", "false") == "true"
+        self.part_bytes = int(options.get("partbytes", PART_BYTES))
 
-    def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
-        at = start["at"] if start["at"] <= end["at"] else 0
-        return iter(self._rows(self._lines(at, end["at"])[0], start["seq"]))
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {p: {"head": head(p), "at": 0 if self.from_start else ranges.end_of_lines(p)} for p in self.paths}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {p: {"head": head(p), "at": ranges.end_of_lines(p)} for p in self.paths}
+
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        return [x for p in end for x in self._parts(p, start.get(p, {"head": "", "at": 0}), end[p])]
+
+    def _parts(self, path: str, start: dict, end: dict) -> list[Part]:
+        if start == end:
+            return []
+        # the newer generation may have been rotated since, as when a batch is read again
+        now, old = head(path), f"{path}.1"
+        of = path if now == end["head"] or head(old) != end["head"] else old
+        out = []
+        if start["head"] == end["head"] and start["at"] <= end["at"]:
+            at = start["at"]
+        else:
+            at = 0
+            if of == path and start["head"] and start["head"] != end["head"] and head(old) == start["head"]:
+                out += self._cut(old, start["at"], ranges.end_of_lines(old))
+        return out + self._cut(of, at, end["at"])
+
+    def _cut(self, path: str, start: int, stop: int) -> list[Part]:
+        first = base(path)
+        return [Part(path, a, b, stop, first) for a, b in ranges.cuts(start, stop, self.part_bytes)]
+
+    def read(self, part: Part):
+        for at, lines in ranges.lines(part.path, part.start, part.stop, part.end):
+            texts = [x.decode("utf-8", "replace") for x in lines]
+            yield pa.RecordBatch.from_arrays([pa.array([part.base + a for a in at], pa.int64()), pa.array(texts, pa.string())], names=["seq", "value"])
 
 
 class SessionLogSource(DataSource):
@@ -65,17 +83,20 @@ class SessionLogSource(DataSource):
         return "session_log"
 
     def schema(self) -> str:
-        return schemas.SESSION_LOG
+        return LINES
 
-    def simpleStreamReader(self, schema) -> SessionLogReader:  # noqa: N802
+    def streamReader(self, schema) -> SessionLogReader:  # noqa: N802
         return SessionLogReader(self.options)
 
 
-def tail(spark: SparkSession, path: str | None = None, agent: str | None = None, from_start: bool = False, max_bytes: int = MAX_BYTES_PER_TRIGGER) -> DataFrame:
-    """A streaming frame of new entries, at most about max_bytes in a micro-batch; `stop()` on the query that reads it ends it."""
+def tail(spark: SparkSession, path: str | list[str] | None = None, agent: str | None = None, from_start: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+    """A streaming frame of new entries of one log or of several; a task reads about part_bytes. `stop()` on the query that reads it ends it.
+
+    `seq` orders a log's entries over its generations: see `base`.
+    """
     spark.dataSource.register(SessionLogSource)
-    reader = spark.readStream.format("session_log").option("fromStart", str(from_start).lower()).option("maxBytesPerTrigger", str(max_bytes))
-    df = reader.option("path", path or log_path()).load()
+    reader = spark.readStream.format("session_log").option("fromStart", str(from_start).lower()).option("partBytes", str(part_bytes))
+    df = entries(reader.option("paths", json.dumps(path if isinstance(path, list) else [path or log_path()])).load())
     return df.where(df.agent == agent) if agent else df
 
 

@@ -233,18 +233,94 @@ def test_lines_that_are_more_or_less_than_json(spark, tmp_path):
     assert [r.a for r in df.collect()] == [1, 2, 3, None, None, None, None, 11, None, None]
 
 
-def test_tail_reads_in_bounded_batches(tmp_path):
+def test_lines_of_ranges(tmp_path, monkeypatch):
+    """Each line belongs to the range that it begins in, whatever the cuts and the blocks."""
+    from quern.sources import ranges
+
+    text = b"".join(b"x" * n + b"\n" for n in (3, 0, 40, 1, 0, 0, 17, 200, 5)) + b"torn"
+    path = tmp_path / "l.txt"
+    path.write_bytes(text)
+    end = ranges.end_of_lines(str(path))
+    assert end == len(text) - 4 and ranges.first_line(str(path)) == b"xxx" and ranges.end_of_lines(str(tmp_path / "none")) == 0
+    want = [(i, x) for i, x in zip([0, *[i + 1 for i, b in enumerate(text) if b == 10]], text.split(b"\n")[:-1], strict=False)]
+    for block in (1, 7, 1 << 20):
+        monkeypatch.setattr(ranges, "BLOCK", block)
+        monkeypatch.setattr(ranges, "BACK", block)
+        assert ranges.end_of_lines(f"file://{path}") == end
+        for step in (1, 5, 64, 1000):
+            got = [x for a, b in ranges.cuts(0, end, step) for at, lines in ranges.lines(str(path), a, b, end) for x in zip(at, lines, strict=True)]
+            assert got == want
+        assert list(ranges.lines_back(str(path))) == [(end, b"torn"), *[x for x in reversed(want) if x[1]]]
+        assert list(ranges.lines_back(str(path), 0)) == []
+
+
+def test_tail_plans_ranges_over_a_rotation(tmp_path):
+    """A batch's parts cover what is new, once, in tasks of bounded bytes; also when they are planned again after the next rotation."""
     from quern.streaming.tail import SessionLogReader
 
     path = tmp_path / "log.jsonl"
-    path.write_text("".join('{"event":"e%d"}\n' % i for i in range(50)) + '{"event":"' + "x" * 300 + '"}\n{"event":"torn')
-    reader = SessionLogReader({"path": str(path), "fromstart": "true", "maxbytespertrigger": "100"})
-    at, seen, batches = reader.initialOffset(), [], 0
-    while True:
-        rows, end = reader.read(at)
-        if end == at:
-            break
-        got = list(rows)
-        assert list(reader.readBetweenOffsets(at, end)) == got
-        seen, at, batches = seen + got, end, batches + 1
-    assert [r[0] for r in seen] == list(range(51)) and len(seen[-1][3]) == 300 and batches > 5
+    line = lambda g, i: '{"ts":"2024-01-0%dT00:00:00.000Z","event":"g%de%d"}\n' % (g, g, i)
+    write = lambda g, n, torn="": path.write_text("".join(line(g, i) for i in range(n)) + torn)
+    reader = SessionLogReader({"path": str(path), "fromstart": "true", "partbytes": "100"})
+    read = lambda parts: [(s, json.loads(v)["event"]) for p in parts for b in reader.read(p) for s, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    events = lambda g, a, b: [f"g{g}e{i}" for i in range(a, b)]
+    zero = reader.initialOffset()
+    write(1, 20, '{"event":"to')
+    one = reader.latestOffset()
+    first = read(reader.partitions(zero, one))
+    assert [e for _, e in first] == events(1, 0, 20) and len(reader.partitions(zero, one)) > 5
+    write(1, 30)
+    path.rename(f"{path}.1")
+    write(2, 7)
+    two = reader.latestOffset()
+    second = read(reader.partitions(one, two))
+    assert [e for _, e in second] == events(1, 20, 30) + events(2, 0, 7)
+    assert [s for s, _ in first + second] == sorted({s for s, _ in first + second})
+    path.rename(f"{path}.1")
+    write(3, 2)
+    assert read(reader.partitions(one, two))[-7:] == second[-7:]  # read again, from the rotated file
+    path.write_text("")
+    assert reader.partitions(two, reader.latestOffset()) == []
+    write(4, 3)
+    assert [e for _, e in read(reader.partitions(two, reader.latestOffset()))][-3:] == events(4, 0, 3)
+    assert SessionLogReader({"path": str(path)}).initialOffset()[str(path)]["at"] == path.stat().st_size
+
+
+def test_recent_entries_are_read_from_the_end(spark, tmp_path, monkeypatch):
+    from quern.sources import ranges
+
+    path = str(tmp_path / "log.jsonl")
+    with open(path, "w") as f:
+        for i in range(20_000):
+            f.write(json.dumps({"ts": f"2024-01-01T00:{i // 600:02d}:{i // 10 % 60:02d}.{i % 10}00Z", "agent": f"a{i % 3}", "event": f"e{i}"}) + ("\n{torn\n" if i % 50 == 0 else "\n"))
+        f.write('{"event":"no time"}\n{"event":"half')
+    bytes_read, whole = [], ranges.read
+    monkeypatch.setattr(ranges, "read", lambda *a: bytes_read.append(len(x := whole(*a))) or x)
+    reader = sessionlog.Recent({"path": path, "limit": "50", "agent": "a1"})
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[3] for r in rows] == [f"e{i}" for i in range(19999, 0, -1) if i % 3 == 1][:50]
+    assert sum(bytes_read) <= 2 * ranges.BACK < ranges.size(path) / 5
+    got = sessionlog.read_recent(spark, path, limit=4, since="2024-01-01T00:33:19.800Z").collect()
+    assert [r.event for r in got] == ["no time", "e19999", "e19998"]
+    every = sessionlog.read_recent(spark, path).collect()
+    assert len(every) == 20_001 and every[0].event == "no time" and every[-1].event == "e0"
+    assert resume.read(sessionlog.read_log(spark, path), 3, "a2").first().event == "e19997" == sessionlog.read_recent(spark, path, 3, "a2").first().event
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = sessionlog.read_recent(spark, path).where("agent = 'a2' and ts >= '2024-01-01T00:33:00.000Z' and event <> 'e19997'")
+        assert pushed.count() == 65
+        plan = pushed._jdf.queryExecution().executedPlan().toString()
+        assert "= e19997" in plan and "= a2" not in plan and ">= 2024" not in plan
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert sessionlog.read_recent(spark, str(tmp_path / "none"), 5).count() == 0
+
+
+def test_entries_are_parsed_without_python(spark, tmp_path):
+    lines = ['{"ts":"t","agent":5,"meta":{"b":1,"a":[2]}}', '{"event":"x","event":"y"}', "[1]", "null", '"s"', "{torn", ""]
+    (tmp_path / "l.jsonl").write_text("\n".join(lines))
+    df = sessionlog.read_log(spark, str(tmp_path / "l.jsonl"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = df.orderBy("seq").collect()
+    assert [(r.ts, r.agent, r.event, r.meta) for r in rows] == [("t", "5", None, '{"b":1,"a":[2]}'), (None, None, "y", None)]
+    assert [sessionlog.parse_line(x) for x in lines] == [tuple(r)[1:] for r in rows] + [None] * 5
