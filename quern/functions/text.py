@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: White space that JavaScript's trim and \s take, beyond the ASCII ones of Java's \s.
 SPACE = r"[\s\x0B\p{Z}\uFEFF]"
+#: The same in Python's notation.
+PYTHON_SPACE = "[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def trim(c: Column) -> Column:

@@ -9,7 +9,7 @@ from quern import schemas
 from quern.functions import text as T
 from quern.operators import compaction, corpus, fitness, generations, promptcache, proposals, registry, resume, retrieval, strategies, tokens
 from quern.plans import mappings as M
-from quern.plans.queries import _ASKED, _PACK_SQL, _SCORE_SQL, query
+from quern.plans.queries import _ASKED, _PACK_SQL, _SCORE_SQL, _window_sql, query
 from quern.session import shared_path
 from quern.sources import jsonl, sessionlog
 from quern.streaming import context_window, tail
@@ -447,18 +447,19 @@ def json_key_order(spark, sf):
     return M.table(spark, sf, "customer").select("c_custkey", T.canonical_json(text).alias("json"))
 
 
-@query("""select conv_id, count(*) message_count, cast(ceil(sum(length(text)) / 4.0) as bigint) + cast(ceil((length('Facts of ' || conv_id) + 7 + length('You are ' || conv_id)) / 4.0) as bigint) used_tokens,
- 'Facts of ' || conv_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'You are ' || conv_id system from conversations group by conv_id""")
+@query(f"""with {_window_sql(400, 3, "length('Facts of ' || conv_id) + 7 + length('Old prompt of ' || conv_id)", 7)} select conv_id, n message_count, cast(ceil(chars / 4.0) as bigint) + cast(ceil((length('Facts of ' || conv_id) + 7 + length('You are ' || conv_id)) / 4.0) as bigint) used_tokens, compactions,
+ 'Facts of ' || conv_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'You are ' || conv_id system from final""")
 def stream_prompts(spark, sf):
-    """Prompts and retrieved texts that come with the stream: the prompt is set twice, the second counts."""
-    c = M.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.lit(False).alias("tool"))
+    """Prompts and retrieved texts that come with the stream and fill windows sooner: the prompt is set twice, the second counts at the end."""
+    tool = (F.col("role") == "assistant") & (F.col("turn") % 4 == 1)
+    rows = c = M.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", tool.alias("tool"))
     ids = c.select("conv_id").distinct()
-    rows = c
     for turn, role, text in ((-2, context_window.SYSTEM, "Old prompt of "), (-1, context_window.CORPUS, "Facts of "), (10**6, context_window.SYSTEM, "You are ")):
         rows = rows.unionByName(ids.select("conv_id", F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.concat(F.lit(text), "conv_id").alias("text"), F.lit(False).alias("tool")))
     source, sink = shared_path(spark, "prompted"), shared_path(spark, "prompts")
-    rows.repartition(1, "conv_id").write.parquet(source)
-    stream = context_window.context_windows(spark.readStream.schema(rows.schema).parquet(source), compaction.WindowConfig(max_tokens=10**9))
+    rows.write.parquet(source)
+    context_window.use_state_store(spark)
+    stream = context_window.context_windows(spark.readStream.schema(rows.schema).parquet(source), compaction.WindowConfig(max_tokens=400, recent_message_count=3), lambda system, prompt: "so far.")
     q = stream.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "prompt-state")).trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(sink)).start()
     q.awaitTermination()
-    return spark.read.parquet(sink).select("conv_id", "message_count", "used_tokens", "system")
+    return spark.read.parquet(sink).select("conv_id", "message_count", "used_tokens", "compactions", "system")

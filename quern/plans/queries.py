@@ -15,7 +15,7 @@ from quern.operators import budget, compaction, corpus, embeddings, fitness, gen
 from quern.plans import mappings as M
 from quern.session import shared_path
 from quern.sources import jsonl
-from quern.streaming import context_window
+from quern.streaming import context_window, deltas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -636,8 +636,18 @@ def embedding_counters(spark, sf):
 
 @query("select conv_id stream_id, coalesce(string_agg(text, '' order by turn) filter (turn % 3 > 0), '') as text from conversations group by conv_id")
 def stream_deltas(spark, sf):
+    """Events of all streams in three batches, out of order in each and over them, some twice."""
     c = M.table(spark, sf, "conversations")
-    return context_window.deltas(c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 3 > 0, "text_delta").otherwise("usage").alias("type"), "text"))
+    seq = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long") - 1
+    kind = F.when(F.col("turn") % 3 > 0, deltas.DELTA).otherwise("usage")
+    rows = c.select(F.col("conv_id").alias("stream_id"), seq.alias("seq"), kind.alias("type"), "text", F.timestamp_seconds(F.lit(1704067200) + F.col("turn")).alias("ts"))
+    source, sink, state = (shared_path(spark, n) for n in ("deltas", "parts", "delta-state"))
+    context_window.use_state_store(spark)
+    for batch in ("seq % 3 = 1 or seq = 0", "seq % 3 = 2 or seq % 7 = 1", "seq % 3 = 0"):
+        rows.where(batch).orderBy(F.xxhash64("stream_id", "seq")).write.mode("append").parquet(source)
+        parts = deltas.ordered(spark.readStream.schema(rows.schema).parquet(source))
+        parts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return deltas.joined(spark.read.parquet(sink)).select("stream_id", "text")
 
 
 @query("""with f as (select *, max(turn) filter (role = 'user') over (partition by conv_id) l from conversations)
@@ -667,18 +677,36 @@ def document_roundtrip(spark, sf):
     return out
 
 
-@query()
+def _window_sql(budget: int, recent: int, system: str, said: int) -> str:
+    """State of each conversation's window after each message: (conv_id, k, chars, n, compactions, last, total). Messages are none that collapse
+    drops, so a full window becomes a summary of `said` characters, its answer, and the `recent` last messages.
+    """
+    head = len(compaction.SUMMARY_HEAD) + said + len(compaction.SUMMARY_ANSWER)
+    return f"""recursive m as (select conv_id, k, l, sum(l) over (partition by conv_id order by k) p, count(*) over (partition by conv_id) total, {system} sys from
+  (select conv_id, row_number() over (partition by conv_id order by turn) k, case when role = 'assistant' and turn % 4 = 1 and length(text) > 2000 then 1623 else length(text) end l from conversations)),
+w as (select conv_id, cast(0 as bigint) k, cast(0 as hugeint) chars, cast(0 as bigint) n, cast(0 as bigint) compactions from conversations group by conv_id
+union all select conv_id, k, case when full_ and n > {recent} then {head} + p - coalesce(before, 0) else chars end, case when full_ and n > {recent} then {recent} + 2 else n end, compactions + case when full_ then 1 else 0 end from
+  (select w.conv_id, m.k, w.chars + m.l chars, w.n + 1 n, compactions, m.p, b.p before, (ceil(m.sys / 4.0) + ceil((w.chars + m.l) / 4.0)) / {budget} >= 0.75 full_ from w join m on m.conv_id = w.conv_id and m.k = w.k + 1 left join m b on b.conv_id = m.conv_id and b.k = m.k - {recent})),
+final as (select w.* from w join (select conv_id, count(*) k from conversations group by conv_id) using (conv_id, k))"""
+
+
+@query(f"""with {_window_sql(400, 3, "0", 7)} select conv_id, n message_count, cast(ceil(chars / 4.0) as bigint) used_tokens, compactions, n state_messages, cast(chars as bigint) state_chars from final""")
 def stream_context_windows(spark, sf):
-    """Conversations as a stream into keyed state, with windows that most of them fill; the last state of each. SQL cannot
-    follow a window through its summaries; a test does in plain Python."""
-    source, sink = shared_path(spark, "messages"), shared_path(spark, "windows")
-    schema = "conv_id long, turn long, role string, text string, tool boolean"
-    M.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", (F.col("turn") % 6 == 2).alias("tool")).write.parquet(source)
-    stream = context_window.context_windows(spark.readStream.schema(schema).parquet(source), compaction.WindowConfig(max_tokens=400, recent_message_count=2), lambda system, prompt: f"S{len(prompt)}")
-    q = stream.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "state")).trigger(availableNow=True).foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(sink)).start()
-    q.awaitTermination()
-    got = spark.read.parquet(sink).groupBy("conv_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("message_count", "used_tokens", "compactions", "messages")])
-    return got.withColumn("messages", F.md5("messages"))
+    """Conversations as a stream into keyed state, with windows that most of them fill, some more than once. The query is stopped in the middle and
+    started again; the messages are read from its state.
+    """
+    source, sink, state = (shared_path(spark, n) for n in ("messages", "windows", "window-state"))
+    rows = M.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", ((F.col("role") == "assistant") & (F.col("turn") % 4 == 1)).alias("tool"))
+    context_window.use_state_store(spark)
+    config = compaction.WindowConfig(max_tokens=400, recent_message_count=3)
+    for k, part in enumerate(("turn < 4", "turn >= 4")):
+        rows.where(part).write.mode("append").parquet(source)
+        stream = context_window.context_windows(spark.readStream.schema(rows.schema).parquet(source), config, lambda system, prompt: "so far.")
+        keep = lambda df, i, k=k: df.withColumn("run", F.lit(k)).withColumn("batch", F.lit(i)).write.mode("append").parquet(sink)
+        stream.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    got = spark.read.parquet(sink).groupBy("conv_id").agg(*[F.max_by(c, F.struct("run", "batch")).alias(c) for c in ("message_count", "used_tokens", "compactions")])
+    held = context_window.window_messages(spark, state).groupBy("conv_id").agg(F.count("*").alias("state_messages"), F.sum(F.length("text")).alias("state_chars"))
+    return got.join(held, "conv_id")
 
 
 @query("""with s as (select c_custkey k, c_custkey % 3 d from customer) select cast(k as varchar) corpus_id, cast(case d when 0 then 0.3 when 1 then 0.5 else 1 end as double) milestone, cast(round(coalesce(least(1, n / 10.0), 0), 6) as double) cost, cast(0.5 as double) tests

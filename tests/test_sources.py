@@ -2,13 +2,14 @@
 
 import json
 import threading
+import time
 
 from pyspark.sql import functions as F
 
 from quern import schemas
 from quern.operators import compaction, resume
 from quern.sources import jsonl, sessionlog
-from quern.streaming import context_window, tail
+from quern.streaming import context_window, deltas, tail
 
 
 def test_jsonl(spark, tmp_path):
@@ -107,34 +108,107 @@ def test_tail(spark, tmp_path):
     assert [r.event for r in spark.sql("select * from tailed").collect()] == ["live1", "live2", "rotated"]
 
 
-def test_state_equals_batch(spark, tmp_path):
-    """A window that fills up is collapsed as the batch operator does it."""
-    rows = []
-    for conv in (1, 2):
-        for i in range(9):
-            rows.append((conv, i, "assistant" if i % 3 == 1 else "user", "ok" if i % 3 == 1 else "w" * 40, False))
+def windows_of(spark, tmp_path, parts, config, summarizer=None, **options):
+    """The last row of each conversation after each part was added and the query was started anew, and the checkpoint."""
+    context_window.use_state_store(spark)
+    source, cp, rows = str(tmp_path / "in"), str(tmp_path / "cp"), []
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = context_window.context_windows(spark.readStream.schema(part.schema).parquet(source), config, summarizer, **options)
+        stream.writeStream.outputMode("update").option("checkpointLocation", cp).trigger(availableNow=True).foreachBatch(lambda df, i: rows.extend(df.collect())).start().awaitTermination()
+    return {r.conv_id: r for r in rows}, cp
+
+
+def test_collapse_is_the_same_in_batches_and_streams(spark):
+    """The state's rule and the batch operator's, on random conversations of short answers and repeated results."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for conv in range(60):
+        for turn in range(rng.randint(0, 14)):
+            role = rng.choice(["user", "assistant", "assistant"])
+            tool = rng.random() < 0.4
+            rows.append((conv, turn, role, rng.choice(["x" * 300 + "1", "x" * 300 + "2", "", "y"]) if tool else rng.choice([" \u00a0ok \ufeff", "fine then, go on", "123456789", "1234567890"]), tool))
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tool boolean")
-    d.write.parquet(str(tmp_path / "in"))
-    config = compaction.WindowConfig(max_tokens=80)
-    stream = context_window.context_windows(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), config)
-    q = stream.writeStream.outputMode("update").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = {r.conv_id: r for r in spark.sql("select * from windows").collect()}
-    held, compactions = [], 0
-    for _, _, role, text, tool in rows[:9]:
-        held.append({"role": role, "text": text, "tool": tool})
-        if context_window.used(held) / 80 >= 0.75:
-            held, compactions = context_window.compact_list(held, None, config), compactions + 1
-    assert json.loads(got[1].messages) == held == json.loads(got[2].messages) and got[1].compactions == compactions > 0
-    batch = compaction.collapse(d.where("conv_id = 1").withColumn("blocks", F.lit(None).cast(f"array<{schemas.BLOCK}>")))
-    whole = context_window.collapse_list([{"role": r[2], "text": r[3], "tool": False} for r in rows[:9]])
-    assert [r.text for r in batch.orderBy("turn").collect()] == [m["text"] for m in whole]
+    block = F.from_json(F.to_json(F.struct(F.lit("tool_result").alias("type"), F.col("text").alias("content"))), schemas.BLOCK)
+    batch = compaction.collapse(d.select("conv_id", "turn", "role", F.when(~F.col("tool"), F.col("text")).alias("text"), F.when(F.col("tool"), F.array(block)).alias("blocks")))
+    want = {}
+    for r in batch.orderBy("conv_id", "turn").collect():
+        want.setdefault(r.conv_id, []).append(r.turn)
+    for conv in range(60):
+        own = [(t, context_window.Message(*m)) for c, t, *m in rows if c == conv]
+        marked = [context_window.Message(m.role, m.text, m.tool) for _, m in own]
+        kept = context_window.collapsed(marked)
+        assert [next(t for (t, _), m in zip(own, marked, strict=True) if m is k) for k in kept] == want.get(conv, [])
+
+
+def test_windows_follow_message_by_message(spark, tmp_path):
+    """Windows that fill, in three runs of the query; the state's messages are those of a plain loop."""
+    rows = [(conv, i, ("assistant", "user")[i % 2], ("ok" if i % 5 == 0 else f"{conv} {i} " + "w" * (3000 if i % 7 == 3 else 90)), i % 7 == 3) for conv in range(3) for i in range(23 + conv)]
+    config = compaction.WindowConfig(max_tokens=900, recent_message_count=4)
+    summarizer = lambda system, prompt: f"{len(prompt)} characters"
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tool boolean")
+    got, cp = windows_of(spark, tmp_path, [d.where(f"turn between {a} and {b}") for a, b in ((0, 6), (7, 13), (14, 40))], config, summarizer, system_chars=10)
+    held = {}
+    for r in context_window.window_messages(spark, cp).orderBy("conv_id", "place").collect():
+        held.setdefault(r.conv_id, []).append(context_window.Message(r.role, r.text, r.tool))
+    for conv in range(3):
+        own, compactions = [], 0
+        for c, _, *m in rows:
+            if c == conv:
+                own.append(context_window.Message(*m).snipped())
+                if context_window.used(own, 10) / 900 >= 0.75:
+                    own, compactions = context_window.compacted(own, summarizer, config, 10), compactions + 1
+        r = got[conv]
+        assert (r.message_count, r.used_tokens, r.compactions, r.closed) == (len(own), context_window.used(own, 10), compactions, False) and compactions > 1
+        assert held[conv] == own
+
+
+def test_idle_windows_are_let_go(spark, tmp_path):
+    d = spark.createDataFrame([(1, 0, "user", "a" * 40, False), (2, 0, "user", "b" * 8, False)], "conv_id long, turn long, role string, text string, tool boolean")
+    context_window.use_state_store(spark)
+    (tmp_path / "in").mkdir()
+    rows = []
+    stream = context_window.context_windows(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), idle_ms=3000)
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").foreachBatch(lambda df, i: rows.extend(df.collect())).start()
+    try:
+        d.write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(150):
+            time.sleep(0.2)
+            if sum(r.closed for r in rows) == 2:
+                break
+        assert sorted((r.conv_id, r.message_count, r.used_tokens, r.closed) for r in rows) == [(1, 1, 10, False), (1, 1, 10, True), (2, 1, 2, False), (2, 1, 2, True)]
+        d.where("conv_id = 1").write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(100):
+            time.sleep(0.2)
+            if len(rows) > 4:
+                break
+        assert rows[4].message_count == 1  # a new window
+    finally:
+        q.stop()
+    assert not q.isActive
 
 
 def test_deltas(spark):
     d = spark.createDataFrame([(1, 2, "text_delta", "b"), (1, 1, "text_delta", "a"), (1, 3, "stop", "z"), (2, 1, "stop", None)], "stream_id long, seq long, type string, text string")
-    assert {r.stream_id: r.text for r in context_window.deltas(d).collect()} == {1: "ab", 2: ""}
+    assert {r.stream_id: r.text for r in deltas.deltas(d).collect()} == {1: "ab", 2: ""}
+
+
+def test_deltas_of_a_stream_wait_for_gaps_until_the_watermark(spark, tmp_path):
+    context_window.use_state_store(spark)
+    schema = "stream_id long, seq long, type string, text string, at long"
+    one = [(1, 0, "text_delta", "a"), (1, 2, "text_delta", "c"), (1, 3, "usage", "no"), (1, 4, "text_delta", "e"), (2, 1, "text_delta", "y"), (2, 3, "text_delta", "z")]
+    two = [(1, 1, "text_delta", "b"), (1, 2, "text_delta", "again"), (1, 0, "text_delta", "a")]
+    three = [(3, 0, "text_delta", None)]
+    source, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    seen = []
+    for at, batch in ((100_000, one), (100_010, two), (200_000, three)):
+        d = spark.createDataFrame([(*r, at) for r in batch], schema).withColumn("ts", F.timestamp_seconds("at"))
+        d.write.mode("append").parquet(source)
+        deltas.ordered(spark.readStream.schema(d.schema).parquet(source), "1 minute").writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+        seen.append({r.stream_id: (r.text, r.closed) for r in deltas.joined(spark.read.parquet(out)).collect()})
+    assert seen[0] == {1: ("a", False)} and seen[1] == {1: ("abce", False)}
+    assert seen[2] == {1: ("abce", True), 2: ("yz", True), 3: ("", False)}
 
 
 def test_windowed_counts_of_a_stream(spark, sf_dir, tmp_path):
