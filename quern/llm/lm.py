@@ -1,14 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Bigram counts of the training texts are quantised to levels of a logarithmic scale; an n-gram of level q is entered
-q times, as (n-gram, 1) ... (n-gram, q). A worker that holds the filter finds a count by probing levels upwards until
-one is missing. A bigram's probability is smoothed with that of its last token:
+q times, as (n-gram, 1) ... (n-gram, q). Who holds the filter finds a count by probing levels upwards until one is missing.
+A bigram's probability is smoothed with that of its last token:
     P(w | h) = (c(h w) + K * P1(w)) / (c(h) + K),  P1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)).
-The filter and the table of word counts on each worker have a fixed greatest size and hold the most frequent n-grams.
-All others stay in the cluster with their exact counts, dealt out by hash to shards; tokens that need them are sent
-to their shard, packed, and their sums come back: no n-gram is dropped at any size. For that the logarithm is taken
-apart: log P(w | h) = log K P1(w) - log(c(h) + K) + the gain log(1 + c(h w) / (K * P1(w))), which is 0 for unseen
-bigrams. Bigrams that end in a word that is not on the workers share the shard of that word.
+The filter holds all bigrams, so its size follows their number. It consists of segments named by the first bits of a key. The first
+ones, as many as a broadcast may hold, are on every worker; probes of the others are sent, packed, to the task that holds the
+segment, which answers them from the same bits, and their sums come back. So a score does not depend on how much is broadcast. Words
+have exact counts: the most frequent are on every worker, the rest at their shard, where their bigrams are sent as well. For
+that the logarithm is taken apart: log P(w | h) = log K P1(w) - log(c(h) + K) + the gain log(1 + c(h w) / (K * P1(w))), which
+is 0 for unseen bigrams.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from quern.llm.common import LOWER, SOLID, Texts, bounded_batches, chunks, crc_r
 FOLDS, HELD_OUT = 5, 1
 #: Words with exact counts on every worker: a bound of what is broadcast.
 EXACT_WORDS = 1 << 18
-#: Filter: bits in a segment and most segments (4 MB in all, so that the share of n-grams outside is alike at every size), bits for each entry, probes (three in each of two words), base of the levels.
-SEGMENT_BITS, SEGMENTS, ENTRY_BITS, PROBES, BASE = 20, 32, 10, 6, 1.5
-#: Bigrams of a shard, about; a task holds those of one shard.
-SHARD_ENTRIES = 1_000_000
+#: Filter: bits in a segment, segments that are broadcast (64 MB in all), bits for each entry, probes (three in each of two words), base of the levels.
+SEGMENT_BITS, SEGMENTS, ENTRY_BITS, PROBES, BASE = 20, 512, 10, 6, 1.5
+#: Most shards, as a power of two; up to then a shard has one segment, beyond, several.
+SHARD_POWER = 16
 SMOOTHING = 30.0
 END, START = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -56,8 +57,15 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-#: A key's high bits name its shard.
-_SHARD_SHIFT = 40
+#: High bits of a word that all bigrams share that end in it, if it is not on the workers; they name the segment and the shard.
+_WORD_BITS = 24
+#: Bits of a key that are sent to its shard, and that the probes come from; the shard stands for the others.
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def first_bits(keys: np.ndarray, power: int) -> np.ndarray:
+    """The first `power` bits of keys as a number."""
+    return (keys >> np.uint64(64 - power) if power else np.zeros(len(keys), np.uint64)).astype(np.int64)
 
 
 def _bigrams(tokens: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +78,8 @@ def _bigrams(tokens: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[
     at[first[:-1]] = -1
     before = np.where(at >= 0, tokens[at], START)
     keys = mix(before * _A + tokens * _B)
-    shift = np.uint64(_SHARD_SHIFT)
-    keys = np.where(known, keys, (tokens >> shift << shift) | (keys & np.uint64((1 << _SHARD_SHIFT) - 1)))
+    shift = np.uint64(64 - _WORD_BITS)
+    keys = np.where(known, keys, (tokens >> shift << shift) | (keys & np.uint64((1 << 64 - _WORD_BITS) - 1)))
     return (keys & ~np.uint64(1)) | known.astype(np.uint64), at
 
 
@@ -103,8 +111,8 @@ class _Counter:
             yield pa.RecordBatch.from_arrays([pa.array(keys[at[i : i + 50_000]].view(np.int64)), pa.array(counts[i : i + 50_000].astype(np.int64))], names=["k", "c"])
 
 
-def _counts(texts: DataFrame, keys_of) -> DataFrame:
-    """(k, c) over all texts of the one column `t`; keys_of gives the keys of a chunk."""
+def _counts(texts: DataFrame, keys_of, near: bool = False) -> DataFrame:
+    """(k, c) over all texts of the one column `t`; keys_of gives the keys of a chunk. `near`: keys with the same first bits come together."""
     bounded_batches(texts.sparkSession)
 
     def run(batches):
@@ -116,7 +124,13 @@ def _counts(texts: DataFrame, keys_of) -> DataFrame:
         yield from counter.take()
         give_back()
 
-    return texts.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    parts = texts.mapInArrow(run, "k long, c long")
+    if not near:
+        return parts.groupBy("k").agg(F.sum("c").alias("c"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(_WORD_BITS, n.bit_length() + 4)
+    # dealt out by the first bits, which group the keys as well, so that a segment's keys are in few files
+    return parts.withColumn("b", F.shiftrightunsigned("k", 64 - bits)).repartition(n, "b").groupBy("b", "k").agg(F.sum("c").alias("c")).select("k", "c")
 
 
 def _written(df: DataFrame, name: str, paths: list[str]) -> DataFrame:
@@ -149,15 +163,15 @@ def count_of(q: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Bits in segments; a key's segment is named by its high bits, and the probes of one level lie in two words of 64 bits."""
+    """Segments of bits, a row for each; the probes of one level lie in two words of 64 bits of a key's segment."""
 
-    def __init__(self, bits: np.ndarray, segments: int):
-        self.bits, self.segments = bits, segments
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
     @staticmethod
     def places(keys: np.ndarray, levels: np.ndarray | int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Two words within the segment, each with the bits of half of the probes."""
-        x = mix(keys + np.asarray(levels, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        x = mix((keys & _LOW) + np.asarray(levels, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         one, six, out = np.uint64(1), np.uint64(63), []
         for half in range(2):
             bits = one << (x >> np.uint64(18 * half) & six)
@@ -166,70 +180,60 @@ class Filter:
             out.append((x >> np.uint64(36 + 14 * half) & np.uint64((1 << SEGMENT_BITS - 6) - 1), bits))
         return out
 
-    def segment(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(48)) % np.uint64(self.segments)
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key: membership is probed from 1 upwards until it fails."""
+    def levels(self, keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The level of each key, whose segment is in the row: membership is probed from 1 upwards until it fails."""
         out = np.zeros(len(keys), np.int64)
-        words = self.bits.view(np.uint64)
-        alive, base = np.arange(len(keys)), self.segment(keys) << np.uint64(SEGMENT_BITS - 6)
-        q = 0
+        alive, q = np.arange(len(keys)), 0
         while len(alive) and q <= 200:
             q += 1
-            held = np.logical_and(*(words[base + at] & bits == bits for at, bits in self.places(keys, q)))
-            alive, keys, base = alive[held], keys[held], base[held]
+            held = np.logical_and(*(self.words[rows, at.astype(np.int64)] & bits == bits for at, bits in self.places(keys, q)))
+            alive, keys, rows = alive[held], keys[held], rows[held]
             out[alive] = q
         return out
 
 
-def _segments_of(batches, segments: int):
-    """Segment bytes from rows (k, c) that arrive with all keys of a segment in one partition."""
+def _segments_of(batches, power: int):
+    """Bits of the segments that rows (k, c) have keys in; other tasks may have bits of the same ones."""
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         keys, q = batch.column(0).to_numpy().view(np.uint64), level(batch.column(1).to_numpy())
-        where = ((keys >> np.uint64(48)) % np.uint64(segments)).astype(np.int64)
-        for s in np.unique(where).tolist():
-            own = where == s
+        where = first_bits(keys, power)
+        order = np.argsort(where, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(where[order]) != 0, True]) if len(order) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = order[a:b]
             k, n = keys[own], q[own]
-            words = held.setdefault(s, np.zeros(1 << SEGMENT_BITS - 6, np.uint64))
+            words = held.setdefault(int(where[own[0]]), np.zeros(1 << SEGMENT_BITS - 6, np.uint64))
             for at, bits in Filter.places(np.repeat(k, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1):
                 np.bitwise_or.at(words, at, bits)
     for s, words in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["s", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([words.tobytes()], pa.binary())], names=["s", "bits"])
+    give_back()
 
 
-def build_filter(counts: DataFrame, entries: int) -> Filter:
-    """The filter over (k, c) rows; entries is the sum of their levels."""
-    segments = 1
-    while segments < SEGMENTS and segments << SEGMENT_BITS < entries * ENTRY_BITS:
-        segments *= 2
-    where = F.pmod(F.shiftrightunsigned("k", 48), F.lit(segments))
-    rows = counts.select("k", "c").repartition(min(segments, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), where)
-    parts = rows.mapInArrow(lambda b: _segments_of(b, segments), "s int, bits binary").collect()  # at most SEGMENTS rows of 128 KB
-    bits = np.zeros(segments << SEGMENT_BITS - 3, np.uint8)
-    size = 1 << SEGMENT_BITS - 3
-    for row in parts:
-        bits[row.s * size : (row.s + 1) * size] |= np.frombuffer(row.bits, np.uint8)
-    return Filter(bits, segments)
+def power_of(entries: int) -> int:
+    """Segments for so many entries, as a power of two."""
+    power = 0
+    while power < _WORD_BITS and (1 << power) << SEGMENT_BITS < entries * ENTRY_BITS:
+        power += 1
+    return power
 
 
 @dataclass
 class Model:
-    """Counts of the most frequent words, the filter of bigrams that end in one of them and have `least_level` or more, and how many bigrams there are."""
+    """Counts of the most frequent words, the first segments of the filter of all bigrams, and how many it has, as a power of two."""
 
     total: int
     distinct: int
     starts: int
     words: np.ndarray
     counts: np.ndarray
-    least_level: int
+    power: int
     filter: Filter
-    bigrams: int
 
 
 def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame, list[str]]:
-    """The model of all texts of the one column `t`, the exact counts (k, c) of the words and of the bigrams that it does not hold, and folders to remove."""
+    """The model of all texts of the one column `t`, the exact counts (k, c) of the words that it does not hold, the segments (s, bits) of the filter, and folders to remove."""
     paths: list[str] = []
     unigrams = _written(_counts(texts, lambda column: tokens_of(column)[0]), "words", paths)
     ends = F.sum(F.when(F.col("k") == int(END.view(np.int64)), F.col("c")))
@@ -245,27 +249,21 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame, list[str]]:
         tokens, first = tokens_of(column)
         return _bigrams(tokens, first, _find(sent.value, tokens) >= 0)[0]
 
-    bigrams = _written(_counts(texts, pairs), "bigrams", paths)
-    among = F.col("k").bitwiseAND(F.lit(1).cast("long")) == 1
-    q = (F.floor(F.log("c") / math.log(BASE) + 1e-9) + 1).alias("q")
-    bins = bigrams.where(among).select(q, "c").groupBy("q").agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
-    entries, least, least_level = 0, 1 << 62, 1 << 62
-    for row in sorted(bins, key=lambda r: -r.q):
-        if entries + row.n * row.q > (SEGMENTS << SEGMENT_BITS) // ENTRY_BITS:
-            break
-        entries, least, least_level = entries + row.n * row.q, row.c, row.q
-    if entries == sum(row.n * row.q for row in bins):
-        least_level = 1  # no bigram of a known word is left out
-    held = among & (F.col("c") >= least)
-    model = Model(total, distinct, starts, words, counts, least_level, build_filter(bigrams.where(held), entries), bigrams.count())
-    return model, unigrams.where(~known), bigrams.where(~held), paths
+    bigrams = _written(_counts(texts, pairs, near=True), "bigrams", paths)
+    q = F.floor(F.log("c") / math.log(BASE) + 1e-9) + 1
+    power = power_of(bigrams.agg(F.coalesce(F.sum(q), F.lit(0))).first()[0])
+    segments = _written(bigrams.mapInArrow(lambda batches: _segments_of(batches, power), "s long, bits binary"), "segments", paths)
+    bits = np.zeros((min(1 << power, SEGMENTS), 1 << SEGMENT_BITS - 6), np.uint64)
+    for row in segments.where(F.col("s") < len(bits)).toLocalIterator():  # what is broadcast: SEGMENTS rows of 128 KB, in a few parts each
+        bits[row.s] |= np.frombuffer(row.bits, np.uint64)
+    return Model(total, distinct, starts, words, counts, power, Filter(bits)), unigrams.where(~known), segments, paths
 
 
 # What a row of the shards' exchange is; the rows of a shard come in this order.
-_WORDS, _BIGRAMS, _ROWS, _ASKED, _ASKED_WORDS = range(5)
+_WORDS, _SEGMENTS, _ROWS, _ASKED, _ASKED_WORDS = range(5)
 _FIELDS = [("kind", pa.int32()), ("shard", pa.int32()), ("home", pa.int64()), *((name, pa.binary()) for name in ("k", "p", "c", "off", "times"))]
-#: Bytes that an entry has in a binary column: words and bigrams by their hashes (of a bigram's key the low bytes, its shard stands for
-#: others), counts, places in the home, and how often an entry is asked for.
+#: Bytes that an entry has in a binary column: words by their hashes and bigrams by the low bytes of their keys, counts, places in the
+#: home, and how often an entry is asked for. A segment's row has its number as home and its bits as k.
 _WIDTHS = {"k": 8, "p": 6, "c": 8, "off": 2, "times": 4}
 #: Rows are numbered; those with equal high bits are one home, to which sums return.
 _HOME_BITS = 12
@@ -302,22 +300,17 @@ def _packed(kind: int, shard: np.ndarray, home: np.ndarray, **columns: np.ndarra
     return pa.RecordBatch.from_arrays([own.get(name, pa.nulls(n, t)) for name, t in _FIELDS], names=[name for name, _ in _FIELDS])
 
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(_SHARD_SHIFT)) % np.uint64(shards)).astype(np.int32)
-
-
 #: Entries that are packed at once.
 _PACK = 600_000
 
 
-def _pack_counts(counts: DataFrame, kind: int, shards: int) -> DataFrame:
-    """Rows (k, c) as rows of the exchange."""
+def _pack_words(counts: DataFrame, power: int) -> DataFrame:
+    """Rows (k, c) of words as rows of the exchange."""
 
     def flush(keys, c):
-        shard = _shard(keys, shards)
+        shard = first_bits(keys, power)
         order = np.argsort(shard, kind="stable")
-        columns = {"k" if kind == _WORDS else "p": keys[order], "c": c[order]}
-        return _packed(kind, shard[order], np.zeros(len(order), np.int64), **columns)
+        return _packed(_WORDS, shard[order], np.zeros(len(order), np.int64), k=keys[order], c=c[order])
 
     def run(batches):
         held, n = [], 0
@@ -336,8 +329,8 @@ def _pack_counts(counts: DataFrame, kind: int, shards: int) -> DataFrame:
 class _Asked:
     """Entries that wait to be packed: their rows, keys, and the last words or, of known ones, their counts."""
 
-    def __init__(self, kind: int, shards: int):
-        self.kind, self.shards, self.held, self.n = kind, shards, [], 0
+    def __init__(self, kind: int, power: int):
+        self.kind, self.power, self.held, self.n = kind, power, [], 0
 
     def add(self, row: np.ndarray, key: np.ndarray, beside: np.ndarray):
         self.held.append((row, key, beside))
@@ -348,7 +341,7 @@ class _Asked:
     def take(self) -> pa.RecordBatch:
         row, key, beside = map(np.concatenate, zip(*self.held, strict=True)) if self.held else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
         self.held, self.n = [], 0
-        shard = _shard(key, self.shards)
+        shard = first_bits(key, self.power)
         order = np.lexsort((key, row, shard))
         shard, row, key, beside = shard[order], row[order], key[order], beside[order]
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (beside[1:] != beside[:-1])]) if len(key) else np.empty(0, np.int64)
@@ -361,28 +354,35 @@ class _Asked:
 class _Shards:
     """Answers to the entries of the shards whose rows pass by: sums of each home, of known, logs and parts."""
 
-    def __init__(self, mass: float):
-        self.mass, self.now = mass, None
+    def __init__(self, mass: float, power: int):
+        self.mass, self.now, self.inner = mass, None, max(0, power - SHARD_POWER)
         self.homes: dict[int, np.ndarray] = {}
 
     def turn(self, shard: int) -> None:
         if shard != self.now:
-            self.now, self.rows, self.tables = shard, {_WORDS: [], _BIGRAMS: []}, {}
+            self.now, self.words, self.table, self.filter = shard, [], None, Filter(np.zeros((1 << self.inner, 1 << SEGMENT_BITS - 6), np.uint64))
 
     def learn(self, kind: int, part: pa.RecordBatch) -> None:
-        name = "k" if kind == _WORDS else "p"
-        self.rows[kind].append((_values(part.column(name), name)[0], _values(part.column("c"), "c")[0].astype(np.float64)))
-
-    def find(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """Count of each key, 0 where missing."""
-        if kind not in self.tables:
-            held = self.rows.pop(kind)
-            k, c = map(np.concatenate, zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0))
+        if kind == _WORDS:
+            self.words.append((_values(part.column("k"), "k")[0], _values(part.column("c"), "c")[0].astype(np.float64)))
+            return
+        for s, bits in zip(part.column("home").to_pylist(), part.column("k").to_pylist(), strict=True):
+            self.filter.words[s & (1 << self.inner) - 1] |= np.frombuffer(bits, np.uint64)
+
+    def count(self, words: np.ndarray) -> np.ndarray:
+        """Count of each word, 0 where missing."""
+        if self.table is None:
+            k, c = map(np.concatenate, zip(*self.words, strict=True)) if self.words else (np.empty(0, np.uint64), np.empty(0))
             order = np.argsort(k)
-            self.tables[kind] = (k[order], c[order])
-        k, c = self.tables[kind]
-        at = _find(k, keys)
-        return np.where(at >= 0, c[at], 0.0) if len(k) else np.zeros(len(keys))
+            self.table = (k[order], c[order])
+        k, c = self.table
+        at = _find(k, words)
+        return np.where(at >= 0, c[at], 0.0) if len(k) else np.zeros(len(words))
+
+    def bigrams(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """What the filter gives as counts of bigrams, at most those of their last words."""
+        rows = (keys >> np.uint64(48 - self.inner)).astype(np.int64) if self.inner else np.zeros(len(keys), np.int64)
+        return np.minimum(count_of(self.filter.levels(keys, rows)), most)
 
     def answer(self, kind: int, part: pa.RecordBatch) -> None:
         flat = lambda name: _values(part.column(name), name)[0]
@@ -390,14 +390,14 @@ class _Shards:
         times, pair = flat("times").astype(np.float64), flat("p")
         if kind == _ASKED:
             count = flat("c").astype(np.float64)
-            n, known, logs, follows = self.find(_BIGRAMS, pair), None, None, 0.0
+            known, logs, follows = None, None, 0.0
         else:
             key = flat("k")
-            count, n = self.find(_WORDS, key), self.find(_BIGRAMS, pair)
+            count = self.count(key)
             known = np.where(count > 0, times, 0.0)
             logs = times * (np.log10(count + 0.5) - math.log10(0.5))
             follows = np.where(key == END, 0.0, times * (np.log10(count + SMOOTHING) - math.log10(SMOOTHING)))
-        parts = times * np.log10(1 + n * self.mass / (SMOOTHING * (count + 0.5))) - follows
+        parts = times * np.log10(1 + self.bigrams(pair, count) * self.mass / (SMOOTHING * (count + 0.5))) - follows
         homes, of = np.unique(part.column("home").to_numpy(), return_inverse=True)
         cell = (np.repeat(of, sizes) << _HOME_BITS) + _offsets(step, sizes)
         width = 1 << _HOME_BITS
@@ -434,16 +434,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row for each row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on rows whose crc32(doc_id as text) mod 5 is not 1; rows without an id are scored but not learnt from.
-    base_score uses exact counts of all words: the most frequent ones are on every worker, the rest in shards, told apart by
-    64-bit hashes; so are bigrams that the filter does not hold. Null and empty texts hold the end token alone. Repeated rows
-    are each learnt from and returned; columns but id and text are not read. Without training rows every probability
-    is 1. The result is written to the shared folder, and what led to it is removed.
+    base_score uses exact counts of all words, told apart by 64-bit hashes. score uses the filter's counts of bigrams, at most those of their
+    last words: about one in a hundred unseen ones is found, and a level is as far as the root of BASE from its count, so a probability may
+    pass 1 a little; a text's score is then 0 at most. Null and empty texts hold the end token alone. Repeated rows are each learnt
+    from and returned; columns but id and text are not read. Without training rows every probability is 1. The result is
+    written to the shared folder, and what led to it is removed.
     """
     spark = docs.sparkSession
     held_out = crc_remainder(F.col(id_col), FOLDS) == HELD_OUT
     with freed_shuffles(spark):
-        model, words, bigrams, paths = train(docs.where(~held_out).select(F.col(text_col).cast("string").alias("t")))
-        rows = _asked(docs, held_out, model, words, bigrams, id_col, text_col)
+        model, words, segments, paths = train(docs.where(~held_out).select(F.col(text_col).cast("string").alias("t")))
+        rows = _asked(docs, held_out, model, words, segments, id_col, text_col)
         base = F.col("logs") - F.col("n_tokens") * math.log10(_mass(model))
         whole = F.least(F.lit(0.0), base + F.col("parts"))
         done = rows.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
@@ -457,11 +458,12 @@ def _mass(model: Model) -> float:
     return model.total + 0.5 * (model.distinct + 1)
 
 
-def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, bigrams: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, segments: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, held_out, n_tokens, known, logs (of known words' counts; half for the unknown) and parts (all else) of each row."""
     spark = docs.sparkSession
     sent, mass = spark.sparkContext.broadcast(model), _mass(model)
-    shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.bigrams // SHARD_ENTRIES))
+    model_power, power = model.power, min(model.power, SHARD_POWER)
+    shards = 1 << power
     bounded_batches(spark)
     inner = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("t"))
     about = [T.StructField(c, inner.schema[c].dataType) for c in ("row", "doc_id", "held_out")]
@@ -482,18 +484,16 @@ def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, bi
         pairs, before = _bigrams(tokens, first, known)
         # an unknown word counts as unseen here; what it adds as a context is asked for with it
         context = np.where(before >= 0, count[before], m.starts)
-        local = np.flatnonzero(known)
-        distinct, back = np.unique(pairs[local], return_inverse=True)
-        q = m.filter.levels(distinct)
-        q = np.where(q < m.least_level, 0, q)[back]
-        most = np.where((before < 0) | known[before], context, count)[local]
-        times = np.minimum(count_of(q), np.minimum(count[local], most))
-        gains = np.log10(1 + times * mass / (SMOOTHING * (count[local] + 0.5)))
+        segment = first_bits(pairs, m.power)
+        here = known & (segment < len(m.filter.words))
+        local, away = np.flatnonzero(here), np.flatnonzero(known & ~here)
+        distinct, one, back = np.unique(pairs[local], return_index=True, return_inverse=True)
+        q = m.filter.levels(distinct, segment[local[one]])[back]
+        gains = np.log10(1 + np.minimum(count_of(q), count[local]) * mass / (SMOOTHING * (count[local] + 0.5)))
         parts = total(slice(None), math.log10(SMOOTHING) - np.log10(context + SMOOTHING)) + total(local, gains)
         logs = total(slice(None), np.log10(count + 0.5))
-        unheld = local[q == 0] if m.least_level > 1 else local[:0]
         rest = np.flatnonzero(~known)
-        return (n, total(known).astype(np.int64), logs, parts), (row[doc[unheld]], pairs[unheld], count[unheld]), (row[doc[rest]], pairs[rest], tokens[rest])
+        return (n, total(known).astype(np.int64), logs, parts), (row[doc[away]], pairs[away], count[away]), (row[doc[rest]], pairs[rest], tokens[rest])
 
     def out(batch, own, sums):
         """A batch of the exchange: packed entries, or the texts' own rows."""
@@ -507,7 +507,7 @@ def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, bi
     kinds = [to_arrow_type(f.dataType) for f in [*about, *sums]]
 
     def ask(batches):
-        asked, asked_words = _Asked(_ASKED, shards), _Asked(_ASKED_WORDS, shards)
+        asked, asked_words = _Asked(_ASKED, power), _Asked(_ASKED_WORDS, power)
         for batch in batches:
             for lo, hi in chunks(batch.column(3)):
                 part = batch.slice(lo, hi - lo)
@@ -523,7 +523,7 @@ def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, bi
     returned = T.StructType([*schema.fields[len(_FIELDS) :], *T.StructType.fromDDL("home long, own int, off array<int>, more array<int>, logs2 array<double>, parts2 array<double>").fields])
 
     def answer(batches):
-        tables = _Shards(mass)
+        tables = _Shards(mass, model_power)
         lists = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
         def sent_on(most):
@@ -538,7 +538,7 @@ def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, bi
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 own, part = int(kind[lo]), batch.slice(lo, hi - lo)
                 tables.turn(int(shard[lo]))
-                if own in (_WORDS, _BIGRAMS):
+                if own in (_WORDS, _SEGMENTS):
                     tables.learn(own, part)
                 elif own == _ROWS:
                     n = part.num_rows
@@ -570,7 +570,9 @@ def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, bi
 
     wide = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[len(_FIELDS) :]]
     every = inner.mapInArrow(ask, schema)
-    for counts, kind in ((words, _WORDS), (bigrams, _BIGRAMS)):
-        every = every.unionByName(_pack_counts(counts, kind, shards).select("*", *wide))
+    if len(model.filter.words) < 1 << model.power or len(model.words) < model.distinct:
+        own = {"kind": F.lit(_SEGMENTS), "shard": F.shiftright("s", model.power - power).cast("int"), "home": F.col("s"), "k": F.col("bits")}
+        bits = segments.select(*[own.get(name, F.lit(None).cast("binary")).alias(name) for name, _ in _FIELDS])
+        every = every.unionByName(_pack_words(words, power).select("*", *wide)).unionByName(bits.select("*", *wide))
     got = every.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, returned)
     return got.repartition("home").sortWithinPartitions("home", "own").mapInArrow(add, T.StructType(schema.fields[len(_FIELDS) + 1 :]))

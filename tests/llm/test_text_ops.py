@@ -601,32 +601,86 @@ def test_lm_is_a_distribution_over_all_words(many_words):
     assert max(s / 121 for i, s in got.items() if i >= 2000) < min(real)
 
 
+def filtered_model(pairs, power):
+    """Scores by quantised counts from a plain Bloom filter of all bigrams, each text's tokens looked up one by one."""
+    import pyarrow as pa
+
+    keys, counts = Counter(), Counter()
+    texts = {i: t for i, t in pairs}
+    tokens, known = {}, None
+    for i, t in texts.items():
+        tokens[i] = lm.tokens_of(pa.array([t], pa.string()))[0]
+    learnt = [i for i in texts if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    for i in learnt:
+        counts.update(tokens[i].tolist())
+    n, v, k = sum(counts.values()), len(counts), lm.SMOOTHING
+    known = np.array([True])
+    key = lambda h, w: int(lm._bigrams(np.array([h, w], np.uint64), np.array([0, 2]), np.array([True, True]))[0][1])
+    start = lambda w: int(lm._bigrams(np.array([w], np.uint64), np.array([0, 1]), known)[0][0])
+    pair = {i: [start(t[0]), *(key(a, b) for a, b in zip(t[:-1], t[1:], strict=True))] for i, t in tokens.items()}
+    for i in learnt:
+        keys.update(pair[i])
+    words = np.zeros((1 << power, 1 << lm.SEGMENT_BITS - 6), np.uint64)
+    for x, c in keys.items():
+        for q in range(1, int(lm.level(np.array([c]))[0]) + 1):
+            for at, bits in lm.Filter.places(np.array([x], np.uint64), q):
+                words[x >> 64 - power if power else 0, int(at[0])] |= bits[0]
+    out = {}
+    for i, t in tokens.items():
+        own = np.array(pair[i], np.uint64)
+        q = lm.Filter(words).levels(own, lm.first_bits(own, power))
+        total, before = 0.0, len(learnt)
+        for w, times in zip(t.tolist(), lm.count_of(q), strict=True):
+            c = counts[w]
+            p1 = (c + 0.5) / (n + 0.5 * (v + 1))
+            total += log10((min(times, c) + k * p1) / (before + k))
+            before = c
+        out[i] = total
+    return out
+
+
 @pytest.mark.parametrize("words", [300, 1 << 18])
-@pytest.mark.parametrize("segments", [0, 1])
-def test_lm_drops_no_ngrams_that_the_filter_has_no_room_for(many_words, monkeypatch, words, segments):
-    """A filter of next to nothing or of one small segment, and words that are not on the workers: same scores."""
+@pytest.mark.parametrize("segments", [1, 32, 4096])
+def test_lm_scores_do_not_depend_on_what_is_broadcast(many_words, monkeypatch, words, segments):
+    """A filter of 64 segments of which one, half or all are on the workers, and words that are not: the scores are those of brute force over the same filter's bits."""
     monkeypatch.setattr(lm, "EXACT_WORDS", words)
     monkeypatch.setattr(lm, "SEGMENTS", segments)
-    monkeypatch.setattr(lm, "ENTRY_BITS", 200)
+    monkeypatch.setattr(lm, "ENTRY_BITS", 300)
     pairs, docs = many_words
-    logs = bigram_model(pairs)[2]
     got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    assert len(got) == len(pairs)
+    held = _SCORES_OF_WORDS.setdefault(words, got)
+    assert all(abs(got[i] - held[i]) <= 1e-9 * abs(held[i]) for i in got)
+    if words > 1000 and segments == 1:  # keys depend on which words are on the workers
+        want = filtered_model(pairs, 6)
+        assert all(abs(got[i] - want[i]) <= 1e-9 * abs(want[i]) for i in got)
+    logs = bigram_model(pairs)[2]
     for i, t in pairs:
         want = logs(t)
-        assert abs(got[i] - sum(want)) <= (1e-9 * abs(sum(want)) if segments == 0 else len(want) * log10(lm.BASE) / 2)
+        assert abs(got[i] - sum(want)) <= len(want) * log10(lm.BASE) / 2
+
+
+_SCORES_OF_WORDS: dict = {}
 
 
 def test_filter_levels():
+    import pyarrow as pa
+
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(1 << 63, size=3000, dtype=np.uint64) * np.uint64(2))
     counts = rng.geometric(0.05, len(keys))
-    batch = [type("B", (), {"column": lambda self, i: (__import__("pyarrow").array(keys.view(np.int64)), __import__("pyarrow").array(counts))[i]})()]
-    parts = {b.column(0)[0].as_py(): np.frombuffer(b.column(1)[0].as_py(), np.uint8) for b in lm._segments_of(batch, 1)}
-    f = lm.Filter(parts[0].copy(), 1)
-    got = f.levels(keys)
-    assert (got >= lm.level(counts)).all() and (got == lm.level(counts)).mean() > 0.97
-    other = np.setdiff1d(rng.integers(1 << 63, size=3000, dtype=np.uint64) * np.uint64(2) + np.uint64(1), keys)
-    assert (f.levels(other) == 0).mean() > 0.97
+    batch = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["k", "c"])
+    for power in (0, 2):
+        words = np.zeros((1 << power, 1 << lm.SEGMENT_BITS - 6), np.uint64)
+        for part in (batch.slice(0, 1000), batch.slice(1000)):  # bits of several tasks
+            for b in lm._segments_of([part], power):
+                words[b.column(0)[0].as_py()] |= np.frombuffer(b.column(1)[0].as_py(), np.uint64)
+        f = lm.Filter(words)
+        got = f.levels(keys, lm.first_bits(keys, power))
+        assert (got >= lm.level(counts)).all() and (got == lm.level(counts)).mean() > 0.97
+        other = np.setdiff1d(rng.integers(1 << 63, size=3000, dtype=np.uint64) * np.uint64(2) + np.uint64(1), keys)
+        assert (f.levels(other, lm.first_bits(other, power)) == 0).mean() > 0.97
+
 
 
 @pytest.mark.parametrize("kept, kept_ids", [(1_500_000, 16 << 20), (40, 16 << 20), (1_500_000, 100)])
