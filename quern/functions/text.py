@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,13 +90,39 @@ def count_words(c: Column, words: str) -> Column:
     return F.regexp_count(c, F.lit(rf"(?i)(?<![A-Za-z0-9_])({words})(?![A-Za-z0-9_])"))
 
 
-def to_fixed(x: float | None, digits: int) -> str | None:
-    """The number with so many decimals, its binary value rounded half up."""
-    return None if x is None else f"{Decimal(x).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP):f}"
+#: Most decimals of `fixed`: ten to this power has 24 bits.
+MOST_DECIMALS = 7
 
 
 def fixed(c: Column, digits: int) -> Column:
-    return F.udf(lambda x: to_fixed(x, digits), "string")(c.cast("double"))
+    """The number with so many decimals, its exact binary value rounded, halves away from zero; from 1e21 on with an exponent.
+
+    The fraction f is cut in two halves of 26 bits, so that their products with a power of ten are exact, and the first one's distance from
+    a half is compared with the second.
+    """
+    if not 0 <= digits <= MOST_DECIMALS:
+        raise ValueError(f"0 to {MOST_DECIMALS} decimals")
+    x = F.abs(c.cast("double"))
+    ten = float(10**digits)
+    known = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)  # noqa: E731  a name for a value
+
+    def rounded(whole: Column, f: Column) -> Column:
+        t = f * float((1 << 27) + 1)
+        return known(t - (t - f), lambda high: known(F.floor(high * ten), lambda n: n + F.when(high * ten - n - 0.5 >= -((f - high) * ten), 1).otherwise(0)))
+
+    def shown(n: Column) -> Column:
+        if not digits:
+            return n.cast("string")
+        text = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(digits + 1)), F.lit("0"))
+        return known(text, lambda t: F.concat(F.left(t, F.length(t) - digits), F.lit("."), F.right(t, F.lit(digits))))
+
+    # a whole part beyond 63 bits is taken in two
+    high = F.floor(x / float(1 << 32))
+    whole = F.floor(x - high.cast("double") * float(1 << 32)).cast("decimal(20,0)") + high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)")
+    small = known(F.floor(x), lambda n: rounded(n, x - n.cast("double")).cast("decimal(20,0)") + n.cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(8,0)"))
+    number = F.when(x < float(1 << 53), shown(small)).otherwise(shown(whole * F.lit(10**digits).cast("decimal(8,0)")))
+    large = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), "E", "e+")
+    return F.concat(F.when(c.cast("double") < 0, "-").otherwise(""), F.when(F.isnan(x), "NaN").when(x < 1e21, number).otherwise(large))
 
 
 def bar(value: Column, cells: int) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern import schemas
-from quern.functions.text import estimate, trim
+from quern.functions.text import PYTHON_SPACE, estimate, trim
 from quern.session import checkpoint_root
 
 MAX_HOPS = 20
@@ -136,14 +140,45 @@ def bootstrap(spark: SparkSession, corpus_id: str, options: InitOptions, now: st
     return spark.createDataFrame([(corpus_id, i, p, t, s, g, -(-len(c) // 4), now, c) for i, (p, t, s, g, c) in enumerate(rows)], schemas.SECTIONS)
 
 
+_HEAD = re.compile(r"##[\t-\r ]+")
+_ENDS = re.compile(f"^{PYTHON_SPACE}+|{PYTHON_SPACE}+$")
+
+
+def _sections_of(text: str) -> Iterator[tuple[int, str, str]]:
+    """(place, header, body) of the sections of one text, walked once; of repeated headers the first place and the last body."""
+    found: dict[str, tuple[int, int, int]] = {}
+    header, start, n, at = "", 0, 0, 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if text.startswith("##", at) and (m := _HEAD.match(text, at, end)):
+            if n and header:
+                found[header] = (found.get(header, (n,))[0], start, at)
+            n, start, header = n + 1, end + 1, _ENDS.sub("", text[m.end() : end]).lower()
+        at = end + 1
+    if n and header:
+        found[header] = (found.get(header, (n,))[0], start, len(text))
+    for header, (place, a, b) in found.items():
+        yield place, header, _ENDS.sub("", text[a:b].replace("\r\n", "\n"))
+
+
 def markdown_sections(files: DataFrame, key: str = "corpus_id", text: str = "text") -> DataFrame:
-    """(key, ord, header, body) of each "## " section; headers are lower-cased, of repeated ones the last counts, text before the first is left out."""
-    lines = files.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("at", "line"))
-    head = F.col("line").rlike(r"^##\s+")
-    lines = lines.withColumn("n", F.count_if(head).over(W.partitionBy(key).orderBy("at").rowsBetween(W.unboundedPreceding, 0))).where("n > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~head, F.struct("at", "line")))), lambda x: x["line"]), "\n")
-    parts = lines.groupBy(key, "n").agg(F.max(F.when(head, F.lower(trim(F.regexp_replace("line", r"^##\s+", ""))))).alias("header"), trim(body).alias("body")).where("header <> ''")
-    return parts.groupBy(key, "header").agg(F.min("n").alias("ord"), F.max_by("body", "n").alias("body")).select(key, F.col("ord").cast("long"), "header", "body")
+    """(key, ord, header, body) of each "## " section; headers are lower-cased, of repeated ones the last counts, text before the first is left out.
+
+    A row's text is walked once, in the task that holds it; null texts have no sections.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i, x in enumerate(batch.column(1)):
+                rows = list(_sections_of(x.as_py())) if x.is_valid else []
+                if rows:
+                    own = batch.column(0).take(pa.array([i] * len(rows)))
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array(list(c)) for c in zip(*rows, strict=True))], names=[key, "ord", "header", "body"])
+
+    rows = files.select(key, text)
+    schema = T.StructType([rows.schema[key], *T.StructType.fromDDL("ord long, header string, body string").fields])
+    return rows.mapInArrow(run, schema)
 
 
 def description(text: Column) -> Column:

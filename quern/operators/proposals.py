@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.functions.text import category_of, key_terms, title_of, trim
 from quern.operators.compaction import Summarizer, summarize
@@ -24,27 +27,83 @@ def diff_text(operation: Column, content: Column) -> Column:
     return F.concat(F.lit("["), operation, F.lit("] "), F.left(content, F.lit(DIFF_CHARS)))
 
 
-def fold(proposals: DataFrame, sections: DataFrame) -> DataFrame:
+#: Characters that a task gathers before it gives a piece of a section's fold.
+PIECE_CHARS = 4 << 20
+_PIECE = "corpus_id string, section string, seq long, n long, replaces boolean, lead long, text string, rationale string"
+
+
+class _Piece:
+    """The fold of proposals that follow one another in a section: whether they replace what was before, and what they make.
+
+    `text` is what is made of an empty text; `lead` counts the empty appends before it, which show only behind a text.
+    """
+
+    def __init__(self):
+        self.seq, self.n, self.replaces, self.lead, self.parts, self.chars, self.rationale = None, 0, False, 0, [], 0, None
+
+    def add(self, seq: int, operation: str, content: str, rationale: str | None) -> None:
+        if operation != "append":
+            self.replaces, self.lead, self.parts, self.chars = True, 0, [], 0
+        if self.parts or content:
+            self.parts.append(content)
+            self.chars += len(content)
+        elif operation == "append" and not self.replaces:
+            self.lead += 1
+        self.seq, self.n, self.rationale = seq, self.n + 1, rationale
+
+    def row(self, key: tuple) -> tuple:
+        return (*key, self.seq, self.n, self.replaces, self.lead, JOIN.join(self.parts), self.rationale)
+
+
+def partial_folds(proposals: DataFrame, piece_chars: int = PIECE_CHARS, ranges: int | None = None) -> DataFrame:
+    """Pieces of each section's fold, over ranges of (section, seq), so that a hot section is several tasks' work; what a piece replaces is gone."""
+    keys = ["corpus_id", "section", "seq"]
+    rows = proposals.select(*keys, "operation", F.coalesce("content", F.lit("")).alias("content"), "rationale")
+    rows = (rows.repartitionByRange(ranges, *keys) if ranges else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+
+    def run(batches):
+        key, piece, out, held = None, _Piece(), [], 0
+        for batch in batches:
+            for corpus, section, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (corpus, section) != key or piece.chars > piece_chars:
+                    if piece.n:
+                        out.append(piece.row(key))
+                        held += piece.chars
+                    key, piece = (corpus, section), _Piece()
+                piece.add(*row)
+                if held > piece_chars:
+                    yield batch_of(out)
+                    out, held = [], 0
+        if piece.n:
+            out.append(piece.row(key))
+        yield batch_of(out)
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(_PIECE))
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
+
+    return rows.mapInArrow(run, _PIECE)
+
+
+def fold(proposals: DataFrame, sections: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """(corpus_id, section, content, applied, title, summary, tags): each section after its proposals, without a summarizer.
 
-    Appends join a text that is not empty, updates and creations replace it. So the text is that of the last replacement (else the
-    section's own) and the appends behind it, less leading empty ones. Windows do this without gathering a section's proposals in
-    one value before their texts are joined.
+    Appends join a text that is not empty, updates and creations replace it. Tasks fold ranges of a section's proposals; the pieces
+    are put together in order from the last one that replaces, else from the section's own text, less leading empty ones.
     """
     own = sections.select("corpus_id", F.col("path").alias("section"), F.col("content").alias("_own"))
-    by = W.partitionBy("corpus_id", "section").orderBy("seq")
-    rows = proposals.withColumn("_replaces", F.col("operation") != "append")
-    last = F.max(F.when(F.col("_replaces"), F.col("seq"))).over(W.partitionBy("corpus_id", "section"))
-    rows = rows.withColumn("_base", last).withColumn("_live", F.col("_base").isNull() | (F.col("seq") >= F.col("_base")))
-    ending = F.row_number().over(W.partitionBy("corpus_id", "section").orderBy(F.desc("seq"))) == 1
-    rows = rows.withColumn("_last", ending).withColumn("_k", F.row_number().over(by))
-    live = F.transform(F.array_sort(F.collect_list(F.when(F.col("_live"), F.struct("_k", "content")))), lambda x: x["content"])
-    meta = lambda c: F.max(F.when(F.col("_last"), F.col(c)))
-    out = rows.groupBy("corpus_id", "section").agg(F.count("*").alias("applied"), live.alias("_live"), F.max(F.col("_base").isNotNull()).alias("_replaced"), meta("rationale").alias("rationale"))
-    out = out.join(own, ["corpus_id", "section"], "left")
-    pieces = F.when(F.col("_replaced"), F.col("_live")).otherwise(F.concat(F.array(F.coalesce("_own", F.lit(""))), F.col("_live")))
-    start = F.coalesce(F.array_position(F.transform(pieces, lambda x: x != ""), True), F.lit(0))
-    text = F.when(start > 0, F.array_join(F.slice(pieces, F.greatest(start, F.lit(1)).cast("int"), F.size(pieces)), JOIN)).otherwise("")
+    piece = F.struct("seq", "replaces", "lead", "text")
+    by = partial_folds(proposals, piece_chars).groupBy("corpus_id", "section").agg(F.sum("n").alias("applied"), F.array_sort(F.collect_list(piece)).alias("_p"), F.max_by("rationale", "seq").alias("rationale"))
+    out = by.join(own, ["corpus_id", "section"], "left")
+    base = F.coalesce(F.array_max(F.transform("_p", lambda x, i: F.when(x["replaces"], i + 1))), F.lit(0))
+    first = F.struct(F.lit(-1).cast("long").alias("seq"), F.lit(False).alias("replaces"), F.lit(0).cast("long").alias("lead"), F.coalesce("_own", F.lit("")).alias("text"))
+    live = F.when(base > 0, F.slice("_p", F.greatest(base, F.lit(1)), F.size("_p"))).otherwise(F.concat(F.array(first), F.col("_p")))
+    out = out.withColumn("_l", live)
+    start = F.coalesce(F.array_position(F.transform("_l", lambda x: x["text"] != ""), True), F.lit(0)).cast("int")
+    # behind a text, a piece stands with its leading empty appends; one of nothing else has one break less
+    behind = F.transform(F.slice("_l", start + 1, F.size("_l")), lambda x: F.concat(F.repeat(F.lit(JOIN), (x["lead"] - F.when(x["text"] == "", 1).otherwise(0)).cast("int")), x["text"]))
+    text = F.when(start > 0, F.concat(F.element_at("_l", F.greatest(start, F.lit(1)))["text"], F.when(start < F.size("_l"), F.concat(F.lit(JOIN), F.array_join(behind, JOIN))).otherwise(""))).otherwise("")
     return out.select("corpus_id", "section", text.alias("content"), "applied", *_metadata(F.col("section"), F.col("rationale")))
 
 

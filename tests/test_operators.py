@@ -505,7 +505,7 @@ def test_registry(spark, tmp_path):
 def test_strings(spark):
     assert one(spark, T.trim(F.col("s")), s=" \t x y﻿\n") == "x y"
     assert one(spark, T.length16(F.col("s")), s="😀a") == 3
-    assert T.to_fixed(1.45, 1) == "1.4" and T.to_fixed(0.5, 0) == "1"
+    check_fixed(spark)
     assert one(spark, T.pad_end(F.col("s"), 2), s="abc") == "abc"
     assert one(spark, T.last(F.array(F.lit(1), F.lit(2)), 5)) == [1, 2]
     assert one(spark, T.count_words(F.col("s"), "TODO"), s="éTODO todo TODOs") == 2
@@ -616,3 +616,47 @@ def test_nearest_leaves_few_rows_for_each_query_and_task(spark, monkeypatch):
                 return out
 
             assert upto(got) == upto(want)
+
+
+def check_fixed(spark):
+    """The exact binary value rounded: halves, subnormals, whole numbers beyond 63 bits; no Python in the plan."""
+    import struct
+    from decimal import ROUND_HALF_UP, Context, Decimal
+
+    rng = random.Random(1)
+    values = [0.45, 1.005, 1.45, 0.5, 1.5, 2.5, 0.0, 5e-324, 2.2250738585072014e-308, 1 / 3, 2.0**53, 2.0**53 + 2, 2.0**63, 1e20, 123456789012345678901.0, 0.99999995, 1 - 2**-53, 4503599627370496.5, 1.0000000000000002]
+    values += [rng.random() * 10 ** rng.randint(-8, 18) for _ in range(400)] + [rng.randint(0, 10**6) / 2 ** rng.randint(0, 30) for _ in range(400)] + [k / 1000 + 0.0005 for k in range(300)]
+    values += [struct.unpack("d", struct.pack("Q", rng.getrandbits(52)))[0] for _ in range(10)]
+    values += [-x for x in values if x]
+    d = spark.createDataFrame([(x,) for x in values], "x double")
+    for k in (0, 1, 2, 4, T.MOST_DECIMALS):
+        got = d.select(T.fixed(F.col("x"), k).alias("y"))
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+        for x, r in zip(values, got.collect(), strict=True):
+            want = Decimal(abs(x)).quantize(Decimal(1).scaleb(-k), rounding=ROUND_HALF_UP, context=Context(prec=60))
+            assert r.y == ("-" if x < 0 else "") + f"{want:f}"
+    odd = spark.createDataFrame([(1e21,), (-1.5e25,), (float("nan"),), (float("inf"),), (None,)], "x double").select(T.fixed(F.col("x"), 1).alias("y"))
+    assert [r.y for r in odd.collect()] == ["1e+21", "-1.5e+25", "NaN", "Infinity", None]
+    with pytest.raises(ValueError):
+        T.fixed(F.lit(1.0), 8)
+
+
+def test_ordered_fold_of_a_hot_section(spark, monkeypatch):
+    """A hundred thousand proposals of one section in several ranges and pieces, and small sections of all kinds: as one after the other."""
+    rng, rows, n = random.Random(5), [], 0
+    for section in ("hot", *[f"s{i}" for i in range(60)]):
+        for _ in range(100_000 if section == "hot" else rng.randint(1, 9)):
+            n += 1
+            rows.append(("c", n, section, "update" if rng.random() < (2e-5 if section == "hot" else 0.2) else rng.choice(["append", "append", "create"] if section != "hot" else ["append"]), rng.choice(["", "", f"t{n}"]), f"why {n}"))
+    p = spark.createDataFrame(rows, "corpus_id string, seq long, section string, operation string, content string, rationale string").repartition(6)
+    own = {f"s{i}": "own" for i in range(0, 60, 2)} | {"hot": "start"}
+    s = spark.createDataFrame([("c", k, v) for k, v in own.items()] + [("c", "s1", None), ("c", "other", "x")], "corpus_id string, path string, content string")
+    want = {}
+    for _, _, section, operation, content, why in rows:
+        text, k, _ = want.get(section, (own.get(section, ""), 0, ""))
+        want[section] = (f"{text}\n\n{content}" if operation == "append" and text else content, k + 1, why)
+    for size in (proposals.PIECE_CHARS, 40):
+        pieces = proposals.partial_folds(p, size, 8)
+        assert pieces.where("section = 'hot'").groupBy(F.spark_partition_id()).count().count() > 3
+        got = proposals.fold(p, s, size)
+        assert {r.section: (r.content, r.applied, r.summary) for r in got.collect()} == want
