@@ -78,10 +78,11 @@ def _numbered(keys: DataFrame) -> DataFrame:
     return ranged.withColumn("_p", place).join(sizes.select("corpus_id", "_b", before.alias("_before")), ["corpus_id", "_b"]).select("corpus_id", "path", (F.col("_before") + F.col("_p")).alias("_r"))
 
 
-def upsert(sections: DataFrame, written: DataFrame, now: str) -> DataFrame:
+def upsert(sections: DataFrame, written: DataFrame, now: str, ends: DataFrame | None = None) -> DataFrame:
     """Sections after writing rows (corpus_id, path, title, summary, tags, content): known paths are replaced in place, new ones follow in path order.
 
-    Tokens are those of the new text. Of several rows for a path the last by `seq` counts, if there is that column.
+    Tokens are those of the new text. Of several rows for a path the last by `seq` counts, if there is that column. `ends` gives the last
+    place (corpus_id, _end) of each corpus where `sections` are a part of them: all with the paths that are written.
     """
     if "seq" in written.columns:
         last = F.row_number().over(W.partitionBy("corpus_id", "path").orderBy(F.desc("seq")))
@@ -90,7 +91,7 @@ def upsert(sections: DataFrame, written: DataFrame, now: str) -> DataFrame:
     new = written.select("corpus_id", "path", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_new"))
     both = sections.join(new, ["corpus_id", "path"], "full")
     fresh = F.coalesce("_new", F.lit(False))
-    end = sections.groupBy("corpus_id").agg(F.max("ord").alias("_end"))
+    end = ends if ends is not None else sections.groupBy("corpus_id").agg(F.max("ord").alias("_end"))
     added = _numbered(new.select("corpus_id", "path").join(sections.select("corpus_id", "path"), ["corpus_id", "path"], "left_anti").distinct())
     both = both.join(end, "corpus_id", "left").join(added, ["corpus_id", "path"], "left")
     both = both.withColumn("ord", F.coalesce("ord", F.coalesce("_end", F.lit(-1)) + F.col("_r")).cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,7 +46,11 @@ def score(sections: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, corpus_id, path, ord, score) of sections with a positive score; only the queries' terms are shuffled. Scores are rounded to 9 digits, so the order of addition decides no tie."""
     asked = query_terms(queries)
     wanted = section_terms(sections).join(asked.select("corpus_id", "term").distinct(), ["corpus_id", "term"], "left_semi")
-    worth = idf(wanted, sections)
+    return ranked(wanted, idf(wanted, sections), asked)
+
+
+def ranked(wanted: DataFrame, worth: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scores from the postings (corpus_id, path, ord, term, weight) of the asked terms (query_id, corpus_id, term, times) and what terms are worth."""
     hits = wanted.join(asked.join(worth, ["corpus_id", "term"]), ["corpus_id", "term"])
     total = hits.groupBy("query_id", "corpus_id", "path", "ord").agg(F.round(F.sum(F.col("times") * F.col("idf") * F.col("weight")), 9).alias("score"))
     return total.where("score > 0")
@@ -95,11 +101,11 @@ def retrieve_core(sections: DataFrame, queries: DataFrame, most: int | None = No
     return _fill(pack(rows, F.col("max_tokens"), most, rank=[F.asc("ord")]), sections)
 
 
-def retrieve(sections: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
-    """Keyword retrieval; queries without usable terms get the core sections."""
+def retrieve(sections: DataFrame, queries: DataFrame, most: int | None = None, scored: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Keyword retrieval; queries without usable terms get the core sections. `scored` gives the scores of queries, those of `score` by default."""
     usable = F.size(terms(F.col("text"))) > 0
     asked = queries.where(usable)
-    rows = score(sections, asked).join(asked.select("query_id", "max_tokens"), "query_id").join(_sized(sections), ["corpus_id", "path"])
+    rows = (scored(asked) if scored else score(sections, asked)).join(asked.select("query_id", "max_tokens"), "query_id").join(_sized(sections), ["corpus_id", "path"])
     found = _fill(pack(rows, F.col("max_tokens"), most), sections)
     return found.unionByName(retrieve_core(sections, queries.where(~usable), most))
 

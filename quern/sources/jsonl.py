@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -54,6 +55,21 @@ def read_document(spark: SparkSession, path: str, schema: str | T.StructType = s
     return text.select(F.from_json("v", s, _STRICT).alias("r")).where("r is not null").select("r.*")
 
 
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Puts a file in the place of another in one step, so that readers find one of the two."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    system = b.getFileSystem(conf)
+    if system.getScheme() == "file":
+        os.replace(a.toUri().getPath(), b.toUri().getPath())
+        for x in (a, b):  # a checksum that Hadoop keeps beside a file is no longer right
+            system.getRawFileSystem().delete(jvm.org.apache.hadoop.fs.Path(x.getParent(), f".{x.getName()}.crc"), False)
+        return
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), conf).rename(a, b, options)
+
+
 def write_document(df: DataFrame, path: str, now: str | None = None) -> None:
     """Writes a one-row frame as a JSON document under a new name and renames it; the temporary file goes if that fails."""
     if now is not None:
@@ -67,9 +83,7 @@ def write_document(df: DataFrame, path: str, now: str | None = None) -> None:
         out = system.create(temporary, True)
         out.write(bytearray(text.encode()))
         out.close()
-        system.delete(target, False)
-        if not system.rename(temporary, target):
-            raise OSError(f"could not rename to {path}")
+        replace(spark, f"{path}.tmp", path)
     finally:
         if system.exists(temporary):
             system.delete(temporary, False)
@@ -159,9 +173,7 @@ def write_embedding_cache(cache: DataFrame, path: str) -> None:
             lead = b",\n"
         out.write(bytearray(b"]" if lead == b",\n" else b"[]"))
         out.close()
-        system.delete(target, False)
-        if not system.rename(temporary, target):
-            raise OSError(f"could not rename to {path}")
+        replace(spark, f"{path}.tmp", path)
     finally:
         if system.exists(temporary):
             system.delete(temporary, False)
