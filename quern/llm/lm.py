@@ -28,10 +28,8 @@ from quern.llm.common import LOWER, SOLID, Texts, bounded_batches, chunks, crc_r
 FOLDS, HELD_OUT = 5, 1
 #: Words with exact counts on every worker: a bound of what is broadcast.
 EXACT_WORDS = 1 << 18
-#: Filter: bits in a segment, segments that are broadcast (64 MB in all), bits for each entry, probes (three in each of two words), base of the levels.
-SEGMENT_BITS, SEGMENTS, ENTRY_BITS, PROBES, BASE = 20, 512, 10, 6, 1.5
-#: Most shards, as a power of two; up to then a shard has one segment, beyond, several.
-SHARD_POWER = 16
+#: Filter: bits in a segment, most segments that are broadcast (8 MB in all), bits for each entry, probes (three in each of two words), base of the levels.
+SEGMENT_BITS, SEGMENTS, ENTRY_BITS, PROBES, BASE = 20, 64, 10, 6, 1.5
 SMOOTHING = 30.0
 END, START = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -59,8 +57,8 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 #: High bits of a word that all bigrams share that end in it, if it is not on the workers; they name the segment and the shard.
 _WORD_BITS = 24
-#: Bits of a key that are sent to its shard, and that the probes come from; the shard stands for the others.
-_LOW = np.uint64((1 << 48) - 1)
+#: Bits of a key that are sent to its segment, and that the probes come from. Two of a segment's 100,000 entries are hardly ever alike in them.
+_LOW = np.uint64((1 << 32) - 1)
 
 
 def first_bits(keys: np.ndarray, power: int) -> np.ndarray:
@@ -253,6 +251,7 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame, list[str]]:
     q = F.floor(F.log("c") / math.log(BASE) + 1e-9) + 1
     power = power_of(bigrams.agg(F.coalesce(F.sum(q), F.lit(0))).first()[0])
     segments = _written(bigrams.mapInArrow(lambda batches: _segments_of(batches, power), "s long, bits binary"), "segments", paths)
+    remove_path(texts.sparkSession, paths.pop(1))  # the counts are in the filter now
     bits = np.zeros((min(1 << power, SEGMENTS), 1 << SEGMENT_BITS - 6), np.uint64)
     for row in segments.where(F.col("s") < len(bits)).toLocalIterator():  # what is broadcast: SEGMENTS rows of 128 KB, in a few parts each
         bits[row.s] |= np.frombuffer(row.bits, np.uint64)
@@ -263,8 +262,8 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame, list[str]]:
 _WORDS, _SEGMENTS, _ROWS, _ASKED, _ASKED_WORDS = range(5)
 _FIELDS = [("kind", pa.int32()), ("shard", pa.int32()), ("home", pa.int64()), *((name, pa.binary()) for name in ("k", "p", "c", "off", "times"))]
 #: Bytes that an entry has in a binary column: words by their hashes and bigrams by the low bytes of their keys, counts, places in the
-#: home, and how often an entry is asked for. A segment's row has its number as home and its bits as k.
-_WIDTHS = {"k": 8, "p": 6, "c": 8, "off": 2, "times": 4}
+#: home, and how often an entry is asked for. A segment's row has its bits as k.
+_WIDTHS = {"k": 8, "p": 4, "c": 8, "off": 2, "times": 4}
 #: Rows are numbered; those with equal high bits are one home, to which sums return.
 _HOME_BITS = 12
 #: Homes whose sums a task holds before it sends them on.
@@ -354,20 +353,20 @@ class _Asked:
 class _Shards:
     """Answers to the entries of the shards whose rows pass by: sums of each home, of known, logs and parts."""
 
-    def __init__(self, mass: float, power: int):
-        self.mass, self.now, self.inner = mass, None, max(0, power - SHARD_POWER)
+    def __init__(self, mass: float):
+        self.mass, self.now = mass, None
         self.homes: dict[int, np.ndarray] = {}
 
     def turn(self, shard: int) -> None:
         if shard != self.now:
-            self.now, self.words, self.table, self.filter = shard, [], None, Filter(np.zeros((1 << self.inner, 1 << SEGMENT_BITS - 6), np.uint64))
+            self.now, self.words, self.table, self.filter = shard, [], None, Filter(np.zeros((1, 1 << SEGMENT_BITS - 6), np.uint64))
 
     def learn(self, kind: int, part: pa.RecordBatch) -> None:
         if kind == _WORDS:
             self.words.append((_values(part.column("k"), "k")[0], _values(part.column("c"), "c")[0].astype(np.float64)))
             return
-        for s, bits in zip(part.column("home").to_pylist(), part.column("k").to_pylist(), strict=True):
-            self.filter.words[s & (1 << self.inner) - 1] |= np.frombuffer(bits, np.uint64)
+        for bits in part.column("k"):
+            self.filter.words[0] |= np.frombuffer(bits.as_buffer(), np.uint64)
 
     def count(self, words: np.ndarray) -> np.ndarray:
         """Count of each word, 0 where missing."""
@@ -381,8 +380,7 @@ class _Shards:
 
     def bigrams(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
         """What the filter gives as counts of bigrams, at most those of their last words."""
-        rows = (keys >> np.uint64(48 - self.inner)).astype(np.int64) if self.inner else np.zeros(len(keys), np.int64)
-        return np.minimum(count_of(self.filter.levels(keys, rows)), most)
+        return np.minimum(count_of(self.filter.levels(keys, np.zeros(len(keys), np.int64))), most)
 
     def answer(self, kind: int, part: pa.RecordBatch) -> None:
         flat = lambda name: _values(part.column(name), name)[0]
@@ -462,8 +460,7 @@ def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, se
     """doc_id, held_out, n_tokens, known, logs (of known words' counts; half for the unknown) and parts (all else) of each row."""
     spark = docs.sparkSession
     sent, mass = spark.sparkContext.broadcast(model), _mass(model)
-    model_power, power = model.power, min(model.power, SHARD_POWER)
-    shards = 1 << power
+    power = model.power
     bounded_batches(spark)
     inner = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("t"))
     about = [T.StructField(c, inner.schema[c].dataType) for c in ("row", "doc_id", "held_out")]
@@ -498,7 +495,7 @@ def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, se
     def out(batch, own, sums):
         """A batch of the exchange: packed entries, or the texts' own rows."""
         n = batch.num_rows if own is None else len(sums[0])
-        left = batch.columns if own is None else [pa.array(np.full(n, _ROWS, np.int32)), pa.array(((np.asarray(own[0]) >> _HOME_BITS) % shards).astype(np.int32)), pa.array(np.asarray(own[0]) >> _HOME_BITS), *(pa.nulls(n, t) for _, t in _FIELDS[3:])]
+        left = batch.columns if own is None else [pa.array(np.full(n, _ROWS, np.int32)), pa.array(first_bits(mix((np.asarray(own[0]) >> _HOME_BITS).astype(np.uint64)), power).astype(np.int32)), pa.array(np.asarray(own[0]) >> _HOME_BITS), *(pa.nulls(n, t) for _, t in _FIELDS[3:])]
         right = [pa.nulls(n, t) for t in kinds] if own is None else [*own, *(pa.array(x, t) for x, t in zip(sums, kinds[3:], strict=True))]
         return pa.RecordBatch.from_arrays([*left, *right], names=names)
 
@@ -523,7 +520,7 @@ def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, se
     returned = T.StructType([*schema.fields[len(_FIELDS) :], *T.StructType.fromDDL("home long, own int, off array<int>, more array<int>, logs2 array<double>, parts2 array<double>").fields])
 
     def answer(batches):
-        tables = _Shards(mass, model_power)
+        tables = _Shards(mass)
         lists = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
         def sent_on(most):
@@ -571,7 +568,7 @@ def _asked(docs: DataFrame, held_out: Column, model: Model, words: DataFrame, se
     wide = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[len(_FIELDS) :]]
     every = inner.mapInArrow(ask, schema)
     if len(model.filter.words) < 1 << model.power or len(model.words) < model.distinct:
-        own = {"kind": F.lit(_SEGMENTS), "shard": F.shiftright("s", model.power - power).cast("int"), "home": F.col("s"), "k": F.col("bits")}
+        own = {"kind": F.lit(_SEGMENTS), "shard": F.col("s").cast("int"), "home": F.lit(0).cast("long"), "k": F.col("bits")}
         bits = segments.select(*[own.get(name, F.lit(None).cast("binary")).alias(name) for name, _ in _FIELDS])
         every = every.unionByName(_pack_words(words, power).select("*", *wide)).unionByName(bits.select("*", *wide))
     got = every.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, returned)
