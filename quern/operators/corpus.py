@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from quern import schemas
 from quern.functions.text import PYTHON_SPACE, estimate, trim
-from quern.session import checkpoint_root
+from quern.session import cut
 
 MAX_HOPS = 20
 
@@ -70,8 +70,7 @@ def section_path(project: Column, path: Column) -> Column:
 
 def _numbered(keys: DataFrame) -> DataFrame:
     """Rows (corpus_id, path) with their place `_r` within the corpus in path order, counted in ranges, so that no task has a whole corpus."""
-    checkpoint_root(keys.sparkSession)
-    ranged = keys.repartitionByRange("corpus_id", "path").withColumn("_b", F.spark_partition_id()).checkpoint()
+    ranged = cut(keys.repartitionByRange("corpus_id", "path").withColumn("_b", F.spark_partition_id()))
     sizes = ranged.groupBy("corpus_id", "_b").count()  # a row for each range and corpus in it
     before = F.coalesce(F.sum("count").over(W.partitionBy("corpus_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(W.partitionBy("corpus_id", "_b").orderBy("path"))

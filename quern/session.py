@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: The folder below the shared one that holds intermediate files.
 FOLDER = "quern"
@@ -26,15 +26,43 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def session_folder(spark: SparkSession) -> str:
+    """This session's own folder below the shared one."""
+    context = spark.sparkContext
+    if not hasattr(context, "_quern_folder"):
+        context._quern_folder, context._quern_checkpoints = uuid.uuid4().hex, []
+    return f"{checkpoint_root(spark).rstrip('/')}/{FOLDER}/{context._quern_folder}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{FOLDER}/{name}-{uuid.uuid4().hex}"
+    """A new path below the session's folder."""
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder and drop the lineage, so lost executors cost no recomputation; `remove_shared` deletes it."""
+    spark = df.sparkSession
+    session_folder(spark)
+    out = df.checkpoint(eager=True)
+    spark.sparkContext._quern_checkpoints.append(out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
+def remove_shared(spark: SparkSession, every: bool = False) -> None:
+    """Delete this session's intermediate files and checkpoints, or with `every` those that any session left in the shared folder.
 
-def remove_shared(spark: SparkSession) -> None:
-    """Delete all intermediate files, of all sessions that share the folder; results that were not written elsewhere go with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark).rstrip('/')}/{FOLDER}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    Results that were not written elsewhere go with them.
+    """
+    folder, context = session_folder(spark), spark.sparkContext
+    for path in [*context._quern_checkpoints, folder.rsplit("/", 1)[0] if every else folder]:
+        remove_path(spark, path)
+    context._quern_checkpoints.clear()
 
 
 def ship(spark: SparkSession) -> None:
