@@ -9,8 +9,11 @@ With windows of half-width R a vector at distance d collides on a projection wit
 0.55 of the projections is passed where d is below 1.32 R, the more surely the more projections. On vectors without clusters
 (64 dimensions, normed, the nearest ten at 0.77 of the median distance, shards of 16,384 rows), share verified and recall are: 80
 projections, threshold 48, NEAR 1: 0.40 and 0.98; 128, 70 and 1.2: 0.17 and 0.96; 160, 88 and 1.2: 0.16 and 0.97; 200, 110 and
-1.2: 0.13 and 0.98. Shards of 2,000 rows verify 0.28. A shard's arrays are sorted anew for each block of queries, which takes less
-than a hundredth of the search of a full block.
+1.2: 0.13 and 0.98. Shards of 2,000 rows verify 0.28.
+
+Shards are parts of cells of nearest pivots. The order of each array is written once. A query is first searched in the shards of the cell
+with the nearest pivot; the k-th distance that it has then goes with it to the others, where it ends the search sooner, and cells whose
+pivot is so far that they hold nothing nearer are passed over.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, shared_path
+from quern.llm.cells import Cells
+from quern.llm.common import bounded_batches, cut, give_back, shared_path
+from quern.llm.vectors import finite, flat
 
 PROJECTIONS, HALF_WIDTH, THRESHOLD, GROWTH, NEAR = 160, 1.0, 88, 1.05, 1.2
 #: Rows that one index covers, and queries that are broadcast at once.
@@ -29,13 +34,13 @@ SHARD_ROWS, QUERY_ROWS = 16384, 8192
 
 
 class Shard:
-    """Vectors with a sorted array for each projection."""
+    """Vectors with a sorted array for each projection, whose order may be known."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 11):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray | None = None, seed: int = 11):
         self.ids, self.vectors = ids, vectors
         self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
         at = vectors @ self.lines
-        self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32)
+        self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32) if order is None else order
         self.sorted = np.take_along_axis(at.T, self.order, axis=1)
         spread = max(float(at.std(axis=0).mean()), 1e-12)
         widest = float(self.sorted[:, -1].max() - self.sorted[:, 0].min()) * 4 + 1.0
@@ -45,8 +50,19 @@ class Shard:
         self.radii = np.array(radii)
         self.verified = 0
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest found, nearest first, ties to the smaller id; rows of the query's id take no part."""
+    def packed(self) -> list[bytes]:
+        return [self.ids.tobytes(), self.vectors.tobytes(), self.order.tobytes()]
+
+    @classmethod
+    def unpacked(cls, dim: int, ids: bytes, vectors: bytes, order: bytes) -> Shard:
+        ids = np.frombuffer(ids, np.int64)
+        return cls(ids, np.frombuffer(vectors, np.float64).reshape(len(ids), dim), np.frombuffer(order, np.int32).reshape(PROJECTIONS, len(ids)))
+
+    def search(self, own: int, query: np.ndarray, k: int, known: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest found, nearest first, ties to the smaller id; rows of the query's id take no part.
+
+        `known`: a distance that k rows elsewhere do not pass.
+        """
         n = len(self.ids)
         centre = query @ self.lines
         lows = np.stack([np.searchsorted(s, c - HALF_WIDTH * self.radii, "left") for s, c in zip(self.sorted, centre, strict=True)])
@@ -72,69 +88,84 @@ class Shard:
                 ids = np.r_[ids, self.ids[found]]
                 best = np.lexsort((ids, far))[:k]
                 ids, far = ids[best], far[best]
-            if not last and (len(ids) == k and far[-1] <= NEAR * self.radii[r] or done.all()):
+            if not last and (min(known, far[-1] if len(ids) == k else np.inf) <= NEAR * self.radii[r] or done.all()):
                 break
-        return ids, far
+        return ids[far <= known], far[far <= known]
 
 
-def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), dim)
+def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, v) of the rows that take part.
 
-
-def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, int]:
-    """(vec_id, v) of the rows that take part, and their dimension: the commonest one, the smaller of two.
-
-    Null ids, and vectors that are null, empty, zero, of another dimension, or hold a null or non-finite component, are left out.
+    Null ids, and vectors that are null, empty or zero, or hold a null or non-finite component, are left out.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null")
-    finite = "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
-    rows = rows.where(f"v is not null and {finite} and exists(v, x -> x <> 0)")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = sizes[0].d if sizes else 1
-    return rows.where(F.size("v") == dim), dim
+    return rows.where(finite(F.col("v")) & F.exists("v", lambda x: x != 0))
+
+
+_FOUND = "query_id long, vec_id long, score double"
+#: What distances of cells are lowered by, in parts, for rounding in doubles.
+SLACK = 1e-9
+
+
+def _searched(index: DataFrame, asked: dict, k: int, at_home: bool) -> DataFrame:
+    """What the queries find in the shards of their home cell, or of all others that may hold nearer rows; asked: by dimension their ids, vectors, homes, k-th distances and the cells' lower bounds."""
+    sent = index.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                dim, pivot = row.pop("dim"), row.pop("pivot")
+                if dim not in sent.value:
+                    continue
+                own, queries, home, known, bounds = sent.value[dim]
+                some = np.flatnonzero(home == pivot if at_home else (home != pivot) & (bounds[pivot] <= known))
+                if not len(some):
+                    continue
+                shard = Shard.unpacked(dim, **row)
+                out = [shard.search(int(own[i]), queries[i], k, known[i]) for i in some]
+                sizes = [len(ids) for ids, _ in out]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[some], sizes)), pa.array(np.concatenate([x for x, _ in out]), pa.int64()), pa.array(np.concatenate([x for _, x in out]), pa.float64())], names=["query_id", "vec_id", "score"])
+        give_back()
+
+    return index.mapInArrow(run, _FOUND)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of each query's k nearest found among the rows (vec_id, v).
 
-    Repeated query ids are one query; repeated candidate rows are each candidates. Queries go out in blocks of about query_rows,
-    each block against all rows.
+    Null ids or vectors are not for it: see `valid`. A query meets rows of its own dimension. Of rows that share a query id the least vector asks;
+    repeated candidate rows are each candidates; rows of the query's own id are none. Queries go out in blocks of about query_rows, each
+    block against all shards, whose arrays are made once.
     """
     spark = vectors.sparkSession
-    n = vectors.count()
-    rows = cut(vectors.repartition(max(1, -(-n // shard_rows))))
-    asked = cut(queries.dropDuplicates(["vec_id"]))
+    bounded_batches(spark)
+    cells = Cells(vectors, shard_rows)
+    at = shared_path(spark, "arrays")
+    grown = cells.grown(lambda ids, v: Shard(ids, v).packed(), ["ids", "vectors", "order"])
+    grown.write.option("compression", "zstd").parquet(at)
+    index = spark.read.schema(grown.schema).parquet(at)
+    asked = cut(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
     blocks = max(1, -(-asked.count() // query_rows))
     path = shared_path(spark, "nearest")
     for b in range(blocks):
         got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
-        sent = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), _vectors(got.column("v").combine_chunks(), dim) if len(got) else np.empty((0, dim))))
-
-        def run(batches, sent=sent):
-            ids, held = [], []
-
-            def flush():
-                shard = Shard(np.concatenate(ids), np.concatenate(held))
-                ids.clear()
-                held.clear()
-                out = [(int(q), *shard.search(int(q), v, k)) for q, v in zip(*sent.value, strict=True)]
-                sizes = [len(x) for _, x, _ in out]
-                columns = [np.repeat(np.array([q for q, _, _ in out], np.int64), sizes), *(np.concatenate([o[i] for o in out]) if out else np.empty(0) for i in (1, 2))]
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
-
-            for batch in batches:
-                for at in range(0, batch.num_rows, shard_rows):
-                    part = batch.slice(at, shard_rows)
-                    if ids and sum(map(len, ids)) + part.num_rows > 2 * shard_rows:
-                        yield flush()
-                    ids.append(part.column(0).to_numpy())
-                    held.append(_vectors(part.column(1), dim))
-            if ids:
-                yield flush()
-
-        rows.mapInArrow(run, "query_id long, vec_id long, score double").write.mode("append").parquet(path)
-        sent.unpersist()
-    near = spark.read.schema("query_id long, vec_id long, score double").parquet(path)
+        sizes = np.array([len(x) for x in got.column("v").to_pylist()], np.int64)
+        block = {}
+        for dim in np.unique(sizes).tolist():
+            part = got.filter(pa.array(sizes == dim))
+            v = flat(part.column("v").combine_chunks(), dim)
+            of, centres, far = cells.known(dim)
+            if len(of):
+                away = np.stack([np.sqrt(((v - c) ** 2).sum(axis=1)) for c in centres])
+                bounds = {int(p): a - r - SLACK * (a + r + 1) for p, a, r in zip(of, away, far, strict=True)}
+                block[dim] = (part.column("vec_id").to_numpy(), v, of[away.argmin(axis=0)], np.full(len(v), np.inf), bounds)
+        first = f"{path}/block={b}/home=1"
+        _searched(index, block, k, True).write.parquet(first)
+        kth = spark.read.schema(_FOUND).parquet(first).withColumn("p", F.row_number().over(W.partitionBy("query_id").orderBy("score"))).where(F.col("p") == k)
+        known = {r.query_id: r.score for r in kth.select("query_id", "score").collect()}  # one for each query of the block
+        block = {dim: (ids, v, home, np.array([known.get(i, np.inf) for i in ids.tolist()]), bounds) for dim, (ids, v, home, _, bounds) in block.items()}
+        _searched(index, block, k, False).write.parquet(f"{path}/block={b}/home=0")
+    near = spark.read.schema(_FOUND).option("recursiveFileLookup", "true").parquet(path)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -146,5 +177,5 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
     comes first; a query with fewer than k others gets those. Repeated rows are each found; rows of the query's own id are not.
     An empty table gives an empty result; other columns are not read.
     """
-    rows, dim = valid(vectors, id_col, vector_col)
-    return nearest(rows, rows.where(F.col("vec_id") % every == 0), dim, k)
+    rows = valid(vectors, id_col, vector_col)
+    return nearest(rows, rows.where(F.col("vec_id") % every == 0), k)

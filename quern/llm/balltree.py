@@ -1,6 +1,6 @@
 """Exact top-k search by inner product: ball-tree branch and bound in shards that share the k-th score found so far.
 
-Vectors are dealt out to shards by their nearest pivot; each shard is a ball tree, kept as one row of a written table.
+Vectors are dealt out to shards by the nearest pivot, a cell, of which there may be several; each shard is a ball tree, kept as one row of a written table.
 A ball with centre c and radius r holds no vector whose product with q is above q.c + |q| r. In a shard a query goes down
 from the root through the balls whose bound reaches its k-th score, then through the leaves that are left in the order of
 their bounds, best first, until no bound reaches it. Each query is first searched in the shards of the pivot with the best
@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, cut, give_back, shared_path
+from quern.llm.cells import Cells
+from quern.llm.common import cut, give_back, shared_path
 from quern.llm.vectors import flat, products, scaled
 
 SCALE = 256
-#: Vectors of a leaf and, about, of a shard; most pivots; queries that are broadcast at once, and searched at once.
-LEAF, SHARD_ROWS, PIVOTS, QUERY_ROWS, GROUP = 64, 8192, 256, 4096, 256
+#: Vectors of a leaf and, about, of a shard; queries that are broadcast at once, and searched at once.
+LEAF, SHARD_ROWS, QUERY_ROWS, GROUP = 64, 8192, 4096, 256
 #: What bounds are raised by, for rounding in doubles.
 SLACK = 1e-9
-_TREE = "dim int, pivot int, ids binary, vectors binary, ranges binary, children binary, centres binary, radii binary"
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -142,81 +142,20 @@ class Best:
         self.q, self.ids, self.score = q[held], ids[held], score[held]
 
 
-def _assigned(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """(dim, pivot, far, vec_id, v): the nearest pivot of the vector's dimension, and the distance to it."""
-    bounded_batches(rows.sparkSession)
-    sent = rows.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches):
-        for batch in batches:
-            sizes = batch.column("d").to_numpy()
-            for dim in np.unique(sizes).tolist():
-                part = batch.filter(pa.array(sizes == dim))
-                v, p = flat(part.column("v"), dim), sent.value[dim]
-                gap = np.maximum((v * v).sum(axis=1)[:, None] - 2 * (v @ p.T) + (p * p).sum(axis=1)[None, :], 0)
-                near = gap.argmin(axis=1)
-                far = np.sqrt(((v - p[near]) ** 2).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(near.astype(np.int32)), pa.array(far), part.column("vec_id"), part.column("v")], names=["dim", "pivot", "far", "vec_id", "v"])
-
-    return rows.select("vec_id", "v", F.size("v").alias("d")).mapInArrow(run, "dim int, pivot int, far double, vec_id long, v array<double>")
-
-
-def _grown(batches, leaf: int):
-    """A row for each shard; the rows of a shard come one after the other."""
-    held, key = [], None
-
-    def flush():
-        ids = np.concatenate([x.column("vec_id").to_numpy() for x in held])
-        vectors = np.concatenate([flat(x.column("v"), key[0]) for x in held])
-        tree = BallTree.build(ids, vectors, leaf)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), *(pa.array([x], pa.binary()) for x in tree.packed())], names=["dim", "pivot", "ids", "vectors", "ranges", "children", "centres", "radii"])
-
-    for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("dim", "pivot", "part")])
-        edges = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0), True]) if batch.num_rows else [0]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            now = tuple(keys[:, a].tolist())
-            if held and now != key:
-                yield flush()
-                held.clear()
-            key = now
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield flush()
-    give_back()
-
-
 class Trees:
-    """The written trees of all shards, and of each dimension the pivots with the radii of what is theirs."""
+    """The written trees of all shards, and the cells that the shards are parts of."""
 
     def __init__(self, rows: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF):
-        spark = rows.sparkSession
-        bounded_batches(spark)
-        sizes = {r.d: r.n for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}  # one row for each dimension
-        pivots = {}
-        for dim, n in sizes.items():
-            most = min(PIVOTS, -(-n // shard_rows))
-            chosen = rows.where(F.size("v") == dim).orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(most).select("v").toArrow()
-            pivots[dim] = flat(chosen.column("v").combine_chunks(), dim)
-        near = cut(_assigned(rows, pivots))
-        about = near.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # at most PIVOTS rows for each dimension
-        self.pivots = {d: (np.array([r.pivot for r in about if r.dim == d]), np.array([r.far for r in about if r.dim == d])) for d in sizes}
-        self.centres = {d: pivots[d][of] for d, (of, _) in self.pivots.items()}
-        # a pivot with more than a shard's rows has several shards, dealt out row by row
-        parts = {(r.dim, r.pivot): -(-r.n // shard_rows) for r in about}
-        many = F.create_map(*[F.lit(x) for (d, p), n in parts.items() if n > 1 for x in (f"{d} {p}", n)]) if any(n > 1 for n in parts.values()) else None
-        part = F.pmod(F.monotonically_increasing_id(), F.coalesce(many[F.concat_ws(" ", "dim", "pivot")], F.lit(1))) if many is not None else F.lit(0).cast("long")
-        dealt = near.select("dim", "pivot", part.alias("part"), "vec_id", "v").repartition(max(1, sum(parts.values())), "dim", "pivot", "part").sortWithinPartitions("dim", "pivot", "part")
-        self.path = shared_path(spark, "trees")
-        dealt.mapInArrow(lambda batches: _grown(batches, leaf), _TREE).write.option("compression", "zstd").parquet(self.path)
-        self.table = spark.read.schema(_TREE).parquet(self.path)
+        self.cells = Cells(rows, shard_rows)
+        self.path = shared_path(rows.sparkSession, "trees")
+        grown = self.cells.grown(lambda ids, vectors: BallTree.build(ids, vectors, leaf).packed(), ["ids", "vectors", "ranges", "children", "centres", "radii"])
+        grown.write.option("compression", "zstd").parquet(self.path)
+        self.table = rows.sparkSession.read.schema(grown.schema).parquet(self.path)
 
     def homes(self, dim: int, queries: np.ndarray) -> np.ndarray:
-        """The pivot of each query whose vectors can have the highest products."""
-        if dim not in self.pivots:
-            return np.full(len(queries), -1)
-        of, far = self.pivots[dim]
-        return of[(queries @ self.centres[dim].T + np.sqrt((queries * queries).sum(axis=1))[:, None] * far[None, :]).argmax(axis=1)]
+        """The cell of each query whose vectors can have the highest products."""
+        of, centres, far = self.cells.known(dim)
+        return of[(queries @ centres.T + np.sqrt((queries * queries).sum(axis=1))[:, None] * far[None, :]).argmax(axis=1)] if len(of) else np.full(len(queries), -1)
 
 
 def _searched(trees: DataFrame, asked: dict, k: int, at_home: bool) -> DataFrame:

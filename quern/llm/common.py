@@ -14,25 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.session import checkpoint_root, shared_path  # noqa: F401
+from quern.session import cut, remove_path, shared_path  # noqa: F401
 
 #: Texts are worked on in pieces of about this many bytes, whole texts at least one at a time.
 CHUNK_BYTES = 2 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and drop the lineage, so lost executors cost no recomputation."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate rows that nothing reads any more."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @contextlib.contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     """Queries that run inside give back their shuffle files when they end; a frame that runs twice shuffles twice."""

@@ -250,13 +250,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of `docs` for each component, with all its columns: the one with the least id.
 
     Rows without an id come last. Of several rows with that id in the component, the one whose text hashes least
-    stays. Components are told apart by their links, not by ids: an id used for unrelated texts stays for each.
+    stays, and of those with that text the one whose other columns come first as JSON. Components are told apart by their links, not by ids: an id used for unrelated texts stays for each.
     """
     text = F.col(text_col).cast("string")
     rows = cut(map_texts(docs, text, {"doc_id": F.col(id_col), "h": F.xxhash64(text)}, "fp long", lambda: lambda c: [pa.array(fingerprints_of(c).view(np.int64))]))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best")
     kept = rows.join(_rooted(rows, distance), "fp").groupBy("root").agg(best).select(F.col("best.doc_id").alias("_kid"), F.col("best.h").alias("_kh"))
     # a row's component follows from its text, so id and text name the component as well; whole repeats are added up to one
-    own = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"))
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]), {"ignoreNullFields": "false"})
+    own = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), others.alias("_o"))
     own = own.join(kept, own["_id"].eqNullSafe(kept["_kid"]) & (own["_h"] == kept["_kh"]), "left_semi")
-    return own.groupBy("_id", "_h").agg(F.first("_row").alias("_row")).select("_row.*")
+    return own.groupBy("_id", "_h").agg(F.min_by("_row", "_o").alias("_row")).select("_row.*")

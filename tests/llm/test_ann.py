@@ -48,9 +48,9 @@ def test_odd_vectors(spark):
 
 def test_blocks_and_shards_find_the_same(spark, sf_dir):
     """Shards of another size verify other vectors, but nearly all that is found is the same, and always the nearest."""
-    rows, dim = ann.valid(table(spark, sf_dir, "embeddings"))
+    rows = ann.valid(table(spark, sf_dir, "embeddings"))
     queries = rows.where("vec_id % 25 = 0")
-    found = [{(r.query_id, r.vec_id) for r in ann.nearest(rows, queries, dim, **sizes).collect()} for sizes in ({}, {"shard_rows": 100, "query_rows": 7})]
+    found = [{(r.query_id, r.vec_id) for r in ann.nearest(rows, queries, **sizes).collect()} for sizes in ({}, {"shard_rows": 100, "query_rows": 7})]
     true = {(q, i) for q, near in brute([(r.vec_id, r.v) for r in rows.collect()], 25, 10).items() for _, i in near}
     for own in found:
         assert len(own) == len(true) and len(own & true) >= 0.9 * len(true)
@@ -71,3 +71,39 @@ def test_share_verified_on_two_shards():
         right += len({i for _, i in got} & set(np.argsort(far)[:10].tolist()))
     assert right >= 0.9 * 10 * len(some)
     assert sum(s.verified for s in shards) <= 0.2 * len(ids) * len(some)
+
+
+def test_each_dimension_is_searched(spark):
+    """Rows of two dimensions, some of them with a query's id more than once: neighbours are of the query's own dimension."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(2 + 3 * (i % 2)).tolist()) for i in range(1, 60)] + [(100, [5.0, 5.0]), (100, [0.5, 0.5]), (101, [0.5, 0.5]), (200, [0.1] * 5), (300, [1.0] * 7)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sizes in ({}, {"shard_rows": 9, "query_rows": 1}):
+        valid = ann.valid(d)
+        got = {}
+        for r in ann.nearest(valid, valid.where("vec_id % 100 = 0"), 10, **sizes).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got.keys() == {100, 200}
+        for q, v in ((100, [0.5, 0.5]), (200, [0.1] * 5)):
+            near = sorted((float(np.linalg.norm(np.array(v) - w)), i) for i, w in rows if len(w) == len(v) and i != q)[:10]
+            assert len(set(got[q]) & {i for _, i in near}) >= 9
+
+
+def test_cells_far_away_are_passed_over(spark):
+    """Of clusters far apart a query visits its own cell alone; the neighbours are the true ones."""
+    rng = np.random.default_rng(8)
+    middle = rng.standard_normal((6, 16)) * 100
+    rows = [(i, (middle[i % 6] + rng.standard_normal(16)).tolist()) for i in range(1800)]
+    valid = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    cells = ann.Cells(valid, 300)
+    of, centres, far = cells.known(16)
+    got = {}
+    for r in ann.nearest(valid, valid.where("vec_id % 100 = 0"), 10, shard_rows=300).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    right = visits = 0
+    for q, near in got.items():
+        v = np.array(rows[q][1])
+        true = sorted((float(np.linalg.norm(v - np.array(w))), i) for i, w in rows if i != q)[:10]
+        right += len(near & {i for _, i in true})
+        visits += int((np.linalg.norm(centres - v, axis=1) - far <= true[-1][0]).sum())
+    assert right >= 0.9 * 10 * len(got) == 0.9 * 10 * 18 and visits < len(got) * len(of) * 0.6

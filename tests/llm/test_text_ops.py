@@ -231,6 +231,17 @@ def test_deduplicate_keeps_one_text_of_each_component(spark):
     assert Counter(tuple(r) for r in got.collect()) == Counter([(None, a), (None, b), (1, ""), (7, c), (7, d), (9, e)])
 
 
+def test_deduplicate_of_rows_that_differ_in_other_columns(spark):
+    """One id and text, other columns null, equal or not: the same row stays in whatever order they come."""
+    text = " ".join(f"a{i}" for i in range(40))
+    data = [(5, text, x, y) for x in ("b", None, "a", "c") for y in (2.0, None)] + [(5, text, "a", 1.0)]
+    kept = set()
+    for k in range(4):
+        d = spark.createDataFrame(data[k:] + data[:k], "doc_id long, text string, lang string, _ double").repartition(1 + k)
+        kept.add(tuple(map(tuple, simhash.deduplicate(d).collect())))
+    assert kept == {((5, text, "a", 1.0),)}
+
+
 @pytest.mark.parametrize("block", [16, 1 << 20])
 def test_links_join_what_brute_force_joins(spark, block):
     """Dense balls around centres, chains, and hot buckets that are dealt out in blocks."""
