@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern import schemas
@@ -59,24 +60,23 @@ def generation_report(spark, sf):
 
 
 @query(f"""with {M.STRATEGIES_SQL}, b as (select category, row_number() over (partition by category order by avg(success::int) desc, count(*) desc, min(seq)) r, name, count(*) uses, avg(success::int) rate, avg(cast(a - b as double)) delta from strategies group by category, name having count(*) >= 2),
-l as (select *, '  ' || rpad(name, 28, ' ') || ' ' || rpad(cast(cast(floor(rate * 100 + 0.5) as integer) as varchar) || '%', 8, ' ') || ' ' || rpad(uses::varchar, 6, ' ') || ' ' line, round(delta, 9) delta9 from b)
-select category, r as rank, line, delta9 from l""")
+l as (select *, '  ' || rpad(name, 28, ' ') || ' ' || rpad(cast(cast(floor(rate * 100 + 0.5) as integer) as varchar) || '%', 8, ' ') || ' ' || rpad(uses::varchar, 6, ' ') || ' ' || case when delta >= 0 then '+' else '' end
+  || format('{{:.1f}}', case when (abs(delta) * 4) % 2 = 1 then delta + sign(delta) * 0.01 else delta end) line from b)
+select category, r as rank, line from l""")
 def leaderboard_lines(spark, sf):
-    """The report's lines before the last column, which SQL would round as a decimal; that column as a number."""
+    """The report's lines, each of a board of its own. In SQL an exact half is moved, as its formatting would round it to even."""
     board = strategies.leaderboard(M.strategies(spark, sf))
-    lines = strategies.report(board.withColumn("corpus_id", F.concat("category", F.lit("\u0001"), "rank"))).select("corpus_id", F.element_at(F.split("report", "\n"), -1).alias("l"))
+    lines = strategies.report(board.withColumn("corpus_id", F.concat("category", F.lit("\u0001"), "rank"))).select("corpus_id", F.element_at(F.split("report", "\n"), -1).alias("line"))
     key = F.split("corpus_id", "\u0001")
-    cut = F.regexp_replace("l", r"[+-]?\d+\.\d$", "")
-    shown = lines.select(key[0].alias("category"), key[1].cast("long").alias("rank"), cut.alias("line"))
-    return shown.join(board.select("category", F.col("rank").cast("long").alias("rank"), F.round("avg_test_improvement", 9).alias("delta9")), ["category", "rank"])
+    return lines.select(key[0].alias("category"), key[1].cast("long").alias("rank"), "line")
 
 
-@query("select event_type category, '  ' || upper(event_type) head from events group by event_type")
+@query("select cast(row_number() over (order by event_type) as integer) nth, '  ' || upper(event_type) head from (select distinct event_type from events)")
 def leaderboard_heads(spark, sf):
-    """Category heads of the report, in category order."""
+    """Category heads of the report, in the order that they come in it."""
     text = strategies.report(strategies.leaderboard(M.strategies(spark, sf)))
-    lines = text.select(F.explode(F.split("report", "\n")).alias("head")).where(F.col("head").rlike("^  [A-Z_]+$"))
-    return lines.select(F.lower(F.trim("head")).alias("category"), "head")
+    heads = F.filter(F.split("report", "\n"), lambda x: x.rlike("^  [A-Z_]+$"))
+    return text.select(F.posexplode(heads).alias("nth", "head")).select((F.col("nth") + 1).alias("nth"), "head")
 
 
 # --- generations
@@ -147,18 +147,32 @@ def merge_proposals(spark, sf):
     return folded.select("section", "applied", F.when(F.col("content").startswith("merged "), F.col("content")).alias("merged"))
 
 
-@query(f"""with {M.PROPOSALS_SQL}, n as (select generation, count(*) n from proposals group by generation)
-select 'docs' corpus_id, 1 ord, 3 generation, (select count(*) from proposals) mutations, round(least(1, (select n from n where generation = 3) / 10.0), 9) cost, cast(0.5 as double) tests""")
+@query(f"""with {M.PROPOSALS_SQL}, d as (select lang corpus_id, count(*) n, sum(length(text) - length(replace(text, chr(10), '')) + 1 + case when doc_id % 50 = 0 then 1 else 0 end) lines, count(*) filter (doc_id % 50 = 0) marks from documents group by lang),
+q as (select agent_id corpus_id, count(*) queued, count(*) filter (generation = 3) third, count(distinct section) written, count(distinct section) filter (section like '%1%') there from proposals group by agent_id)
+select corpus_id, cast(1 as bigint) ord, cast(3 as bigint) generation, queued mutations, round(least(1, (third + n % 3) / 10.0), 9) cost, cast(0.75 as double) tests, round(cast(n % 7 as double) / (n % 7 + 3), 9) progress,
+  round(greatest(0, least(1, 1 - marks / cast(lines as double) * 100)), 9) quality, round(cast(1 + n % 4 as double) / (2 + n % 4), 9) strategies, written - there + there + 3 sections, written from d join q using (corpus_id)""")
 def evaluate_generation(spark, sf):
-    """The queue is folded into the sections, and the third generation measured after one evaluation before it."""
-    s = M.sections(spark, sf).limit(0)
-    p = M.proposals(spark, sf)
-    corpora = spark.createDataFrame([(M.CORPUS, 3, None, 0)], "corpus_id string, generation long, test_output string, exit_code int")
-    history = spark.createDataFrame([(M.CORPUS, 0, 2, {"s": 1.0})], schemas.FITNESS_HISTORY)
-    got = generations.evaluate(corpora, s, p, spark.createDataFrame([], "corpus_id string, text string"), spark.createDataFrame([], schemas.MUTATIONS), history, "now")
-    n = got.mutations.agg(F.count("*").alias("mutations"))
-    last = fitness.latest_fitness(got.history).select("corpus_id", F.col("ord").cast("int"), F.col("generation").cast("int"), F.round(F.col("scores")["costEfficiency"], 9).alias("cost"), F.col("scores")["testPassRate"].alias("tests"))
-    return last.join(n)
+    """Of each language's corpus the queue is folded into its sections, some of them there before, and the third generation is measured by its
+    tests, marked source files, boxes, strategies and mutations, after one evaluation before it.
+    """
+    docs = M.table(spark, sf, "documents").withColumn("corpus_id", F.col("lang"))
+    p = M.proposals(spark, sf).withColumn("corpus_id", F.col("agent_id"))
+    n = docs.groupBy("corpus_id").agg(F.count("*").cast("int").alias("n"))
+    texts = {"milestones/current.md": F.concat(F.repeat(F.lit("[x] "), F.col("n") % 7), F.lit("[ ] [ ] [ ]")), "strategies/active.md": F.concat(F.lit("# A\n"), F.repeat(F.lit("- a\n"), F.col("n") % 4 + 1)), "strategies/graveyard.md": F.lit("## one\n")}
+    there = p.where("section like '%1%'").select("corpus_id", F.col("section").alias("path")).distinct().withColumn("content", F.lit("old"))
+    for path, text in texts.items():
+        there = there.unionByName(n.select("corpus_id", F.lit(path).alias("path"), text.alias("content")))
+    place = (F.row_number().over(W.partitionBy("corpus_id").orderBy("path")) - 1).cast("long")
+    s = there.select("corpus_id", place.alias("ord"), "path", F.lit("T").alias("title"), F.lit("S").alias("summary"), F.array(F.lit("g")).alias("tags"), F.lit(1).cast("long").alias("tokens"), F.lit("then").alias("updated_at"), "content")
+    files = docs.select("corpus_id", F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("// TODO\n"), "text")).otherwise(F.col("text")).alias("text"))
+    before = n.select("corpus_id", F.explode(F.expr("if(n % 3 = 0, array(), sequence(1, n % 3))")).alias("i")).select("corpus_id", F.concat(F.lit("m"), "i").alias("id"), F.lit(3).cast("long").alias("generation"), *[F.lit(None).cast("string").alias(c) for c in ("section", "agent_id", "operation", "rationale", "ts", "diff")])
+    corpora = n.select("corpus_id", F.lit(3).cast("long").alias("generation"), F.lit("9 pass, 3 fail").alias("test_output"), F.lit(1).alias("exit_code"))
+    history = n.select("corpus_id", F.lit(0).cast("long").alias("ord"), F.lit(2).cast("long").alias("generation"), F.create_map(F.lit("s"), F.lit(1.0)).alias("scores"))
+    got = generations.evaluate(corpora, s, p, files, before, history, "now")
+    score = lambda k, name: F.round(F.col("scores")[k], 9).alias(name)
+    last = fitness.latest_fitness(got.history).select("corpus_id", "ord", "generation", score("costEfficiency", "cost"), score("testPassRate", "tests"), score("milestoneProgress", "progress"), score("codeQuality", "quality"), score("strategySuccessRate", "strategies"))
+    after = got.sections.groupBy("corpus_id").agg(F.count("*").alias("sections"), F.count_if(F.col("updated_at") == "now").alias("written"))
+    return last.join(got.mutations.groupBy("corpus_id").agg(F.count("*").alias("mutations")), "corpus_id").join(after, "corpus_id")
 
 
 @query(f"with {M.STRATEGIES_SQL} select seq, name, 'strat-' head, 36 id_chars, 'now' as ts, count(*) over () distinct_ids from strategies")
@@ -239,12 +253,12 @@ def section_files(spark, sf):
 
 @query("select vec_id ord, 'doc/' || vec_id path, cast(embedding[1] as double) first, len(embedding) dims, 'h' || vec_id content_hash, 't' updated_at from embeddings")
 def embedding_cache_file(spark, sf):
-    """The cache of a corpus as one JSON array, written and read again."""
-    path = f"{shared_path(spark, 'cache')}/embeddings.json"
+    """The cache of a corpus as JSON arrays, each written and read by a task."""
+    path = shared_path(spark, "cache")
     v = M.table(spark, sf, "embeddings")
     cache = v.select(F.lit(M.CORPUS).alias("corpus_id"), F.col("vec_id").alias("ord"), F.concat(F.lit("doc/"), "vec_id").alias("path"), F.col("embedding").cast("array<double>").alias("embedding"), F.concat(F.lit("h"), "vec_id").alias("content_hash"), F.lit("t").alias("updated_at"))
-    jsonl.write_embedding_cache(cache, path)
-    got = jsonl.read_embedding_cache(spark, path, M.CORPUS)
+    jsonl.write_embedding_caches(cache, path)
+    got = jsonl.read_embedding_caches(spark, path, M.CORPUS)
     return got.select("ord", "path", F.expr("embedding[0]").alias("first"), F.size("embedding").cast("long").alias("dims"), "content_hash", "updated_at")
 
 
@@ -390,8 +404,6 @@ def log_file(spark, sf):
 @query(f"with {M.LOG_SQL} select agent, ts, event, summary, cast(k as integer) nth from (select *, row_number() over (partition by agent order by seq desc) k from log where ts >= '2024-01-03') where k <= 9")
 def log_recent_file(spark, sf):
     """The last nine entries of each agent's log since a day, read from the end of its file."""
-    from pyspark.sql import Window as W
-
     out = None
     for agent, path in sorted(_agent_logs(spark, sf, "recent", torn=True).items()):
         own = sessionlog.read_recent(spark, path, limit=9, agent=agent, since="2024-01-03")

@@ -179,6 +179,35 @@ def write_embedding_cache(cache: DataFrame, path: str) -> None:
             system.delete(temporary, False)
 
 
+_ENTRY = "sectionPath string, embedding array<double>, contentHash string, updatedAt string, ord long"
+
+
+def write_embedding_caches(cache: DataFrame, folder: str) -> None:
+    """The entries as a folder of JSON arrays, one for each task, a line for each entry; `ord` is kept in the entry."""
+    entry = F.struct(F.col("path").alias("sectionPath"), "embedding", F.col("content_hash").alias("contentHash"), F.col("updated_at").alias("updatedAt"), "ord")
+
+    def run(batches):
+        lead = "["
+        for batch in batches:
+            out = []
+            for x in batch.column(0).to_pylist():
+                out.append(lead + x)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if lead == "," else "[]"])], names=["value"])
+
+    cache.select(F.to_json(entry).alias("v")).mapInArrow(run, "value string").write.text(folder)
+
+
+def read_embedding_caches(spark: SparkSession, folder: str, corpus_id: str) -> DataFrame:
+    """Cache entries of a folder of arrays with a line for each entry, read line by line; lines that are no entries are left out."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], schemas.EMBEDDING_CACHE)
+    lines = spark.read.option("lineSep", "\n").text(folder).where("value <> ']' and value <> '[]'").select(F.regexp_replace("value", r"^[\[,]", "").alias("value"))
+    rows = lines.select("value", strict_json(F.col("value"), _schema(_ENTRY)).alias("r")).where(is_json(F.col("r"), F.col("value")) & F.col("r.v").isNotNull())
+    return rows.select(F.lit(corpus_id).alias("corpus_id"), "r.v.ord", F.col("r.v.sectionPath").alias("path"), "r.v.embedding", F.col("r.v.contentHash").alias("content_hash"), F.col("r.v.updatedAt").alias("updated_at"))
+
+
 def truncate(spark: SparkSession, path: str) -> None:
     """Empties a folder of JSON lines if it is there."""
     if exists(spark, path):

@@ -398,3 +398,17 @@ def test_entries_are_parsed_without_python(spark, tmp_path):
     rows = df.orderBy("seq").collect()
     assert [(r.ts, r.agent, r.event, r.meta) for r in rows] == [("t", "5", None, '{"b":1,"a":[2]}'), (None, None, "y", None)]
     assert [sessionlog.parse_line(x) for x in lines] == [tuple(r)[1:] for r in rows] + [None] * 5
+
+
+def test_embedding_caches_are_arrays(spark, tmp_path):
+    """Each file is a JSON array of its own, an empty task's too; entries keep their order and come back as they were."""
+    rows = [("c", i, f"p{i}.md", [0.5, float(i)], None if i == 3 else f'h"{i}]', "t") for i in range(20)]
+    d = spark.createDataFrame(rows, schemas.EMBEDDING_CACHE).repartitionByRange(3, "ord").where("ord < 12 or ord > 18")
+    path = f"file://{tmp_path}/caches"
+    jsonl.write_embedding_caches(d, path)
+    held = [json.loads(p.read_text()) for p in (tmp_path / "caches").glob("part-*")]
+    assert len(held) == 3 and sum(map(len, held)) == 13
+    got = jsonl.read_embedding_caches(spark, path, "c")
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in d.collect())
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert jsonl.read_embedding_caches(spark, f"{path}-none", "c").count() == 0
