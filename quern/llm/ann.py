@@ -174,7 +174,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`, against all rows.
 
     Rows without an id and vectors that take no part (see `valid`) are neither queries nor found. Of ties the smaller id
-    comes first; a query with fewer than k others gets those. Repeated rows are each found; rows of the query's own id are not.
+    comes first; a query with fewer than k others gets those, and vectors of other dimensions are no others. Repeated rows are each found; rows of the query's own id are not.
     An empty table gives an empty result; other columns are not read.
     """
     rows = valid(vectors, id_col, vector_col)

@@ -38,7 +38,7 @@ def _assigned(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 class Cells:
     """Rows (vec_id, v), whose cells are those of their own dimension: pivots are a bounded sample, every row is in the cell of the nearest.
 
-    A cell with more than shard_rows rows, such as that of many equal vectors, has several shards, dealt out row by row.
+    A cell with more than one and a half times shard_rows rows, such as that of many equal vectors, has several shards, dealt out row by row.
     """
 
     def __init__(self, rows: DataFrame, shard_rows: int):
@@ -50,7 +50,7 @@ class Cells:
             pivots[dim] = flat(chosen.column("v").combine_chunks(), dim)
         self.near = cut(_assigned(rows, pivots))
         about = self.near.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # at most PIVOTS rows for each dimension
-        self.parts = {(r.dim, r.pivot): -(-r.n // shard_rows) for r in about}
+        self.parts = {(r.dim, r.pivot): max(1, int(r.n / shard_rows + 0.5)) for r in about}
         self._known = {}
         for d in sizes:
             own = [r for r in about if r.dim == d]

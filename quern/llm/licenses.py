@@ -2,7 +2,7 @@
 
 A text's words are cut into blocks of BLOCK_WORDS that start every BLOCK_WORDS / 2 words, so any passage of half a block lies whole
 in one of them. A block matches a template when it holds at least THRESHOLD of the template's distinct words.
-Template words are put in order of their frequency over all blocks, rarest first. By the prefix filter a matching
+Template words are put in order of their frequency over all texts, rarest first. By the prefix filter a matching
 block holds one of a template's first words (all but as many as may be missing); the length filter asks for enough distinct words
 in the block; the positional filter compares what may still be shared behind the first shared word with what is
 needed; survivors are verified exactly. Apart from that, base phrases are found where their words stand consecutively.

@@ -142,7 +142,8 @@ def encode(docs: DataFrame, model_file: str, keep: dict[str, Column], text: Colu
     """`keep` columns with ids (array<int>), n_tokens, score and round_trip (decoding the ids gives the text back).
 
     Null and empty texts have no ids, score 0 and round_trip true. Texts that hold U+2581 decode with spaces in
-    its place, so round_trip is false.
+    its place, so round_trip is false. Of equal scores the piece that starts first wins, so repeated rows have equal ids; each is returned.
+    Very long texts are taken whole, word by word where the pieces allow it. An empty table gives an empty result.
     """
 
     def make():
@@ -173,5 +174,8 @@ def decode(rows: DataFrame, model_file: str, ids: str = "ids", name: str = "text
 
 
 def tokenize(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_tokens, score, round_trip, ids. Other columns are not read."""
+    """One row for each row of `docs`: doc_id, n_tokens, score, round_trip, ids; see `encode` for odd texts.
+
+    Rows without an id and repeated rows are each returned; an empty table gives an empty result. Other columns are not read.
+    """
     return encode(docs, model_file, {"doc_id": F.col(id_col)}, F.col(text_col)).select("doc_id", "n_tokens", "score", "round_trip", "ids")

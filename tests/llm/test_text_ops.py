@@ -411,6 +411,45 @@ def test_held_out_labels_do_not_matter(spark, sf_dir):
     assert rows(quality.classify(d, labels), "doc_id", "score") == rows(quality.classify(d, turned), "doc_id", "score")
 
 
+def plain_features(text):
+    """The features of one text, byte by byte and word by word."""
+    raw, classes = (text or "").encode(), quality._CLASSES
+    kind = [next((k for k, c in enumerate(classes) if b < 128 and chr(b) in c), len(classes) + (b >= 128)) for b in raw]
+    n = len(classes) + 2
+    out = [0.0] * (256 + n * n)
+    for b in raw:
+        out[b] += 1 / len(raw)
+    for a, b in zip(kind, kind[1:]):  # noqa: B905
+        out[256 + a * n + b] += 1 / len(raw)
+    out = [x**0.5 for x in out]
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    words = [raw[a:b] for a, b in spans]
+    some, counts = max(1, len(words)), Counter(words)
+    again = sum(a == b for a, b in zip(words, words[1:]))  # noqa: B905
+    share = lambda which: sum(map(which, spans)) / some
+    return [
+        *out, np.log1p(len(words)) / 8, sum(map(len, words)) / some / 10, len(counts) / some, max(counts.values(), default=0) / some, again / some,
+        share(lambda s: s[1] - s[0] > 15), share(lambda s: kind[s[0]] == 1), share(lambda s: kind[s[1] - 1] >= 10), share(lambda s: 9 <= kind[s[1] - 1] <= 11), share(lambda s: kind[s[1] - 1] == 7), share(lambda s: s[1] - s[0] <= 2), np.log1p(again) / 4, 1.0,
+    ]
+
+
+def test_features_and_scores_are_those_of_plain_python(pairs):
+    """The whole way from texts to scores: features one by one, and the logistic function of their weighted sum."""
+    import pyarrow as pa
+
+    texts = [t for _, t in pairs][:150] + [None, "", " ", "a", "É é!", "no no no NO 12;", "x" * 5000]
+    got = quality.features(pa.array(texts, pa.string()))
+    want = np.array([plain_features(t) for t in texts])
+    want[[i for i, t in enumerate(texts) if not t], :-1] = 0
+    assert got.shape == want.shape == (len(texts), quality.N_FEATURES) and np.allclose(got, want, atol=1e-6)
+    rng = np.random.default_rng(2)
+    model = quality.fit(got[:80], got, 0.7, steps=50)
+    for x in want[rng.permutation(len(want))[:40]]:
+        z = sum((a - m) * c * w for a, m, c, w in zip(x.tolist(), model.mean.tolist(), model.scale.tolist(), model.weights.tolist(), strict=True)) + model.bias
+        s = float(model.score(np.array([x], np.float32))[0])
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 def test_prior_is_found_without_negatives():
     rng = np.random.default_rng(4)
     for prior in (0.2, 0.5, 0.85):
