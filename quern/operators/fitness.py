@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.functions.text import bar, count_words, or_null, pad_end, pad_start, percent
+from quern.functions.text import bar, count_words, is_json, or_null, pad_end, pad_start, percent, strict_json, trim
 
 # Fixed values.
 MARKERS, DONE = "TODO|FIXME|HACK|XXX", "complete|done|finished|shipped"
@@ -126,22 +125,22 @@ def evaluated(history: Column, generation: Column) -> Column:
     return F.exists(history, lambda x: x["generation"] == generation)
 
 
+#: Lists of a model's answer and the longer names that they may have.
+_EVOLUTION = {"promoted": "promotedStrategies", "retired": "retiredStrategies", "experiments": "newExperiments"}
+_ANSWER = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for pair in _EVOLUTION.items() for n in pair])
+
+
 def parse_evolution(answer: Column) -> Column:
-    """Lists (promoted, retired, experiments) from a model's JSON answer, code fences taken off; empty where it is none."""
-
-    @F.udf("struct<promoted:array<string>,retired:array<string>,experiments:array<string>>")
-    def run(s):
-        text = (s or "").strip()
-        if text.startswith("```"):
-            text = text.split("\n", 1)[-1].rsplit("```", 1)[0]
-        try:
-            got = json.loads(text)
-        except ValueError:
-            got = {}
-        own = lambda *names: next(([str(x) for x in got[n]] for n in names if isinstance(got, dict) and isinstance(got.get(n), list)), [])
-        return own("promoted", "promotedStrategies"), own("retired", "retiredStrategies"), own("experiments", "newExperiments")
-
-    return run(answer)
+    """Lists (promoted, retired, experiments) from a model's JSON answer, code fences taken off; empty where it is none.
+
+    A list that is no list is empty, or that of the longer name; its entries come as text.
+    """
+    text = trim(F.coalesce(answer, F.lit("")))
+    inner = F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n?", ""), r"(?s)```(?!.*```).*$", "")
+    said = trim(F.when(text.startswith("```"), inner).otherwise(text))
+    parsed = strict_json(said, _ANSWER)
+    own = lambda short, long: F.coalesce(F.when(is_json(parsed, said), F.coalesce(parsed["v"][short], parsed["v"][long])), F.array().cast("array<string>"))
+    return F.struct(*[own(*pair).alias(pair[0]) for pair in _EVOLUTION.items()])
 
 
 def latest_fitness(history: DataFrame) -> DataFrame:

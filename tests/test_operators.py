@@ -660,3 +660,38 @@ def test_ordered_fold_of_a_hot_section(spark, monkeypatch):
         assert pieces.where("section = 'hot'").groupBy(F.spark_partition_id()).count().count() > 3
         got = proposals.fold(p, s, size)
         assert {r.section: (r.content, r.applied, r.summary) for r in got.collect()} == want
+
+
+def test_evolution_answers_without_python(spark):
+    answers = {
+        '```json\n{"promoted": ["a", 5, {"b": 1}], "retired": "no list"}\n``` and ```': ([], [], []), '```json\n{"promoted": ["a", 5, {"b": 1}],\n "retired": "no list", "retiredStrategies": ["r"]}\n```\n': (["a", "5", '{"b":1}'], ["r"], []),
+        ' {"newExperiments": ["x```y"]} ': ([], [], ["x```y"]), '[{"promoted": ["a"]}]': ([], [], []), "sorry": ([], [], []), "```": ([], [], []), "": ([], [], []), None: ([], [], []), '{"promoted": ["a"]} and more': ([], [], []), "{'promoted': ['a']}": ([], [], []), '{"promoted": null, "promotedStrategies": []}': ([], [], []),
+    }
+    d = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i long, s string").select("i", fitness.parse_evolution(F.col("s")).alias("l"))
+    assert "Python" not in d._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: (r.l.promoted, r.l.retired, r.l.experiments) for r in d.collect()}
+    assert [got[i] for i in range(len(answers))] == list(answers.values())
+
+
+def test_terms_split_at_all_white_space(spark):
+    """Blanks that only JavaScript's classes take part terms like any other."""
+    blanks = "\u00a0\u1680\u2003\u2028\u2029\u202f\u205f\u3000\ufeff\v\t\n\r\f "
+    d = spark.createDataFrame([(b.join(["one", "t-wo", "Three3"]) + f"{b}{b}ab{b}",) for b in blanks], "s string")
+    assert all(r.t == ["one", "t-wo", "three3"] for r in d.select(T.terms(F.col("s")).alias("t")).collect())
+    assert one(spark, T.terms(F.col("s")), s="\u00a0x\ufeffyz1\u00a0") == ["yz1"]
+
+
+def test_a_tokenizer_that_failed_is_tried_again_after_a_reset(spark):
+    calls = []
+
+    def load():
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("forced")
+        return len
+
+    own = tokens.Tokenizer(load, "forced once")
+    assert own.counter() is None and own.counter() is None and len(calls) == 1
+    tokens.Tokenizer.reset()
+    assert own.counter()("four") == 4 and own.counter() is not None and len(calls) == 2
+    tokens.Tokenizer.reset()

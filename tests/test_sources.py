@@ -412,3 +412,33 @@ def test_embedding_caches_are_arrays(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in d.collect())
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
     assert jsonl.read_embedding_caches(spark, f"{path}-none", "c").count() == 0
+
+
+def test_a_tail_is_cancelled_by_its_consumer(spark, tmp_path):
+    """`stop` from within the query's own batches ends it; what comes later is left for the next start, once."""
+    p, cp = str(tmp_path / "log.jsonl"), str(tmp_path / "cp")
+    seen = []
+
+    def start(stop):
+        def consume(df, i):
+            seen.extend(r.event for r in df.orderBy("seq").collect())
+            if stop and "two" in seen:
+                done.set()
+
+        done = threading.Event()
+        return tail.tail(spark, p, from_start=True).writeStream.foreachBatch(consume).option("checkpointLocation", cp).trigger(processingTime="100 milliseconds").start(), done
+
+    for e in ("one", "two"):
+        sessionlog.append({"agent": "a", "event": e}, p)
+    q, done = start(True)
+    assert done.wait(60)
+    q.processAllAvailable()
+    q.stop()
+    assert not q.isActive and q.exception() is None
+    sessionlog.append({"agent": "a", "event": "three"}, p)
+    time.sleep(0.5)
+    assert seen == ["one", "two"]
+    q, _ = start(False)
+    q.processAllAvailable()
+    q.stop()
+    assert seen == ["one", "two", "three"]
