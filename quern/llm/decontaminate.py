@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ALNUM, LOWER, Texts, cut, list_array, map_texts, mix, word_hashes, word_spans
+from quern.llm.common import ALNUM, LOWER, Texts, map_texts, mix, shared_path, word_hashes, word_spans
 
 WINDOW = 13
 #: Bytes of benchmark text that one broadcast may index (about 250 bytes of memory for each word); more is split into
@@ -110,40 +110,48 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield [(r.i, r.t) for r in (rows.where(F.col("b") == b) if n > 1 else rows).select("i", "t").collect()]
 
 
+def _matched(df: DataFrame, block: list[tuple[str | None, str | None]], window: int, keep: dict[str, Column], text: Column) -> DataFrame:
+    """`keep` columns with n_words, hits and items of one block of the benchmark."""
+    sent = df.sparkSession.sparkContext.broadcast(Index(block, window))
+
+    def make():
+        def work(column):
+            n, hits, found, *_ = _scan(sent.value, column)
+            spans = [_merge(x) for x in hits]
+            return [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+
+        return work
+
+    return map_texts(df, text, keep, "n_words long, hits array<long>, items array<string>", make)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, keep: dict[str, Column], text: Column, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """`keep` columns of each row with n_words, hits (flat word spans, merged), items (ids of occurring items).
 
     Null texts have no words; empty benchmarks give no hits. A benchmark larger than block_bytes is matched in
-    blocks, each block against all rows, with the rows written to the shared folder in between.
+    blocks, each block against all rows: these are written to the shared folder once, numbered, each block gives the rows that it
+    hits, and what all blocks gave is joined to the rows at the end.
     """
     spark = docs.sparkSession
-    kept = F.struct(*[c.alias(f"f{i}") for i, c in enumerate(keep.values())])
-    df = None
     blocks = _blocks(benchmark, item_col, item_text, block_bytes)
-    block = next(blocks)
-    while block is not None:
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return _matched(docs, block, window, keep, text)
+    source, found = shared_path(spark, "texts"), shared_path(spark, "hits")
+    kept = F.struct(*[c.alias(f"f{i}") for i, c in enumerate(keep.values())])
+    docs.select(kept.alias("row"), text.cast("string").alias("t"), F.monotonically_increasing_id().alias("nth")).write.option("compression", "zstd").parquet(source)
+    rows = spark.read.parquet(source)
+    lengths = _matched(rows, block, window, {"nth": F.col("nth")}, F.col("t"))
+    lengths.write.option("compression", "zstd").parquet(f"{found}/first")
+    while after is not None:
+        _matched(rows, after, window, {"nth": F.col("nth")}, F.col("t")).where("size(hits) > 0").select("nth", "hits", "items").write.mode("append").parquet(f"{found}/others")
         after = next(blocks, None)
-        sent = spark.sparkContext.broadcast(Index(block, window))
-
-        def make(sent=sent):
-            def work(column):
-                n, hits, found, *_ = _scan(sent.value, column)
-                spans = [_merge(x) for x in hits]
-                return [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
-
-            return work
-
-        if df is None:
-            carry = {"row": kept} | ({"t": text} if after is not None else {})
-            df = map_texts(docs, text, carry, "n_words long, hits array<long>, items array<string>", make)
-        else:
-            carry = {"row": F.col("row"), "hits0": F.col("hits"), "items0": F.col("items")} | ({"t": F.col("t")} if after is not None else {})
-            df = map_texts(df, F.col("t"), carry, "n_words long, hits array<long>, items array<string>", make)
-            df = df.withColumn("hits", F.concat("hits0", "hits")).withColumn("items", F.array_union("items0", "items")).drop("hits0", "items0")
-        if after is not None:
-            df = cut(df)
-        block = after
-    return df.select(*[F.col(f"row.f{i}").alias(name) for i, name in enumerate(keep)], "n_words", "hits", "items")
+    first = spark.read.parquet(f"{found}/first")
+    every = first.select("nth", "hits", "items").where("size(hits) > 0").unionByName(spark.read.parquet(f"{found}/others"))
+    hits = every.groupBy("nth").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))  # of one row
+    whole = rows.select("nth", "row").join(first.select("nth", "n_words"), "nth").join(hits, "nth", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return whole.select(*[F.col(f"row.f{i}").alias(name) for i, name in enumerate(keep)], "n_words", none("hits", "array<bigint>"), none("items", "array<string>"))
 
 
 def _hit_words(hits: str) -> Column:
