@@ -3,8 +3,8 @@
     folder/v/<version>.json     for each table, the folder of each bucket's rows
     folder/data/<id>/b=<n>/     rows of a bucket, never changed once they are written
 
-A version's file is created exclusively, so of two writers that start from the same version one is refused. Readers take the newest version
-that is complete; what a writer left that failed before is not named by any version.
+A version's file comes whole and only where none is, so of two writers that start from the same version one is refused. Readers take the newest
+version that is complete; what a writer left that failed before is not named by any version.
 """
 
 from __future__ import annotations
@@ -33,29 +33,29 @@ def bucket(*keys: str, buckets: int = BUCKETS) -> Column:
 
 
 def create_exclusively(spark: SparkSession, path: str, data: bytes) -> bool:
-    """Writes a file that is not there yet; false if it is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    """Puts a whole file where none is yet, in one step; false if there is one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at, temporary = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(at.getParent())
     if system.getScheme() == "file":
+        target, own = at.toUri().getPath(), temporary.toUri().getPath()
+        with open(own, "wb") as f:
+            f.write(data)
         try:
-            fd = os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644)
+            os.link(own, target)
+            return True
         except FileExistsError:
             return False
-        with os.fdopen(fd, "wb") as f:
-            f.write(data)
-        return True
-    if system.exists(at):
-        return False
-    try:
-        out = system.create(at, False)
-    except Exception:
-        if system.exists(at):
-            return False
-        raise
+        finally:
+            os.unlink(own)
+    out = system.create(temporary, False)
     out.write(bytearray(data))
     out.close()
-    return True
+    if not system.exists(at) and system.rename(temporary, at):  # a rename does not replace a file
+        return True
+    system.delete(temporary, False)
+    return False
 
 
 class Snapshots:
@@ -76,9 +76,9 @@ class Snapshots:
             return None  # its writer failed
         return said["tables"] if isinstance(said, dict) and said.get("complete") else None
 
-    def newest(self) -> tuple[int, dict]:
+    def newest(self, versions: list[int] | None = None) -> tuple[int, dict]:
         """The newest complete version and its tables; 0 and none before the first."""
-        for version in self._versions():
+        for version in self._versions() if versions is None else versions:
             if (tables := self._read(version)) is not None:
                 return version, tables
         return 0, {}
@@ -95,10 +95,11 @@ class Snapshots:
 
     def commit(self, version: int, tables: dict[str, dict[str, str]]) -> int:
         """Makes the tables the version that follows `version`; `Conflict` if there is a later one."""
-        newest, _ = self.newest()
+        versions = self._versions()
+        newest, _ = self.newest(versions)
         if newest != version:
             raise Conflict(f"version {newest} was committed after {version}")
-        after = max([version, *self._versions()]) + 1  # a failed writer's number is not used again
+        after = max([version, *versions]) + 1  # all who saw the same versions want the same number; one that is no version is not used again
         if not create_exclusively(self.spark, f"{self.folder}/v/{after:010d}.json", json.dumps({"tables": tables, "complete": True}).encode()):
             raise Conflict(f"another writer commits version {after}")
         return after
