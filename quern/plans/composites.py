@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import compaction, corpus, fitness, generations, promptcache, proposals, resume, retrieval, strategies, tokens
 from quern.plans import mappings as M
-from quern.plans.queries import _ASKED, _PACK_SQL, _SCORE_SQL, _window_sql, query
+from quern.plans.queries import _ASKED, _PACK_SQL, _SCORE_SQL, _state_partitions, _window_sql, query
 from quern.session import shared_path
 from quern.sources import jsonl, sessionlog
 from quern.streaming import context_window, tail
@@ -471,6 +471,6 @@ def stream_prompts(spark, sf):
     rows.write.parquet(source)
     context_window.use_state_store(spark)
     stream = context_window.context_windows(spark.readStream.schema(rows.schema).parquet(source), compaction.WindowConfig(max_tokens=400, recent_message_count=3), lambda system, prompt: "so far.")
-    q = stream.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "prompt-state")).trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(sink)).start()
-    q.awaitTermination()
+    with _state_partitions(spark, c):
+        stream.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "prompt-state")).trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(sink)).start().awaitTermination()
     return spark.read.parquet(sink).select("conv_id", "message_count", "used_tokens", "compactions", "system")

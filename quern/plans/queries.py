@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -665,7 +666,8 @@ def stream_deltas(spark, sf):
     for batch in ("seq % 3 = 1 or seq = 0", "seq % 3 = 2 or seq % 7 = 1", "seq % 3 = 0"):
         rows.where(batch).orderBy(F.xxhash64("stream_id", "seq")).write.mode("append").parquet(source)
         parts = deltas.ordered(spark.readStream.schema(rows.schema).parquet(source))
-        parts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        with _state_partitions(spark, c):
+            parts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return deltas.joined(spark.read.parquet(sink)).select("stream_id", "text")
 
 
@@ -696,6 +698,18 @@ def document_roundtrip(spark, sf):
     return out
 
 
+@contextlib.contextmanager
+def _state_partitions(spark, rows: DataFrame):
+    """A stream's state has as many partitions as a shuffle has at its first start: here by the number of rows, and no more than the session's."""
+    key, n = "spark.sql.shuffle.partitions", rows.count()
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 8 + n // 50_000)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _window_sql(budget: int, recent: int, system: str, said: int) -> str:
     """State of each conversation's window after each message: (conv_id, k, chars, n, compactions, last, total). Messages are none that collapse
     drops, so a full window becomes a summary of `said` characters, its answer, and the `recent` last messages.
@@ -722,7 +736,8 @@ def stream_context_windows(spark, sf):
         rows.where(part).write.mode("append").parquet(source)
         stream = context_window.context_windows(spark.readStream.schema(rows.schema).parquet(source), config, lambda system, prompt: "so far.")
         keep = lambda df, i, k=k: df.withColumn("run", F.lit(k)).withColumn("batch", F.lit(i)).write.mode("append").parquet(sink)
-        stream.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+        with _state_partitions(spark, rows):
+            stream.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     got = spark.read.parquet(sink).groupBy("conv_id").agg(*[F.max_by(c, F.struct("run", "batch")).alias(c) for c in ("message_count", "used_tokens", "compactions")])
     held = context_window.window_messages(spark, state).groupBy("conv_id").agg(F.count("*").alias("state_messages"), F.sum(F.length("text")).alias("state_chars"))
     return got.join(held, "conv_id")

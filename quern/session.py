@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +68,22 @@ def remove_shared(spark: SparkSession, every: bool = False) -> None:
     context._quern_checkpoints.clear()
 
 
+@contextlib.contextmanager
+def by_value(*modules: ModuleType) -> Iterator[None]:
+    """What is pickled inside takes these modules' functions and classes along: the process on the driver that prepares a stateful operator
+    does not get the files that were sent to the workers.
+    """
+    from pyspark import cloudpickle
+
+    for m in modules:
+        cloudpickle.register_pickle_by_value(m)
+    try:
+        yield
+    finally:
+        for m in modules:
+            cloudpickle.unregister_pickle_by_value(m)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, once a session, unless PYTHONPATH has it for them."""
     root = Path(__file__).resolve().parent.parent

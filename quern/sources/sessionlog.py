@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -13,7 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition
 
 from quern import schemas
+from quern.functions import text
 from quern.functions.text import is_json, parse_strict, strict_json
+from quern.session import by_value
 from quern.sources import ranges
 from quern.sources.jsonl import exists
 
@@ -69,8 +72,8 @@ def parse_line(line: str) -> tuple | None:
         return None
     if not isinstance(e, dict):
         return None
-    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
-    return tuple(text(e.get(k)) for k in FIELDS)
+    as_text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    return tuple(as_text(e.get(k)) for k in FIELDS)
 
 
 FIELDS = [x.split()[0] for x in schemas.SESSION_LOG.split(", ")[1:]]
@@ -171,7 +174,8 @@ def read_recent(spark: SparkSession, path: str | None = None, limit: int | None
 
     Without a limit all that pass, in parts read side by side.
     """
-    spark.dataSource.register(RecentSource)
+    with by_value(sys.modules[__name__], ranges, schemas, text):
+        spark.dataSource.register(RecentSource)
     given = {"path": path or log_path(), "agent": agent, "since": since, "limit": limit, "pushed": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")}
     rows = spark.read.format("session_log_recent").options(**{k: str(v) for k, v in given.items() if v}).load()
     return rows.orderBy(F.desc("seq"))

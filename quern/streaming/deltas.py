@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quern.session import by_value
+
 #: The events that carry text.
 DELTA = "text_delta"
 OUTPUT = "stream_id long, part long, text string, closed boolean"
@@ -86,7 +89,8 @@ def ordered(events: DataFrame, delay: str = "10 minutes", first: int = 0) -> Dat
     """
     ms = int(pd.Timedelta(delay).total_seconds() * 1000)
     timed = events.select("stream_id", "seq", "type", "text", "ts").withWatermark("ts", delay)
-    return timed.groupBy("stream_id").transformWithStateInPandas(Ordered(first, ms), OUTPUT, "append", "EventTime")
+    with by_value(sys.modules[__name__]):
+        return timed.groupBy("stream_id").transformWithStateInPandas(Ordered(first, ms), OUTPUT, "append", "EventTime")
 
 
 def joined(parts: DataFrame) -> DataFrame:

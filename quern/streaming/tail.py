@@ -7,6 +7,7 @@ a log that was rotated, and starts at the beginning of one that became shorter.
 from __future__ import annotations
 
 import json
+import sys
 from datetime import datetime
 from hashlib import md5
 
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader
 
 from quern import schemas
-from quern.sources import ranges
+from quern.session import by_value
+from quern.sources import ranges, sessionlog
 from quern.sources.sessionlog import PART_BYTES, Part, entries, log_path
 
 LINES = "seq long, value string"
@@ -94,7 +96,8 @@ def tail(spark: SparkSession, path: str | list[str] | None = None, agent: str |
 
     `seq` orders a log's entries over its generations: see `base`.
     """
-    spark.dataSource.register(SessionLogSource)
+    with by_value(sys.modules[__name__], sessionlog, ranges):
+        spark.dataSource.register(SessionLogSource)
     reader = spark.readStream.format("session_log").option("fromStart", str(from_start).lower()).option("partBytes", str(part_bytes))
     df = entries(reader.option("paths", json.dumps(path if isinstance(path, list) else [path or log_path()])).load())
     return df.where(df.agent == agent) if agent else df
