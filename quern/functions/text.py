@@ -125,8 +125,13 @@ def fixed(c: Column, digits: int) -> Column:
     return F.concat(F.when(c.cast("double") < 0, "-").otherwise(""), F.when(F.isnan(x), "NaN").when(x < 1e21, number).otherwise(large))
 
 
+def half_up(c: Column) -> Column:
+    """The nearest whole number, halves up, also those below zero; what lies just below a half goes down."""
+    return F.floor(c) + F.when(c - F.floor(c) >= 0.5, 1).otherwise(0)
+
+
 def bar(value: Column, cells: int) -> Column:
-    full = F.floor(value * cells + 0.5).cast("int")
+    full = half_up(value * cells).cast("int")
     return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(cells) - full))
 
 

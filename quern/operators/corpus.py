@@ -113,22 +113,39 @@ class InitOptions:
     anti_patterns: list[str] = field(default_factory=list)
 
 
-def list_section(title: str, placeholder: str, items: list[str]) -> str:
-    return f"# {title}\n\n" + ("\n".join(f"- {x}" for x in items) if items else placeholder) + "\n"
+def list_section(title: str, placeholder: str, items: Column) -> Column:
+    """A text with a line for each item, or the placeholder where there are none; null items are left out."""
+    lines = F.array_join(F.transform(F.array_compact(items), lambda x: F.concat(F.lit("- "), x)), "\n")
+    return F.concat(F.lit(f"# {title}\n\n"), F.when(F.size(F.array_compact(items)) > 0, lines).otherwise(placeholder), F.lit("\n"))
 
 
 def bootstrap(spark: SparkSession, corpus_id: str, options: InitOptions, now: str, existing: DataFrame | None = None) -> DataFrame:
     """The sections of a new corpus; an error if `existing` holds its id."""
-    if existing is not None and not existing.where(F.col("corpus_id") == corpus_id).isEmpty():
-        raise ValueError(f"corpus {corpus_id} exists already")
     o = options
+    one = spark.createDataFrame([(corpus_id, o.vision, o.milestone, o.principles, o.anti_patterns)], CORPORA)
+    return bootstrap_all(one, now, existing)
+
+
+CORPORA = "corpus_id string, vision string, milestone string, principles array<string>, anti_patterns array<string>"
+
+
+def bootstrap_all(corpora: DataFrame, now: str, existing: DataFrame | None = None) -> DataFrame:
+    """The sections of each of many new corpora (corpus_id, vision, milestone, principles, anti_patterns), in one pass over their rows.
+
+    Null texts are empty, null lists have no items. An error that names one if `existing` holds sections of any of them.
+    """
+    if existing is not None:
+        there = corpora.join(existing.select("corpus_id").distinct(), "corpus_id", "left_semi").first()
+        if there is not None:
+            raise ValueError(f"corpus {there.corpus_id} exists already")
+    vision, milestone = F.coalesce("vision", F.lit("")), F.coalesce("milestone", F.lit(""))
     # Path, title, summary, tags, text of the first sections, in their order.
     rows = [
-        ("vision/north-star.md", "North Star Vision", "Ultimate end-state vision for the project", ["vision", "north-star", "goal", "purpose"], f"# North Star\n\n{o.vision}\n"),
+        ("vision/north-star.md", "North Star Vision", "Ultimate end-state vision for the project", ["vision", "north-star", "goal", "purpose"], F.concat(F.lit("# North Star\n\n"), vision, F.lit("\n"))),
         ("vision/architecture.md", "Architecture", "System architecture decisions and design", ["vision", "architecture", "design", "system"], "# Architecture\n\nArchitectural decisions and system design will be documented here as agents discover and refine the optimal approach.\n"),
-        ("vision/principles.md", "Design Principles", "Core design principles and constraints", ["vision", "principles", "constraints", "rules"], list_section("Design Principles", "Core principles will be documented here as the project evolves.", o.principles)),
-        ("vision/anti-patterns.md", "Anti-Patterns", "Approaches to avoid, learned from failures", ["vision", "anti-patterns", "avoid", "failures", "lessons"], list_section("Anti-Patterns", "Approaches to avoid will be documented here as agents learn from failures.", o.anti_patterns)),
-        ("milestones/current.md", "Current Milestone", o.milestone, ["milestone", "current", "active"], f"# {o.milestone}\n\nStatus: In Progress\nGeneration: 1\n\n## Success Criteria\n\n- [ ] Define success criteria for this milestone\n"),
+        ("vision/principles.md", "Design Principles", "Core design principles and constraints", ["vision", "principles", "constraints", "rules"], list_section("Design Principles", "Core principles will be documented here as the project evolves.", F.col("principles"))),
+        ("vision/anti-patterns.md", "Anti-Patterns", "Approaches to avoid, learned from failures", ["vision", "anti-patterns", "avoid", "failures", "lessons"], list_section("Anti-Patterns", "Approaches to avoid will be documented here as agents learn from failures.", F.col("anti_patterns"))),
+        ("milestones/current.md", "Current Milestone", milestone, ["milestone", "current", "active"], F.concat(F.lit("# "), milestone, F.lit("\n\nStatus: In Progress\nGeneration: 1\n\n## Success Criteria\n\n- [ ] Define success criteria for this milestone\n"))),
         ("milestones/backlog.md", "Milestone Backlog", "Future milestones ordered by priority", ["milestone", "backlog", "future", "planning"], "# Milestone Backlog\n\nFuture milestones will be added here as the project evolves.\n"),
         ("strategies/active.md", "Active Strategies", "Currently winning development approaches", ["strategies", "active", "current", "methodology"], "# Active Strategies\n\nDevelopment approaches that have proven effective.\n\n- Explore existing codebase patterns before writing new code\n- Write tests alongside implementation\n- Keep changes small and reviewable\n"),
         ("strategies/graveyard.md", "Strategy Graveyard", "Failed approaches with post-mortems", ["strategies", "graveyard", "failed", "lessons"], "# Strategy Graveyard\n\nFailed approaches and why they didn't work.\n"),
@@ -137,7 +154,11 @@ def bootstrap(spark: SparkSession, corpus_id: str, options: InitOptions, now: st
         ("knowledge/discoveries.md", "Discoveries", "Agent-discovered codebase and domain knowledge", ["knowledge", "discoveries", "learned", "codebase"], "# Discoveries\n\nThings agents have learned about the codebase and domain.\n"),
         ("knowledge/dependencies.md", "Dependencies", "External deps, API contracts, integration notes", ["knowledge", "dependencies", "external", "api"], "# Dependencies\n\nExternal dependencies, API contracts, and gotchas.\n"),
     ]
-    return spark.createDataFrame([(corpus_id, i, p, t, s, g, -(-len(c) // 4), now, c) for i, (p, t, s, g, c) in enumerate(rows)], schemas.SECTIONS)
+    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    every = [F.struct(F.lit(i).cast("long").alias("ord"), F.lit(p).alias("path"), F.lit(t).alias("title"), as_column(s).alias("summary"), F.array(*map(F.lit, g)).alias("tags"), as_column(c).alias("content")) for i, (p, t, s, g, c) in enumerate(rows)]
+    made = corpora.select("corpus_id", F.inline(F.array(*every)))
+    made = made.withColumn("tokens", estimate(F.col("content")).cast("long")).withColumn("updated_at", F.lit(now))
+    return made.select(*[x.split()[0] for x in schemas.SECTIONS.split(", ")])
 
 
 _HEAD = re.compile(r"##[\t-\r ]+")

@@ -281,6 +281,27 @@ def corpus_paths(spark, sf):
     return c.select("c_custkey", corpus.file_path(project, "pending").alias("pending"), corpus.file_path(project, "manifest").alias("manifest"), corpus.section_path(project, F.lit("vision/./x/../a.md")).alias("section"))
 
 
+@query("""with s as (select *, case when c_custkey % 3 = 0 then '' when c_custkey % 3 = 1 then '- ' || c_name else '- ' || c_name || chr(10) || '- ' || c_mktsegment end items from customer),
+t as (select c_custkey, unnest([
+  (0, 'vision/north-star.md', '# North Star' || chr(10) || chr(10) || 'Serve ' || c_mktsegment || chr(10), 0), (1, 'vision/architecture.md', null, 134),
+  (2, 'vision/principles.md', '# Design Principles' || chr(10) || chr(10) || case when items = '' then 'Core principles will be documented here as the project evolves.' else items end || chr(10), 0),
+  (3, 'vision/anti-patterns.md', '# Anti-Patterns' || chr(10) || chr(10) || case when c_custkey % 2 = 0 then '- haste' else 'Approaches to avoid will be documented here as agents learn from failures.' end || chr(10), 0),
+  (4, 'milestones/current.md', '# Ship ' || c_nationkey || chr(10) || chr(10) || 'Status: In Progress' || chr(10) || 'Generation: 1' || chr(10) || chr(10) || '## Success Criteria' || chr(10) || chr(10) || '- [ ] Define success criteria for this milestone' || chr(10), 0),
+  (5, 'milestones/backlog.md', null, 82), (6, 'strategies/active.md', null, 209), (7, 'strategies/graveyard.md', null, 66), (8, 'strategies/experiments.md', null, 68),
+  (9, 'knowledge/decisions.md', null, 69), (10, 'knowledge/discoveries.md', null, 73), (11, 'knowledge/dependencies.md', null, 67)]) x from s)
+select cast(c_custkey as varchar) corpus_id, cast(x[1] as bigint) ord, x[2] path, x[3] own, cast(ceil(coalesce(length(x[3]), x[4]) / 4.0) as bigint) tokens from t""")
+def bootstrap_corpora(spark, sf):
+    """First sections of a corpus for each customer, with lists of no, one and two principles; the texts of those that hold what was given."""
+    k, given = F.col("c_custkey"), ("vision/north-star.md", "vision/principles.md", "vision/anti-patterns.md", "milestones/current.md")
+    no = F.array().cast("array<string>")
+    corpora = M.table(spark, sf, "customer").select(
+        k.cast("string").alias("corpus_id"), F.concat(F.lit("Serve "), "c_mktsegment").alias("vision"), F.concat(F.lit("Ship "), "c_nationkey").alias("milestone"),
+        F.when(k % 3 == 0, no).when(k % 3 == 1, F.array("c_name")).otherwise(F.array("c_name", "c_mktsegment")).alias("principles"), F.when(k % 2 == 0, F.array(F.lit("haste"))).alias("anti_patterns"),
+    )
+    made = corpus.bootstrap_all(corpora, "now")
+    return made.select("corpus_id", "ord", "path", F.when(F.col("path").isin(*given), F.col("content")).alias("own"), F.col("tokens").cast("long").alias("tokens"))
+
+
 # --- tokens and compaction
 
 
@@ -302,7 +323,7 @@ def tokenizer_or_heuristic(spark, sf):
     return tokens.count_strings(got, tokenizer=tokens.Tokenizer(broken, "broken"), name="fallback").select("doc_id", "tokens", "fallback")
 
 
-@query("""select conv_id, cast(sum(case turn % 4 when 0 then length(text) - length(replace(text, ' ', '')) + 1 when 1 then (length(text) - length(replace(text, ' ', '')) + 1) + 1 when 2 then 1 + 1000 // 1000 * 85 - 85 + {image} else 1 end) + 4 * count(*) as bigint) tokens from conversations group by conv_id""".replace("{image}", str(tokens.IMAGE_TOKENS)))
+@query("""select conv_id, cast(sum(case turn % 4 when 0 then length(text) - length(replace(text, ' ', '')) + 1 when 1 then (length(text) - length(replace(text, ' ', '')) + 1) + 1 when 2 then 1 + 1000 else 1 end) + 4 * count(*) as bigint) tokens from conversations group by conv_id""")
 def tokens_of_blocks(spark, sf):
     """Words of texts, tool names with their input, results and images."""
     t, turn = F.col("text"), F.col("turn")
@@ -325,7 +346,7 @@ def string_rules(spark, sf):
     """UTF-16 lengths, white space beyond ASCII, the last entries of short arrays, padding, halves rounded up."""
     d = M.table(spark, sf, "documents")
     odd = F.concat("text", F.lit("😀"))
-    return d.select("doc_id", T.length16(odd).alias("units"), T.trim(F.lit("﻿ x \n")).alias("stripped"), F.size(T.last(F.split("text", ""), 5)).cast("long").alias("last_five"), T.pad_start(F.lit("7"), 3).alias("padded"), F.floor(F.col("n_chars") / 2 + 0.5).cast("double").alias("half_up"))
+    return d.select("doc_id", T.length16(odd).alias("units"), T.trim(F.lit("﻿ x \n")).alias("stripped"), F.size(T.last(F.split("text", ""), 5)).cast("long").alias("last_five"), T.pad_start(F.lit("7"), 3).alias("padded"), T.half_up(F.col("n_chars") / 2).cast("double").alias("half_up"))
 
 
 @query("select o_orderkey, case when o_orderkey % 8 = 0 then '0.5' when o_orderkey % 8 = 1 then '1.0' when o_orderkey % 8 = 2 then '-0.3' else '1.4' end shown from orders")

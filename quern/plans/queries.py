@@ -172,6 +172,14 @@ def tokenize_terms(spark, sf):
     return s.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
+@query(f"select doc_id, term, count(*) n from (select doc_id, unnest({_terms('text')}) term from documents) group by all")
+def tokenize_white_space(spark, sf):
+    """Terms are the same where other white space than ASCII's stands between the words."""
+    odd = F.translate("text", " \n\t", "\u00a0\ufeff\u2003")
+    s = M.table(spark, sf, "documents").select("doc_id", F.explode(T.terms(odd)).alias("term"))
+    return s.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
 @query(f"with {_SCORE_SQL} select term, round(idf, 6) idf from idf")
 def idf(spark, sf):
     s = M.sections(spark, sf)

@@ -294,6 +294,23 @@ def test_short_path(spark, path, want):
     assert one(spark, T.short_path(F.col("p")), p=path) == want
 
 
+@pytest.mark.parametrize("x, want", [(2.5, 3), (-0.5, 0), (-1.5, -1), (0.49999999999999994, 0), (4503599627370497.0, 4503599627370497), (None, None)])
+def test_halves_are_rounded_up(spark, x, want):
+    row = spark.createDataFrame([(x,)], "x double").select(T.half_up(F.col("x")).alias("y")).first()
+    assert row.y == want
+
+
+def test_many_corpora_begin_at_once(spark):
+    rows = [("a", "see", "go", ["x", None], []), ("b", None, None, None, None), (None, "v", "m", [], ["y"])]
+    got = {(r.corpus_id, r.path): r for r in corpus.bootstrap_all(spark.createDataFrame(rows, corpus.CORPORA), "t").collect()}
+    assert len(got) == 36 and got["a", "vision/principles.md"].content == "# Design Principles\n\n- x\n"
+    assert got["b", "vision/north-star.md"].content == "# North Star\n\n\n" and got["b", "milestones/current.md"].summary == ""
+    assert "documented here" in got["b", "vision/anti-patterns.md"].content and got[None, "vision/anti-patterns.md"].content.endswith("\n\n- y\n")
+    assert corpus.bootstrap_all(spark.createDataFrame([], corpus.CORPORA), "t").count() == 0
+    with pytest.raises(ValueError, match="corpus a exists"):
+        corpus.bootstrap_all(spark.createDataFrame(rows[:1], corpus.CORPORA), "t", spark.createDataFrame([("a",)], "corpus_id string"))
+
+
 def test_bootstrap_and_upsert(spark):
     o = corpus.InitOptions("p", "be good", "first", ["one", "two"])
     s = corpus.bootstrap(spark, "c", o, "t0")
