@@ -107,17 +107,16 @@ from d left join words using (rid) left join items using (rid)"""
 
 
 def _op4_sql() -> str:
-    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES.items())
+    phrases = "(['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')"
     templates = ", ".join(f"('{k}', list_distinct({t.split()!r}))" for k, t in licenses.TEMPLATES.items())
-    block, half = licenses.BLOCK_WORDS, licenses.BLOCK_WORDS // 2
     return f"""
 with d as (select row_number() over () rid, doc_id, {_words("text")} w from documents),
 phrases(p, label) as (values {phrases}),
 base as (select rid, i, label from (select rid, w, p, label, unnest(range(len(w) - len(p) + 1)) i from d, phrases where len(w) >= len(p)) where w[i + 1 : i + len(p)] = p),
 base_of as (select rid, count(*) n_base, min(i) first_word, max(i) last_word, string_agg(distinct label, ',' order by label) base_labels from base group by rid),
 templates(k, t) as (values {templates}),
-blocks as (select rid, list_distinct(w[b + 1 : b + {block}]) s from (select rid, w, unnest(range(0, greatest(1, len(w)), {half})) b from d)),
-own as (select rid, k, max(len(list_intersect(t, s)) / cast(len(t) as double)) c from blocks, templates group by rid, k having c >= {licenses.THRESHOLD}),
+blocks as (select rid, list_distinct(w[b + 1 : b + 256]) s from (select rid, w, unnest(range(0, greatest(1, len(w)), 128)) b from d)),
+own as (select rid, k, max(len(list_intersect(t, s)) / cast(len(t) as double)) c from blocks, templates group by rid, k having c >= 0.8),
 own_of as (select rid, max(c) c from own group by rid),
 labels as (select rid, string_agg(label, ',' order by label) labels from (select rid, label from base union select rid, k from own) group by rid)
 select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_base, 0) as bigint) n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels,
@@ -135,13 +134,14 @@ def _op6_sql() -> str:
             f"select rid, {k} k, v, list_sum(list_transform(p[1 : n], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : n - 1], lambda x: length(x))), 0) s, length(v) z from "
             f"(select rid, p, m, unnest(m) v, unnest(g) own, unnest(range(1, len(m) + 1)) n from (select rid, string_split_regex(t, '{pattern}') p, regexp_extract_all(t, '{pattern}') m, regexp_extract_all(t, '{pattern}', {group}) g from d)) where length(own) >= {least}"
         )
-    allow = " or ".join(f"regexp_matches(v, '{p}')" for p in secrets.ALLOW)
+    uuid = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+    allow = " or ".join(f"regexp_matches(lower(v), '{p}')" for p in (uuid, "example|placeholder|changeme|dummy|sample", "0123456789abcdef|abcdefghijklmnop|1234567890123456"))
     entropy = f"list_max(list_transform(range(length(v) - 19), lambda i: list_aggregate(string_split(substr(v, i + 1, 20), ''), 'entropy')))"
     kinds = "'assign', 'access', 'hex', 'entropy'"
     return f"""
 with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
 every as ({" union all ".join(parts)}),
-kept as (select * from every where k < 3 or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') and not ({allow}) and {entropy} >= case when regexp_full_match(v, '[0-9A-Fa-f]+') then {secrets.HEX_BITS} else {secrets.GENERAL_BITS} end)),
+kept as (select * from every where k < 3 or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') and not ({allow}) and {entropy} >= case when regexp_full_match(v, '[0-9A-Fa-f]+') then 2.85 else 3.65 end)),
 named as (select rid, k, s, [{kinds}][k + 1] || ':' || cast(s as bigint) || ':' || cast(s + z as bigint) x from kept),
 by_doc as (select rid, count(*) filter (k = 0) n0, count(*) filter (k = 1) n1, count(*) filter (k = 2) n2, string_agg(x, ',' order by s, k) filter (k < 3) base, string_agg(x, ',' order by s, k) spans from named group by rid)
 select doc_id, cast(coalesce(n0, 0) as bigint) n_assign, cast(coalesce(n1, 0) as bigint) n_access, cast(coalesce(n2, 0) as bigint) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
