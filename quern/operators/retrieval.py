@@ -148,16 +148,17 @@ def similar(cache: DataFrame, vectors: DataFrame, above: float = SIMILARITY_ABOV
 
 
 def nearest(cache: DataFrame, vectors: DataFrame, above: float = SIMILARITY_ABOVE) -> DataFrame:
-    """As `similar`, but of each query (query_id, corpus_id, vector, most) each task gives only the best by score, then ord: all up to the
-    `most`-th that is not empty. `full` is a section's own token count, a column of `cache`, and stays; without it none is empty.
+    """As `similar`, but of each query (query_id, corpus_id, vector, most) each task gives only the best by score, then ord: all before which
+    those of the task take less than `most` tokens. `full` is a section's own token count, a column of `cache`, and stays; without it each takes one.
 
-    The rows are still to be ranked over all tasks: no more than `most` non-empty ones for each query leave a task.
+    The rows are still to be ranked over all tasks, where no fewer tokens stand before each: what a task leaves out has no place in a budget of
+    `most`. No more than `most` non-empty ones for each query leave a task.
     """
     return _compared(cache if "full" in cache.columns else cache.withColumn("full", F.lit(1).cast("long")), vectors, above, True)
 
 
 class _Heaps:
-    """The best rows of each of a block's queries among those of a task: places, scores and whether a row is empty."""
+    """The best rows of each of a block's queries among those of a task: places, scores and what a row takes of the query's budget."""
 
     def __init__(self, most: np.ndarray):
         self.most, self.floor = most, np.full(len(most), -np.inf)
@@ -168,7 +169,7 @@ class _Heaps:
     def add(self, batch: pa.RecordBatch, place: np.ndarray, q: np.ndarray, score: np.ndarray) -> None:
         at = sum(x.num_rows for x in self.rows)
         used, back = np.unique(place, return_inverse=True)
-        self.rows.append(batch.take(pa.array(used)))
+        self.rows.append(batch.select(_HELD).take(pa.array(used)))
         self.held.append((q, score, at + back))
         self.n += len(q)
         if self.n > 2 * self.kept + PRODUCTS // 4:
@@ -182,13 +183,13 @@ class _Heaps:
         order_of = table.column("ord").to_numpy()
         order = np.lexsort((order_of[place], -score, q))
         q, score, place = q[order], score[order], place[order]
-        filled = (table.column("full").to_numpy() > 0)[place]
-        upto = np.cumsum(filled)
+        full = table.column("full").to_numpy()[place]
+        upto = np.cumsum(full)
         first = np.searchsorted(q, q)
-        upto = upto - (upto[first] - filled[first])
-        last = filled & (upto == self.most[q])
+        upto = upto - (upto[first] - full[first])
+        held = upto - full < self.most[q]
+        last = held & (upto >= self.most[q])
         self.floor[q[last]] = score[last]
-        held = upto - filled < self.most[q]
         q, score, place = q[held], score[held], place[held]
         used, back = np.unique(place, return_inverse=True)
         self.rows, self.held = table.take(pa.array(used)).combine_chunks().to_batches(), [(q, score, back)]
@@ -201,10 +202,12 @@ class _Heaps:
         (q, score, place), table = self.held[0], pa.Table.from_batches(self.rows)
         for lo in range(0, len(q), step):
             own = table.take(pa.array(place[lo : lo + step])).combine_chunks()
-            columns = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (own.column(c) for c in ("corpus_id", "path", "ord", "full"))]
+            columns = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (own.column(c) for c in _HELD)]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[lo : lo + step])), *columns[:3], pa.array(score[lo : lo + step]), columns[3]], names=_PAIR)
 
 
+#: What a heap holds of a section.
+_HELD = ["corpus_id", "path", "ord", "full"]
 _PAIR = ["query_id", "corpus_id", "path", "ord", "score", "full"]
 
 
@@ -261,7 +264,7 @@ def _compared(cache: DataFrame, vectors: DataFrame, above: float, heaps: bool) -
 def semantic_search(sections: DataFrame, cache: DataFrame, vectors: DataFrame, most: int | None = None) -> DataFrame:
     """Sections by similarity of their cached vectors to each query's (query_id, corpus_id, vector, max_tokens); ties keep the cache's order.
 
-    A budget of max_tokens takes at most as many non-empty sections, so no task gives more of them for a query; `pack` ranks what all tasks give.
+    Each task gives for a query no more than fills its budget of max_tokens; `pack` ranks what all tasks give.
     """
     sized = cache.join(_sized(sections), ["corpus_id", "path"])
     rows = nearest(sized, vectors.where("vector is not null").withColumn("most", F.greatest(F.col("max_tokens").cast("long"), F.lit(0))))

@@ -635,6 +635,23 @@ def test_nearest_leaves_few_rows_for_each_query_and_task(spark, monkeypatch):
             assert upto(got) == upto(want)
 
 
+def test_nearest_leaves_what_fills_a_budget_of_tokens(spark):
+    """Sections of many tokens: a task's rows of a query end where the budget does, and packing is that of all pairs."""
+    rng = np.random.default_rng(5)
+    rows = [("c", f"p{i}", i, rng.standard_normal(4).tolist(), int(i * 37 % 90) + 10 if i % 9 else 0) for i in range(600)]
+    cache = spark.createDataFrame(rows, "corpus_id string, path string, ord long, embedding array<double>, full long").repartition(3)
+    asked = spark.createDataFrame([(k, "c", rng.standard_normal(4).tolist(), 100 * k) for k in range(5)], "query_id long, corpus_id string, vector array<double>, most long")
+    got = retrieval.nearest(cache, asked, 0.2).withColumn("task", F.spark_partition_id())
+    used = {}
+    for r in got.orderBy(F.desc("score"), "ord").collect():
+        before = used.setdefault((r.task, r.query_id), 0)
+        assert before < 100 * r.query_id
+        used[r.task, r.query_id] = before + r.full
+    every = retrieval.similar(cache, asked, 0.2).join(cache.select("path", "full"), "path")
+    packed = lambda df: sorted((r.query_id, r.path, r.tokens) for r in retrieval.pack(df.join(asked.select("query_id", "most"), "query_id"), F.col("most"), 400).collect())
+    assert packed(got.drop("task")) == packed(every) and len(used) > 6
+
+
 def check_fixed(spark):
     """The exact binary value rounded: halves, subnormals, whole numbers beyond 63 bits; no Python in the plan."""
     import struct
