@@ -240,7 +240,7 @@ class _State:
         self.calls, self.v, self.m = calls, None, {}
 
     def __getattr__(self, name):
-        ops = {"get": lambda: self.v, "update": lambda v: setattr(self, "v", v), "getValue": self.m.get, "containsKey": self.m.__contains__, "updateValue": self.m.__setitem__, "removeKey": self.m.pop}
+        ops = {"get": lambda: self.v, "update": lambda v: setattr(self, "v", v), "put": lambda v: setattr(self, "v", v), "getValue": self.m.get, "containsKey": self.m.__contains__, "updateValue": self.m.__setitem__, "removeKey": self.m.pop}
 
         def call(*a):
             self.calls.append(name)
@@ -264,6 +264,18 @@ def test_a_streams_waiting_events_take_few_state_calls():
     assert got.text == "".join(f"{i} " for i in range(30)) and calls == ["get", "timer", "update", "get", "update"]
 
 
+def test_a_window_is_read_and_written_once_in_a_batch():
+    """However often it is compacted; prompts are read only where there are any."""
+    from pyspark.sql import Row
+
+    calls, w = [], context_window.Windows(compaction.WindowConfig(max_tokens=100, recent_message_count=2), lambda system, prompt: "S", 0, None)
+    w.numbers, w.messages, w.prompts = _State(calls), _State(calls), _State(calls)
+    rows = lambda a, b: iter([Row(turn=i, role="user", text=f"{i}" + "x" * 120, tool=False) for i in range(a, b)])
+    list(w.handleInputRows((1,), rows(0, 9), None))
+    (got,) = w.handleInputRows((1,), rows(9, 20), None)
+    assert got.compactions > 4 and calls == ["get", "put", "update", "get", "get", "put", "update"] and len(w.messages.v) == got.message_count
+
+
 def test_windowed_counts_of_a_stream(spark, sf_dir, tmp_path):
     """Event-time windows with a watermark, an extension."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
