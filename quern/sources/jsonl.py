@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,10 +105,67 @@ def manifest_sections(manifest: DataFrame, corpus_id: str) -> DataFrame:
     return rows.select(F.lit(corpus_id).alias("corpus_id"), F.col("ord").cast("long"), "s.path", "s.title", "s.summary", "s.tags", "s.tokens", F.col("s.updatedAt").alias("updated_at"))
 
 
+#: Bytes of texts that a task gives at once.
+TEXT_BYTES = 8 << 20
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over too."""
+    return name.startswith((".", "_")) or name.endswith("._COPYING_")
+
+
+def _listed(store: fs.FileSystem, folder: str, deep: bool):
+    """Paths of the markdown files in a folder, and below it if `deep`, folder by folder."""
+    todo = [folder]
+    while todo:
+        found = [x for x in store.get_file_info(fs.FileSelector(todo.pop())) if not _hidden(x.base_name)]
+        if deep:
+            todo += [x.path for x in found if x.type == fs.FileType.Directory]
+        yield [x.path for x in found if x.type == fs.FileType.File and x.base_name.endswith(".md")]
+
+
 def read_sections(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of all markdown texts below a folder."""
+    """(path, content) of all markdown texts below a folder, empty ones too.
+
+    Folders are listed by tasks, a first-level one by each, and their files are dealt out by path, so that neither the driver nor the plan has a
+    list of files. A store that pyarrow does not know is read by Spark's reader, which passes over empty files.
+    """
     if not exists(spark, folder):
         return spark.createDataFrame([], "path string, content string")
+    try:
+        store, root = ranges.opened(folder.rstrip("/"))
+    except pa.ArrowInvalid:
+        return _read_sections_by_spark(spark, folder)
+    first = [x.path for x in store.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory and not _hidden(x.base_name)]
+
+    def listed(batches):
+        store, _ = ranges.opened(folder.rstrip("/"))
+        for batch in batches:
+            for at, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for paths in _listed(store, at, deep):
+                    for a in range(0, len(paths), 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(paths[a : a + 10_000], pa.string())], names=["path"])
+
+    def run(batches):
+        store, root = ranges.opened(folder.rstrip("/"))
+        paths, texts, size = [], [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with store.open_input_file(path) as f:
+                    texts.append(f.read())
+                paths.append(path[len(root) :].lstrip("/"))
+                size += len(texts[-1])
+                if size > TEXT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], names=["path", "content"])
+                    paths, texts, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], names=["path", "content"])
+
+    folders = spark.createDataFrame([(root, False), *((x, True) for x in first)], "path string, deep boolean").repartition(len(first) + 1, "path")
+    files = folders.mapInArrow(listed, "path string").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return files.mapInArrow(run, "path string, content binary").select("path", F.col("content").cast("string").alias("content"))
+
+
+def _read_sections_by_spark(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     inside = F.regexp_replace(F.regexp_replace(F.input_file_name(), "^[a-z]+:/+", ""), f"^{root}/", "")
@@ -122,13 +180,16 @@ def write_sections(sections: DataFrame, folder: str) -> None:
 
     def run(batches):
         store, root = ranges.opened(folder.rstrip("/"))
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = [p for p in path.replace("\\", "/").split("/") if p not in ("", ".")]
                 if ".." in parts or not parts:
                     raise ValueError(f"{path} is not inside the folder")
                 target = "/".join([root, *parts])
-                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                if (parent := target.rsplit("/", 1)[0]) not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
                 temporary = f"{target}.{uuid.uuid4().hex}"
                 with store.open_output_stream(temporary) as f:
                     f.write(content.encode())

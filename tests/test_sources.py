@@ -54,6 +54,21 @@ def test_texts_and_sources(spark, tmp_path):
     assert jsonl.read_embedding_cache(spark, str(tmp_path / "e2.json"), "c").count() == 0
 
 
+def test_sections_are_listed_and_read_by_few_tasks(spark, tmp_path):
+    """Empty and odd files below many folders; tasks do not grow with the files; hidden names are passed over."""
+    want = {f"d{i % 3}/e{i % 2}/{i} é+%20.md": "" if i % 50 == 0 else f"text {i}\r\n" for i in range(400)} | {"top.md": "t"}
+    jsonl.write_sections(spark.createDataFrame(list(want.items()), "path string, content string"), str(tmp_path / "s"))
+    for name in ("_no/a.md", ".no/a.md", "d0/.a.md", "d0/_a.md", "d0/a.txt"):
+        (tmp_path / "s" / name).parent.mkdir(exist_ok=True)
+        (tmp_path / "s" / name).write_text("no")
+    for folder in (f"{tmp_path}/s", f"file://{tmp_path}/s/"):
+        got = jsonl.read_sections(spark, folder)
+        assert {r.path: r.content for r in got.collect()} == want and got.rdd.getNumPartitions() <= 4
+    (tmp_path / "empty").mkdir()
+    assert jsonl.read_sections(spark, str(tmp_path / "empty")).count() == 0
+    assert {r.path for r in jsonl._read_sections_by_spark(spark, f"{tmp_path}/s").collect()} == {k for k, v in want.items() if v}
+
+
 def test_session_log(spark, tmp_path, monkeypatch):
     p = str(tmp_path / "log.jsonl")
     for s in ("first", "second"):
