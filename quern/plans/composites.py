@@ -11,7 +11,7 @@ from quern.operators import compaction, corpus, fitness, generations, promptcach
 from quern.plans import mappings as M
 from quern.plans.queries import _ASKED, _PACK_SQL, _SCORE_SQL, _state_partitions, _window_sql, query
 from quern.session import shared_path
-from quern.sources import jsonl, sessionlog
+from quern.sources import jsonl, ranges, sessionlog
 from quern.streaming import context_window, tail
 
 # --- reports
@@ -388,21 +388,35 @@ _TORN = ['{"torn": ', "", "[1, 2]", "null", '{"a":1}}']
 
 
 def _agent_logs(spark, sf, name: str, rows: Column | None = None, torn: bool = False) -> dict[str, str]:
-    """The log's entries as files of JSON lines in the shared folder, one for each agent, each written by one task; paths by agent."""
+    """The log's entries as files of JSON lines in the shared folder, one for each agent; paths by agent.
+
+    Ranges of (agent, seq) are put in order and written side by side, and an agent's ranges then copied one after the other in blocks, so that no
+    task holds a whole log.
+    """
     root = shared_path(spark, name)
     log = M.session_log(spark, sf).drop("meta")
     line = F.to_json(F.struct(*[c for c in log.columns if c != "seq"]))
     lines = F.when(F.col("seq") % 9 == 0, F.array(line, *map(F.lit, _TORN))).otherwise(F.array(line)) if torn else F.array(line)
-    log = (log.where(rows) if rows is not None else log).repartition(8, "agent").sortWithinPartitions("agent", "seq")
-    log.select("agent", F.explode(lines).alias("value")).write.partitionBy("agent").text(root)
+    log = (log.where(rows) if rows is not None else log).repartitionByRange("agent", "seq")
+    every = log.select("agent", "seq", F.posexplode(lines).alias("nth", "value")).sortWithinPartitions("agent", "seq", "nth")
+    every.select("agent", "value").write.partitionBy("agent").text(root)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    system, out = path(root).getFileSystem(spark._jsc.hadoopConfiguration()), {}
+    system, out, copies = path(root).getFileSystem(spark._jsc.hadoopConfiguration()), {}, []
     for folder in system.listStatus(path(root)):
         if folder.isDirectory():
-            (part,) = [f.getPath() for f in system.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            # a range's file has its number in its name
+            parts = sorted((f.getPath() for f in system.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")), key=lambda p: int(p.getName().split("-")[1]))
             agent = folder.getPath().getName().removeprefix("agent=")
             out[agent] = f"{root}/{agent}.jsonl"
-            system.rename(part, path(out[agent]))
+            if len(parts) == 1:
+                system.rename(parts[0], path(out[agent]))
+            else:
+                copies.append((out[agent], [f"{folder.getPath().toString()}/{p.getName()}" for p in parts]))
+    if copies:
+        ranges.concatenate(spark, copies)
+    for folder in system.listStatus(path(root)):
+        if folder.isDirectory():
+            system.delete(folder.getPath(), True)
     return out
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 #: Bytes that are read at once, forwards and backwards.
 BLOCK, BACK = 1 << 20, 1 << 16
@@ -100,5 +102,23 @@ def lines_back(path: str, end: int | None = None) -> Iterator[tuple[int, bytes]]
         yield 0, held
 
 
+def concatenate(spark: SparkSession, files: list[tuple[str, list[str]]]) -> None:
+    """Files (target, parts) made of their parts one after the other, each by a task that holds BLOCK bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for target, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, at = opened(target)
+                with store.open_output_stream(at) as out:
+                    for part in parts:
+                        with store.open_input_stream(opened(part)[1]) as f:
+                            while block := f.read(BLOCK):
+                                out.write(block)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.createDataFrame(files, "target string, parts array<string>").repartition(len(files), "target")
+    rows.mapInArrow(run, "n long").collect()
+
+
 def cuts(start: int, stop: int, step: int) -> list[tuple[int, int]]:
     return [(a, min(stop, a + step)) for a in range(start, stop, step)]

@@ -54,6 +54,27 @@ def test_texts_and_sources(spark, tmp_path):
     assert jsonl.read_embedding_cache(spark, str(tmp_path / "e2.json"), "c").count() == 0
 
 
+def test_logs_of_agents_are_written_in_ranges(spark, monkeypatch):
+    """Many tasks write a log's ranges, and its file has them in order, with corrupt lines behind their entries."""
+    from quern.plans import composites
+
+    made = []
+    concatenate = composites.ranges.concatenate
+    monkeypatch.setattr(composites.ranges, "concatenate", lambda spark, files: (made.extend(files), concatenate(spark, files)))
+    monkeypatch.setattr(composites.M, "session_log", lambda spark, sf: spark.range(6000).select(F.col("id").alias("seq"), F.concat(F.lit("agent"), F.col("id") % 2).alias("agent"), F.lit("x").alias("meta")).repartition(5))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(composites.F, "to_json", lambda c: F.concat(F.lit("at "), F.col("seq")))
+    try:
+        logs = composites._agent_logs(spark, "", "ranges", torn=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(made) == 2 and all(1 < len(parts) <= 4 for _, parts in made)
+    for k in (0, 1):
+        with open(logs[f"agent{k}"].removeprefix("file:")) as f:
+            want = [y for i in range(k, 6000, 2) for y in [f"at {i}", *(composites._TORN if i % 9 == 0 else [])]]
+            assert f.read().split("\n") == [*want, ""]
+
+
 def test_sections_are_listed_and_read_by_few_tasks(spark, tmp_path):
     """Empty and odd files below many folders; tasks do not grow with the files; hidden names are passed over."""
     want = {f"d{i % 3}/e{i % 2}/{i} é+%20.md": "" if i % 50 == 0 else f"text {i}\r\n" for i in range(400)} | {"top.md": "t"}
