@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import estimate
 from quern.operators import corpus, fitness, proposals
 from quern.operators.compaction import Summarizer, summarize
 
@@ -30,15 +31,18 @@ class Evaluation:
 
 
 def evolve(sections: DataFrame, scores: DataFrame, summarizer: Summarizer, now: str) -> tuple[DataFrame, DataFrame]:
-    """Lists (corpus_id, promoted, retired, experiments) that the model answers, and the sections with them appended."""
+    """Lists (corpus_id, promoted, retired, experiments) that the model answers, and the sections with them appended.
+
+    Only sections that are there are written, so each takes its corpus's answer in one join; none is numbered, and the model is asked once for them.
+    """
     asked = scores.select("corpus_id", F.to_json("scores").alias("_p"))
     lists = summarize(asked, summarizer, EVOLVE_SYSTEM, "_p", "_a").select("corpus_id", fitness.parse_evolution(F.col("_a")).alias("l")).select("corpus_id", "l.*")
-    items = F.array(*[F.struct(F.lit(path).alias("path"), F.col(name).alias("items")) for name, path in LISTS.items()])
-    rows = lists.select("corpus_id", F.inline(items)).where(F.size("items") > 0)
-    rows = rows.join(sections, ["corpus_id", "path"])
-    text = F.concat(F.regexp_replace("content", r"\s+$", ""), F.lit("\n"), F.array_join(F.transform("items", lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n"))
-    written = rows.select("corpus_id", "path", "title", "summary", "tags", text.alias("content"))
-    return lists, corpus.upsert(sections, written, now)
+    own = F.coalesce(*[F.when(F.col("path") == path, F.col(name)) for name, path in LISTS.items()])
+    rows = sections.join(lists, "corpus_id", "left").withColumn("_items", own)
+    some = F.coalesce(F.size("_items") > 0, F.lit(False))
+    text = F.concat(F.regexp_replace("content", r"\s+$", ""), F.lit("\n"), F.array_join(F.transform("_items", lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n"))
+    new = {"content": text, "tokens": estimate(text), "updated_at": F.lit(now)}
+    return lists, rows.select(*[F.when(some, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in sections.columns])
 
 
 def evaluate(corpora: DataFrame, sections: DataFrame, queue: DataFrame, files: DataFrame, mutations: DataFrame, history: DataFrame, now: str, summarizer: Summarizer | None = None) -> Evaluation:

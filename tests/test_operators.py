@@ -546,6 +546,37 @@ def test_evaluate_generation(spark):
     assert generations.assemble(parts).first().prompt == "first\n\nsecond"
 
 
+def test_evolution_asks_the_model_once_for_the_sections(spark, tmp_path):
+    """Sections of a corpus without an answer stay; missing ones are not made; one call for each corpus."""
+    from quern.operators import generations
+
+    rows = [(c, i, p, "T", "S", ["g"], 9, "t0", f"{c} \n\n") for c in ("a", "b", "c") for i, p in enumerate(("strategies/active.md", "strategies/graveyard.md", "x.md"))]
+    s = spark.createDataFrame(rows, "corpus_id string, ord long, path string, title string, summary string, tags array<string>, tokens long, updated_at string, content string")
+    scores = spark.createDataFrame([("a", {"k": 1.0}), ("b", {"k": 2.0}), ("d", {"k": 1.0})], "corpus_id string, scores map<string,double>")
+    calls = tmp_path / "calls"
+    answers = {1.0: '{"promoted": ["p", "q"], "experiments": ["e"]}', 2.0: '{"promoted": [], "retired": ["r"]}'}
+
+    def model(system, prompt):
+        with open(calls, "a") as f:
+            f.write("x")
+        return answers[__import__("json").loads(prompt)["k"]]
+
+    _, new = generations.evolve(s, scores, model, "now")
+    got = {(r.corpus_id, r.path): (r.ord, r.content, r.tokens, r.updated_at, r.title) for r in new.collect()}
+    want = {(c, p): (i, text, 9, "t0", "T") for c, i, p, *_, text in rows}
+    want |= {("a", "strategies/active.md"): (0, "a\n- p\n- q\n", 3, "now", "T"), ("b", "strategies/graveyard.md"): (1, "b\n- r\n", 2, "now", "T")}
+    assert got == want and new.schema == s.schema and len(calls.read_text()) == 3
+
+
+def test_compacted_windows_are_dealt_out_by_the_sessions_partitions(spark):
+    """Not put together by their compressed size, as their texts are sorted in one stage."""
+    text = F.repeat(F.lit("a"), F.lit(3000))
+    m = spark.range(4000).select((F.col("id") % 500).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), text.alias("text"), F.lit(None).cast(f"array<{schemas.BLOCK}>").alias("blocks"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = compaction.compact_window(m, None, compaction.WindowConfig(max_tokens=10**6)).withColumn("task", F.spark_partition_id())
+    assert got.select("task").distinct().count() == n and got.count() == 4000
+
+
 def test_stream_window_prompts(spark, tmp_path):
     """Rows that set the prompt are no messages; retrieved text stands before the system prompt and counts."""
     from quern.operators.compaction import WindowConfig
