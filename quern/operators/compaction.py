@@ -171,9 +171,13 @@ def auto_compact(messages: DataFrame, summarizer: Summarizer = extractive, recen
 
 
 def compact_window(messages: DataFrame, summarizer: Summarizer | None = None, config: WindowConfig = WindowConfig(), system_chars: int = 0) -> DataFrame:
-    """Conversations at or over the threshold are snipped, then collapsed; those still over it are summarised if there is a summarizer."""
+    """Conversations at or over the threshold are snipped, then collapsed; those still over it are summarised if there is a summarizer.
+
+    All windows are over conversations, so the messages are dealt out once, by the session's number of partitions: one stage sorts the texts again
+    for each step, and partitions that are put together by their compressed size would be many times larger in its memory.
+    """
     names = ["conv_id", "turn", "role", "text", "blocks"]
-    snipped = snip(messages.select(*names))
+    snipped = snip(messages.select(*names)).repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id")
 
     def used(df: DataFrame) -> DataFrame:
         total = F.sum(message_chars(F.col("text"), F.col("blocks"))).over(W.partitionBy("conv_id"))
