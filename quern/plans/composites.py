@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -385,21 +387,25 @@ def evolution_answers(spark, sf):
 
 #: What a log's writers may leave between its entries.
 _TORN = ['{"torn": ', "", "[1, 2]", "null", '{"a":1}}']
+#: Entries that a task puts in order, and the most ranges: with more, tasks that deal out rows would hold all of theirs in memory
+#: (spark.shuffle.sort.bypassMergeThreshold).
+LOG_ROWS, LOG_RANGES = 50_000, 200
 
 
 def _agent_logs(spark, sf, name: str, rows: Column | None = None, torn: bool = False) -> dict[str, str]:
     """The log's entries as files of JSON lines in the shared folder, one for each agent; paths by agent.
 
-    Ranges of (agent, seq) are put in order and written side by side, and an agent's ranges then copied one after the other in blocks, so that no
-    task holds a whole log.
+    Ranges of (agent, seq), more of them for more entries, are put in order and written side by side, and an agent's ranges then copied one after
+    the other in blocks, so that no task holds a whole log. Lines are made behind the sort: it holds an entry once, whatever is written for it.
     """
     root = shared_path(spark, name)
     log = M.session_log(spark, sf).drop("meta")
     line = F.to_json(F.struct(*[c for c in log.columns if c != "seq"]))
     lines = F.when(F.col("seq") % 9 == 0, F.array(line, *map(F.lit, _TORN))).otherwise(F.array(line)) if torn else F.array(line)
-    log = (log.where(rows) if rows is not None else log).repartitionByRange("agent", "seq")
-    every = log.select("agent", "seq", F.posexplode(lines).alias("nth", "value")).sortWithinPartitions("agent", "seq", "nth")
-    every.select("agent", "value").write.partitionBy("agent").text(root)
+    log = log.where(rows) if rows is not None else log
+    n = max(min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), min(LOG_RANGES, math.ceil(log.count() / LOG_ROWS)))
+    every = log.repartitionByRange(n, "agent", "seq").sortWithinPartitions("agent", "seq")
+    every.select("agent", F.array_join(lines, "\n").alias("value")).write.partitionBy("agent").text(root)
     path = spark._jvm.org.apache.hadoop.fs.Path
     system, out, copies = path(root).getFileSystem(spark._jsc.hadoopConfiguration()), {}, []
     for folder in system.listStatus(path(root)):

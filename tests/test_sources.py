@@ -75,6 +75,32 @@ def test_logs_of_agents_are_written_in_ranges(spark, monkeypatch):
             assert f.read().split("\n") == [*want, ""]
 
 
+def test_ranges_of_logs_follow_their_entries(spark, monkeypatch):
+    """No task puts more entries in order because there are more, and none holds the lines between them as rows; the log is whole and in order."""
+    from quern.plans import composites
+
+    held = {}
+    concatenate = composites.ranges.concatenate
+
+    def seen(spark, files):
+        for target, parts in files:
+            held[target] = [sum(x.startswith("at ") for x in open(p.removeprefix("file:")).read().split("\n")) for p in parts]
+        concatenate(spark, files)
+
+    monkeypatch.setattr(composites.ranges, "concatenate", seen)
+    monkeypatch.setattr(composites, "LOG_ROWS", 500, raising=False)
+    monkeypatch.setattr(composites.F, "to_json", lambda c: F.concat(F.lit("at "), F.col("seq")))
+    for rows in (3000, 12000):
+        monkeypatch.setattr(composites.M, "session_log", lambda spark, sf, rows=rows: spark.range(rows).select(F.col("id").alias("seq"), F.concat(F.lit("agent"), F.col("id") % 2).alias("agent"), F.lit("x").alias("meta")).repartition(5))
+        held.clear()
+        logs = composites._agent_logs(spark, "", "follow", torn=True)
+        assert len(held) == 2 and sum(map(sum, held.values())) == rows and max(map(max, held.values())) <= 1000
+        for k in (0, 1):
+            with open(logs[f"agent{k}"].removeprefix("file:")) as f:
+                want = [y for i in range(k, rows, 2) for y in [f"at {i}", *(composites._TORN if i % 9 == 0 else [])]]
+                assert f.read().split("\n") == [*want, ""]
+
+
 def test_sections_are_listed_and_read_by_few_tasks(spark, tmp_path):
     """Empty and odd files below many folders; tasks do not grow with the files; hidden names are passed over."""
     want = {f"d{i % 3}/e{i % 2}/{i} é+%20.md": "" if i % 50 == 0 else f"text {i}\r\n" for i in range(400)} | {"top.md": "t"}
